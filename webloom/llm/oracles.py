@@ -102,4 +102,29 @@ from ({placed})
 """
 
 
-SQL = {"op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
+_FOLDED = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5 = f"""
+with d as (
+  select row_number() over () as r, doc_id, {_FOLDED.format(t="text")} as w from documents
+), b as (
+  select item_id::varchar as item, {_FOLDED.format(t="text")} as w from benchmark
+), bw as (
+  select distinct item, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as win, least(13, len(w)) as n
+  from (select item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from b where len(w) > 0)
+), k as (
+  select distinct n from bw
+), dw as (
+  select r, i, k.n, array_to_string(w[i : i + k.n - 1], ' ') as win from (select r, w, unnest(range(1, len(w) + 1)) as i from d), k where i + k.n - 1 <= len(w)
+), m as (
+  select dw.r, dw.i, dw.n, bw.item from dw join bw using (n, win)
+), h as (
+  select r, count(distinct p) as n_hit from (select distinct r, unnest(range(i, i + n)) as p from m) group by r
+), t as (
+  select r, count(distinct item) as n_items, sha256(string_agg(distinct item, ',' order by item)) as items_sha256 from m group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join h using (r) left join t using (r)
+"""
+
+SQL = {"op5_find_contamination": OP5, "op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
