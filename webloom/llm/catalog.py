@@ -9,6 +9,7 @@ from webloom.llm import language, oracles, quality
 from webloom.llm.columns import remainder
 from webloom.llm.decontaminate import find_contamination
 from webloom.llm.exact_dedup import exact_duplicates
+from webloom.llm.main_text import extract_main_text
 from webloom.llm.mixing import mix_sources
 from webloom.llm.sharding import shard_documents
 from webloom.plans.tables import table
@@ -36,6 +37,11 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
