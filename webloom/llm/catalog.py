@@ -11,6 +11,7 @@ from webloom.llm.decontaminate import find_contamination
 from webloom.llm.exact_dedup import exact_duplicates
 from webloom.llm.main_text import extract_main_text
 from webloom.llm.mixing import mix_sources
+from webloom.llm.private_data import KINDS, find_private_data
 from webloom.llm.sharding import shard_documents
 from webloom.plans.tables import table
 
@@ -37,6 +38,14 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_find_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private_data(table(spark, sf_dir, "documents"))
+    names = F.array(*(F.lit(k) for k in (*KINDS, "term")))
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, "base_sha256", joined.alias("spans"))
+
+
 def op8_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
