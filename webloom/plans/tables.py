@@ -54,3 +54,15 @@ class Stash:
         for df in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._webloom_path)  # type: ignore[attr-defined]
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def put_sorted(stash: Stash, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Writes ``df`` hashed by ``key`` into buckets, each sorted by it: later joins on the key need not move it."""
+    stash.n += 1
+    table_name = f"webloom_{name}_{uuid.uuid4().hex}"
+    path = f"{stash.root}/{stash.n:03d}-{name}"
+    parts = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    parts.option("path", path).saveAsTable(table_name)
+    out = stash.spark.table(table_name)
+    out._webloom_path = path  # type: ignore[attr-defined]
+    return out
