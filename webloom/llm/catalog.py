@@ -13,6 +13,7 @@ from webloom.llm.main_text import extract_main_text
 from webloom.llm.mixing import mix_sources
 from webloom.llm.private_data import KINDS, find_private_data
 from webloom.llm.sharding import shard_documents
+from webloom.llm.substring_dedup import remove_repeats
 from webloom.plans.tables import table
 
 
@@ -27,6 +28,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -127,4 +127,20 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join h using (r) left join t using (r)
 """
 
-SQL = {"op5_find_contamination": OP5, "op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
+OP4 = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), x as (
+  select r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from (select r, doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)
+), f as (
+  select h, min(coalesce(doc_id, 9223372036854775807)) as owner from x group by h
+), g as (
+  select r, list(distinct p) as gone from (
+    select r, unnest(range(i, i + 50)) as p from x join f using (h) where coalesce(doc_id, 9223372036854775807) > owner) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda k: not list_contains(gone, k)), lambda k: w[k]) end, ' ')) as kept_sha256
+from d left join g using (r)
+"""
+
+SQL = {"op4_remove_repeats": OP4, "op5_find_contamination": OP5, "op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
