@@ -11,12 +11,17 @@ from webloom.llm.decontaminate import find_contamination
 from webloom.llm.exact_dedup import exact_duplicates
 from webloom.llm.main_text import extract_main_text
 from webloom.llm.mixing import mix_sources
+from webloom.llm.ngram_join import join_similar
 from webloom.llm.private_data import KINDS, find_private_data
 from webloom.llm.sharding import shard_documents
 from webloom.llm.substring_dedup import remove_repeats
 from webloom.plans.tables import table
 
 
+def op1_join_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op2_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
