@@ -1 +1 @@
-"""See README."""
+"""Readers and writers: crawl manifests, sitemaps, stored API responses, fetch rows, robots files."""
