@@ -19,8 +19,8 @@ def mapped(function: Callable, kind: str) -> Callable[[Column | str], Column]:
         known = {v: function(v) for v in values.dropna().unique()}
         return pd.Series([known.get(v) if v is not None else None for v in values], index=values.index, dtype=object)
 
-    udf = F.pandas_udf(run, kind)
-    return lambda column: udf(F.col(column) if isinstance(column, str) else column)
+    # made at the call: a UDF's type is parsed by the session, which may not exist at import
+    return lambda column: F.pandas_udf(run, kind)(F.col(column) if isinstance(column, str) else column)
 
 
 def _parts(text: str) -> dict | None:
