@@ -1,17 +1,251 @@
-"""Named queries over the site-audit operators, with their check SQL."""
+"""Named queries over the site-audit operators, and SQL that checks them.
+
+The page table has no status, depth or duplicate mark; snapshots here derive them from ``page_id``. Graph
+operators also run on the parts of orders: a link leads from each order line's part to the next line's.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from webloom import oracles
+from webloom.functions import columns as C
+from webloom.operators import audits, comparison, extraction, link_graph, search, summaries
+from webloom.operators.crawl import breadth_first, duplicate_bodies, resolve_redirects
+from webloom.plans.tables import Stash, table
+from webloom.sources import api_pages, fetches, sitemaps
+from webloom.streaming.ingest import capture_counts
+
+
+def derived(pages: DataFrame) -> DataFrame:
+    status = F.when(F.col("page_id") % 50 == 49, 503).when(F.col("page_id") % 20 == 19, 404).otherwise(200)
+    return pages.select(
+        F.col("page_id").alias("ord"), "url", "html", status.cast("int").alias("status_code"), (F.col("page_id") % 4).cast("int").alias("depth"), (F.col("page_id") % 25 == 24).alias("is_duplicate")
+    )
+
+
+def snapshot(spark: SparkSession, sf_dir: str, *records: str) -> DataFrame:
+    return extraction.extract_records(derived(table(spark, sf_dir, "pages")), records)
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> link_graph.LinkGraph:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("source"))
+    following = F.lead("source").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "source", "l_suppkey"))
+    links = lines.withColumn("target", following).where("target is not null").select("source", "target")
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("url"))
+    return link_graph.graph_of(nodes, links)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    found, _ = search.search_pages(snapshot(spark, sf_dir, "seo"), fields=("url", "title", "h1", "word_count", "article_word_count", "flags"))
+    return found.withColumn("flags", F.concat_ws(",", "flags"))
+
+
+def page_flags(spark, sf_dir):
+    return search.project_pages(snapshot(spark, sf_dir, "seo")).withColumn("flags", F.concat_ws(",", "flags"))
+
+
+def search_pages(spark, sf_dir):
+    found, _ = search.search_pages(snapshot(spark, sf_dir, "seo"), keyword="AN", words=(40, None), status_code=200, url_pattern="example", limit=50, offset=5)
+    return found.withColumn("flags", F.concat_ws(",", "flags"))
+
+
+def search_matches(spark, sf_dir):
+    return search.search_pages(snapshot(spark, sf_dir, "seo"), has_flag="WARN_THIN_CONTENT")[1]
+
+
+def status_distribution(spark, sf_dir):
+    return summaries.distribution(derived(table(spark, sf_dir, "pages")), "status_code")
+
+
+def depth_distribution(spark, sf_dir):
+    return summaries.distribution(derived(table(spark, sf_dir, "pages")), "depth")
+
+
+def flag_totals(spark, sf_dir):
+    return summaries.flag_totals(snapshot(spark, sf_dir, "seo"))
+
+
+def word_statistics(spark, sf_dir):
+    return summaries.word_statistics(snapshot(spark, sf_dir, "seo"), "word_count")
+
+
+def word_buckets(spark, sf_dir):
+    return summaries.word_buckets(snapshot(spark, sf_dir, "seo"))
+
+
+def top_linked(spark, sf_dir):
+    return summaries.top_linked(snapshot(spark, sf_dir, "links"))
+
+
+def external_hosts(spark, sf_dir):
+    return summaries.top_external_hosts(snapshot(spark, sf_dir, "links"))
+
+
+def page_links(spark, sf_dir):
+    return extraction.explode_links(snapshot(spark, sf_dir, "links")).drop("rel")
+
+
+def url_depths(spark, sf_dir):
+    return summaries.url_depth_histogram(table(spark, sf_dir, "pages"))
+
+
+def url_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.graph_key_of("url").alias("graph_key"), C.crawl_normal_of(F.col("url"), F.col("url")).alias("crawl_url"), C.seen_key("url").alias("seen_key"), C.hostname_of("url").alias("host"))
+
+
+def vault_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.vault_path_of("url").alias("vault_path"))
+
+
+def page_graph(spark, sf_dir):
+    return link_graph.link_graph(snapshot(spark, sf_dir, "seo", "links")).nodes.select("key", "ord", "url", "depth", "in_links", "out_links")
+
+
+def broken_links(spark, sf_dir):
+    return link_graph.broken_links(link_graph.link_graph(snapshot(spark, sf_dir, "seo", "links"))).select("from", "href", "anchor")
+
+
+def part_degrees(spark, sf_dir):
+    return part_graph(spark, sf_dir).nodes.select("key", "in_links", "out_links")
+
+
+def part_orphans(spark, sf_dir):
+    graph = part_graph(spark, sf_dir)
+    kinds = ((link_graph.orphans(graph, 1), "orphan"), (link_graph.sinks(graph), "sink"), (graph.nodes.where("in_links = 1"), "single_path"))
+    out = None
+    for rows, kind in kinds:
+        rows = rows.select("key", F.lit(kind).alias("kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def part_totals(spark, sf_dir):
+    return part_graph(spark, sf_dir).totals()
+
+
+def part_hubs(spark, sf_dir):
+    return link_graph.top_pages(part_graph(spark, sf_dir), "in_links", tie="key").select("key", "in_links")
+
+
+def part_levels(spark, sf_dir):
+    graph = part_graph(spark, sf_dir)
+    edges = graph.edges.select("source", "target").distinct()
+    return breadth_first(edges, spark.range(1, 2).withColumnRenamed("id", "node"), 3, Stash(spark, "levels"))
+
+
+def sitemap_of(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where("page_id % 3 <> 0")
+    return pages.select(F.col("page_id").alias("ord"), "url").unionByName(pages.where("page_id % 7 = 1").select(F.col("page_id").alias("ord"), F.concat("url", F.lit("-new")).alias("url")))
+
+
+def sitemap_missing(spark, sf_dir):
+    return comparison.sitemap_gaps(snapshot(spark, sf_dir, "seo", "meta"), sitemap_of(spark, sf_dir))[0]
+
+
+def sitemap_extra(spark, sf_dir):
+    return comparison.sitemap_gaps(snapshot(spark, sf_dir, "seo", "meta"), sitemap_of(spark, sf_dir))[1].select("url", "status_code", "depth", "gap")
+
+
+def sitemap_gap_counts(spark, sf_dir):
+    return comparison.gap_counts(*comparison.sitemap_gaps(snapshot(spark, sf_dir, "seo", "meta"), sitemap_of(spark, sf_dir)))
+
+
+def undiscovered(spark, sf_dir):
+    pages = derived(table(spark, sf_dir, "pages"))
+    return comparison.undiscovered(pages.where("ord % 2 = 0"), pages.select("ord", "url")).select("ord", "url")
+
+
+def duplicate_documents(spark, sf_dir):
+    return duplicate_bodies(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", "is_duplicate")
+
+
+def heading_summary(spark, sf_dir):
+    return audits.heading_summary(snapshot(spark, sf_dir, "headings"))
+
+
+def heading_distribution(spark, sf_dir):
+    return audits.heading_distribution(snapshot(spark, sf_dir, "headings"))
+
+
+def meta_summary(spark, sf_dir):
+    return audits.meta_summary(snapshot(spark, sf_dir, "meta")).withColumn("hreflang_languages", F.concat_ws(",", "hreflang_languages"))
+
+
+def image_summary(spark, sf_dir):
+    return audits.image_summary(snapshot(spark, sf_dir, "images", "seo"))
+
+
+def schema_summary(spark, sf_dir):
+    return audits.schema_summary(snapshot(spark, sf_dir, "schema"))
+
+
+def articles(spark, sf_dir):
+    return extraction.read_articles(table(spark, sf_dir, "pages")).select("page_id", "article.title", "article.length", "article.truncated")
+
+
+def client_pages(spark, sf_dir):
+    found = extraction.extract_client_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "seo.title", "seo.h1", F.size("links.internal").alias("internal"), F.size("links.external").alias("external"), F.size("headings.headings").alias("headings"))
+
+
+def sitemap_files(spark, sf_dir):
+    """Sitemap files made of the page table, each read again entry by entry."""
+    entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod> 2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod><priority>0."), (F.col("page_id") % 10).cast("string"), F.lit("</priority></url>"))
+    files = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 50).alias("file")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), ""), F.lit("</urlset>")).alias("xml"))
+    return sitemaps.parse_urlset(files)
+
+
+def api_items(spark, sf_dir):
+    """Responses made of conversations, two turns a page, read under the pagination rules."""
+    turns = table(spark, sf_dir, "conversations").withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1)
+    body = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("at", "role"))), lambda x: x["role"]).alias("results")))
+    responses = turns.groupBy(F.col("conv_id").alias("api"), F.floor(F.col("at") / 2).alias("page_no")).agg(body.alias("body")).withColumn("status", F.lit(200))
+    return api_pages.collect_items(responses, page_size=2, results_path="results", max_items=5)[1].drop("warning")
+
+
+def address_classes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    ip = F.concat_ws(".", *((k * m % 256).cast("string") for m in (1, 7, 13, 29)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.is_private_address(ip).alias("is_private"))
+
+
+def redirect_ends(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("https://e.com/"), "p_partkey").alias("url"), "p_partkey")
+    hops = parts.where("p_partkey % 3 = 0").select("url", F.concat(F.lit("https://e.com/"), F.expr("p_partkey div 3")).alias("location"))
+    return resolve_redirects(spark, hops, parts.select("url"))
+
+
+def fetch_classes(spark, sf_dir):
+    pages = derived(table(spark, sf_dir, "pages")).select("ord", F.col("status_code").alias("status"), F.lit("Text/HTML; charset=\"UTF-8\"").alias("content_type"), F.create_map(F.lit("cf-ray"), F.lit("x")).alias("headers"), F.encode("html", "UTF-8").alias("body"))
+    capped = fetches.classify(fetches.cap_body(pages, 2000))
+    return capped.select("ord", "is_ok", "is_broken", "is_html", "is_blocked", "truncated", F.octet_length("body").alias("kept_bytes"))
+
+
+def event_windows(spark, sf_dir):
+    """Counts per hour and type through Structured Streaming, read to the end of the input."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counted = capture_counts(stream.withColumn("captured_at", F.col("ts").cast("timestamp")), "1 hour", "1 day", ("event_type",))
+    stash = Stash(spark, "windows")
+    target = f"{stash.root}/counts"
+    query = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{stash.root}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(target)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counted.schema).parquet(target).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+QUERIES = (
+    page_flags, search_pages, search_matches, status_distribution, depth_distribution, flag_totals, word_statistics, word_buckets, top_linked, external_hosts, page_links,
+    url_depths, url_keys, vault_paths, page_graph, broken_links, part_degrees, part_orphans, part_totals, part_hubs, part_levels, sitemap_missing, sitemap_extra,
+    sitemap_gap_counts, undiscovered, duplicate_documents, heading_summary, heading_distribution, meta_summary, image_summary, schema_summary, articles, client_pages,
+    sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
