@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.columns import hostname_of
+from webloom.functions.hints import robots_allow, robots_rules
+from webloom.functions.urls import parse
+
 
 def cap_body(fetches: DataFrame, limit: int = 5 * 1024 * 1024) -> DataFrame:
     """Cuts bodies to ``limit`` bytes; ``truncated`` only if something was cut off."""
@@ -31,10 +36,6 @@ def classify(fetches: DataFrame) -> DataFrame:
 
 def robots_verdicts(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """(url, allowed): each URL against its host's robots file (host, status, text); no usable file allows all."""
-    import pandas as pd
-
-    from webloom.functions.hints import robots_allow, robots_rules
-    from webloom.functions.urls import parse
 
     def decide(url: pd.Series, text: pd.Series) -> pd.Series:
         rules = {t: robots_rules(t, agent) for t in text.dropna().unique()}
@@ -45,8 +46,6 @@ def robots_verdicts(urls: DataFrame, robots: DataFrame, agent: str = "*") -> Dat
 
         return pd.Series([one(u, t) for u, t in zip(url, text, strict=True)])
 
-    from webloom.functions.columns import hostname_of
-
     good = robots.where("status between 200 and 299").select("host", "text").dropDuplicates(["host"])
     hosted = urls.select("url").withColumn("host", hostname_of("url")).join(good, "host", "left")
     return hosted.select("url", F.pandas_udf(decide, "boolean")("url", "text").alias("allowed"))
