@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +67,12 @@ def put_sorted(stash: Stash, df: DataFrame, key: str, buckets: int, name: str) -
     out = stash.spark.table(table_name)
     out._webloom_path = path  # type: ignore[attr-defined]
     return out
+
+
+#: Rows of a few numbers each that may be broadcast: some 16 to 50 MB in memory.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(written: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a written table of narrow rows for broadcast if its counted rows are few; else joins shuffle it."""
+    return F.broadcast(written) if written.count() <= most else written
