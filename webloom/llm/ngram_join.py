@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.wordhash import U, mix, text_blocks, word_bounds, word_hashes
 from webloom.plans.components import connected_components
-from webloom.plans.tables import Stash
+from webloom.plans.tables import Stash, bounded
 
 SHINGLE = 5
 PERCENT = 80
@@ -183,7 +183,7 @@ class Join:
         if found is None:
             classes = nodes.withColumn("component", F.col("node"))
         else:
-            found = stash.put(found, "components")
+            found = bounded(stash.put(found, "components"))
             classes = nodes.join(found, nodes["node"] == found["id"], "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
         classes = stash.put(classes.select("n", "s1", "s2", "component"), "classes")
         linked = documents.where("n > 0").join(classes, ["n", "s1", "s2"]).select("id", "n", "component")
@@ -213,27 +213,28 @@ class Join:
         own = nodes.where(F.col("n") >= least).select(F.col("node").alias("id"), "s1", "n")
         keyed = stash.put(prefixed.join(own, ["id", "s1"]).dropDuplicates(["id", "s1"]), "prefixes")
         postings = keyed.select("id", "n", F.posexplode("tokens").alias("place", "token"))
-        first = F.min(F.struct("place", "id", "n"))
-        shared = stash.put(postings.groupBy("token").agg(F.count("*").alias("members"), first.alias("p")).where("members > 1").drop("members"), "shared")
-        live = stash.put(postings.join(shared, "token").select("token", "id", "n", "place", "p"), "live")
-        self.sets = self.whole_sets(keyed.join(live.select("id").distinct(), "id", "left_semi").select("id", "s1"), known)
+        shared = stash.put(postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "shared")
+        live = stash.put(postings.join(shared, "token", "left_semi"), "live")
+        pivots = live.groupBy("token").agg(F.min(F.struct("place", "id", "n")).alias("p"))
+        starred = stash.put(live.join(pivots, "token").where("id != p.id").where(self.may_match("n", "p.n", "place", "p.place")), "starred")
+        self.keys, self.known = keyed.select("id", "s1"), known
 
         links = None
         tested = None
         components = None
         for _ in range(STAR_ROUNDS):
-            star = self.with_components(live.where("id != p.id"), components, "id", "p.id").where(self.may_match("n", "p.n", "place", "p.place"))
+            star = self.with_components(starred, components, "id", "p.id")
             pairs = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), "id", (F.col("place") + F.col("p.place")).alias("cost"))
             if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+                pairs = pairs.join(bounded(tested), ["a", "b"], "left_anti")
             chosen = pairs.groupBy("id").agg(F.min(F.struct("cost", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
             links, tested, found = self.settle(stash.put(chosen, "star"), links, tested)
             if not found:
                 break
-            components = stash.put(connected_components(links, stash), "components")
+            components = bounded(stash.put(connected_components(links, stash), "components"))
         rest = self.remaining(live, components)
         if tested is not None:
-            rest = rest.join(tested, ["a", "b"], "left_anti")
+            rest = rest.join(bounded(tested), ["a", "b"], "left_anti")
         links, _, _ = self.settle(stash.put(rest.distinct(), "rest"), links, tested)
         return links
 
@@ -270,9 +271,9 @@ class Join:
         joined = x.join(y, (x["token"] == y["token"]) & different & self.may_match("x_n", "y_n", "x_place", "y_place"))
         return joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
-    def whole_sets(self, wanted: DataFrame, known) -> DataFrame:
-        """(id, n, tokens, o2, o3) of the nodes that share a bucket."""
-        size, percent = self.size, self.percent
+    def whole_sets(self, pairs: DataFrame) -> DataFrame:
+        """(id, n, tokens, o2, o3) of the nodes in the pairs, from their texts."""
+        size, percent, known = self.size, self.percent, self.known
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -284,18 +285,23 @@ class Join:
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
+        ids = bounded(self.stash.put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
+        wanted = bounded(self.stash.put(self.keys.join(ids, "id", "left_semi"), "wanted"))
         texts = self.texts.join(wanted, "id").select("id", "s1", "text")
-        return self.stash.put(texts.mapInArrow(sets, "id long, n long, tokens binary, o2 binary, o3 binary").dropDuplicates(["id"]), "sets")
+        return self.stash.put(texts.mapInArrow(sets, "id long, n long, tokens binary, o2 binary, o3 binary"), "sets")
 
     def settle(self, pairs: DataFrame, links: DataFrame | None, tested: DataFrame | None):
         """Filters and verifies pairs; gives all links and tested pairs so far, and how many links are new."""
-        light = self.sets.select("id", "n", "o2", "o3")
-        a = light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("o2").alias("a2"), F.col("o3").alias("a3"))
-        b = light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("o2").alias("b2"), F.col("o3").alias("b3"))
-        passed = self.stash.put(pairs.join(a, "a").join(b, "b").mapInArrow(pass_orders(self.percent), "a long, b long"), "passed")
-        x = self.sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa"))
-        y = self.sets.select(F.col("id").alias("b"), F.col("tokens").alias("sb"))
-        new = self.stash.put(passed.join(x, "a").join(y, "b").mapInArrow(verify_pairs(self.percent), "a long, b long"), "links")
+        sets = self.whole_sets(pairs)
+        asked = bounded(pairs)
+        light = sets.select("id", "n", "o2", "o3")
+        a = light.join(asked, F.col("id") == F.col("a")).select("a", "b", F.col("n").alias("na"), F.col("o2").alias("a2"), F.col("o3").alias("a3"))
+        b = light.join(asked, F.col("id") == F.col("b")).select("a", "b", F.col("n").alias("nb"), F.col("o2").alias("b2"), F.col("o3").alias("b3"))
+        passed = bounded(self.stash.put(a.join(b, ["a", "b"]).mapInArrow(pass_orders(self.percent), "a long, b long"), "passed"))
+        x = sets.join(passed, F.col("id") == F.col("a")).select("a", "b", F.col("tokens").alias("sa"))
+        y = sets.join(passed, F.col("id") == F.col("b")).select("a", "b", F.col("tokens").alias("sb"))
+        new = self.stash.put(x.join(y, ["a", "b"]).mapInArrow(verify_pairs(self.percent), "a long, b long"), "links")
+        self.stash.drop(sets)
         return new if links is None else links.unionByName(new), pairs if tested is None else tested.unionByName(pairs), new.count()
 
 
