@@ -9,7 +9,6 @@ like text, or the article element around it, is the main text.
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
 
@@ -17,22 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# HTML element classes and words of class names, in natural order.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody "
-    "td tfoot th thead tr ul".split()
-)
-#: Blocks whose start ends an open paragraph.
-ENDS_P = BLOCK - frozenset("body caption dd dt html legend li optgroup option tbody td tfoot th thead tr".split()) | {"li", "dd", "dt"}
-#: Start of the first ends an open one of the others, up to an element that holds such lists.
-ENDS_SAME = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
-}
+from webloom.functions.page_tree import EDGE, PageTree
+
+# Elements, roles and words of class names, in natural order.
 STRUCK_TAGS = frozenset(
     "head script style noscript template svg math nav aside form footer button input select textarea title iframe object embed canvas "
     "audio video map dialog menu noembed noframes datalist search".split()
@@ -50,116 +36,14 @@ GOOD_WORDS = frozenset("article body content entry main page post story text blo
 BASE_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "address": -3}
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 
-TAG = re.compile(r"<(?:!--(?:.*?-->|>)|!--.*|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$))", re.S)
-NAME = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-DEEPEST = 400
-
-
-class Page:
-    """The flat tree: for node i its tag, attributes and parent; its text is pieces[first[i]:last[i]]."""
-
-    def __init__(self, source: str) -> None:
-        self.tag, self.attrs, self.parent = ["#root"], [{}], [-1]
-        self.first, self.last, self.end = [0], [0], [0]
-        self.pieces: list[str] = []
-        self.owner: list[int] = []
-        open_nodes = [0]
-        at = 0
-        while at < len(source):
-            start = source.find("<", at)
-            if start < 0:
-                start = len(source)
-            if start > at:
-                self.add(html.unescape(source[at:start]), open_nodes[-1])
-            if start == len(source):
-                break
-            found = TAG.match(source, start)
-            if not found:
-                self.add("<", open_nodes[-1])
-                at = start + 1
-                continue
-            at = found.end()
-            name = (found[2] or found[5] or "").lower()
-            if not name:
-                continue
-            if found[1] or found[4]:
-                self.close(name, open_nodes)
-                continue
-            at = self.open(name, found[3] or found[6] or "", open_nodes, source, at)
-        while open_nodes:
-            self.finish(open_nodes.pop())
-
-    def add(self, text: str, node: int) -> None:
-        self.pieces.append(text)
-        self.owner.append(node)
-
-    def finish(self, node: int) -> None:
-        self.last[node] = len(self.pieces)
-        self.end[node] = len(self.tag)
-
-    def pop_to(self, depth: int, open_nodes: list[int]) -> None:
-        while len(open_nodes) > depth:
-            node = open_nodes.pop()
-            self.finish(node)
-            if self.tag[node] in BLOCK:
-                self.add(" ", open_nodes[-1])
-
-    def close(self, name: str, open_nodes: list[int]) -> None:
-        for depth in range(len(open_nodes) - 1, 0, -1):
-            if self.tag[open_nodes[depth]] == name:
-                self.pop_to(depth, open_nodes)
-                return
-            if name not in BLOCK and self.tag[open_nodes[depth]] in ("td", "th", "table"):
-                break
-        if name in ("p", "br"):
-            self.add(" ", open_nodes[-1])
-
-    def open(self, name: str, raw: str, open_nodes: list[int], source: str, at: int) -> int:
-        if name in ENDS_P:
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                tag = self.tag[open_nodes[depth]]
-                if tag == "p":
-                    self.pop_to(depth, open_nodes)
-                    break
-                if tag in BLOCK:
-                    break
-        if name in ENDS_SAME:
-            same, within = ENDS_SAME[name]
-            lowest = None
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                tag = self.tag[open_nodes[depth]]
-                if tag in within and tag not in same:
-                    break
-                if tag in same:
-                    lowest = depth
-            if lowest is not None:
-                self.pop_to(lowest, open_nodes)
-        if name in BLOCK or name == "br":
-            self.add(" ", open_nodes[-1])
-        if name in VOID or len(open_nodes) > DEEPEST:
-            return at
-        self.tag.append(name)
-        self.attrs.append({k.lower(): html.unescape(v.strip("\"'")) for k, v in NAME.findall(raw)} if raw.strip(" \t\n/") else {})
-        self.parent.append(open_nodes[-1])
-        self.first.append(len(self.pieces))
-        self.last.append(0)
-        self.end.append(0)
-        node = len(self.tag) - 1
-        if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            self.add(source[at : stop.start() if stop else len(source)], node)
-            self.finish(node)
-            return stop.end() if stop else len(source)
-        open_nodes.append(node)
-        return at
 
 
 def name_words(attrs: dict[str, str]) -> set[str]:
     return {w.lower() for key in ("class", "id") if key in attrs for w in NAME_WORD.findall(attrs[key])}
 
 
-def struck(page: Page) -> list[bool]:
+def struck(page: PageTree) -> list[bool]:
     """Which nodes stand in boilerplate. Elements around an article or main element stay."""
     n = len(page.tag)
     holds = [False] * n
@@ -190,7 +74,7 @@ def clean(text: str) -> str:
     return " ".join(text.split())
 
 
-def choose(page: Page, out: list[bool]) -> list[int]:
+def choose(page: PageTree, out: list[bool]) -> list[int]:
     """The nodes whose text is the main text, in page order."""
     n = len(page.tag)
     size, linked, commas = [0] * n, [0] * n, [0] * n
@@ -198,7 +82,7 @@ def choose(page: Page, out: list[bool]) -> list[int]:
     for i in range(1, n):
         in_link[i] = in_link[page.parent[i]] or page.tag[i] == "a"
     for text, i in zip(page.pieces, page.owner, strict=True):
-        if not out[i]:
+        if text is not EDGE and not out[i]:
             length = len(text.strip())
             size[i] += length
             linked[i] += length if in_link[i] else 0
@@ -249,11 +133,12 @@ def main_text(source: str | None) -> str:
     """The main text of one page; null, empty and textless pages give empty text."""
     if not source:
         return ""
-    page = Page(source)
+    page = PageTree(source)
     out = struck(page)
     texts = []
     for i in choose(page, out):
-        texts.append("".join(t if not out[o] else " " if t == " " else "" for t, o in zip(page.pieces[page.first[i] : page.last[i]], page.owner[page.first[i] : page.last[i]], strict=True)))
+        span = range(page.first[i], page.last[i])
+        texts.append("".join(" " if page.pieces[k] is EDGE else page.pieces[k] for k in span if page.pieces[k] is EDGE or not out[page.owner[k]]))
     return clean(" ".join(texts))
 
 
