@@ -224,7 +224,7 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per document: n_words, n_removed, kept_sha256 and the removed runs of words.
 
-    Documents enter the index in ``batches`` of rising ids; the result does not depend on how many. Null
+    Ids are integers. Documents enter the index in ``batches`` of rising ids; the result does not depend on how many. Null
     text has no words. A null id stands after all others; rows with equal ids never remove each other's
     words. Texts shorter than a window keep all. An empty table gives no rows; other columns are left out.
     """
