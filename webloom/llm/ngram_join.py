@@ -235,7 +235,9 @@ class Join:
         rest = self.remaining(live, components)
         if tested is not None:
             rest = rest.join(bounded(tested), ["a", "b"], "left_anti")
-        links, _, _ = self.settle(stash.put(rest.distinct(), "rest"), links, tested)
+        rest = stash.put(rest.distinct(), "rest")
+        links, _, _ = self.settle(rest, links, tested)
+        stash.drop(keyed, shared, live, starred)
         return links
 
     def may_match(self, nx: str, ny: str, px: str, py: str):
