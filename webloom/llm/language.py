@@ -58,9 +58,13 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     stash = Stash(docs.sparkSession, "language")
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = hash_long(F.concat(F.lit("fit:"), F.col(id_col).cast("string")))
+    # ranked within stretches of the hash first: a common language is no single task's work
+    part = Window.partitionBy("lang", F.shiftright("h", 46)).orderBy("h", "id")
     order = Window.partitionBy("lang").orderBy("h", "id")
     ids = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("h"))
-    chosen = stash.put(ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE).select("id"), "sample").distinct()
+    for window in (part, order):
+        ids = ids.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
+    chosen = stash.put(ids.select("id"), "sample").distinct()
     sample = rows.join(chosen, rows[id_col] == chosen["id"], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
