@@ -15,6 +15,9 @@ Groups of near copies are not expanded. First each document meets only the membe
 stands earliest in order 1, and links make components; then buckets that still hold several components
 compare members of their smaller components with the others. No pair inside one component is formed, and
 no pair that could join two components is left out.
+
+All links lie inside components, so they are counted there, once the components are known: every pair of
+different sets of a component is compared, a component's members being cut into salted blocks.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 12
 #: Rounds in which documents meet one bucket member before all remaining pairs are formed.
 STAR_ROUNDS = 2
+#: A component of more sets, or of more tokens in all, than these is cut into blocks when its links are counted.
+BLOCK_SETS = 16
+BLOCK_TOKENS = 1 << 19
 #: The id that stands for null: larger than any other.
 LAST_ID = (1 << 63) - 1
 
@@ -163,6 +169,70 @@ def verify_pairs(percent: int):
     return check
 
 
+def common_counts(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """How many tokens each of the ``first`` sets shares with each of the others, or with each other if there are no others."""
+    m, n = len(sets), [len(t) for t in sets]
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    column = np.cumsum(np.concatenate(([0], tokens[1:] != tokens[:-1])))
+    several = np.bincount(column)[column] > 1  # the others are common to no pair
+    owner, column = owner[several], column[several]
+    if len(column):
+        column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
+    width = max(256, (1 << 22) // m)
+    common = np.zeros((first, m - first if first < m else m), np.int64)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (a, a + width))
+        marks = np.zeros((m, int(column[hi - 1]) - a + 1), np.float32)
+        marks[owner[lo:hi], column[lo:hi] - a] = 1
+        common += (marks[:first] @ (marks[first:] if first < m else marks).T).astype(np.int64)
+    return common
+
+
+def link_blocks(size: int, percent: int, pairs: bool):
+    """For each pair of blocks, rows of which stand together: every link (a, b), or how many links each set has."""
+
+    def settle(sets: dict[tuple, np.ndarray], first: int) -> tuple[list, list]:
+        names, tokens = list(sets), list(sets.values())
+        n = np.array([len(t) for t in tokens])
+        common = common_counts(tokens, first)
+        others = n if first == len(n) else n[first:]
+        linked = 100 * common >= percent * (n[:first, None] + others[None, :] - common)
+        if first == len(n):
+            linked = np.triu(linked, 1)
+        i, j = np.nonzero(linked)
+        j += 0 if first == len(n) else first
+        if pairs:
+            one, two = ([names[k][0] for k in at] for at in (i, j))
+            return [min(x) for x in zip(one, two, strict=True)], [max(x) for x in zip(one, two, strict=True)]
+        return names, (np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))).tolist()
+
+    def batch_of(one: list, two: list) -> pa.RecordBatch:
+        if pairs:
+            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+        ids, hashes = ([name[k] for name in one] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(two, pa.int64())], names=["id", "s1", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, first = None, {}, 0
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("component", "one", "two", "salt", "id", "s1"))
+            for component, one, two, salt, name, s1, tokens in zip(*columns, shingle_sets(batch["text"], size), strict=True):
+                if (component, one, two) != now:
+                    if first and len(sets) > 1 and (first < len(sets) or now[1] == now[2]):
+                        yield batch_of(*settle(sets, first))
+                    now, sets, first = (component, one, two), {}, 0
+                # another text with the same id has another hash; a row may be there twice
+                if (name, s1) not in sets and set_hashes(tokens)[0] == s1:
+                    sets[name, s1] = tokens
+                    first += salt == one
+        if first and len(sets) > 1 and (first < len(sets) or now[1] == now[2]):
+            yield batch_of(*settle(sets, first))
+
+    return run
+
+
 class Join:
     """The stages of one self-join."""
 
@@ -171,9 +241,21 @@ class Join:
         self.spark = texts.sparkSession
         self.stash = Stash(self.spark, "ngrams")
 
-    def run(self) -> DataFrame:
-        """(id, n_shingles, component) per row of the texts."""
-        size, percent, stash = self.size, self.percent, self.stash
+    def run(self, count_links: bool = False) -> DataFrame:
+        """(id, n_shingles, component) per row of the texts; if asked, also links and component_links."""
+        documents, classes = self.classes()
+        columns = ["id", "n", "component"]
+        rest = documents.where("n = 0").select("id", "n", F.col("id").alias("component"))
+        if count_links:
+            classes = self.with_links(classes)
+            columns += ["links", "component_links"]
+            rest = rest.select("*", *(F.lit(0).cast("long").alias(c) for c in columns[3:]))
+        linked = documents.where("n > 0").join(classes, ["n", "s1", "s2"]).select(columns)
+        return linked.unionByName(rest)
+
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """(id, n, s1, s2) per row of the texts, and (n, s1, s2, node, component) per different set."""
+        size, stash = self.size, self.stash
         scanned = stash.put(self.texts.mapInArrow(scan_sets(size), "id long, n long, s1 long, s2 long, chunk int, counts binary"), "scan")
         documents = scanned.where("n is not null").select("id", "n", "s1", "s2")
         nodes = stash.put(documents.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node")), "nodes")
@@ -184,10 +266,35 @@ class Join:
             classes = nodes.withColumn("component", F.col("node"))
         else:
             found = bounded(stash.put(found, "components"))
-            classes = nodes.join(found, nodes["node"] == found["id"], "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
-        classes = stash.put(classes.select("n", "s1", "s2", "component"), "classes")
-        linked = documents.where("n > 0").join(classes, ["n", "s1", "s2"]).select("id", "n", "component")
-        return linked.unionByName(documents.where("n = 0").select("id", "n", F.col("id").alias("component")))
+            classes = nodes.join(found, nodes["node"] == found["id"], "left").select("n", "s1", "s2", "node", F.coalesce("component", "node").alias("component"))
+        return documents, stash.put(classes.select("n", "s1", "s2", "node", "component"), "classes")
+
+    def blocks(self, classes: DataFrame) -> DataFrame:
+        """The texts of components of several sets, each in every pair of its component's blocks that has its block.
+
+        A component of m sets has about the root of m / 16 blocks, more if its sets are long: the pairs of
+        blocks are dealt over the tasks, none holds more than two blocks, and a text is sent once a block.
+        """
+        of = classes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
+        of = of.select("component", F.greatest(F.ceil(F.sqrt(F.col("m") / BLOCK_SETS)), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("k"))
+        members = classes.join(of, "component").select(F.col("node").alias("id"), "s1", "component", "k", F.pmod(F.xxhash64("node", "s1"), "k").cast("int").alias("salt"))
+        members = bounded(self.stash.put(members, "linked"))
+        texts = self.texts.join(members, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        rows = texts.select("component", F.least("salt", "other").alias("one"), F.greatest("salt", "other").alias("two"), "salt", "id", "s1", "text")
+        keys = ["component", "one", "two"]
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "salt")
+
+    def with_links(self, classes: DataFrame) -> DataFrame:
+        """Adds how many other sets each set is linked with, and how many links its component has."""
+        kinds = classes.groupBy("component").agg(F.count("*").alias("m"), (F.min("node") != F.max("node")).alias("apart"))
+        kinds = classes.join(kinds, "component").withColumn("alone", (F.col("m") == 2) & F.col("apart"))  # two sets are there by their one link
+        kinds = self.stash.put(kinds, "kinds")
+        found = self.blocks(kinds.where("m > 1 and not alone")).mapInArrow(link_blocks(self.size, self.percent, False), "id long, s1 long, links long")
+        found = self.stash.put(found.groupBy(F.col("id").alias("node"), "s1").agg(F.sum("links").alias("links")), "degrees")
+        counted = kinds.join(found, ["node", "s1"], "left").withColumn("links", F.when(F.col("alone"), 1).otherwise(F.coalesce("links", F.lit(0))).cast("long"))
+        counted = self.stash.put(counted.select("n", "s1", "s2", "component", "links"), "counted")
+        totals = counted.groupBy("component").agg((F.sum("links") / 2).cast("long").alias("component_links"))
+        return counted.join(totals, "component")
 
     def links(self, nodes: DataFrame) -> DataFrame | None:
         """Verified links (a, b) that connect every component."""
@@ -307,6 +414,14 @@ class Join:
         return new if links is None else links.unionByName(new), pairs if tested is None else tested.unionByName(pairs), new.count()
 
 
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def as_id(docs: DataFrame, id_col: str, found: str):
+    return F.when(F.col(found) != LAST_ID, F.col(found)).cast(docs.schema[id_col].dataType)
+
+
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: (id, n_shingles, component_id), the least id reachable by links, itself included.
 
@@ -315,8 +430,25 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a text are the same node; rows that share an id but not a text count as linked. An empty table gives no
     rows. Columns besides id and text are left out.
     """
-    kind = docs.schema[id_col].dataType
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = Join(texts, size, percent).run()
-    back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).cast(kind)
-    return found.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
+    found = Join(texts_of(docs, id_col, text_col), size, percent).run()
+    return found.select(as_id(docs, id_col, "id").alias(id_col), F.col("n").alias("n_shingles"), as_id(docs, id_col, "component").alias("component_id"))
+
+
+def count_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``join_similar`` with n_links, to how many other sets the row's set is linked, and component_links in all.
+
+    A link joins two different shingle sets, however many documents have them, and is counted once.
+    """
+    found = Join(texts_of(docs, id_col, text_col), size, percent).run(count_links=True)
+    ids = as_id(docs, id_col, "id").alias(id_col), F.col("n").alias("n_shingles"), as_id(docs, id_col, "component").alias("component_id")
+    return found.select(*ids, F.col("links").alias("n_links"), "component_links")
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(a, b): each link between two different shingle sets, named by the least ids that have them.
+
+    With ``join_similar``, rows grow with the square of a group of near copies: they are asked for here only.
+    """
+    join = Join(texts_of(docs, id_col, text_col), size, percent)
+    found = join.stash.put(join.blocks(join.classes()[1]).mapInArrow(link_blocks(size, percent, True), "a long, b long"), "pairs")
+    return found.select(as_id(docs, id_col, "a").alias("a"), as_id(docs, id_col, "b").alias("b"))

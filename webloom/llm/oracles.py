@@ -161,4 +161,28 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.b) as component_i
 from d left join n using (doc_id) join r on r.a = d.doc_id group by all
 """
 
-SQL = {"op1_join_similar": OP1, "op4_remove_repeats": OP4, "op5_find_contamination": OP5, "op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
+OP1_LINKS = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, md5(array_to_string(w[i : i + 2], ' ')) as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) as i from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n, md5(string_agg(g, '' order by g)) as k from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), e as (
+  select a, b, x.k as ka, y.k as kb from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)
+), r as (
+  select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on r.b = e.a
+), t as (
+  select a as doc_id, count(distinct kb) as n_links from e where ka <> kb group by a
+), c as (
+  select d.doc_id, n.n, n.k, coalesce(t.n_links, 0) as n_links, min(r.b) as component_id
+  from d left join n using (doc_id) left join t using (doc_id) join r on r.a = d.doc_id group by all
+), l as (
+  select component_id, sum(n_links) // 2 as component_links from (select distinct component_id, k, n_links from c) group by component_id
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, n_links::bigint as n_links, component_links::bigint as component_links from c join l using (component_id)
+"""
+
+SQL = {"op1_join_similar": OP1, "op1_count_links": OP1_LINKS, "op4_remove_repeats": OP4, "op5_find_contamination": OP5, "op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
