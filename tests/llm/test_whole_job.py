@@ -6,7 +6,9 @@ from collections import Counter
 import duckdb
 import pytest
 
+from webloom.functions.page_tree import PageTree
 from webloom.llm import catalog
+from webloom.llm.main_text import main_text
 from webloom.llm.ngram_join import count_links, join_similar, similar_links
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +47,16 @@ def test_count_links_sql(spark):
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
     want = con.execute(catalog.oracle_sql()["op1_count_links"]).fetchall()
     assert sorted(map(tuple, catalog.op1_count_links(spark, DATA).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("tag", ["font", "b", "span", "div"])
+def test_deep_pages(tag):
+    deep = f"<{tag}>" * 3000
+    page = PageTree(f"<body>{deep}<script>var x = 1;</script><nav>Menu</nav><h2>Head</h2><a href=/x>link</a><p>Words of text</p>")
+    assert (len(page.named(tag)), len(page.named("script")), len(page.named("nav")), len(page.named("h2")), len(page.named("a"))) == (3000, 1, 1, 1, 1)
+    text = main_text(f"<body>{deep}<script>var x = 1;</script><nav>Menu</nav><p>Words of text, of some length, to be kept</p>")
+    assert "Words of text" in text and "var x" not in text and "Menu" not in text
+    # an end tag ends the inner element, not an outer one of the same name
+    page = PageTree(f"<form id=outer>{deep}<form id=inner>one</form>two")
+    outer, inner = page.named("form")
+    assert "two" in page.text(outer) and page.text(inner) == "one"

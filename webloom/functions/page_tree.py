@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 # HTML element classes, in natural order.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,8 +27,6 @@ ENDS_SAME = {
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|>)|!--.*|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$))", re.S)
 NAME = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
-#: Elements nested deeper than this are read as part of their ancestor; their text stays.
-DEEPEST = 400
 #: The piece that stands for the edge of a block or a line break.
 EDGE = None
 
@@ -50,6 +50,9 @@ class PageTree:
         self.first, self.last, self.end = [0], [0], [0]
         self.pieces: list[str | None] = []
         self.owner: list[int] = []
+        # where in open_nodes elements of each name stand, and blocks: no look-up walks a deep page's ancestors
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
         open_nodes = [0]
         at = 0
         while at < len(source):
@@ -88,46 +91,37 @@ class PageTree:
         while len(open_nodes) > depth:
             node = open_nodes.pop()
             self.finish(node)
+            self.places[self.tag[node]].pop()
             if self.tag[node] in BLOCK:
+                self.blocks.pop()
                 self.add(EDGE, open_nodes[-1])
 
+    def innermost(self, *names: str) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((self.places[name][-1] for name in names if self.places[name]), default=0)
+
     def close(self, name: str, open_nodes: list[int]) -> None:
-        for depth in range(len(open_nodes) - 1, 0, -1):
-            if self.tag[open_nodes[depth]] == name:
-                self.pop_to(depth, open_nodes)
-                return
-            if name not in BLOCK and self.tag[open_nodes[depth]] in ("td", "th", "table"):
-                break
+        depth = self.innermost(name)
+        if depth and (name in BLOCK or depth > self.innermost("td", "th", "table")):
+            self.pop_to(depth, open_nodes)
+            return
         if name in ("p", "br"):
             self.add(EDGE, open_nodes[-1])
 
     def open(self, name: str, raw: str, open_nodes: list[int], source: str, at: int) -> int:
         """Opens a node, after the ends it implies; gives where reading goes on."""
-        if name in ENDS_P:
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                tag = self.tag[open_nodes[depth]]
-                if tag == "p":
-                    self.pop_to(depth, open_nodes)
-                    break
-                if tag in BLOCK:
-                    break
+        if name in ENDS_P and self.blocks and self.tag[open_nodes[self.blocks[-1]]] == "p":
+            self.pop_to(self.blocks[-1], open_nodes)
         if name in ENDS_SAME:
             same, within = ENDS_SAME[name]
-            lowest = None
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                tag = self.tag[open_nodes[depth]]
-                if tag in within and tag not in same:
-                    break
-                if tag in same:
-                    lowest = depth
-            if lowest is not None:
-                self.pop_to(lowest, open_nodes)
-        if name == "body" and "head" in (self.tag[k] for k in open_nodes):
+            edge = self.innermost(*within)
+            inner = [places[k] for places in (self.places[tag] for tag in same) if (k := bisect_right(places, edge)) < len(places)]
+            if inner:
+                self.pop_to(min(inner), open_nodes)
+        if name == "body" and self.places["head"]:
             self.close("head", open_nodes)
         if name in BLOCK or name == "br":
             self.add(EDGE, open_nodes[-1])
-        if len(open_nodes) > DEEPEST and name not in VOID:
-            return at
         node = len(self.tag)
         self.tag.append(name)
         self.attrs.append(attributes(raw) if raw.strip(" \t\n/") else {})
@@ -143,6 +137,9 @@ class PageTree:
             self.add(html.unescape(raw_text) if name in DECODED_RAW else raw_text, node)
             self.finish(node)
             return stop.end() if stop else len(source)
+        self.places[name].append(len(open_nodes))
+        if name in BLOCK:
+            self.blocks.append(len(open_nodes))
         open_nodes.append(node)
         return at
 

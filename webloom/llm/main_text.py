@@ -34,6 +34,7 @@ STRUCK_WORDS = frozenset(
 KEPT_TAGS = frozenset("html body main article".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text blog column".split())
 BASE_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "address": -3}
+INLINE = frozenset("p span b i em strong a".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -79,7 +80,9 @@ def choose(page: PageTree, out: list[bool]) -> list[int]:
     n = len(page.tag)
     size, linked, commas = [0] * n, [0] * n, [0] * n
     in_link = [False] * n
+    holder = [0] * n  # the nearest element, itself included, that takes points
     for i in range(1, n):
+        holder[i] = holder[page.parent[i]] if page.tag[i] in INLINE else i
         in_link[i] = in_link[page.parent[i]] or page.tag[i] == "a"
     for text, i in zip(page.pieces, page.owner, strict=True):
         if text is not EDGE and not out[i]:
@@ -97,15 +100,14 @@ def choose(page: PageTree, out: list[bool]) -> list[int]:
         if out[i] or not size[i] or not (tag in PARAGRAPHS or (tag in ("div", "section", "article", "main") and direct[i] > 0)):
             continue
         own = (1 + commas[i] if size[i] >= 25 else 0.0) + min(size[i] / 100, 3) * (1 - linked[i] / size[i])
-        up, level = (i if tag not in PARAGRAPHS else page.parent[i]), 0
+        up, level = holder[i if tag not in PARAGRAPHS else page.parent[i]], 0
         while up > 0 and level < 6:
-            if page.tag[up] not in ("p", "span", "b", "i", "em", "strong", "a"):
-                if up not in points:
-                    words = name_words(page.attrs[up])
-                    points[up] = BASE_POINTS.get(page.tag[up], 0) + 25 * bool(words & GOOD_WORDS) if size[up] else 0
-                points[up] += own / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                level += 1
-            up = page.parent[up]
+            if up not in points:
+                words = name_words(page.attrs[up])
+                points[up] = BASE_POINTS.get(page.tag[up], 0) + 25 * bool(words & GOOD_WORDS) if size[up] else 0
+            points[up] += own / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            level += 1
+            up = holder[page.parent[up]]
     scores = {i: p * (1 - linked[i] / max(1, size[i])) for i, p in points.items() if page.tag[i] not in ("html",) and not out[i]}
     if not scores:
         return [0]
