@@ -60,3 +60,16 @@ def test_deep_pages(tag):
     page = PageTree(f"<form id=outer>{deep}<form id=inner>one</form>two")
     outer, inner = page.named("form")
     assert "two" in page.text(outer) and page.text(inner) == "one"
+
+
+def test_wrapped_pages():
+    article = "<h1>Title</h1><p>First, this is a paragraph of some length.</p><p>Second, this is a longer paragraph, with commas.</p>"
+    want = "Title First, this is a paragraph of some length. Second, this is a longer paragraph, with commas."
+    around = "<nav><a href=/>Home</a></nav>{}<footer>f</footer>"
+    for start, end in (("<form>", "</form>"), ("<form><article>", "</article></form>"), ("<div role=form>", "</div>"), ("<div class='content has-sidebar'>", "</div>"), ("<div class='site with-header'>", "</div>")):
+        assert main_text(f"<body>{start}{around.format(f'<div id=x>{article}</div>')}{end}</body>") == want
+    # a small form and comments still go, even long ones
+    comments = "<div class=comments>" + "<p>Nice, very nice, truly nice post.</p>" * 9 + "</div>"
+    assert main_text(f"<body><div id=content>{article}</div><form><p>Your mail, please, for our news.</p></form>{comments}</body>") == want
+    # nothing else is there
+    assert main_text("<body><div class=comments><p>Nice, very nice, truly nice post.</p></div></body>") == "Nice, very nice, truly nice post."

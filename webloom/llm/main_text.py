@@ -31,6 +31,14 @@ STRUCK_WORDS = frozenset(
     "promo promoted promotion recommend recommended related replies reply respond responses rail share sharing shoutbox sidebar "
     "signup skip social sponsor sponsored subscribe subscription tags tagcloud teaser toolbar topbar trending widget widgets alert".split()
 )
+#: Of these, words that name what is never the text's wrapper.
+BESIDE_WORDS = frozenset(
+    "ad ads adbox adsense adslot advert advertisement advertising adverts adunit comment comments commentlist commenting consent cookie cookies discussion "
+    "disqus gdpr modal notification notifications overlay popup popular promo promoted promotion recommend recommended related replies reply respond "
+    "responses shoutbox sponsor sponsored tagcloud teaser trending".split()
+)
+#: A form, or an element with a struck name, stays if it holds more than this share of the page's text outside links.
+WRAPPER = 0.9
 KEPT_TAGS = frozenset("html body main article".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text blog column".split())
 BASE_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "address": -3}
@@ -44,27 +52,43 @@ def name_words(attrs: dict[str, str]) -> set[str]:
     return {w.lower() for key in ("class", "id") if key in attrs for w in NAME_WORD.findall(attrs[key])}
 
 
-def struck(page: PageTree) -> list[bool]:
-    """Which nodes stand in boilerplate. Elements around an article or main element stay."""
+def struck(page: PageTree, by_name: bool = True) -> list[bool]:
+    """Which nodes stand in boilerplate. Elements around an article or main element stay, if header or form or
+    struck by a name; so do such elements around nearly all the page's text. ``by_name`` turned off, forms and
+    names do not strike."""
     n = len(page.tag)
     holds = [False] * n
     for i in range(n - 1, 0, -1):
         if holds[i] or page.tag[i] in ("article", "main"):
             holds[page.parent[i]] = True
-    out = [False] * n
-    inside = [False] * n
+    inside, plain, surely = [False] * n, [True] * n, [False] * n
     for i in range(1, n):
         up, tag, attrs = page.parent[i], page.tag[i], page.attrs[i]
         inside[i] = inside[up] or tag in ("article", "main") or attrs.get("role") in ("main", "article")
+        gone = (tag in STRUCK_TAGS and tag != "form") or (tag == "header" and not (inside[up] or holds[i]))
+        if attrs:
+            gone = gone or attrs.get("role", "").lower() in STRUCK_ROLES - {"form"} or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+            gone = gone or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
+        surely[i] = gone
+        plain[i] = plain[up] and not (gone and tag not in KEPT_TAGS - {"article"}) and tag != "a"
+    mass = [0] * n
+    for text, i in zip(page.pieces, page.owner, strict=True):
+        if text is not EDGE and plain[i]:
+            mass[i] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        mass[page.parent[i]] += mass[i]
+    out = [False] * n
+    for i in range(1, n):
+        up, tag, attrs = page.parent[i], page.tag[i], page.attrs[i]
         if out[up]:
             out[i] = True
             continue
-        gone = tag in STRUCK_TAGS or (tag == "header" and not (inside[up] or holds[i]))
-        if attrs:
-            gone = gone or attrs.get("role", "").lower() in STRUCK_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-            gone = gone or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
-            words = name_words(attrs) - ({"header", "masthead"} if inside[up] else set())
-            if words & STRUCK_WORDS and tag not in ("html", "body", "main") and not holds[i]:
+        gone = surely[i]
+        if by_name and not gone:
+            wraps = holds[i] or mass[i] > WRAPPER * mass[0]
+            gone = (tag == "form" or attrs.get("role", "").lower() == "form") and not wraps
+            words = (name_words(attrs) - ({"header", "masthead"} if inside[up] else set())) & STRUCK_WORDS if attrs else set()
+            if words and tag not in ("html", "body", "main") and not holds[i] and not (wraps and not words & BESIDE_WORDS):
                 # an article is struck only where its name says comment, advert or teaser
                 gone = gone or tag != "article" or bool(words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "teaser", "related"})
         out[i] = gone and not (tag in KEPT_TAGS - {"article"})
@@ -136,12 +160,16 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = PageTree(source)
-    out = struck(page)
-    texts = []
-    for i in choose(page, out):
-        span = range(page.first[i], page.last[i])
-        texts.append("".join(" " if page.pieces[k] is EDGE else page.pieces[k] for k in span if page.pieces[k] is EDGE or not out[page.owner[k]]))
-    return clean(" ".join(texts))
+    for by_name in (True, False):  # when striking leaves nothing, forms and names count no more
+        out = struck(page, by_name)
+        texts = []
+        for i in choose(page, out):
+            span = range(page.first[i], page.last[i])
+            texts.append("".join(" " if page.pieces[k] is EDGE else page.pieces[k] for k in span if page.pieces[k] is EDGE or not out[page.owner[k]]))
+        found = clean(" ".join(texts))
+        if found:
+            break
+    return found
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
