@@ -5,43 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.plans.tables import Stash
+from webloom.plans.tables import Stash, bounded
 
 
-#: Fewer edges than this (16 bytes each) are handled by one task.
-ONE_TASK_EDGES = 500_000
-
-
-def _toward_least(stash: Stash, links: DataFrame, dealt) -> DataFrame:
+def _toward_least(stash: Stash, links: DataFrame) -> DataFrame:
     """From (u, v): each v linked to the least of u and u's neighbours."""
     least = stash.put(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return links.join(dealt(least), "u")
+    return links.join(bounded(least), "u")
 
 
 def connected_components(edges: DataFrame, stash: Stash, rounds: int = 40) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b); the component is its least node.
 
     Only aggregations and joins are used: a hub's edges are never gathered in one place. Each round's edges
-    are written to shared storage, so the plan stays short and a lost executor costs little. As long as all
-    edges are fewer than ``ONE_TASK_EDGES``, a round is one task instead of several shuffles.
+    are written to shared storage, so the plan stays short and a lost executor costs little.
     """
     now = stash.put(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    small_table = now.count() < ONE_TASK_EDGES
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.coalesce(1) if small_table else rows
-
     for _ in range(rounds):
-        both = dealt(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = _toward_least(stash, both, dealt).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = dealt(stash.put(large.where("u != v").distinct(), "large"))
-        small = _toward_least(stash, large, dealt)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _toward_least(stash, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stash.put(large.where("u != v").distinct(), "large")
+        small = _toward_least(stash, large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stash.put(dealt(small.where("u != v")).distinct(), "small")
+        now = stash.put(small.where("u != v").distinct(), "small")
         # settled: every node has one parent, and no parent has a parent
-        rows = dealt(now)
-        parents = rows.groupBy("u").agg(F.count("*").alias("parents"))
-        loose = parents.join(rows.select(F.col("v").alias("u"), F.lit(True).alias("above")).distinct(), "u", "left").where("parents > 1 or above")
+        parents = now.groupBy("u").agg(F.count("*").alias("parents"))
+        loose = parents.join(now.select(F.col("v").alias("u"), F.lit(True).alias("above")).distinct(), "u", "left").where("parents > 1 or above")
         if loose.isEmpty():
             break
     else:

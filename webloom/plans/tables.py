@@ -57,18 +57,34 @@ class Stash:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def put_sorted(stash: Stash, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """Writes ``df`` hashed by ``key`` into buckets, each sorted by it: later joins on the key need not move it."""
-    stash.n += 1
-    table_name = f"webloom_{name}_{uuid.uuid4().hex}"
-    path = f"{stash.root}/{stash.n:03d}-{name}"
-    parts = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
-    parts.option("path", path).saveAsTable(table_name)
-    out = stash.spark.table(table_name)
-    out._webloom_path = path  # type: ignore[attr-defined]
+def put_sorted(df: DataFrame, path: str, key: str, buckets: int) -> str:
+    """Writes ``df`` under ``path``, hashed by ``key`` into buckets, each sorted by it. Nothing stays in the catalog."""
+    spark, name = df.sparkSession, f"webloom_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    spark.sql(f"drop table {name}")  # its files are external and stay
+    return path
+
+
+def bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table of :func:`put_sorted`, in this session's catalog so that joins on the key need not move it."""
+    name = f"webloom_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets location '{path}'")
+    out = spark.table(name)
+    out._webloom_name = name  # type: ignore[attr-defined]
     return out
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the finished tables in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at = path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(path(s.getPath(), "_SUCCESS"))]
+
+
 #: Rows of a few numbers each that may be broadcast: some 16 to 50 MB in memory.
 BROADCAST_ROWS = 1_000_000
 
