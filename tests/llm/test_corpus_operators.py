@@ -95,8 +95,8 @@ def test_similar(docs, none, size, percent):
     assert join_similar(none).count() == 0
 
 
-@pytest.mark.parametrize(("batches", "most_runs"), [(1, 1), (4, 1)])
-def test_repeats(docs, none, batches, most_runs):
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (4, 2)])
+def test_repeats(docs, none, batches, fanout):
     rows = [(i if i is not None else 1 << 63, words(t)) for i, t, *_ in awkward()]
     first = {}
     for i, w in rows:
@@ -111,7 +111,7 @@ def test_repeats(docs, none, batches, most_runs):
                 gone.update(range(k, k + 50))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want[(None if i == 1 << 63 else i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-    got = remove_repeats(docs, batches=batches, most_runs=most_runs)
+    got = remove_repeats(docs, batches=batches, fanout=fanout)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
     if batches == 1:
         assert remove_repeats(none).count() == 0

@@ -42,11 +42,11 @@ def test_links_inside_components(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
-def test_count_links_sql(spark):
+def test_join_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
-    want = con.execute(catalog.oracle_sql()["op1_count_links"]).fetchall()
-    assert sorted(map(tuple, catalog.op1_count_links(spark, DATA).collect())) == sorted(want)
+    want = con.execute(catalog.oracle_sql()["op1_join_similar"]).fetchall()
+    assert sorted(map(tuple, catalog.op1_join_similar(spark, DATA).collect())) == sorted(want)
 
 
 @pytest.mark.parametrize("tag", ["font", "b", "span", "div"])

@@ -11,7 +11,7 @@ from webloom.llm.decontaminate import find_contamination
 from webloom.llm.exact_dedup import exact_duplicates
 from webloom.llm.main_text import extract_main_text
 from webloom.llm.mixing import mix_sources
-from webloom.llm.ngram_join import count_links, join_similar
+from webloom.llm.ngram_join import count_links
 from webloom.llm.private_data import KINDS, find_private_data
 from webloom.llm.sharding import shard_documents
 from webloom.llm.substring_dedup import remove_repeats
@@ -19,10 +19,6 @@ from webloom.plans.tables import table
 
 
 def op1_join_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(table(spark, sf_dir, "documents"), size=3, percent=90)
-
-
-def op1_count_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_links(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 

@@ -9,12 +9,15 @@ the tokens their prefixes share a token. Three orders are used:
 3. by a third hash alone.
 
 A pair goes to verification only if it passes all three; in orders 2 and 3 the prefixes' common tokens and
-what can still follow bound the overlap. Verification intersects the whole sets.
+what can still follow bound the overlap. Tokens start from one digest lane of the words, verification intersects
+the whole sets of the other lane's, and sets count as equal only if they are so in both lanes.
 
 Groups of near copies are not expanded. First each document meets only the member of its buckets that
 stands earliest in order 1, and links make components; then buckets that still hold several components
 compare members of their smaller components with the others. No pair inside one component is formed, and
-no pair that could join two components is left out.
+no pair that could join two components is left out. The smaller set of a pair must have the shared token early
+enough for both (what follows has to hold the whole overlap), so a token that is late in all its sets makes no
+pairs, however many sets have it; a token with many members is cut into salted blocks.
 
 All links lie inside components, so they are counted there, once the components are known: every pair of
 different sets of a component is compared, a component's members being cut into salted blocks.
@@ -24,13 +27,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.wordhash import U, mix, text_blocks, word_bounds, word_hashes
+from webloom.llm.wordhash import GOLDEN, U, Digests, mix, word_blocks
 from webloom.plans.components import connected_components
 from webloom.plans.tables import Stash, bounded
 
@@ -44,35 +48,41 @@ STAR_ROUNDS = 2
 #: A component of more sets, or of more tokens in all, than these is cut into blocks when its links are counted.
 BLOCK_SETS = 16
 BLOCK_TOKENS = 1 << 19
+#: A token's members are cut into the root of so many of them.
+BLOCK_MEMBERS = 1 << 10
 #: The id that stands for null: larger than any other.
 LAST_ID = (1 << 63) - 1
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, words lower-cased in A-Z."""
-    for _, data, offsets in text_blocks(column):
-        starts, ends, begins = word_bounds(data, offsets)
-        words = word_hashes(data, starts, ends, lower=True)
-        n = max(0, len(words) - size + 1)
-        grams = np.full(n, U(size))
-        for k in range(size):
-            grams = mix(grams * U(0x9E3779B97F4A7C15) + words[k : k + n])
+def shingle_sets(column: pa.Array, size: int, lanes: tuple[int, ...]) -> Iterator[list[np.ndarray]]:
+    """The sorted distinct shingle hashes of each text in each of the lanes, words lower-cased in A-Z."""
+    digests = Digests()
+    for _, _, words, begins in word_blocks(column, digests, lower=True):
+        n = max(0, words.shape[1] - size + 1)
+        grams = []
+        for lane in lanes:
+            of = np.full(n, U(size))
+            for k in range(size):
+                of = mix(of * GOLDEN + words[lane, k : k + n])
+            grams.append(of)
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             if b - a >= size:
-                yield np.unique(grams[a : b - size + 1])
+                yield [np.unique(of[a : b - size + 1]) for of in grams]
             elif b > a:  # fewer words than a shingle: the whole sequence is one
-                one = np.full(1, U(b - a))
-                for k in range(a, b):
-                    one = mix(one * U(0x9E3779B97F4A7C15) + words[k : k + 1])
-                yield one
+                found = []
+                for lane in lanes:
+                    one = np.full(1, U(b - a))
+                    for k in range(a, b):
+                        one = mix(one * GOLDEN + words[lane, k : k + 1])
+                    found.append(one)
+                yield found
             else:
-                yield grams[:0]
+                yield [of[:0] for of in grams]
 
 
-def set_hashes(tokens: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        one, two = (int(mix(tokens ^ U(salt)).sum(dtype=U)) for salt in (0x243F6A8885A308D3, 0x13198A2E03707344))
-    return one - (1 << 64) * (one >> 63), two - (1 << 64) * (two >> 63)
+def set_digest(tokens: np.ndarray) -> int:
+    """A signed 64-bit digest of a sorted set."""
+    return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -88,9 +98,8 @@ def scan_sets(size: int):
         held: list[np.ndarray] = []
         for batch in batches:
             out = []
-            for name, tokens in zip(batch["id"].to_pylist(), shingle_sets(batch["text"], size), strict=True):
-                s1, s2 = set_hashes(tokens)
-                out.append({"id": name, "n": len(tokens), "s1": s1, "s2": s2})
+            for name, (tokens, others) in zip(batch["id"].to_pylist(), shingle_sets(batch["text"], size, (0, 1)), strict=True):
+                out.append({"id": name, "n": len(tokens), "s1": set_digest(tokens), "s2": set_digest(others)})
                 held.append(tokens)
                 if len(held) >= 2048 or len(tokens) > 1 << 16:
                     counts += np.bincount((np.concatenate(held) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
@@ -212,20 +221,20 @@ def link_blocks(size: int, percent: int, pairs: bool):
         if pairs:
             return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
         ids, hashes = ([name[k] for name in one] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(two, pa.int64())], names=["id", "s1", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(two, pa.int64())], names=["id", "s2", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets, first = None, {}, 0
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("component", "one", "two", "salt", "id", "s1"))
-            for component, one, two, salt, name, s1, tokens in zip(*columns, shingle_sets(batch["text"], size), strict=True):
+            columns = (batch[c].to_pylist() for c in ("component", "one", "two", "salt", "id", "s2"))
+            for component, one, two, salt, name, s2, (tokens,) in zip(*columns, shingle_sets(batch["text"], size, (1,)), strict=True):
                 if (component, one, two) != now:
                     if first and len(sets) > 1 and (first < len(sets) or now[1] == now[2]):
                         yield batch_of(*settle(sets, first))
                     now, sets, first = (component, one, two), {}, 0
                 # another text with the same id has another hash; a row may be there twice
-                if (name, s1) not in sets and set_hashes(tokens)[0] == s1:
-                    sets[name, s1] = tokens
+                if (name, s2) not in sets and set_digest(tokens) == s2:
+                    sets[name, s2] = tokens
                     first += salt == one
         if first and len(sets) > 1 and (first < len(sets) or now[1] == now[2]):
             yield batch_of(*settle(sets, first))
@@ -277,24 +286,25 @@ class Join:
         """
         of = classes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
         of = of.select("component", F.greatest(F.ceil(F.sqrt(F.col("m") / BLOCK_SETS)), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("k"))
-        members = classes.join(of, "component").select(F.col("node").alias("id"), "s1", "component", "k", F.pmod(F.xxhash64("node", "s1"), "k").cast("int").alias("salt"))
+        of = bounded(self.stash.put(of, "several"))
+        members = classes.join(of, "component").select(F.col("node").alias("id"), "s2", "component", "k", F.pmod(F.xxhash64("node", "s2"), "k").cast("int").alias("salt"))
         members = bounded(self.stash.put(members, "linked"))
         texts = self.texts.join(members, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        rows = texts.select("component", F.least("salt", "other").alias("one"), F.greatest("salt", "other").alias("two"), "salt", "id", "s1", "text")
+        rows = texts.select("component", F.least("salt", "other").alias("one"), F.greatest("salt", "other").alias("two"), "salt", "id", "s2", "text")
         keys = ["component", "one", "two"]
         return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "salt")
 
     def with_links(self, classes: DataFrame) -> DataFrame:
         """Adds how many other sets each set is linked with, and how many links its component has."""
         kinds = classes.groupBy("component").agg(F.count("*").alias("m"), (F.min("node") != F.max("node")).alias("apart"))
-        kinds = classes.join(kinds, "component").withColumn("alone", (F.col("m") == 2) & F.col("apart"))  # two sets are there by their one link
+        kinds = classes.join(bounded(self.stash.put(kinds, "sizes")), "component").withColumn("alone", (F.col("m") == 2) & F.col("apart"))  # two sets are there by their one link
         kinds = self.stash.put(kinds, "kinds")
-        found = self.blocks(kinds.where("m > 1 and not alone")).mapInArrow(link_blocks(self.size, self.percent, False), "id long, s1 long, links long")
-        found = self.stash.put(found.groupBy(F.col("id").alias("node"), "s1").agg(F.sum("links").alias("links")), "degrees")
-        counted = kinds.join(found, ["node", "s1"], "left").withColumn("links", F.when(F.col("alone"), 1).otherwise(F.coalesce("links", F.lit(0))).cast("long"))
+        found = self.blocks(kinds.where("m > 1 and not alone")).mapInArrow(link_blocks(self.size, self.percent, False), "id long, s2 long, links long")
+        found = self.stash.put(found.groupBy(F.col("id").alias("node"), "s2").agg(F.sum("links").alias("links")), "degrees")
+        counted = kinds.join(found, ["node", "s2"], "left").withColumn("links", F.when(F.col("alone"), 1).otherwise(F.coalesce("links", F.lit(0))).cast("long"))
         counted = self.stash.put(counted.select("n", "s1", "s2", "component", "links"), "counted")
         totals = counted.groupBy("component").agg((F.sum("links") / 2).cast("long").alias("component_links"))
-        return counted.join(totals, "component")
+        return counted.join(bounded(self.stash.put(totals, "totals")), "component")
 
     def links(self, nodes: DataFrame) -> DataFrame | None:
         """Verified links (a, b) that connect every component."""
@@ -309,10 +319,10 @@ class Join:
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: dict[str, list] = {"id": [], "s1": [], "tokens": []}
-                for name, tokens in zip(batch["id"].to_pylist(), shingle_sets(batch["text"], size), strict=True):
+                for name, (tokens,) in zip(batch["id"].to_pylist(), shingle_sets(batch["text"], size, (0,)), strict=True):
                     if len(tokens) >= least:
                         out["id"].append(name)
-                        out["s1"].append(set_hashes(tokens)[0])
+                        out["s1"].append(set_digest(tokens))
                         out["tokens"].append(first_order(tokens, known.value, percent).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["s1"], pa.int64()), pa.array(out["tokens"], pa.list_(pa.int64()))], names=["id", "s1", "tokens"])
 
@@ -371,14 +381,19 @@ class Join:
             rows = rows.join(components, "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
         rows = self.stash.put(rows, "members")
         sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-        mixed = self.stash.put(mixed.select("token", F.col("most.component").alias("main")), "mixed")
-        members = self.stash.put(rows.join(mixed, "token").withColumn("minor", F.col("component") != F.col("main")).drop("main"), "mixed_members")
-        x = members.where("minor").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "place", "component")))
-        y = members.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "place", "component", "minor")))
-        different = (F.col("x_component") != F.col("y_component")) & (~F.col("y_minor") | (F.col("x_id") < F.col("y_id")))
-        joined = x.join(y, (x["token"] == y["token"]) & different & self.may_match("x_n", "y_n", "x_place", "y_place"))
-        return joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("kinds"), F.sum("size").alias("all")).where("kinds > 1")
+        mixed = self.stash.put(mixed.select("token", F.col("most.component").alias("main"), F.ceil(F.sqrt(F.col("all") / BLOCK_MEMBERS)).cast("int").alias("k")), "mixed")
+        minor, early = F.col("component") != F.col("main"), (F.col("n") - F.col("place")) * (100 + self.percent) >= 2 * self.percent * F.col("n")
+        members = self.stash.put(rows.join(bounded(mixed), "token").select("*", minor.alias("minor"), early.alias("early")).drop("main"), "mixed_members")
+        x = members.where("early").select(F.col("token").alias("x_token"), F.pmod(F.xxhash64("id"), "k").cast("int").alias("x_salt"), *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "place", "component", "minor")))
+        y = members.select(F.col("token").alias("y_token"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("y_salt"), *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "place", "component", "minor")))
+        pairs = None
+        for one, two in ((x.where("x_minor"), y), (x.where("not x_minor"), y.where("y_minor"))):
+            met = (F.col("x_token") == F.col("y_token")) & (F.col("x_salt") == F.col("y_salt")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_n") <= F.col("y_n"))
+            joined = one.join(two, met & self.may_match("x_n", "y_n", "x_place", "y_place"))
+            found = joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+            pairs = found if pairs is None else pairs.unionByName(found)
+        return pairs
 
     def whole_sets(self, pairs: DataFrame) -> DataFrame:
         """(id, n, tokens, o2, o3) of the nodes in the pairs, from their texts."""
@@ -387,9 +402,9 @@ class Join:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: dict[str, list] = {k: [] for k in ("id", "n", "tokens", "o2", "o3")}
-                for name, s1, tokens in zip(batch["id"].to_pylist(), batch["s1"].to_pylist(), shingle_sets(batch["text"], size), strict=True):
-                    if set_hashes(tokens)[0] == s1:  # else another text with the same id
-                        for k, v in zip(out, (name, len(tokens), tokens.tobytes(), *other_orders(tokens, known.value, percent)), strict=True):
+                for name, s1, (tokens, others) in zip(batch["id"].to_pylist(), batch["s1"].to_pylist(), shingle_sets(batch["text"], size, (0, 1)), strict=True):
+                    if set_digest(tokens) == s1:  # else another text with the same id
+                        for k, v in zip(out, (name, len(tokens), others.tobytes(), *other_orders(tokens, known.value, percent)), strict=True):
                             out[k].append(v)
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))

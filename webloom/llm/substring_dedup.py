@@ -3,16 +3,19 @@
 Windows are ``WINDOW`` consecutive words. Consecutive windows of a document that share the same smallest
 ``GRAM``-word hash, their anchor, form a segment; equal windows always have equal anchors, so segments
 stand for all their windows at about one row for every seventeen. The index holds immutable runs, sorted
-and bucketed by fingerprint:
+and bucketed by their key:
 
-* spans: the fingerprint of all words under a segment, with a second hash that verifies a match;
-* anchors: where each segment seen for the first time lies, by its anchor.
+* spans: the fingerprint of all words under a segment, with a digest of the words themselves that verifies a match;
+* anchors: where each segment seen for the first time lies, by its anchor;
+* texts: the documents of each batch that have a window, by id.
 
 A batch of documents with ids above all earlier ones is merge-joined with every run. A segment whose span
 an earlier document has is removed whole. What is left meets, by anchor, other segments that share some but
-not all of its windows: their texts are read again, window by window, and hashes of whole windows, verified
-by a second hash, decide. The batch's own new segments become a new run; runs are compacted into one when
-there are more than ``MOST_RUNS``.
+not all of its windows: their texts are read again, window by window, and digests of the words of whole
+windows decide. The batch's own new segments become runs of level 0; when ``FANOUT`` runs of a level are
+there, they are merged into one of the next, so a fingerprint is written again once a level only.
+
+The list of runs is a table beside them: ``FingerprintIndex.open`` finds it, in a later session too.
 """
 
 from __future__ import annotations
@@ -26,34 +29,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.wordhash import U, Sequences, sliding_min, text_blocks, word_bounds, word_hashes
-from webloom.plans.tables import Stash, put_sorted
+from webloom.llm.wordhash import U, Digests, Runs, sliding_min, word_blocks
+from webloom.plans.tables import Stash, bucketed, children, put_sorted
 
 WINDOW = 50
 GRAM = 16
-BATCHES = 2
-MOST_RUNS = 1
-#: Windows of a very long document that are cut into segments at a time.
-PIECE = 1 << 22
+BATCHES = 3
+FANOUT = 2
+#: Words of a very long document that are cut into segments at a time.
+PIECE = 1 << 20
 #: The id that stands for null: larger than any other.
 LAST_ID = (1 << 63) - 1
 
 SEGMENTS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("fp", pa.int64()), ("proof", pa.int64())])
 SEGMENTS_DDL = "id long, th long, n_words long, sha string, first int, n int, anchor long, fp long, proof long"
+KEYS = {"spans": "fp", "anchors": "anchor", "texts": "id"}
 
 
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def cut_segments(words: np.ndarray, begins: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, first window, windows, anchor, span hash, proof) of all segments of a block."""
+class Words:
+    """The words of a block of texts, one space between them, and digests of runs of them."""
+
+    def __init__(self, rows: list[list[bytes]]) -> None:
+        self.joined = b" ".join([b" ".join(words) for words in rows if words])
+        sizes = np.fromiter((len(w) for words in rows for w in words), np.int64)
+        self.starts = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes + 1, out=self.starts[1:])
+
+    def bytes(self, first: int, stop: int) -> bytes:
+        return self.joined[self.starts[first] : max(self.starts[first], self.starts[stop] - 1)]
+
+    def digests(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """BLAKE2b of the words first..stop-1 themselves, for arrays of places."""
+        joined, digest = self.joined, hashlib.blake2b
+        spans = zip(self.starts[first].tolist(), (self.starts[stop] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([digest(joined[a:b], digest_size=8).digest() for a, b in spans]), U)
+
+
+def cut_segments(lane: np.ndarray, begins: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, first window, windows, anchor, span hash) of all segments of a block; places count from the block's start."""
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    for at in range(0, max(0, len(words) - window + 1), PIECE):
-        part = words[at : at + PIECE + window - 1]
+    for at in range(0, max(0, len(lane) - window + 1), PIECE):
+        part = lane[at : at + PIECE + window - 1]
         n = len(part)
-        lanes = Sequences(part), Sequences(part, 1)
-        grams = lanes[0].hashes(np.arange(n - gram + 1), np.arange(gram, n + 1))
+        runs = Runs(part)
+        grams = runs.hashes(np.arange(n - gram + 1), gram)
         low = sliding_min((grams >> U(24) << U(24)) | np.arange(len(grams), dtype=U), window - gram + 1)
         doc = owner[at : at + n]
         places = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
@@ -62,28 +85,28 @@ def cut_segments(words: np.ndarray, begins: np.ndarray, window: int, gram: int)
         anchor = (low[places] & U((1 << 24) - 1)).astype(np.int64)
         new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(doc[places], prepend=-1) != 0))
         first, last = places[new], np.append(places[new[1:] - 1], places[-1])
-        own = doc[first]
-        yield own, first + at - begins[own], last - first + 1, grams[anchor[new]], lanes[0].hashes(first, last + window), lanes[1].hashes(first, last + window)
+        yield doc[first], first + at, last - first + 1, grams[anchor[new]], runs.of_lengths(first, last - first + window)
 
 
 def scan_segments(window: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Digests()
+        none = lambda kind, size: pa.nulls(size, kind)
         for batch in batches:
             ids, hashes = batch["id"].to_numpy(zero_copy_only=False), batch["th"].to_numpy(zero_copy_only=False)
-            for at, data, offsets in text_blocks(batch["text"]):
-                starts, ends, begins = word_bounds(data, offsets)
-                words = word_hashes(data, starts, ends)
-                n = len(offsets) - 1
-                shas = [hashlib.sha256(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())).hexdigest() for k in range(n)]
-                none = lambda kind, size: pa.nulls(size, kind)
+            for at, rows, lanes, begins in word_blocks(batch["text"], seen):
+                words = Words(rows)
+                n = len(begins) - 1
+                shas = [hashlib.sha256(words.bytes(a, b)).hexdigest() for a, b in zip(begins[:-1], begins[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at : at + n]), pa.array(hashes[at : at + n]), pa.array(np.diff(begins)), pa.array(shas), none(pa.int32(), n), none(pa.int32(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.int64(), n)],
                     schema=SEGMENTS,
                 )
-                for own, first, count, anchor, fp, proof in cut_segments(words, begins, window, gram):
+                for own, first, count, anchor, fp in cut_segments(lanes[0], begins, window, gram):
                     m = len(own)
+                    proof = words.digests(first, first + count + window - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at + own]), pa.array(hashes[at + own]), none(pa.int64(), m), none(pa.string(), m), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), signed(anchor), signed(fp), signed(proof)],
+                        [pa.array(ids[at + own]), pa.array(hashes[at + own]), none(pa.int64(), m), none(pa.string(), m), pa.array((first - begins[own]).astype(np.int32)), pa.array(count.astype(np.int32)), signed(anchor), signed(fp), signed(proof)],
                         schema=SEGMENTS,
                     )
 
@@ -91,26 +114,23 @@ def scan_segments(window: int, gram: int):
 
 
 def window_rows(window: int):
-    """Hashes of all windows of the listed segments of each text."""
+    """Hashes and digests of all windows of the listed segments of each text."""
     schema = pa.schema([("h", pa.int64()), ("proof", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("fresh", pa.bool_()), ("place", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Digests()
         for batch in batches:
-            for at, data, offsets in text_blocks(batch["text"]):
-                starts, ends, begins = word_bounds(data, offsets)
-                words = word_hashes(data, starts, ends)
-                lanes = Sequences(words), Sequences(words, 1)
-                for k in range(len(offsets) - 1):
-                    listed = batch["segments"][at + k].as_py() or []
-                    if not listed:
-                        continue
-                    place = np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in listed])
-                    first = place + begins[k]
-                    m = len(place)
-                    yield pa.RecordBatch.from_arrays(
-                        [signed(lanes[0].hashes(first, first + window)), signed(lanes[1].hashes(first, first + window)), pa.array(np.full(m, batch["id"][at + k].as_py())), pa.array(np.full(m, batch["th"][at + k].as_py())), pa.array(np.full(m, batch["fresh"][at + k].as_py())), pa.array(place.astype(np.int32))],
-                        schema=schema,
-                    )
+            listed = batch["segments"].to_pylist()
+            for at, rows, lanes, begins in word_blocks(batch["text"], seen):
+                words, runs = Words(rows), Runs(lanes[0])
+                places = [np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in listed[at + k] or []] or [np.zeros(0, np.int64)]) for k in range(len(begins) - 1)]
+                own = np.repeat(np.arange(len(places)), [len(p) for p in places])
+                place = np.concatenate(places)
+                for a in range(0, len(own), PIECE):
+                    of, found = own[a : a + PIECE], place[a : a + PIECE]
+                    first = found + begins[of]
+                    ids, hashes, fresh = (batch[c].take(pa.array(at + of)) for c in ("id", "th", "fresh"))
+                    yield pa.RecordBatch.from_arrays([signed(runs.hashes(first, window)), signed(words.digests(first, first + window)), ids, hashes, fresh, pa.array(found.astype(np.int32))], schema=schema)
 
     return emit
 
@@ -144,40 +164,98 @@ def strike(window: int):
 
 
 class FingerprintIndex:
-    """Runs of span and anchor fingerprints of the documents added so far."""
+    """Runs of span and anchor fingerprints, and texts, of the documents added so far.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, most_runs: int = MOST_RUNS) -> None:
+    All of it lies under ``root``. Runs are never changed; each new list of runs is a table of its own, and the
+    one with the highest number counts, so a batch that fails half-way leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> None:
+        self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.stash = Stash(spark, "substring")
-        self.window, self.gram, self.most_runs = window, gram, most_runs
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.spans: list[DataFrame] = []
-        self.anchors: list[DataFrame] = []
+        self.root = root.rstrip("/")
+        self.version, self.last_id = 0, None
+        #: (kind, level, path, buckets)
+        self.runs: list[tuple[str, int, str, int]] = []
+        self.tables: dict[str, DataFrame] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, fanout: int = FANOUT) -> FingerprintIndex:
+        """The index that is stored under ``root``, as its last added batch left it."""
+        listed = children(spark, f"{root.rstrip('/')}/lists")
+        if not listed:
+            raise ValueError(f"no index under {root}")
+        rows = spark.read.parquet(f"{root.rstrip('/')}/lists/{max(listed)}").collect()  # a few rows for each level
+        head = next(r for r in rows if r["kind"] == "index")
+        index = cls(spark, root, head["level"], head["buckets"], fanout)
+        index.version, index.last_id = int(max(listed)), head["last_id"]
+        index.runs = [(r["kind"], r["level"], r["path"], r["buckets"]) for r in rows if r["kind"] != "index"]
+        return index
+
+    def save(self) -> None:
+        self.version += 1
+        rows = [("index", self.window, self.root, self.gram, self.last_id), *((*run, None) for run in self.runs)]
+        listed = self.spark.createDataFrame(rows, "kind string, level int, path string, buckets int, last_id long")
+        listed.coalesce(1).write.parquet(f"{self.root}/lists/{self.version:08d}")
+
+    def of(self, kind: str) -> list[DataFrame]:
+        """The runs of a kind, as tables that are known to be bucketed and sorted."""
+        out = []
+        for name, _, path, buckets in self.runs:
+            if name == kind:
+                if path not in self.tables:
+                    self.tables[path] = bucketed(self.spark, path, KEYS[kind], buckets)
+                out.append(self.tables[path])
+        return out
+
+    def put(self, df: DataFrame, kind: str, level: int) -> None:
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path = put_sorted(df, f"{self.root}/runs/{self.version + 1:08d}-{kind}-{level}", KEYS[kind], buckets)
+        self.runs.append((kind, level, path, buckets))
+
+    def compact(self) -> None:
+        """Merges the runs of every level that has ``fanout`` of them into one of the next level."""
+        for kind in ("spans", "anchors"):
+            level = 0
+            while level <= max((r[1] for r in self.runs if r[0] == kind), default=-1):
+                full = [r for r in self.runs if r[0] == kind and r[1] == level]
+                if len(full) >= self.fanout:
+                    frames = [self.spark.read.parquet(path) for _, _, path, _ in full]
+                    self.runs = [r for r in self.runs if r not in full]
+                    self.put(reduce(DataFrame.unionByName, frames), kind, level + 1)
+                level += 1
+
+    def close(self) -> None:
+        """Takes the runs out of the session's catalog and drops intermediate tables; the index stays stored."""
+        for table in self.tables.values():
+            self.spark.sql(f"drop table if exists {table._webloom_name}")  # type: ignore[attr-defined]
+        self.tables = {}
 
     def segments(self, texts: DataFrame) -> DataFrame:
         """Document rows and segment rows of (id, th, text)."""
         return texts.select("id", "th", "text").mapInArrow(scan_segments(self.window, self.gram), SEGMENTS_DDL)
 
-    def compact(self) -> None:
-        """Merges all runs into one."""
-        for runs, key, name in ((self.spans, "fp", "spans"), (self.anchors, "anchor", "anchors")):
-            if len(runs) > 1:
-                runs[:] = [put_sorted(self.stash, reduce(DataFrame.unionByName, runs), key, self.buckets, name)]
-
-    def add(self, segments: DataFrame, texts: DataFrame) -> DataFrame:
-        """Adds a batch whose ids lie above all earlier ones; gives (id, th, n_removed, kept_sha, removed).
+    def add(self, texts: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+        """Adds (id, th, text) rows whose ids lie above all earlier ones; gives (id, th, n_removed, kept_sha, removed).
 
-        ``texts`` has (id, th, text) of this batch and all earlier ones. Documents without a removed word
-        may be left out of the result.
+        ``th`` tells rows with the same id apart. ``segments`` is what :meth:`segments` gives for them, if that is there already.
+        Documents without a removed word may be left out of the result.
         """
         stash = self.stash
-        if len(self.spans) > self.most_runs:
-            self.compact()
+        if segments is None:
+            segments = stash.put(self.segments(texts), "scan").where("anchor is not null").drop("n_words", "sha")
+        least, most = segments.agg(F.min("id"), F.max("id")).first()
+        if least is None:
+            return self.spark.createDataFrame([], "id long, th long, n_removed long, kept_sha string, removed array<struct<first:int,stop:int>>")
+        if self.last_id is not None and least <= self.last_id:
+            raise ValueError(f"id {least} is not above {self.last_id}, the last of the index")
+
         seen = segments.groupBy("fp", "proof", "n").agg(F.min("id").alias("owner")).withColumn("known", F.lit(False))
-        for run in self.spans:
+        for run in self.of("spans"):
             old = run.select("fp", F.col("proof").alias("old_proof"), F.col("n").alias("old_n"))
-            joined = seen.join(old, "fp", "left")  # proof and length verify the match
+            joined = seen.join(old, "fp", "left")  # the digest of the words and their number verify the match
             match = F.coalesce((F.col("old_proof") == F.col("proof")) & (F.col("old_n") == F.col("n")), F.lit(False))
-            seen = joined.withColumn("known", F.col("known") | match).drop("old_proof", "old_n")
+            seen = joined.withColumn("known", F.col("known") | match).drop("old_proof", "old_n").groupBy("fp", "proof", "n", "owner").agg(F.max("known").alias("known"))
         seen = stash.put(seen, "seen")
         judged = stash.put(
             segments.join(seen, ["fp", "proof", "n"]).select("id", "th", "first", "n", "anchor", (F.col("known") | (F.col("id") > F.col("owner"))).alias("gone")), "judged"
@@ -186,7 +264,7 @@ class FingerprintIndex:
 
         near = left.select("anchor").distinct()
         old = None
-        for run in self.anchors:
+        for run in self.of("anchors"):
             hits = run.join(near, "anchor", "left_semi")
             old = hits if old is None else old.unionByName(hits)
         several = left.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
@@ -202,7 +280,13 @@ class FingerprintIndex:
         per_text = wanted.groupBy("id", "th").agg(
             F.collect_list(F.when(~F.col("gone"), piece)).alias("segments"), F.collect_list(F.when(F.col("gone"), piece)).alias("covered"), F.max("fresh").alias("fresh")
         )
-        held = stash.put(texts.join(per_text, ["id", "th"]), "texts")
+        per_text = stash.put(per_text, "wanted").withColumnsRenamed({"id": "w_id", "th": "w_th"})
+        self.put(texts.select("id", "th", "text").where(F.octet_length("text") >= 2 * self.window - 1), "texts", 0)
+        held = None
+        for run in self.of("texts"):  # stored by id: the texts stay where they are, and the hash is no join key, only compared
+            hits = run.join(per_text, (F.col("id") == F.col("w_id")) & (F.col("th").bitwiseXOR(F.col("w_th")) == 0)).drop("w_id", "w_th")
+            held = hits if held is None else held.unionByName(hits)
+        held = stash.put(held, "texts")
 
         windows = stash.put(
             held.where(F.size("segments") > 0).select("id", "th", "text", "segments", "fresh").mapInArrow(window_rows(self.window), "h long, proof long, id long, th long, fresh boolean, place int"), "windows"
@@ -213,40 +297,45 @@ class FingerprintIndex:
         out = stash.put(
             decided.mapInArrow(strike(self.window), "id long, th long, n_removed long, kept_sha string, removed array<struct<first:int,stop:int>>"), "removed"
         )
-        self.spans.append(put_sorted(stash, seen.where("not known").select("fp", "proof", "n"), "fp", self.buckets, "spans"))
-        self.anchors.append(put_sorted(stash, left.select("anchor", "id", "th", "first", "n"), "anchor", self.buckets, "anchors"))
-        stash.drop(held, windows, shared, judged, seen)
+        self.put(seen.where("not known").select("fp", "proof", "n"), "spans", 0)
+        self.put(left.select("anchor", "id", "th", "first", "n"), "anchors", 0)
+        self.compact()
+        self.last_id = most
+        self.save()
+        stash.drop(held, windows, shared, judged, seen, several)
         return out
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, most_runs: int = MOST_RUNS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT
 ) -> DataFrame:
     """One row per document: n_words, n_removed, kept_sha256 and the removed runs of words.
 
-    Ids are integers. Documents enter the index in ``batches`` of rising ids; the result does not depend on how many. Null
-    text has no words. A null id stands after all others; rows with equal ids never remove each other's
+    Ids are integers. Documents enter a new index in ``batches`` of rising ids; the result does not depend on how many.
+    Null text has no words. A null id stands after all others; rows with equal ids never remove each other's
     words. Texts shorter than a window keep all. An empty table gives no rows; other columns are left out.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    index = FingerprintIndex(spark, window, gram, most_runs)
-    scanned = index.stash.put(index.segments(texts), "scan")
+    stash = Stash(spark, "repeats")
+    index = FingerprintIndex(spark, f"{stash.root}/index", window, gram, fanout)
+    scanned = stash.put(index.segments(texts), "scan")
     documents = scanned.where("n_words is not null").select("id", "th", "n_words", "sha")
     segments = scanned.where("anchor is not null").drop("n_words", "sha")
     cuts = documents.select(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     removed = None
     lower = None
     for upper in [*sorted(set(cuts or [])), None]:
-        part, upto = segments, texts
+        part, own = segments, texts
         if lower is not None:
-            part = part.where(F.col("id") > lower)
+            part, own = part.where(F.col("id") > lower), own.where(F.col("id") > lower)
         if upper is not None:
-            part, upto = part.where(F.col("id") <= upper), upto.where(F.col("id") <= upper)
-        found = index.add(part, upto)
+            part, own = part.where(F.col("id") <= upper), own.where(F.col("id") <= upper)
+        found = index.add(own, part)
         removed = found if removed is None else removed.unionByName(found)
         lower = upper
+    index.close()
     removed = removed.dropDuplicates(["id", "th"])
     out = documents.join(removed, ["id", "th"], "left")
     return out.select(

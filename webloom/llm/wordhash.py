@@ -1,26 +1,25 @@
-"""Word and word-sequence hashes over UTF-8 bytes, vectorised.
+"""Words as digests of their own bytes, and hashes of runs of words.
 
-A word's hash is sum(table[byte_i] * P**i) mod 2**64, finalised; a sequence's hash is the like sum over its
-words' hashes. Both come from running sums, so the cost is a few array operations per byte and word.
+Every distinct word is hashed once, by BLAKE2b, to two 64-bit lanes. Hashes of runs build on one lane each and
+double their length step by step with a non-linear finaliser, so no run of words cancels another, and a match
+in both lanes is a match of 128 independent bits that start from the bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of texts that are hashed at a time; a longer text is a block of its own, hashed in such pieces.
+#: Bytes of texts that are handled at a time; a longer text is a block of its own, split in such pieces.
 BLOCK_BYTES = 1 << 20
-#: Longer words are hashed one by one.
-LONG_WORD = 1 << 12
-
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Distinct words whose digests a task remembers.
+HELD_WORDS = 1 << 17
+SPACE = b" \t\n\r\v\f"
+GOLDEN = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,103 +29,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@cache
-def byte_table(lower: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-@cache
-def powers(base: int, log_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, i below 2**log_size, modulo 2**64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(1 << log_size, U)
-        p[1:] = U(b)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def sized_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(base, max(12, int(size).bit_length()))
+class Digests(dict):
+    """Word to 16-byte digest, filled as words come."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = blake2b(word, digest_size=16).digest()
+        return found
 
-P_BYTE = 0x9FB21C651E98DF25
-P_WORD = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+    def lanes(self, words: list[bytes]) -> np.ndarray:
+        """(2, words): both lanes of each word."""
+        if len(self) > HELD_WORDS:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), U).reshape(-1, 2).T
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of blocks of whole texts; null counts as empty."""
-    column = column.cast(pa.large_binary())
-    if column.null_count:
-        column = column.fill_null(b"")
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces cut at white space; words stay whole."""
     at = 0
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
-        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-        at = end
-
-
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the place in them at which each text begins (and the end)."""
-    inside = ~IS_SPACE[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
-    starts[cuts] = inside[cuts]
-    ends[cuts - 1] = inside[cuts - 1]
-    first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return first, last, np.searchsorted(first, offsets)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    out = np.empty(len(starts), U)
-    table = byte_table(lower)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
-        base = int(starts[at])
-        piece = data[base : int(ends[stop - 1])]
-        if stop == at + 1 and len(piece) > BLOCK_BYTES:
-            piece = piece[:0]
-        power, inverse = sized_powers(P_BYTE, len(piece))
-        sums = np.zeros(len(piece) + 1, U)
-        np.cumsum(table[piece] * power[: len(piece)], out=sums[1:])
-        if len(piece):
-            a, b = starts[at:stop] - base, ends[at:stop] - base
-            out[at:stop] = (sums[b] - sums[a]) * inverse[a]
-        at = stop
-    out = mix(out + (ends - starts).astype(U))
-    for k in np.flatnonzero(ends - starts > LONG_WORD):
-        word = data[starts[k] : ends[k]].tobytes()
+    while len(text) - at > BLOCK_BYTES:
+        head = text[at : at + BLOCK_BYTES]
+        rest = len(head.rstrip(SPACE))
+        cut = max(head.rfind(s, 0, rest) for s in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if rest == len(head) else rest
+        if cut <= 0:  # one word, or white space, longer than a piece
+            stop = at + BLOCK_BYTES
+            while stop < len(text) and text[stop] not in SPACE:
+                stop += 1
+            cut = stop - at
+        yield text[at : at + cut]
+        at += cut
+    yield text[at:] if at else text
+
+
+def split_texts(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, list[list[bytes]], int]]:
+    """(first row, pieces of words, texts) of blocks of texts: short texts together, one piece each; a long text alone."""
+    rows: list[list[bytes]] = []
+    at = size = 0
+    for k, cell in enumerate(column.cast(pa.large_binary())):
+        text = cell.as_py() or b""
         if lower:
-            word = word.lower()  # of bytes: A-Z only
-        out[k] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-    return out
-
-
-class Sequences:
-    """Hashes of runs of words, in one of two independent lanes."""
-
-    def __init__(self, words: np.ndarray, lane: int = 0) -> None:
-        power, self.inverse = sized_powers(P_WORD[lane], len(words) + 1)
-        values = words if lane == 0 else mix(words ^ U(0xD6E8FEB86659FD93))
-        self.sums = np.zeros(len(words) + 1, U)
-        np.cumsum(values * power[: len(words)], out=self.sums[1:])
-
-    def hashes(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Of words first..stop-1 (arrays of places)."""
-        return mix((self.sums[stop] - self.sums[first]) * self.inverse[first] + (stop - first).astype(U))
+            text = text.lower()  # of bytes: A-Z only
+        if len(text) > BLOCK_BYTES:
+            if rows:
+                yield at, rows, len(rows)
+            yield k, [p.split() for p in pieces(text)], 1
+            at, rows, size = k + 1, [], 0
+            continue
+        rows.append(text.split())
+        size += len(text)
+        if size >= BLOCK_BYTES:
+            yield at, rows, len(rows)
+            at, rows, size = k + 1, [], 0
+    if rows:
+        yield at, rows, len(rows)
+
+
+def word_blocks(column: pa.Array, digests: Digests, lower: bool = False) -> Iterator[tuple[int, list[list[bytes]], np.ndarray, np.ndarray]]:
+    """(first row, pieces of words, lanes of all words, the place at which each text's words begin, and the end)."""
+    for at, rows, texts in split_texts(column, lower):
+        lanes = np.concatenate([digests.lanes(words) for words in rows], axis=1)
+        begins = np.zeros(texts + 1, np.int64)
+        np.cumsum([len(w) for w in rows] if texts == len(rows) else [lanes.shape[1]], out=begins[1:])
+        yield at, rows, lanes, begins
+
+
+class Runs:
+    """Hashes of runs of words of one lane: level k holds, for every place, the hash of 2**k words from there."""
+
+    def __init__(self, lane: np.ndarray) -> None:
+        self.levels = [np.ascontiguousarray(lane)]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            below, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            n = max(0, len(below) - half)
+            self.levels.append(mix(below[:n] * GOLDEN + below[half : half + n]))
+        return self.levels[k]
+
+    def hashes(self, first: np.ndarray, length: int) -> np.ndarray:
+        """Of ``length`` words from each place: of the two overlapping powers of two that cover them."""
+        k = length.bit_length() - 1
+        values = self.level(k)
+        return mix(values[first] * GOLDEN + values[first + length - (1 << k)] + U(length))
+
+    def of_lengths(self, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out = np.empty(len(first), U)
+        for n in np.unique(lengths).tolist():
+            at = lengths == n
+            out[at] = self.hashes(first[at], n)
+        return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
