@@ -176,17 +176,8 @@ def choose(page: PageTree, out: list[bool], weight: list[float]) -> tuple[list[i
     return chosen, best
 
 
-def without_named(page: PageTree, out: list[bool], weight: list[float], chosen: list[int], best: int) -> list[bool]:
-    """What is struck at last: with the rest, elements whose name tells against them, but none that holds what was chosen.
-
-    If all that was chosen stands below such a name, only worse names count.
-    """
-    held, limit = set(chosen), 1.0
-    up = best
-    while up > 0:
-        held.add(up)
-        limit = min(limit, weight[up])
-        up = page.parent[up]
+def without_named(page: PageTree, out: list[bool], weight: list[float], held: set[int], limit: float) -> list[bool]:
+    """What is struck at last: with the rest, elements whose name weighs less than ``limit``, but none of ``held``."""
     gone = list(out)
     for i in range(1, len(gone)):
         # an article goes only where its name says comment, advert or the like
@@ -202,12 +193,25 @@ def main_text(source: str | None) -> str:
     page = PageTree(source)
     out, weight = judge(page)
     chosen, best = choose(page, out, weight)
-    gone = without_named(page, out, weight, chosen, best)
-    texts = []
-    for i in chosen:
-        span = range(page.first[i], page.last[i])
-        texts.append("".join(" " if page.pieces[k] is EDGE else page.pieces[k] for k in span if page.pieces[k] is EDGE or not gone[page.owner[k]]))
-    return clean(" ".join(texts))
+    held, own, up = set(chosen), 1.0, best
+    while up > 0:
+        held.add(up)
+        own = min(own, weight[up])
+        up = page.parent[up]
+
+    def text_within(limit: float) -> str:
+        gone = without_named(page, out, weight, held, limit)
+        texts = []
+        for i in chosen:
+            span = range(page.first[i], page.last[i])
+            texts.append("".join(" " if page.pieces[k] is EDGE else page.pieces[k] for k in span if page.pieces[k] is EDGE or not gone[page.owner[k]]))
+        return clean(" ".join(texts))
+
+    found = text_within(1.0)
+    if own < 1:  # the text itself stands below such a name: if most of it would go, only worse names strike
+        every = text_within(own)
+        found = every if 2 * len(found) < len(every) else found
+    return found
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
