@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.plans.tables import spare
+
 
 def running_total(
     df: DataFrame, group: list[str], bucket: str, order: list[str | Column], value: Column, out: str
@@ -15,13 +17,14 @@ def running_total(
     group into pieces in that order; each piece is one window, and pieces are joined by the
     running sum of their totals. A group with a third of all rows so spreads over its buckets.
     """
-    named = df.withColumn("__value", value)
-    totals = named.groupBy(*group, bucket).agg(F.sum("__value").alias("__total"))
+    of, total, so_far = spare(df, "value", "total", "so_far")
+    named = df.withColumn(of, value)
+    totals = named.groupBy(*group, bucket).agg(F.sum(of).alias(total))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
+    offsets = totals.withColumn(so_far, F.coalesce(F.sum(total).over(before), F.lit(0))).drop(total)
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         named.join(offsets, [*group, bucket])
-        .withColumn(out, F.col("__before") + F.coalesce(F.sum("__value").over(inside), F.lit(0)))
-        .drop("__value", "__before")
+        .withColumn(out, F.col(so_far) + F.coalesce(F.sum(of).over(inside), F.lit(0)))
+        .drop(of, so_far)
     )
