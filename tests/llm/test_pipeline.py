@@ -30,6 +30,8 @@ def test_pipeline(spark, tmp_path):
     kept = {i: t for i, t, *_ in rows if re.search(r"[^\W\d_]", t or "")}
     first = corpus_pipeline.identify_language(spark, docs, str(tmp_path))
     assert first.columns == docs.columns and {r["doc_id"]: r["text"] for r in first.collect()} == kept
+    named = {i: lang for i, _, lang, *_ in rows}
+    assert {r["doc_id"]: r["lang"] for r in first.collect()} == {i: named[i] for i in kept}
 
     sets = {i: word_list(t, 5) for i, t in kept.items()}
     group = {i: i for i in kept}
@@ -61,3 +63,25 @@ def test_pipeline_on_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    """Rows that share an id, repeats, nulls and extra columns."""
+    plain = [" ".join(f"word{(k * m + m * m) % 37}" for m in range(1, 50)) for k in range(5)]
+    bench = "a question of sorts that only the benchmark has in this very order of words here"
+    rows = [(1, plain[0], "en", "s", 0, "x"), (1, bench, "en", "s", 0, "x"), (2, plain[1], None, None, 0, "x"), (2, plain[1], None, None, 0, "x"), (3, plain[1] + " more", "en", "s", 0, None)]
+    rows += [(4, None, "en", "s", 0, "x"), (4, "", "en", "s", 0, "x"), (None, plain[2], "en", "s", 0, "x"), (None, plain[3], "en", "s", 0, "x"), (None, plain[0], "en", "s", 0, "x")]
+    docs = spark.createDataFrame(rows, COLUMNS + ", __id string").repartition(3)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert clean.columns == COLUMNS.replace(" long", "").replace(" string", "").split(", ")
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((i, t) for i, t, *_ in rows if t != bench)
+    # rows that share an id count as linked: 1 and 2 keep one text each, null ids one for all
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect())
+    texts = {i: {t for j, t, *_ in rows if j == i} for i in (1, 2, 4, None)}
+    assert set(kept.values()) == {1}
+    assert all(t in texts[i] for i, t in kept) and Counter(i for i, _ in kept) == Counter({1: 1, 2: 1, 4: len({t or "" for t in texts[4]}), **({None: 1} if None in {i for i, _ in kept} else {})})
+    mixed = corpus_pipeline.mix(spark, clean, str(tmp_path))
+    assert mixed.columns == clean.columns and {r["doc_id"] for r in mixed.collect()} <= {1, 2, 3, None}
+    placed = corpus_pipeline.shard(spark, clean, str(tmp_path))
+    assert placed.count() == clean.count()

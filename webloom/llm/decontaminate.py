@@ -5,8 +5,9 @@ A document's words are mapped to the same codes (words that no item has share on
 alphabet), and the automaton reads the resulting sequence once. Match ends are word places, so a hit maps
 back to the words' offsets in the original text.
 
-The automaton is broadcast. Its size is bounded by ``block_words`` of benchmark words; a larger benchmark
-is matched in several such blocks, one pass of the documents each, with the same result.
+Documents are read once, whatever the size of the benchmark, and are not moved. The coded items are broadcast, a
+few bytes a word; a task holds the automaton of ``block_words`` of them at a time, and passes its batch through
+one after the other if there are more.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.plans.tables import Stash
-
 WINDOW = 13
 #: Benchmark words of one automaton: some 13 nodes for each.
 BLOCK_WORDS = 200_000
@@ -40,44 +39,43 @@ def char_of(code: int) -> str:
 
 
 class Patterns:
-    """Windows of some items, as an automaton that is built once in each Python worker."""
+    """Some items, coded; their windows become an automaton where they are looked for."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
+        self.window = window
         self.vocabulary: dict[bytes, str] = {}
-        owners: dict[str, set[str]] = {}
-        for name, words in items:
+        for _, words in items:
             for w in words:
                 self.vocabulary.setdefault(w, char_of(len(self.vocabulary) + 1))
-            coded = "".join(self.vocabulary[w] for w in words)
-            for at in range(max(1, len(coded) - window + 1)):
-                owners.setdefault(coded[at : at + window], set()).add(name)
-        self.owners = [(pattern, sorted(names)) for pattern, names in owners.items()]
-        self.automaton = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"automaton": None}
-
-    def ready(self):
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for k, (pattern, _) in enumerate(self.owners):
-                self.automaton.add_word(pattern, (k, len(pattern)))
-            self.automaton.make_automaton()
-        return self.automaton
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        self.items = [(name, "".join([self.vocabulary[w] for w in words])) for name, words in items]
+
+    def build(self) -> tuple[ahocorasick.Automaton | None, list[tuple[int, list[str]]]]:
+        """The automaton over distinct windows, and the length and item names of each."""
+        owners: dict[str, set[str]] = {}
+        for name, coded in self.items:
+            for at in range(max(1, len(coded) - self.window + 1)):
+                owners.setdefault(coded[at : at + self.window], set()).add(name)
+        automaton = ahocorasick.Automaton() if owners else None
+        for k, pattern in enumerate(owners):
+            automaton.add_word(pattern, k)
+        if owners:
+            automaton.make_automaton()
+        return automaton, [(len(pattern), sorted(names)) for pattern, names in owners.items()]
+
+    def find(self, built: tuple, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """The places of words inside any match, and the items matched."""
-        if not self.owners:
+        automaton, owners = built
+        if automaton is None:
             return None, set()
         get = self.vocabulary.get
-        coded = "".join([get(w, "\0") for w in words])
         edges, names = None, set()
-        for end, (k, length) in self.ready().iter(coded):
+        for end, k in automaton.iter("".join([get(w, "\0") for w in words])):
             if edges is None:
                 edges = np.zeros(len(words) + 1, np.int64)
+            length, owned = owners[k]
             edges[end + 1 - length] += 1
             edges[end + 1] -= 1
-            names.update(self.owners[k][1])
+            names.update(owned)
         return (None if edges is None else np.flatnonzero(np.cumsum(edges[:-1]) > 0)), names
 
 
@@ -100,41 +98,44 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator
     yield Patterns(held, window)
 
 
-def scan(docs: DataFrame, patterns: Patterns, last: bool) -> DataFrame:
-    """Adds the hits of one block to (id, text, runs, items); the last block drops the text."""
-    known = docs.sparkSession.sparkContext.broadcast(patterns)
-    kept = ["id", "n_words", "runs", "items", "spans"] if last else ["id", "text", "runs", "items"]
-    types = {"id": "string", "text": "string", "n_words": "long", "runs": "array<int>", "items": "array<string>", "spans": "array<struct<start:int,end:int>>"}
+RESULT = pa.schema([
+    ("id", pa.string()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+])
+
+
+def spans_of(text: bytes, places: np.ndarray) -> list[dict[str, int]]:
+    """Code-point offsets of the runs of the words at these places."""
+    at = [m.span() for m in WORD.finditer(text.decode("utf-8", "replace"))]
+    cuts = np.flatnonzero(np.diff(places, prepend=-2, append=places[-1] + 2) != 1)
+    return [{"start": at[places[a]][0], "end": at[places[b - 1]][1]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def search(blocks: list):
+    """Passes each batch of texts through the automata of all blocks (broadcast :class:`Patterns`)."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = known.value.find
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = None
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in kept}
             texts = batch["text"].cast(pa.large_binary())
-            for row in range(batch.num_rows):
-                text = texts[row].as_py() or b""
-                words = words_of(text)
-                places, names = find(words)
-                before = batch["runs"][row].as_py()
-                if before:
-                    places = np.union1d(before, places if places is not None else [])
-                names |= set(batch["items"][row].as_py() or ())
-                runs = [] if places is None else [int(p) for p in places]
-                if last:
-                    spans = []
-                    if runs:
-                        at = [m.span() for m in WORD.finditer(text.decode("utf-8", "replace"))]
-                        cuts = [k for k in range(len(runs)) if k == 0 or runs[k] != runs[k - 1] + 1] + [len(runs)]
-                        spans = [{"start": at[runs[a]][0], "end": at[runs[b - 1]][1]} for a, b in zip(cuts, cuts[1:])]
-                    out["n_words"].append(len(words))
-                    out["spans"].append(spans)
-                out["runs"].append(runs)
-                out["items"].append(sorted(names))
-            columns = {"id": batch["id"]} | ({} if last else {"text": batch["text"]})
-            kinds = {"n_words": pa.int64(), "runs": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
-            yield pa.RecordBatch.from_pydict({k: columns[k] if k in columns else pa.array(out[k], kinds[k]) for k in kept})
-
-    return docs.mapInArrow(search, ", ".join(f"{k} {types[k]}" for k in kept))
+            rows = batch.num_rows
+            n_words, hits, names = [0] * rows, [None] * rows, [set() for _ in range(rows)]
+            for block in blocks:
+                if built is None or len(blocks) > 1:
+                    built = None  # the one before goes first
+                    built = block.value.build()
+                for row in range(rows):
+                    words = words_of(texts[row].as_py() or b"")
+                    places, found = block.value.find(built, words)
+                    n_words[row] = len(words)
+                    names[row] |= found
+                    if places is not None:
+                        hits[row] = places if hits[row] is None else np.union1d(hits[row], places)
+            spans = [[] if places is None else spans_of(texts[row].as_py(), places) for row, places in enumerate(hits)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["th"], pa.array(n_words), pa.array([0 if places is None else len(places) for places in hits]), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(spans, RESULT.field("spans").type)], schema=RESULT
+            )
+
+    return run
 
 
 def find_contamination(
@@ -142,23 +143,18 @@ def find_contamination(
 ) -> DataFrame:
     """One row per document: its words, the words that benchmark windows hit, where, and of which items.
 
-    ``spans`` are code-point offsets of runs of hit words in the original text. Null text has no words;
-    an item without words matches nothing; a null item id is named "null"; items with equal ids count once.
-    A document is contaminated if at least 5 in 100 of its words are hit. Repeated rows give repeated rows.
+    ``spans`` are code-point offsets of runs of hit words in the original text; text_hash is xxhash64 of the text (of
+    "" for null) and tells rows with one id apart. Null text has no words; an item without words matches nothing; a
+    null item id is named "null"; items with equal ids count once. A document is contaminated if at least 5 in 100 of
+    its words are hit. Repeated rows give repeated rows; an empty table gives none; other columns are left out.
     """
     kind = docs.schema[id_col].dataType
-    none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    at = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), none[0].alias("runs"), none[1].alias("items"))
-    stash = None
-    held = None
-    for patterns in item_blocks(benchmark, window, block_words):
-        if held is not None:
-            stash = stash or Stash(docs.sparkSession, "decontaminate")
-            at = stash.put(scan(at, held, last=False))
-        held = patterns
-    found = scan(at, held, last=True)
-    n_hit = F.size("runs").cast("long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    blocks = [docs.sparkSession.sparkContext.broadcast(patterns) for patterns in item_blocks(benchmark, window, block_words)]
+    found = rows.mapInArrow(search(blocks), "id string, th long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    n_hit = F.col("n_hit")
     return found.select(
-        F.col("id").cast(kind).alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans",
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        F.col("id").cast(kind).alias(id_col), "n_words", "n_hit", "items", "spans",
+        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), F.col("th").alias("text_hash"),
     )

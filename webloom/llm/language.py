@@ -1,10 +1,14 @@
 """Language identification by the nearest of several TF-IDF centroids per language.
 
-A text is lower-cased, its non-letters become word breaks, and its character 1- to 3-grams are hashed
-into ``DIMS`` counts; log counts times IDF, at unit length, are compared with every centroid by cosine.
-Centroids come from spherical k-means over a sample of the training rows, at most ``PER_LANGUAGE`` of
-each language (those with the smallest hash of their id). A text whose best cosine lies below its
-language's threshold, a fraction of what the sample reaches, is rejected.
+A text is lower-cased, its non-letters become word breaks, and its character 1- to 3-grams (but not the bare
+break) are hashed into ``DIMS`` counts; log counts times IDF, at unit length, are compared with every centroid
+by cosine. Centroids come from spherical k-means over a sample of the training rows: of each language those
+whose id's hash lies below the share that leaves ``PER_LANGUAGE`` of them. Languages are learned in a task each.
+
+A text is rejected if its best cosine is too low for its length. Cosines grow with the length, so each language
+has a threshold for every doubling of the number of letters: ``MARGIN`` of the 0.1 % quantile of what sample texts,
+whole and cut to that length, reach with centroids of the other half of the sample. Texts of fewer than
+``LEAST_LETTERS`` letters are too short to be told apart and are not rejected, unless they have no letter.
 """
 
 from __future__ import annotations
@@ -14,18 +18,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.columns import hash_long
 from webloom.llm.features import blocks, char_classes, code_points, count_into, dense, gram_hashes, log_tf, sparse, unit
-from webloom.plans.tables import Stash
+from webloom.plans.tables import Stash, bounded
 
 DIMS = 4096
 PER_LANGUAGE = 800
 CENTROIDS = 4
-#: Rejected: less similar than this part of the sample's 0.1 % quantile.
-REJECT_PART = 0.5
+#: The model, of some 64 KB a language, is broadcast: more languages than this are an error.
+MOST_LANGUAGES = 1000
+#: Classes of length: letters are counted up to 2**11, by doublings.
+CLASSES = 12
+LEAST_LETTERS = 8
+MARGIN, QUANTILE = 0.95, 0.001
+#: Held-out texts that a class must have for a threshold of its own; else that of shorter texts holds.
+LEAST_TEXTS = 20
 UNKNOWN = "und"
 
 
@@ -39,7 +49,7 @@ class Model:
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 1- to 3-gram counts of each text, and whether it has a letter."""
+    """Hashed 1- to 3-gram counts of each text, and how many letters it has."""
     codes, owner = code_points([t.lower() for t in texts])
     kinds = char_classes()[codes]
     letter = (kinds == 1) | (kinds == 2)
@@ -49,48 +59,89 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for n in (1, 2, 3):
         hashes = gram_hashes(codes, n, n)
         inside = owner[: len(hashes)] == owner[len(owner) - len(hashes) :]
+        if n == 1:
+            inside &= letter
         counts += count_into(owner[: len(hashes)][inside], (hashes[inside] % DIMS).astype(np.int64), len(texts), DIMS)
-    return counts, np.bincount(owner[letter], minlength=len(texts)) > 0
+    return counts, np.bincount(owner[letter], minlength=len(texts))
+
+
+def length_class(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(np.maximum(letters, 1))).astype(np.int64), CLASSES - 1)
+
+
+def cut_pieces(texts: list[str]) -> list[tuple[int, str]]:
+    """(text, piece): a piece of about as many letters as each class begins with, from a third of the text on."""
+    out = []
+    for k, text in enumerate(texts):
+        at = len(text) // 3
+        out += [(k, text[at : at + (1 << c)]) for c in range(LEAST_LETTERS.bit_length() - 1, CLASSES) if len(text) - at > 1 << c]
+    return out
 
 
 def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from rows where ``train`` holds and neither language nor text is null."""
+    """Learns from rows where ``train`` holds and neither id, language nor text is null; rows that share an id are drawn together."""
     stash = Stash(docs.sparkSession, "language")
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = hash_long(F.concat(F.lit("fit:"), F.col(id_col).cast("string")))
-    # ranked within stretches of the hash first: a common language is no single task's work
-    part = Window.partitionBy("lang", F.shiftright("h", 46)).orderBy("h", "id")
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("h"))
-    for window in (part, order):
-        ids = ids.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
-    chosen = stash.put(ids.select("id"), "sample").distinct()
-    sample = rows.join(chosen, rows[id_col] == chosen["id"], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), hash_long(F.concat(F.lit("fit:"), F.col(id_col).cast("string"))).alias("h"))
+    sizes = stash.put(rows.groupBy("lang").agg((PER_LANGUAGE / F.count("*") * float(1 << 52)).alias("below")), "sizes")
+    languages = sizes.count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages are more than {MOST_LANGUAGES}")
+    sample = rows.join(bounded(sizes), "lang").where(F.col("h") < F.col("below")).select("lang", "text", (F.col("h") % 2).cast("int").alias("half"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each text, and for each piece of it."""
         for batch in batches:
             for at, texts in blocks(batch["text"].tolist()):
-                counts, _ = gram_counts(texts)
-                pairs = [sparse(row) for row in counts]
-                yield pd.DataFrame({"lang": batch["lang"].iloc[at : at + len(texts)], "at": [p[0] for p in pairs], "n": [p[1] for p in pairs]})
-
-    got = sample.mapInPandas(vectors, "lang string, at binary, n binary").orderBy("lang", "at", "n").toPandas()
-    return learn(got["lang"].tolist(), dense(list(zip(got["at"], got["n"], strict=True)), DIMS))
-
-
-def learn(langs: list[str], counts: np.ndarray) -> Model:
-    names = sorted(set(langs))
-    idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+                pieces = cut_pieces(texts)
+                own = [*range(len(texts)), *(k for k, _ in pieces)]
+                for a, part in blocks([*texts, *(p for _, p in pieces)]):
+                    counts, letters = gram_counts(part)
+                    pairs = [sparse(row) for row in counts]
+                    places = np.array(own[a : a + len(part)])
+                    yield pd.DataFrame(
+                        {"lang": batch["lang"].iloc[at + places], "half": batch["half"].iloc[at + places], "whole": np.arange(a, a + len(part)) < len(texts), "letters": letters, "at": [p[0] for p in pairs], "n": [p[1] for p in pairs]}
+                    )
+
+    held = stash.put(sample.mapInPandas(vectors, "lang string, half int, whole boolean, letters long, at binary, n binary"), "vectors")
+
+    def documents_with(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(group)], "df": [(dense(list(zip(group["at"], group["n"], strict=True)), DIMS) > 0).sum(axis=0).astype(np.int64).tobytes()]})
+
+    n, df = 0, np.zeros(DIMS, np.int64)
+    for row in held.where("whole").groupBy("lang").applyInPandas(documents_with, "n long, df binary").toLocalIterator():  # a row a language
+        n, df = n + row["n"], df + np.frombuffer(row["df"], np.int64)
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+    def learned(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["letters", "at", "n"], kind="stable")
+        centroids, threshold = learn(dense(list(zip(group["at"], group["n"], strict=True)), DIMS), group["half"].to_numpy(), group["whole"].to_numpy(), group["letters"].to_numpy(), idf)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [centroids.tobytes()], "threshold": [threshold.tobytes()]})
+
+    found = sorted(held.groupBy("lang").applyInPandas(learned, "lang string, centroids binary, threshold binary").collect())  # a row a language
+    centroids = [np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS) for r in found]
+    return Model(
+        [r["lang"] for r in found],
+        idf,
+        np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32),
+        np.repeat(np.arange(len(found)), [len(c) for c in centroids]),
+        np.array([np.frombuffer(r["threshold"], np.float64) for r in found]),
+    )
+
+
+def learn(counts: np.ndarray, half: np.ndarray, whole: np.ndarray, letters: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One language's centroids, and its thresholds by class of length, from texts (``whole``) and pieces of them."""
     rows = unit(log_tf(counts) * idf)
-    label = np.array([names.index(x) for x in langs], np.int64)
-    centroids, owner, threshold = [], [], []
-    for k in range(len(names)):
-        own = rows[label == k]
-        found = cluster(own, CENTROIDS)
-        centroids.append(found)
-        owner += [k] * len(found)
-        threshold.append(REJECT_PART * float(np.quantile((own @ found.T).max(axis=1), 0.001)))
-    return Model(names, idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32), np.array(owner, np.int64), np.array(threshold))
+    top = np.full(len(rows), np.nan)
+    for k in (0, 1):
+        other = rows[whole & (half != k)]
+        if len(other):
+            top[half == k] = (rows[half == k] @ cluster(other, CENTROIDS).T).max(axis=1)
+    threshold, kinds = np.zeros(CLASSES), length_class(letters)
+    for c in range(LEAST_LETTERS.bit_length() - 1, CLASSES):
+        reached = top[(kinds == c) & ~np.isnan(top)]
+        threshold[c] = MARGIN * np.quantile(reached, QUANTILE) if len(reached) >= LEAST_TEXTS else threshold[c - 1]
+    return cluster(rows[whole], CENTROIDS), threshold
 
 
 def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -108,7 +159,8 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds lang_pred, score (the best cosine) and rejected; only id, text and what else ``docs`` selects pass.
 
-    Null, empty and letterless texts are ``und`` with score 0, and rejected. With no training rows all are.
+    Null, empty and letterless texts are ``und`` with score 0, and rejected. With no training rows all are. Of centroids
+    that are equally near, the first language's in the order of code points wins.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -117,7 +169,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             langs, scores, rejected = [], [], []
             for _, texts in blocks([t if isinstance(t, str) else "" for t in batch["__text"]]):
-                counts, letters = gram_counts(texts)
+                counts, n_letters = gram_counts(texts)
+                letters = n_letters > 0
                 if not len(model.languages):
                     letters[:] = False
                     best = np.zeros(len(texts), np.int64)
@@ -128,7 +181,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     best, top = model.owner[near], np.clip(cosines[np.arange(len(texts)), near].astype(float), 0, 1)
                 langs += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
                 scores += [float(s) if ok else 0.0 for s, ok in zip(top, letters, strict=True)]
-                rejected += [not ok or s < model.threshold[b] for b, s, ok in zip(best, top, letters, strict=True)]
+                rejected += [not ok or s < model.threshold[b][c] for b, s, c, ok in zip(best, top, length_class(n_letters), letters, strict=True)]
             yield batch.drop(columns="__text").assign(__lang=langs, __score=scores, __rejected=[bool(r) for r in rejected])
 
     others = [c for c in docs.columns if c != text_col]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.wordhash import GOLDEN, U, Digests, mix, word_blocks
 from webloom.plans.components import connected_components
-from webloom.plans.tables import Stash, bounded
+from webloom.plans.tables import Stash, bounded, spare
 
 SHINGLE = 5
 PERCENT = 80
@@ -91,15 +91,15 @@ def prefix_length(n: int, percent: int) -> int:
 
 def scan_sets(size: int):
     """A row per document with its set's size and hashes; a task's token counts as compressed chunks."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         held: list[np.ndarray] = []
         for batch in batches:
             out = []
-            for name, (tokens, others) in zip(batch["id"].to_pylist(), shingle_sets(batch["text"], size, (0, 1)), strict=True):
-                out.append({"id": name, "n": len(tokens), "s1": set_digest(tokens), "s2": set_digest(others)})
+            for name, th, (tokens, others) in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), shingle_sets(batch["text"], size, (0, 1)), strict=True):
+                out.append({"id": name, "th": th, "n": len(tokens), "s1": set_digest(tokens), "s2": set_digest(others)})
                 held.append(tokens)
                 if len(held) >= 2048 or len(tokens) > 1 << 16:
                     counts += np.bincount((np.concatenate(held) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
@@ -263,10 +263,10 @@ class Join:
         return linked.unionByName(rest)
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(id, n, s1, s2) per row of the texts, and (n, s1, s2, node, component) per different set."""
+        """(id, th, n, s1, s2) per row of the texts, and (n, s1, s2, node, component) per different set."""
         size, stash = self.size, self.stash
-        scanned = stash.put(self.texts.mapInArrow(scan_sets(size), "id long, n long, s1 long, s2 long, chunk int, counts binary"), "scan")
-        documents = scanned.where("n is not null").select("id", "n", "s1", "s2")
+        scanned = stash.put(self.texts.withColumn("th", F.xxhash64("text")).mapInArrow(scan_sets(size), "id long, th long, n long, s1 long, s2 long, chunk int, counts binary"), "scan")
+        documents = scanned.where("n is not null").select("id", "th", "n", "s1", "s2")
         nodes = stash.put(documents.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node")), "nodes")
         self.counts = scanned.where("chunk is not null").select("chunk", "counts")
         links = self.links(nodes)
@@ -467,3 +467,25 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     join = Join(texts_of(docs, id_col, text_col), size, percent)
     found = join.stash.put(join.blocks(join.classes()[1]).mapInArrow(link_blocks(size, percent, True), "a long, b long"), "pairs")
     return found.select(as_id(docs, id_col, "a").alias("a"), as_id(docs, id_col, "b").alias("b"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one of each group of similar documents, all columns kept: that with the least id.
+
+    Of rows with that id, one text stays; of rows that repeat both id and text, one row. Wordless texts are similar to
+    nothing, so all stay, but for such repeats. A null id stands after all others. An empty table gives no rows.
+    """
+    join = Join(texts_of(docs, id_col, text_col), size, percent)
+    documents, classes = join.classes()
+    text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    found = documents.where("n > 0").join(classes.select("n", "s1", "s2", "component"), ["n", "s1", "s2"])
+    first = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("m"), F.count("*").alias("rows"))
+    kept = first.select("m.id", "m.th").unionByName(documents.where("n = 0").select("id", "th").distinct())
+    kept = join.stash.put(kept, "kept")
+    repeated = documents.groupBy("id", "th").agg(F.count("*").alias("rows")).where("rows > 1")
+    kept = join.stash.put(kept.join(bounded(join.stash.put(repeated, "repeated")), ["id", "th"], "left").select("id", "th", F.col("rows").isNotNull().alias("many")), "keys")
+    same_id, same_text, many = spare(docs, "same_id", "same_text", "many")
+    keys = bounded(kept.withColumnsRenamed({"id": same_id, "th": same_text, "many": many}))
+    held = docs.join(keys, (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == keys[same_id]) & (text == keys[same_text]))
+    once = held.where(~F.col(many)).select(docs.columns)
+    return once.unionByName(held.where(F.col(many)).dropDuplicates([id_col, same_text]).select(docs.columns))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.columns import hash_long
 from webloom.plans.prefix import running_total
+from webloom.plans.tables import spare
 
 #: Pieces of each shard in which slots are counted; a shard of any size is so many windows.
 SLOT_PIECES = 256
@@ -92,10 +93,9 @@ def assign_shards(df: DataFrame, weights: list[float], id_col: str = "doc_id", o
 def number_slots(df: DataFrame, id_col: str = "doc_id", shard: str = "shard", out: str = "slot") -> DataFrame:
     """Adds gapless places from 0 within each shard, in a hashed order that part-sums make scalable."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    hashed = df.withColumn("__h", hash_long(F.concat(F.lit("slot:"), key))).withColumn(
-        "__piece", F.shiftright("__h", 52 - int(math.log2(SLOT_PIECES)))
-    )
-    return running_total(hashed, [shard], "__piece", ["__h", id_col], F.lit(1).cast("long"), out).drop("__h", "__piece")
+    h, piece = spare(df, "h", "piece")
+    hashed = df.withColumn(h, hash_long(F.concat(F.lit("slot:"), key))).withColumn(piece, F.shiftright(h, 52 - int(math.log2(SLOT_PIECES))))
+    return running_total(hashed, [shard], piece, [h, id_col], F.lit(1).cast("long"), out).drop(h, piece)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
