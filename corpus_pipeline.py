@@ -12,9 +12,9 @@ from webloom.llm import language
 from webloom.llm.columns import remainder
 from webloom.llm.decontaminate import find_contamination
 from webloom.llm.mixing import mix_sources
-from webloom.llm.ngram_join import join_similar
+from webloom.llm.ngram_join import drop_similar
 from webloom.llm.sharding import shard_documents
-from webloom.plans.tables import Stash, table
+from webloom.plans.tables import Stash, bounded, spare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,43 +23,53 @@ def columns_of(docs: DataFrame) -> list[str]:
     return [c for c in COLUMNS if c in docs.columns]
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (a null id matches null)."""
-    wanted = ids.select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__keep"]), "left_semi").select(columns_of(docs))
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model rejects: no letter, or too far from every centroid."""
+    """Drops documents that the language model rejects (no letter, or too far from every centroid for their
+    length); the others carry the language that the model gives them.
+
+    Null and empty texts have no letter. Every row is judged by its own text, repeats too; an empty table stays so.
+    """
     model = language.fit(docs, remainder(F.col("doc_id"), 4) != 2)
-    return language.predict(docs.withColumn("__text", F.col("text")), model).where("not rejected").withColumnRenamed("__text", "text").select(columns_of(docs))
+    (text,) = spare(docs, "whole_text")
+    found = language.predict(docs.withColumn(text, F.col("text")).select("text", text, *(c for c in columns_of(docs) if c != "text")), model).where("not rejected")
+    return found.withColumn("lang", F.col("lang_pred")).withColumnRenamed(text, "text").select(columns_of(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of similar documents (five words, 0.8)."""
-    joined = join_similar(docs)
-    return keep(docs, joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps one document of each group of similar ones (five words, 0.8): that with the smallest id.
+
+    A null id stands after all others; of rows that share an id one text stays, of repeated rows one; wordless
+    texts are similar to nothing.
+    """
+    return drop_similar(docs).select(columns_of(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark windows hit at least one word in twenty."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return keep(docs, found.where("not contaminated"))
+    """Drops documents of which benchmark windows hit at least one word in twenty.
+
+    Each row is judged by its own text: of rows that share an id, the clean ones stay. Null text has no words and stays.
+    """
+    stash = Stash(spark, "contaminated")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    gone = bounded(stash.put(found.select("doc_id", "text_hash").distinct(), "rows"))
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti").select(columns_of(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents as the mix takes them: whole copies, as many as the words taken make up.
 
-    A document taken once and a half is there twice; one not taken, or without words, is gone.
+    A document taken once and a half is there twice; one not taken, or without words, is gone. Rows that share an id
+    are copied alike, as often as the most taken of them; a null source is a source of its own.
     """
-    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    taken = taken.groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(columns_of(docs))
+    same_id, copies = spare(docs, "same_id", "copies")
+    taken = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias(same_id)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(copies))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken[same_id]))
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(columns_of(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every row in a shard and a slot."""
+    """Places every row in a shard and a slot; null ids share a shard, repeated rows have a slot each."""
     return shard_documents(docs)
 
 
