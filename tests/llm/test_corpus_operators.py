@@ -14,7 +14,7 @@ from webloom.llm.exact_dedup import exact_duplicates, rice_decode, rice_encode
 from webloom.llm.main_text import extract_main_text, main_text
 from webloom.llm.mixing import mix_sources
 from webloom.llm.ngram_join import join_similar
-from webloom.llm.private_data import base_spans, find_private_data, sanitise, spans_text
+from webloom.llm.private_data import base_spans, find_private_data, spans_text
 from webloom.llm.sharding import assign_shards, shard_documents
 from webloom.llm.substring_dedup import remove_repeats
 
@@ -211,16 +211,6 @@ def test_private(docs, none):
     assert find_private_data(none).count() == 0
 
 
-def test_disclosing_terms(spark):
-    rows = [(k, f"the plain word stands here number {k}") for k in range(60)] + [(100 + k, f"the word zanzibar by +49 1234 56789 here {k}") for k in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = find_private_data(docs)
-    terms = {rows[60][1][s["start"] : s["end"]] for r in found.where("doc_id >= 100").collect() for s in r["spans"] if s["kind"] == 4}
-    assert terms == {"zanzibar"}
-    assert found.where("doc_id < 100 and size(spans) > 0").count() == 0
-    assert sanitise(docs, found).where("doc_id = 101").first()["text"] == "the word  by [PHONE] here 1"
-
-
 def test_main_text(spark):
     html = (
         "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Home</a></nav><div class='ad-box'>Buy, buy</div>"

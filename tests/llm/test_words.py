@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.ngram_join import count_links, join_similar
 from webloom.llm.substring_dedup import FingerprintIndex, remove_repeats
-from webloom.llm.wordhash import BLOCK_BYTES, Digests, Runs, pieces, word_blocks
+from webloom.llm.wordhash import BLOCK_BYTES, Runs, pieces, word_blocks
 
 
 def thue_morse(n, a="a", b="b"):
@@ -28,7 +28,8 @@ def twins():
 def test_lanes_tell_words_apart():
     texts = twins()
     found = {}
-    for at, rows, lanes, begins in word_blocks(pa.array(texts), Digests()):
+    for block in word_blocks(pa.array(texts)):
+        at, lanes, begins = block.at, block.lanes, block.begins
         for k in range(len(begins) - 1):
             assert begins[k + 1] - begins[k] == len(texts[at + k].split())
             for lane in (0, 1):
@@ -42,8 +43,13 @@ def test_long_texts_are_cut_between_words():
     text = b"ab \n" * (BLOCK_BYTES // 3) + b"y" * (2 * BLOCK_BYTES) + b" " * (BLOCK_BYTES + 7) + b"end"
     assert [w for p in pieces(text) for w in p.split()] == text.split()
     assert [w for p in pieces(b"y" * (3 * BLOCK_BYTES)) for w in p.split()] == [b"y" * (3 * BLOCK_BYTES)]
-    blocks = list(word_blocks(pa.array([b"one two", text, None, b"three"], pa.binary()), Digests()))
-    assert [(at, begins.tolist()) for at, _, _, begins in blocks] == [(0, [0, 2]), (1, [0, len(text.split())]), (2, [0, 0, 1])]
+    blocks = list(word_blocks(pa.array([b"one two", text, None, b"three"], pa.binary())))
+    assert [(b.at, b.begins.tolist()) for b in blocks] == [(0, [0, 2]), (1, [0, len(text.split())]), (2, [0, 0, 1])]
+    assert blocks[1].words.bytes(0, len(text.split())) == b" ".join(text.split())
+    same = list(word_blocks(pa.array([text.decode()[:BLOCK_BYTES], "x " + text.decode()[:3000]])))
+    assert (same[0].lanes[:, :500] == blocks[1].lanes[:, :500]).all() and (same[1].lanes[:, 1:501] == blocks[1].lanes[:, :500]).all()
+    runs = next(iter(word_blocks(pa.array([" ".join("z" * k for k in range(1, 200))])))).lanes
+    assert all(len(set(lane)) == 199 for lane in runs.tolist())
 
 
 def test_similar_tells_words_apart(spark):

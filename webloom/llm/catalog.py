@@ -52,8 +52,10 @@ def op7_find_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private_data(table(spark, sf_dir, "documents"))
     names = F.array(*(F.lit(k) for k in (*KINDS, "term")))
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, "base_sha256", joined.alias("spans"))
+    # a filter's second argument would be the place in the array, so the kind is bound by a function of its own
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate((*KINDS, "terms"))]
+    return found.select("doc_id", *counts[:-1], "base_sha256", joined.alias("spans"), counts[-1], "sanitised_sha256")
 
 
 def op8_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

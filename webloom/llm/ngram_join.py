@@ -9,7 +9,7 @@ the tokens their prefixes share a token. Three orders are used:
 3. by a third hash alone.
 
 A pair goes to verification only if it passes all three; in orders 2 and 3 the prefixes' common tokens and
-what can still follow bound the overlap. Tokens start from one digest lane of the words, verification intersects
+what can still follow bound the overlap. Tokens start from one hash lane of the words, verification intersects
 the whole sets of the other lane's, and sets count as equal only if they are so in both lanes.
 
 Groups of near copies are not expanded. First each document meets only the member of its buckets that
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.wordhash import GOLDEN, U, Digests, mix, word_blocks
+from webloom.llm.wordhash import GOLDEN, U, mix, word_blocks
 from webloom.plans.components import connected_components
 from webloom.plans.tables import Stash, bounded, spare
 
@@ -56,8 +56,8 @@ LAST_ID = (1 << 63) - 1
 
 def shingle_sets(column: pa.Array, size: int, lanes: tuple[int, ...]) -> Iterator[list[np.ndarray]]:
     """The sorted distinct shingle hashes of each text in each of the lanes, words lower-cased in A-Z."""
-    digests = Digests()
-    for _, _, words, begins in word_blocks(column, digests, lower=True):
+    for block in word_blocks(column, lower=True):
+        words, begins = block.lanes, block.begins
         n = max(0, words.shape[1] - size + 1)
         grams = []
         for lane in lanes:
@@ -67,7 +67,7 @@ def shingle_sets(column: pa.Array, size: int, lanes: tuple[int, ...]) -> Iterato
             grams.append(of)
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             if b - a >= size:
-                yield [np.unique(of[a : b - size + 1]) for of in grams]
+                yield [sorted_distinct(of[a : b - size + 1]) for of in grams]
             elif b > a:  # fewer words than a shingle: the whole sequence is one
                 found = []
                 for lane in lanes:
@@ -80,6 +80,13 @@ def shingle_sets(column: pa.Array, size: int, lanes: tuple[int, ...]) -> Iterato
                 yield [of[:0] for of in grams]
 
 
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def set_digest(tokens: np.ndarray) -> int:
     """A signed 64-bit digest of a sorted set."""
     return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -296,15 +303,17 @@ class Join:
 
     def with_links(self, classes: DataFrame) -> DataFrame:
         """Adds how many other sets each set is linked with, and how many links its component has."""
-        kinds = classes.groupBy("component").agg(F.count("*").alias("m"), (F.min("node") != F.max("node")).alias("apart"))
-        kinds = classes.join(bounded(self.stash.put(kinds, "sizes")), "component").withColumn("alone", (F.col("m") == 2) & F.col("apart"))  # two sets are there by their one link
+        several = classes.groupBy("component").agg(F.count("*").alias("m"), (F.min("node") != F.max("node")).alias("apart")).where("m > 1")
+        kinds = classes.join(bounded(self.stash.put(several, "sizes")), "component").withColumn("alone", (F.col("m") == 2) & F.col("apart"))  # two sets are there by their one link
         kinds = self.stash.put(kinds, "kinds")
-        found = self.blocks(kinds.where("m > 1 and not alone")).mapInArrow(link_blocks(self.size, self.percent, False), "id long, s2 long, links long")
+        found = self.blocks(kinds.where("not alone")).mapInArrow(link_blocks(self.size, self.percent, False), "id long, s2 long, links long")
         found = self.stash.put(found.groupBy(F.col("id").alias("node"), "s2").agg(F.sum("links").alias("links")), "degrees")
         counted = kinds.join(found, ["node", "s2"], "left").withColumn("links", F.when(F.col("alone"), 1).otherwise(F.coalesce("links", F.lit(0))).cast("long"))
         counted = self.stash.put(counted.select("n", "s1", "s2", "component", "links"), "counted")
-        totals = counted.groupBy("component").agg((F.sum("links") / 2).cast("long").alias("component_links"))
-        return counted.join(bounded(self.stash.put(totals, "totals")), "component")
+        totals = self.stash.put(counted.groupBy("component").agg((F.sum("links") / 2).cast("long").alias("component_links")), "totals")
+        counted = counted.join(bounded(totals), "component").drop("component")
+        linked = classes.select("n", "s1", "s2", "component").join(counted, ["n", "s1", "s2"], "left")
+        return linked.fillna(0, ["links", "component_links"])
 
     def links(self, nodes: DataFrame) -> DataFrame | None:
         """Verified links (a, b) that connect every component."""

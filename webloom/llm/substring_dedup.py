@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.wordhash import U, Digests, Runs, sliding_min, word_blocks
+from webloom.llm.wordhash import U, Runs, sliding_min, word_blocks
 from webloom.plans.tables import Stash, bucketed, children, put_sorted
 
 WINDOW = 50
@@ -50,25 +50,6 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-class Words:
-    """The words of a block of texts, one space between them, and digests of runs of them."""
-
-    def __init__(self, rows: list[list[bytes]]) -> None:
-        self.joined = b" ".join([b" ".join(words) for words in rows if words])
-        sizes = np.fromiter((len(w) for words in rows for w in words), np.int64)
-        self.starts = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(sizes + 1, out=self.starts[1:])
-
-    def bytes(self, first: int, stop: int) -> bytes:
-        return self.joined[self.starts[first] : max(self.starts[first], self.starts[stop] - 1)]
-
-    def digests(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """BLAKE2b of the words first..stop-1 themselves, for arrays of places."""
-        joined, digest = self.joined, hashlib.blake2b
-        spans = zip(self.starts[first].tolist(), (self.starts[stop] - 1).tolist(), strict=True)
-        return np.frombuffer(b"".join([digest(joined[a:b], digest_size=8).digest() for a, b in spans]), U)
-
-
 def cut_segments(lane: np.ndarray, begins: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, first window, windows, anchor, span hash) of all segments of a block; places count from the block's start."""
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
@@ -90,19 +71,18 @@ def cut_segments(lane: np.ndarray, begins: np.ndarray, window: int, gram: int) -
 
 def scan_segments(window: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Digests()
         none = lambda kind, size: pa.nulls(size, kind)
         for batch in batches:
             ids, hashes = batch["id"].to_numpy(zero_copy_only=False), batch["th"].to_numpy(zero_copy_only=False)
-            for at, rows, lanes, begins in word_blocks(batch["text"], seen):
-                words = Words(rows)
+            for block in word_blocks(batch["text"]):
+                at, words, begins = block.at, block.words, block.begins
                 n = len(begins) - 1
                 shas = [hashlib.sha256(words.bytes(a, b)).hexdigest() for a, b in zip(begins[:-1], begins[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at : at + n]), pa.array(hashes[at : at + n]), pa.array(np.diff(begins)), pa.array(shas), none(pa.int32(), n), none(pa.int32(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.int64(), n)],
                     schema=SEGMENTS,
                 )
-                for own, first, count, anchor, fp in cut_segments(lanes[0], begins, window, gram):
+                for own, first, count, anchor, fp in cut_segments(block.lanes[0], begins, window, gram):
                     m = len(own)
                     proof = words.digests(first, first + count + window - 1)
                     yield pa.RecordBatch.from_arrays(
@@ -118,11 +98,10 @@ def window_rows(window: int):
     schema = pa.schema([("h", pa.int64()), ("proof", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("fresh", pa.bool_()), ("place", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Digests()
         for batch in batches:
             listed = batch["segments"].to_pylist()
-            for at, rows, lanes, begins in word_blocks(batch["text"], seen):
-                words, runs = Words(rows), Runs(lanes[0])
+            for block in word_blocks(batch["text"]):
+                at, words, begins, runs = block.at, block.words, block.begins, Runs(block.lanes[0])
                 places = [np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in listed[at + k] or []] or [np.zeros(0, np.int64)]) for k in range(len(begins) - 1)]
                 own = np.repeat(np.arange(len(places)), [len(p) for p in places])
                 place = np.concatenate(places)

@@ -1,25 +1,32 @@
-"""Words as digests of their own bytes, and hashes of runs of words.
+"""Words as hashes of their own bytes, and hashes of runs of words, vectorised.
 
-Every distinct word is hashed once, by BLAKE2b, to two 64-bit lanes. Hashes of runs build on one lane each and
-double their length step by step with a non-linear finaliser, so no run of words cancels another, and a match
-in both lanes is a match of 128 independent bits that start from the bytes.
+A word's two 64-bit lanes take its bytes eight at a time through a non-linear finaliser, each lane by a function of
+its own; words of more than ``LONG_WORD`` bytes are hashed by BLAKE2b. Hashes of runs build on one lane and double
+their length step by step with the same finaliser, so no run of words cancels another, and a match in both lanes is
+a match of 128 bits that start from the bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of texts that are handled at a time; a longer text is a block of its own, split in such pieces.
+#: Bytes of texts that are handled at a time; a longer text is a block of its own, in such pieces.
 BLOCK_BYTES = 1 << 20
-#: Distinct words whose digests a task remembers.
-HELD_WORDS = 1 << 17
+LONG_WORD = 64
 SPACE = b" \t\n\r\v\f"
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(SPACE)] = True
 GOLDEN = U(0x9E3779B97F4A7C15)
+#: Odd multipliers of the lanes, from the binary digits of pi.
+ONE, TWO = U(0x243F6A8885A308D3), U(0x13198A2E03707345)
+#: The low n bytes of eight.
+LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,18 +36,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Digests(dict):
-    """Word to 16-byte digest, filled as words come."""
+class Piece:
+    """Texts or part of one, as bytes with white space after each."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = blake2b(word, digest_size=16).digest()
-        return found
+    def __init__(self, texts: list[bytes]) -> None:
+        self.data = b"\n".join([*texts, bytes(8)])  # and eight bytes so that the last word can be read by eights
+        self.size = len(self.data) - 8
+        self.array = np.frombuffer(self.data, np.uint8, self.size)
+        self.inside = ~IS_SPACE[self.array]
+        edges = np.flatnonzero(np.diff(self.inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        self.starts, self.ends = edges[::2], edges[1::2]
 
-    def lanes(self, words: list[bytes]) -> np.ndarray:
+    def lanes(self) -> np.ndarray:
         """(2, words): both lanes of each word."""
-        if len(self) > HELD_WORDS:
-            self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), U).reshape(-1, 2).T
+        eights = np.ndarray((self.size + 1,), "<u8", self.data, strides=(1,))
+        starts, sizes = self.starts, self.ends - self.starts
+        out = np.empty((2, len(starts)), U)
+        read = eights[starts] & LOW[np.minimum(sizes, 8)]
+        out[0] = mix(read * ONE + sizes.astype(U))
+        out[1] = mix((read ^ GOLDEN) * TWO + sizes.astype(U))
+        for k in range(8, LONG_WORD, 8):
+            at = np.flatnonzero(sizes > k)
+            if not len(at):
+                break
+            read = eights[starts[at] + k] & LOW[np.minimum(sizes[at] - k, 8)]
+            out[0, at] = mix(out[0, at] * ONE + read)
+            out[1, at] = mix((out[1, at] ^ GOLDEN) * TWO + read)
+        for k in np.flatnonzero(sizes > LONG_WORD):
+            out[:, k] = np.frombuffer(blake2b(self.data[starts[k] : self.ends[k]], digest_size=16).digest(), U)
+        return out
+
+    def spaced(self) -> bytes:
+        """All words, one space after each."""
+        keep = self.inside.copy()
+        keep[self.ends] = True
+        return np.where(self.inside, self.array, np.uint8(32))[keep].tobytes()
+
+
+class Block:
+    """The words of some whole texts: their lanes, and the place at which each text's words begin, and the end."""
+
+    def __init__(self, at: int, pieces: list[Piece], sizes: list[int]) -> None:
+        self.at, self.pieces = at, pieces
+        self.lanes = np.concatenate([p.lanes() for p in pieces], axis=1)
+        if len(pieces) > 1:
+            self.begins = np.array([0, self.lanes.shape[1]])
+        else:
+            self.begins = np.searchsorted(pieces[0].starts, np.cumsum([0, *(n + 1 for n in sizes)]))
+
+    @cached_property
+    def words(self) -> Words:
+        return Words(self.pieces)
+
+
+class Words:
+    """Words themselves, one space between them, and digests of runs of them."""
+
+    def __init__(self, pieces: list[Piece]) -> None:
+        self.joined = b"".join([p.spaced() for p in pieces])
+        self.starts = np.cumsum(np.concatenate([[0], *(p.ends - p.starts + 1 for p in pieces)]))
+
+    def bytes(self, first: int, stop: int) -> bytes:
+        return self.joined[self.starts[first] : max(self.starts[first], self.starts[stop] - 1)]
+
+    def digests(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """BLAKE2b of the words first..stop-1 themselves, for arrays of places."""
+        joined, digest = self.joined, blake2b
+        spans = zip(self.starts[first].tolist(), (self.starts[stop] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([digest(joined[a:b], digest_size=8).digest() for a, b in spans]), U)
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -60,36 +123,25 @@ def pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def split_texts(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, list[list[bytes]], int]]:
-    """(first row, pieces of words, texts) of blocks of texts: short texts together, one piece each; a long text alone."""
-    rows: list[list[bytes]] = []
+def word_blocks(column: pa.Array, lower: bool = False) -> Iterator[Block]:
+    """Blocks of whole texts in order, null as empty: short texts together, a long one alone and in pieces."""
+    held: list[bytes] = []
     at = size = 0
     for k, cell in enumerate(column.cast(pa.large_binary())):
         text = cell.as_py() or b""
         if lower:
             text = text.lower()  # of bytes: A-Z only
+        if held and size + len(text) > BLOCK_BYTES:
+            yield Block(at, [Piece(held)], [len(t) for t in held])
+            at, held, size = k, [], 0
         if len(text) > BLOCK_BYTES:
-            if rows:
-                yield at, rows, len(rows)
-            yield k, [p.split() for p in pieces(text)], 1
-            at, rows, size = k + 1, [], 0
-            continue
-        rows.append(text.split())
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            yield at, rows, len(rows)
-            at, rows, size = k + 1, [], 0
-    if rows:
-        yield at, rows, len(rows)
-
-
-def word_blocks(column: pa.Array, digests: Digests, lower: bool = False) -> Iterator[tuple[int, list[list[bytes]], np.ndarray, np.ndarray]]:
-    """(first row, pieces of words, lanes of all words, the place at which each text's words begin, and the end)."""
-    for at, rows, texts in split_texts(column, lower):
-        lanes = np.concatenate([digests.lanes(words) for words in rows], axis=1)
-        begins = np.zeros(texts + 1, np.int64)
-        np.cumsum([len(w) for w in rows] if texts == len(rows) else [lanes.shape[1]], out=begins[1:])
-        yield at, rows, lanes, begins
+            yield Block(k, [Piece([p]) for p in pieces(text)], [len(text)])
+            at = k + 1
+        else:
+            held.append(text)
+            size += len(text)
+    if held:
+        yield Block(at, [Piece(held)], [len(t) for t in held])
 
 
 class Runs:
