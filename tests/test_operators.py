@@ -1,13 +1,15 @@
+import ipaddress
 import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from webloom import model
+from webloom import model, tools
 from webloom.functions import columns as C
+from webloom.functions import hints
 from webloom.operators import audits, comparison, extraction, link_graph, search, summaries
-from webloom.operators.crawl import CrawlConfig, crawl, duplicate_bodies, stop_reason
+from webloom.operators.walk import WalkConfig, duplicate_bodies, stop_reason, walk
 from webloom.sources import api_pages, fetches, manifests, sitemaps
 from webloom.streaming import ingest
 
@@ -110,7 +112,7 @@ def test_comparison(spark):
     missing, extra = comparison.sitemap_gaps(snap, listed)
     assert sorted(r["url"] for r in missing.collect()) == [e + "/k/", e + "/s"]
     assert {(r["url"], r["gap"], r["note"]) for r in extra.collect()} == {(e + "/n", "noindex", "noindex, rightly not listed"), (e + "/e", "error", "HTTP 404"), (e + "/g", "genuine", None)}
-    assert comparison.gap_counts(missing, extra).first().asDict() == {"crawled_not_in_sitemap": 3, "noindex": 1, "error": 1, "genuine": 1, "in_sitemap_not_crawled": 2}
+    assert comparison.gap_counts(missing, extra).first().asDict() == {"captured_not_in_sitemap": 3, "noindex": 1, "error": 1, "genuine": 1, "in_sitemap_not_captured": 2}
     found = comparison.undiscovered(snap, spark.createDataFrame([(e + "/k",), (e + "/z",), (e + "/z",)], "url string"))
     assert [r["url"] for r in found.collect()] == [e + "/z", e + "/z"]
     assert comparison.host_warning("https://a.com", "https://b.com/s.xml") and comparison.host_warning("https://a.com", "https://a.com/s") is None
@@ -195,29 +197,29 @@ def captured(result):
     return {r["url"].removeprefix("https://example.com"): (r["depth"], r["is_duplicate"]) for r in result.pages.where("status = 200").collect()}
 
 
-def test_crawl_levels_and_scope(spark):
+def test_walk_levels_and_scope(spark):
     store = site(spark, [("", "home", ["/a", "/b", "https://other.com/x"]), ("/a", "A", ["/deep"]), ("/b", "A", ["/only-b"]), ("/deep", "D", []), ("https://other.com/x", "O", [])])
-    result = crawl(spark, store, CrawlConfig("https://example.com", max_depth=1))
+    result = walk(spark, store, WalkConfig("https://example.com", max_depth=1))
     assert captured(result) == {"": (0, False), "/a": (1, False), "/b": (1, True)}
     assert [(r["url"], r["depth"]) for r in result.buried.collect()] == [("https://example.com/deep", 2)]
     assert {tuple(r) for r in result.summary().collect()} == {("MAX_DEPTH", 1)}
-    full = crawl(spark, store, CrawlConfig("https://example.com"))
+    full = walk(spark, store, WalkConfig("https://example.com"))
     assert captured(full)["/deep"] == (2, False) and "/only-b" not in captured(full)  # a duplicate's links are not followed
 
 
-def test_crawl_redirects_and_robots(spark):
+def test_walk_redirects_and_robots(spark):
     store = site(spark, [("", "h", ["/step1", "/out", "/secret/p", "/gone"]), ("/final", "F", []), ("/secret/p", "S", [])], [("/step1", "/step2"), ("/step2", "/final"), ("/out", "https://other.com/")])
     robots = spark.createDataFrame([("example.com", 200, "User-agent: *\nDisallow: /secret/")], "host string, status int, text string")
     verdicts = fetches.robots_verdicts(store, robots)
-    result = crawl(spark, store, CrawlConfig("https://example.com"), verdicts)
+    result = walk(spark, store, WalkConfig("https://example.com"), verdicts)
     assert captured(result) == {"": (0, False), "/final": (1, False)}
     assert {tuple(r) for r in result.summary().collect()} == {("REDIRECT", 3), ("ROBOTS", 1)}
     assert [r["status"] for r in result.pages.where("url like '%/gone'").collect()] == [404]
 
 
-def test_crawl_config():
-    assert CrawlConfig("https://www.e.com/x").domain == "e.com" and stop_reason(False, True) == "drained" and stop_reason(True, True) == "time_limit"
-    for bad in (lambda: CrawlConfig("ftp://e.com"), lambda: CrawlConfig("https://e.com", max_depth=-1), lambda: CrawlConfig("https://e.com", include=("a",), exclude=("a",))):
+def test_walk_config():
+    assert WalkConfig("https://www.e.com/x").domain == "e.com" and stop_reason(False, True) == "drained" and stop_reason(True, True) == "time_limit"
+    for bad in (lambda: WalkConfig("ftp://e.com"), lambda: WalkConfig("https://e.com", max_depth=-1), lambda: WalkConfig("https://e.com", include=("a",), exclude=("a",))):
         with pytest.raises(ValueError):
             bad()
 
@@ -235,14 +237,14 @@ def test_fetches(spark):
 
 
 def test_manifests(spark, tmp_path):
-    crawl_file = {"meta": {"source": "crawl"}, "pages": [
+    capture_file = {"meta": {"source": "site"}, "pages": [
         {"url": "https://e.com/", "statusCode": 200, "depth": 0, "isDuplicate": False, "mcp.seo": {"title": "T", "wordCount": 3, "articleWordCount": 2},
          "mcp.schema": {"blocks": [{"types": ["A"], "raw": {"@type": "A", "n": 1}}], "types": ["A"], "hasSchema": True}},
         {"url": "https://e.com/b", "statusCode": 404, "depth": 1, "isDuplicate": True}]}
-    (tmp_path / "c.json").write_text(json.dumps(crawl_file, indent=2))
+    (tmp_path / "c.json").write_text(json.dumps(capture_file, indent=2))
     kind, snap = manifests.load(spark, "c.json", [str(tmp_path)])
     one, two = snap.orderBy("ord").collect()
-    assert kind == "crawl" and (one["seo"]["title"], one["seo"]["word_count"], one["seo"]["h1"]) == ("T", 3, None)
+    assert kind == "capture" and (one["seo"]["title"], one["seo"]["word_count"], one["seo"]["h1"]) == ("T", 3, None)
     assert json.loads(one["schema"]["blocks"][0]["raw"]) == {"@type": "A", "n": 1} and two["seo"] is None and two["is_duplicate"]
     manifests.save_snapshot(snap, str(tmp_path / "snap"))
     assert spark.read.parquet(str(tmp_path / "snap")).count() == 2
@@ -272,3 +274,32 @@ def test_ingest(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["seo"]["title"] for r in got.collect()) == ["A", "B"]
     assert math.isclose(got.count(), 2)
+
+
+def test_private_addresses_as_columns(spark):
+    """The column expression against the plain predicate, on the ends of all networks and their neighbours."""
+    found = {"", "1.2.3", "1.2.3.4.5", "999.1.1.1", "::", "::1", "fc00::1", "fe80::1", "2001:db8::1", "::ffff:1.1.1.1", "::ffff:10.0.0.1", "::ffff:a00:1", "::FFFF:0808:0808", "::ffff:zz", "junk", "2a00::1"}
+    for network in hints.PRIVATE_NETWORKS:
+        net = ipaddress.ip_network(network)
+        found |= {str(ipaddress.ip_address(n % (1 << 32))) for n in (int(net[0]) - 1, int(net[0]), int(net[-1]), int(net[-1]) + 1)}
+    rows = spark.createDataFrame([(x,) for x in [*found, None]], "ip string").select("ip", C.is_private_address("ip").alias("p")).collect()
+    assert {r["ip"]: r["p"] for r in rows} == {x: hints.is_private_address(x) for x in found} | {None: None}
+
+
+def test_duplicates_without_bodies(spark):
+    rows = spark.createDataFrame([(1, "x", "s"), (2, None, "s"), (3, "x", "s"), (4, None, "s"), (5, "", "s"), (6, "", "s"), (7, "y", "s")], "n int, body string, sha string")
+    assert {r["n"]: r["is_duplicate"] for r in duplicate_bodies(rows, "body", ["n"]).collect()} == {k: k == 3 for k in range(1, 8)}
+    assert duplicate_bodies(rows, "body", ["n"]).columns == ["n", "body", "sha", "is_duplicate"]
+
+
+def test_manifest_folders(spark, tmp_path):
+    entries = spark.createDataFrame([(0, "https://e.com/a", "2024-01-01", None, 0.5), (1, "https://e.com/b", None, "daily", None)], "ord long, url string, lastmod string, changefreq string, priority double")
+    manifests.save_entries(entries, f"{tmp_path}/s", "https://e.com/s.xml", "now")
+    kind, read = manifests.read_saved(spark, f"{tmp_path}/s")
+    assert kind == "sitemap" and sorted(map(tuple, read.collect())) == sorted(map(tuple, entries.collect()))
+    pages = spark.createDataFrame([("https://e.com/a", "<title>T</title><article><p>" + "word, " * 20 + "</p></article>")], "url string, html string")
+    manifests.save_articles(extraction.read_articles(pages), f"{tmp_path}/a", "now")
+    kind, read = manifests.read_saved(spark, f"{tmp_path}/a")
+    assert kind == "article" and (read.first()["title"], read.first()["length"]) == ("T", 119)
+    with pytest.raises(ValueError, match="no meta data"):
+        tools.analyse_meta(extraction.extract_records(pages.withColumn("is_duplicate", F.lit(False)), ("seo",)))

@@ -4,7 +4,7 @@ from webloom import tools
 from webloom.sources import cookies
 
 
-def test_crawl_then_audit(spark):
+def test_walk_then_audit(spark):
     e = "https://example.com"
     rows = [
         (e + "/", 200, "text/html", '<title>Home</title><h1>H</h1><a href="/a">a</a><a href="/old">o</a><a href="/secret">s</a><img src="/i.png">', None),
@@ -13,7 +13,7 @@ def test_crawl_then_audit(spark):
     ]
     store = spark.createDataFrame(rows, "url string, status int, content_type string, html string, location string")
     robots = spark.createDataFrame([("example.com", 200, "User-agent: *\nDisallow: /secret")], "host string, status int, text string")
-    got = tools.crawl(spark, store, e + "/", robots=robots)
+    got = tools.capture(spark, store, e + "/", robots=robots)
     assert (got["pages_captured"], got["pages_ignored"], got["stopped_reason"]) == (4, 2, "drained")
     assert {tuple(r) for r in got["ignored_breakdown"].collect()} == {("ROBOTS", 1), ("REDIRECT", 1)}
     snap = got["snapshot"].cache()
@@ -22,13 +22,13 @@ def test_crawl_then_audit(spark):
     assert [r["url"] for r in links["orphans"].collect()] == [e + "/new"] and links["sink_count"] == 2
     assert sorted(r["href"] for r in links["broken"].collect()) == [e + "/old", e + "/secret"]
     assert tools.search_manifest(snap, keyword="home", fields=("url", "title"), table=True)["results"] == f"url | title\n{e}/ | Home"
-    assert tools.summarise_crawl(snap)["total_pages"] == 4
+    assert tools.summarise_capture(snap)["total_pages"] == 4
     assert tools.analyse_images(snap)["summary"].first()["total"] == 1
     assert tools.analyse_meta(snap)["summary"].first()["missing_canonical"] == 4
     assert tools.analyse_headings(snap)["missing_h1"].count() == 3 and tools.analyse_schema(snap)["no_schema"].count() == 4
     listed = spark.createDataFrame([(0, e + "/"), (1, e + "/gone")], "ord long, url string")
     gaps = tools.compare_manifests(snap, listed, e, "https://other.com/s.xml")
-    assert gaps["warning"] and [r["url"] for r in gaps["in_sitemap_not_crawled"].collect()] == [e + "/gone"] and gaps["error"].count() == 1
+    assert gaps["warning"] and [r["url"] for r in gaps["in_sitemap_not_captured"].collect()] == [e + "/gone"] and gaps["error"].count() == 1
     assert tools.find_orphans(snap, listed)["orphans_found"] == 1
     seen, counts = tools.observed(snap)
     seen.write.format("noop").mode("overwrite").save()

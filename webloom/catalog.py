@@ -1,7 +1,8 @@
 """Named queries over the site-audit operators, and SQL that checks them.
 
 The page table has no status, depth or duplicate mark; snapshots here derive them from ``page_id``. Graph
-operators also run on the parts of orders: a link leads from each order line's part to the next line's.
+operators also run on the parts of orders: a link leads from each order line's part to the next line's. Audits
+of what the page table does not hold run on the made site of :mod:`webloom.site`.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom import oracles
+from webloom import model, oracles
 from webloom.functions import columns as C
 from webloom.operators import audits, comparison, extraction, link_graph, search, summaries
-from webloom.operators.crawl import breadth_first, duplicate_bodies, resolve_redirects
+from webloom.operators.walk import breadth_first, duplicate_bodies, resolve_redirects
 from webloom.plans.tables import Stash, table
-from webloom.sources import api_pages, fetches, sitemaps
+from webloom.site import HOME, site_pages
+from webloom.sources import api_pages, fetches, manifests, sitemaps
 from webloom.streaming.ingest import capture_counts
 
 
@@ -29,6 +31,19 @@ def snapshot(spark: SparkSession, sf_dir: str, *records: str) -> DataFrame:
     return extraction.extract_records(derived(table(spark, sf_dir, "pages")), records)
 
 
+def site(spark: SparkSession, sf_dir: str, *records: str) -> DataFrame:
+    return extraction.extract_records(site_pages(spark, sf_dir), records)
+
+
+def union_of(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    """The frames, one above the other, each with its key in a column."""
+    out = None
+    for key, rows in frames.items():
+        rows = rows.withColumn(name, F.lit(key))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def part_graph(spark: SparkSession, sf_dir: str) -> link_graph.LinkGraph:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("source"))
     following = F.lead("source").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "source", "l_suppkey"))
@@ -47,12 +62,12 @@ def page_flags(spark, sf_dir):
 
 
 def search_pages(spark, sf_dir):
-    found, _ = search.search_pages(snapshot(spark, sf_dir, "seo"), keyword="AN", words=(40, None), status_code=200, url_pattern="example", limit=50, offset=5)
+    found, _ = search.search_captures(derived(table(spark, sf_dir, "pages")), keyword="AN", words=(40, None), status_code=200, url_pattern="example", limit=50, offset=5)
     return found.withColumn("flags", F.concat_ws(",", "flags"))
 
 
 def search_matches(spark, sf_dir):
-    return search.search_pages(snapshot(spark, sf_dir, "seo"), has_flag="WARN_THIN_CONTENT")[1]
+    return search.search_captures(derived(table(spark, sf_dir, "pages")), has_flag="WARN_THIN_CONTENT")[1]
 
 
 def status_distribution(spark, sf_dir):
@@ -80,7 +95,7 @@ def top_linked(spark, sf_dir):
 
 
 def external_hosts(spark, sf_dir):
-    return summaries.top_external_hosts(snapshot(spark, sf_dir, "links"))
+    return summaries.top_external_hosts(site(spark, sf_dir, "links"))
 
 
 def page_links(spark, sf_dir):
@@ -92,7 +107,7 @@ def url_depths(spark, sf_dir):
 
 
 def url_keys(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", C.graph_key_of("url").alias("graph_key"), C.crawl_normal_of(F.col("url"), F.col("url")).alias("crawl_url"), C.seen_key("url").alias("seen_key"), C.hostname_of("url").alias("host"))
+    return table(spark, sf_dir, "pages").select("page_id", C.graph_key_of("url").alias("graph_key"), C.link_normal_of(F.col("url"), F.col("url")).alias("link_url"), C.seen_key("url").alias("seen_key"), C.hostname_of("url").alias("host"))
 
 
 def vault_paths(spark, sf_dir):
@@ -113,12 +128,8 @@ def part_degrees(spark, sf_dir):
 
 def part_orphans(spark, sf_dir):
     graph = part_graph(spark, sf_dir)
-    kinds = ((link_graph.orphans(graph, 1), "orphan"), (link_graph.sinks(graph), "sink"), (graph.nodes.where("in_links = 1"), "single_path"))
-    out = None
-    for rows, kind in kinds:
-        rows = rows.select("key", F.lit(kind).alias("kind"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    kinds = {"orphan": link_graph.orphans(graph, 1), "sink": link_graph.sinks(graph), "single_path": graph.nodes.where("in_links = 1")}
+    return union_of({kind: rows.select("key") for kind, rows in kinds.items()}, "kind")
 
 
 def part_totals(spark, sf_dir):
@@ -132,12 +143,14 @@ def part_hubs(spark, sf_dir):
 def part_levels(spark, sf_dir):
     graph = part_graph(spark, sf_dir)
     edges = graph.edges.select("source", "target").distinct()
-    return breadth_first(edges, spark.range(1, 2).withColumnRenamed("id", "node"), 3, Stash(spark, "levels"))
+    return breadth_first(edges, spark.range(1, 2).withColumnRenamed("id", "node"), None, Stash(spark, "levels"))
 
 
 def sitemap_of(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("page_id % 3 <> 0")
-    return pages.select(F.col("page_id").alias("ord"), "url").unionByName(pages.where("page_id % 7 = 1").select(F.col("page_id").alias("ord"), F.concat("url", F.lit("-new")).alias("url")))
+    """Every page's url, some of them renamed, and some in both forms."""
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, "-old").otherwise(""))
+    both = F.when(F.col("page_id") % 7 == 1, F.array(url, F.concat(url, F.lit("-new")))).otherwise(F.array(url))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.explode(both).alias("url"))
 
 
 def sitemap_missing(spark, sf_dir):
@@ -154,7 +167,8 @@ def sitemap_gap_counts(spark, sf_dir):
 
 def undiscovered(spark, sf_dir):
     pages = derived(table(spark, sf_dir, "pages"))
-    return comparison.undiscovered(pages.where("ord % 2 = 0"), pages.select("ord", "url")).select("ord", "url")
+    found = pages.select("ord", F.concat("url", F.when(F.col("ord") % 2 == 1, "-found").otherwise("")).alias("url"))
+    return comparison.undiscovered(pages, found).select("ord", "url")
 
 
 def duplicate_documents(spark, sf_dir):
@@ -162,23 +176,133 @@ def duplicate_documents(spark, sf_dir):
 
 
 def heading_summary(spark, sf_dir):
-    return audits.heading_summary(snapshot(spark, sf_dir, "headings"))
+    return audits.heading_summary(site(spark, sf_dir, "headings"))
 
 
 def heading_distribution(spark, sf_dir):
-    return audits.heading_distribution(snapshot(spark, sf_dir, "headings"))
+    return audits.heading_distribution(site(spark, sf_dir, "headings"))
 
 
 def meta_summary(spark, sf_dir):
-    return audits.meta_summary(snapshot(spark, sf_dir, "meta")).withColumn("hreflang_languages", F.concat_ws(",", "hreflang_languages"))
+    return audits.meta_summary(site(spark, sf_dir, "meta")).withColumn("hreflang_languages", F.concat_ws(",", "hreflang_languages"))
 
 
 def image_summary(spark, sf_dir):
-    return audits.image_summary(snapshot(spark, sf_dir, "images", "seo"))
+    return audits.image_summary(site(spark, sf_dir, "images", "seo"))
 
 
 def schema_summary(spark, sf_dir):
-    return audits.schema_summary(snapshot(spark, sf_dir, "schema"))
+    return audits.schema_summary(site(spark, sf_dir, "schema"))
+
+
+def site_flags(spark, sf_dir):
+    return search.project_pages(site(spark, sf_dir, "seo")).select("ord", "title", "description", "h1", "article_word_count", F.concat_ws(",", "flags").alias("flags"))
+
+
+def flagged_descriptions(spark, sf_dir):
+    found, _ = search.search_captures(site_pages(spark, sf_dir), limit=30, fields=("url", "description"), has_flag="WARN_DESC_TOO_LONG", article_words=(20, 250))
+    return found
+
+
+def meta_pages(spark, sf_dir):
+    """Every check's pages."""
+    snap = Stash(spark, "meta").put(site(spark, sf_dir, "meta", "seo"), "site")
+    return union_of({check: audits.meta_pages(snap, check) for check in audits.META_CHECKS}, "check")
+
+
+def heading_pages(spark, sf_dir):
+    snap = Stash(spark, "headings").put(site(spark, sf_dir, "headings", "seo"), "site")
+    found = union_of({check: audits.heading_pages(snap, check) for check in audits.HEADING_CHECKS}, "check")
+    return found.withColumn("h1_texts", F.concat_ws("|", "h1_texts"))
+
+
+def worst_images(spark, sf_dir):
+    snap = Stash(spark, "images").put(site(spark, sf_dir, "images", "seo"), "site")
+    return union_of({by: audits.worst_images(snap, by) for by in ("missing", "missing_dims")}, "by").select("by", "ord", "total", "missing", "decorative", "present", "lazy_loaded", "missing_dims")
+
+
+def schema_types(spark, sf_dir):
+    return audits.schema_types(site(spark, sf_dir, "schema"))
+
+
+def schema_skus(spark, sf_dir):
+    return audits.schema_properties(site(spark, sf_dir, "schema"), "$.sku", "bigint").where("value is not null").select("url", F.concat_ws(",", "types").alias("types"), "value")
+
+
+def single_paths(spark, sf_dir):
+    return link_graph.single_path(link_graph.link_graph(site(spark, sf_dir, "seo", "links")))
+
+
+def loose_pages(spark, sf_dir):
+    graph = link_graph.link_graph(site(spark, sf_dir, "seo", "links"))
+    return union_of({"orphan": link_graph.orphans(graph, HOME + "1").select("url"), "sink": link_graph.sinks(graph).select("url"), "broken": link_graph.broken_links(graph).select(F.col("href").alias("url"))}, "kind")
+
+
+def site_gaps(spark, sf_dir):
+    """The site against a sitemap that has other urls for every third page."""
+    listed = site_pages(spark, sf_dir).select("ord", F.concat("url", F.when(F.col("ord") % 3 == 0, "?v=2").otherwise("")).alias("url"))
+    return comparison.sitemap_gaps(site(spark, sf_dir, "seo", "meta"), listed)[1].select("url", "status_code", "noindex", "gap", "note")
+
+
+def entries_of(spark, sf_dir):
+    """Sitemap entries made of the parts."""
+    k = F.col("p_partkey")
+    day = F.when(k % 5 == 0, "").when(k % 5 == 1, F.lit(None)).when(k % 5 == 2, "soon").otherwise(F.concat(F.lit("2024-0"), (k % 9 + 1).cast("string"), F.lit("-15")))
+    often = F.when(k % 4 == 0, "daily").when(k % 4 == 1, "weekly").when(k % 4 == 2, "")
+    rank = F.when(k % 3 > 0, (k % 31) / 30)
+    return table(spark, sf_dir, "part").select(k.alias("ord"), F.concat(F.lit(HOME), k.cast("string")).alias("url"), day.alias("lastmod"), often.alias("changefreq"), rank.alias("priority"))
+
+
+def sitemap_totals(spark, sf_dir):
+    return summaries.sitemap_totals(entries_of(spark, sf_dir))
+
+
+def sitemap_histograms(spark, sf_dir):
+    entries = entries_of(spark, sf_dir)
+    kinds = {"priority": summaries.priority_histogram(entries), "changefreq": summaries.changefreq_histogram(entries), "url_depth": summaries.url_depth_histogram(entries)}
+    return union_of({kind: rows.select(F.col(rows.columns[0]).cast("string").alias("value"), "urls") for kind, rows in kinds.items()}, "kind")
+
+
+def sitemap_since(spark, sf_dir):
+    return search.filter_sitemap(entries_of(spark, sf_dir), url_pattern="/p/1", modified_after="2024-05-01").select("url", "lastmod")
+
+
+def index_entries(spark, sf_dir):
+    """An index of one child a brand, each child listing its parts; one child was not fetched."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://site.example/s/"), (F.col("p_partkey") % 20).cast("string")).alias("child"))
+    entry = F.concat(F.lit("<url><loc><![CDATA["), F.lit(HOME), F.col("p_partkey").cast("string"), F.lit("]]></loc><changefreq>daily</changefreq></url>"))
+    files = parts.where("p_partkey < 400").groupBy(F.col("child").alias("url")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"])).alias("xml"))
+    child = F.concat(F.lit("<sitemap><loc>https://site.example/s/"), F.col("id").cast("string"), F.lit("</loc></sitemap>"))
+    root = spark.range(20).agg(F.concat(F.lit("<sitemapindex>"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("id", child.alias("e")))), lambda x: x["e"])), F.lit("</sitemapindex>")).alias("xml"))
+    return sitemaps.expand_index(root, files.where("url not like '%/7'"), 300).select("child", "url", "changefreq")
+
+
+def robots_allowed(spark, sf_dir):
+    lines = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /p/1\nAllow: /p/11\nDisallow: /p/*5$\nDisallow: /p/2?v=\n"
+    robots = spark.createDataFrame([("site.example", 200, lines), ("gone.example", 404, "User-agent: *\nDisallow: /")], "host string, status int, text string")
+    k = F.col("p_partkey")
+    urls = table(spark, sf_dir, "part").select(F.concat(F.lit("https://"), F.when(k % 4 == 0, "gone").otherwise("site"), F.lit(".example/p/"), k.cast("string"), F.when(k % 3 == 0, F.concat(F.lit("?v="), k.cast("string"))).otherwise("")).alias("url"))
+    return fetches.robots_verdicts(urls, robots)
+
+
+def saved_pages(spark, sf_dir):
+    """Pages written as a manifest and read again."""
+    path = f"{Stash(spark, 'saved').root}/capture"
+    manifests.save_capture(site(spark, sf_dir, *model.RECORDS), path, HOME + "1", "2024-01-01T00:00:00Z")
+    read = manifests.read_saved(spark, path)[1]
+    return read.select(
+        "ord", "url", "status_code", "depth", "is_duplicate", "seo.title", F.coalesce("meta.robots.noindex", F.lit(False)).alias("noindex"), F.col("meta.open_graph.image").alias("og_image"), F.size("images.images").alias("images"),
+        F.size("links.external").alias("external"), F.concat_ws(",", "schema.types").alias("types"), F.get_json_object(F.get("schema.blocks", F.lit(0))["raw"], "$.sku").alias("sku"),
+    )
+
+
+def saved_results(spark, sf_dir):
+    """Items of responses written as a manifest and read again."""
+    path = f"{Stash(spark, 'saved').root}/api"
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("api"), F.floor(F.col("turn") / 2).alias("page_no")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("results"))).alias("body"))
+    items, summary = api_pages.collect_items(turns.withColumn("status", F.lit(200)), page_size=1, results_path="results", max_pages=1000)
+    manifests.save_results(items, summary, path, "2024-01-01T00:00:00Z")
+    return manifests.read_saved(spark, path)[1].select("api", F.try_variant_get("item", "$.turn", "bigint").alias("turn"), F.try_variant_get("item", "$.role", "string").alias("role"))
 
 
 def articles(spark, sf_dir):
@@ -191,9 +315,9 @@ def client_pages(spark, sf_dir):
 
 
 def sitemap_files(spark, sf_dir):
-    """Sitemap files made of the page table, each read again entry by entry."""
+    """Sitemap files of fifty pages each, read again entry by entry."""
     entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod> 2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod><priority>0."), (F.col("page_id") % 10).cast("string"), F.lit("</priority></url>"))
-    files = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 50).alias("file")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), ""), F.lit("</urlset>")).alias("xml"))
+    files = table(spark, sf_dir, "pages").groupBy(F.expr("page_id div 50").alias("file")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), ""), F.lit("</urlset>")).alias("xml"))
     return sitemaps.parse_urlset(files)
 
 
@@ -239,7 +363,8 @@ QUERIES = (
     page_flags, search_pages, search_matches, status_distribution, depth_distribution, flag_totals, word_statistics, word_buckets, top_linked, external_hosts, page_links,
     url_depths, url_keys, vault_paths, page_graph, broken_links, part_degrees, part_orphans, part_totals, part_hubs, part_levels, sitemap_missing, sitemap_extra,
     sitemap_gap_counts, undiscovered, duplicate_documents, heading_summary, heading_distribution, meta_summary, image_summary, schema_summary, articles, client_pages,
-    sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,
+    site_flags, flagged_descriptions, meta_pages, heading_pages, worst_images, schema_types, schema_skus, single_paths, loose_pages, site_gaps, sitemap_totals,
+    sitemap_histograms, sitemap_since, index_entries, robots_allowed, saved_pages, saved_results, sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,
 )
 
 

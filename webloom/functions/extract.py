@@ -18,10 +18,11 @@ SPACE = re.compile(r"[\s﻿]+")
 #: HTML longer than this, in UTF-16 units, gets no article reading.
 ARTICLE_LIMIT = 3 * 1024 * 1024
 # Elements and roles outside a page's own text; tags of the two card vocabularies.
-CHROME_TAGS = frozenset("script style noscript nav header footer aside".split())
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary".split())
+CHROME_TAGS = frozenset(("script", "style", "noscript", "nav", "header", "footer", "aside"))
+CHROME_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary"))
 OPEN_GRAPH = {"title": "title", "description": "description", "image": "image", "url": "url", "type": "type", "site_name": "siteName"}
 TWITTER = {"card": "card", "title": "title", "description": "description", "image": "image", "site": "site", "creator": "creator"}
+# Card keys that readers of manifest files leave out, as objects of theirs must not have them.
 SKIPPED_KEYS = frozenset(("__proto__", "constructor", "prototype"))
 
 
@@ -343,10 +344,10 @@ def client_snapshot(page: Page) -> dict:
 
 
 def discovered_links(page: Page) -> list[str]:
-    """Crawlable targets of the page's links, in normal form and page order."""
-    from webloom.functions.urls import crawl_normal
+    """Targets of the page's links, in normal form and page order."""
+    from webloom.functions.urls import link_normal
 
-    found = (crawl_normal(page.url, page.tree.attrs[i]["href"]) for i in page.tree.named("a") if "href" in page.tree.attrs[i])
+    found = (link_normal(page.url, page.tree.attrs[i]["href"]) for i in page.tree.named("a") if "href" in page.tree.attrs[i])
     return list(dict.fromkeys(u for u in found if u))
 
 

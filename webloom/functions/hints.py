@@ -114,11 +114,15 @@ def robots_rules(text: str, agent: str = "*") -> list[tuple[bool, str]]:
     return groups.get(product, groups.get("*", []))
 
 
+def robots_pattern(rule: str) -> str:
+    """A rule's path, with its wildcards, as a regular expression from the path's start."""
+    return "^" + "".join(".*" if c == "*" else re.escape(c) for c in rule.removesuffix("$")) + ("$" if rule.endswith("$") else "")
+
+
 def robots_allow(rules: list[tuple[bool, str]], path: str) -> bool:
     """The longest matching pattern decides; of equally long ones an allowing one."""
     best = (-1, True)
     for allowed, pattern in rules:
-        regex = "".join(".*" if c == "*" else re.escape(c) for c in pattern.removesuffix("$")) + ("$" if pattern.endswith("$") else "")
-        if re.match(regex, path):
+        if re.match(robots_pattern(pattern), path):
             best = max(best, (len(pattern), allowed))
     return best[1]

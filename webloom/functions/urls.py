@@ -14,8 +14,8 @@ from urllib.parse import parse_qsl, quote_plus
 
 # Default ports, and names of query parameters that carry sessions or campaigns.
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
-SESSION_NAMES = frozenset("jsessionid phpsessid aspsessionid sessionid sid cfid cftoken".split())
-TRACKING_NAMES = frozenset("utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid mc_eid msclkid dclid yclid".split())
+SESSION_NAMES = frozenset(("jsessionid", "phpsessid", "aspsessionid", "sessionid", "sid", "cfid", "cftoken"))
+TRACKING_NAMES = frozenset(("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "mc_eid", "msclkid", "dclid", "yclid"))
 
 SCHEME = re.compile(r"([a-zA-Z][a-zA-Z0-9+.\-]*):")
 FORBIDDEN_HOST = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
@@ -201,8 +201,8 @@ def form_text(pairs: list[tuple[str, str]]) -> str:
     return "&".join(f"{quote_plus(k, safe='*-._').replace('~', '%7E')}={quote_plus(v, safe='*-._').replace('~', '%7E')}" for k, v in pairs)
 
 
-def crawl_normal(base: str, href: str | None) -> str | None:
-    """The form under which a crawler queues a link, or None if it is not to be followed.
+def link_normal(base: str, href: str | None) -> str | None:
+    """The form under which a link is followed, or None if it is not to be followed.
 
     Resolves, keeps http(s) only, drops fragment, session and campaign parameters, sorts the others by name,
     collapses repeated slashes and drops one trailing slash.

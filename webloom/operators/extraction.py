@@ -65,7 +65,7 @@ def read_articles(pages: DataFrame, max_chars: int = 3000, raw_html: bool = Fals
 
 
 def discover_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Adds ``targets``: crawlable link targets in normal form."""
+    """Adds ``targets``: followable link targets in normal form."""
     return per_page(pages, {"targets": "array<string>"}, lambda u, h: {"targets": extract.discovered_links(extract.Page(u or "", h or ""))}, url, html)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.columns import graph_key_of
-from webloom.operators.extraction import explode_links
+from webloom.plans.tables import Stash
 
 
 @dataclass
@@ -43,19 +43,16 @@ def graph_of(nodes: DataFrame, links: DataFrame) -> LinkGraph:
 def link_graph(snapshot: DataFrame) -> LinkGraph:
     """The graph of a snapshot's pages that are no duplicates.
 
-    Of pages with the same key the last record counts, in the place of the first; all their links attach.
+    Of pages with the same key the last record counts, in the place of the first; all their links attach. Pages and
+    links are read once, with their keys, into a written table of links (a page without links has one empty row).
     """
-    pages = snapshot.where("not is_duplicate").withColumn("key", graph_key_of("url"))
-    last = Window.partitionBy("key").orderBy(F.desc("ord"))
-    nodes = (
-        pages.select("key", "ord", "url", "depth", F.coalesce("seo.title", F.lit("")).alias("title"))
-        .withColumn("first_ord", F.min("ord").over(Window.partitionBy("key")))
-        .withColumn("rank", F.row_number().over(last))
-        .where("rank = 1")
-        .select("key", F.col("first_ord").alias("ord"), "url", "depth", "title")
-    )
-    links = explode_links(pages.select("ord", "url", "links")).withColumn("source", graph_key_of("url")).withColumn("target", graph_key_of("href"))
-    return graph_of(nodes, links.select("source", "target", "ord", "pos", "url", "href", "anchor"))
+    pages = snapshot.where("not is_duplicate").select("ord", "url", "depth", F.coalesce("seo.title", F.lit("")).alias("title"), F.posexplode_outer("links.internal").alias("pos", "link"))
+    keyed = pages.select("ord", "url", "depth", "title", "pos", "link.href", "link.anchor", graph_key_of("url").alias("source"), graph_key_of("link.href").alias("target"))
+    rows = Stash(snapshot.sparkSession, "link-graph").put(keyed, "links")
+    page = F.struct("ord", "url", "depth", "title")
+    nodes = rows.where("coalesce(pos, 0) = 0").groupBy(F.col("source").alias("key")).agg(F.min("ord").alias("first"), F.max(page).alias("last"))
+    nodes = nodes.select("key", F.col("first").alias("ord"), "last.url", "last.depth", "last.title")
+    return graph_of(nodes, rows.where("pos is not null").select("source", "target", "ord", "pos", "url", "href", "anchor"))
 
 
 def orphans(graph: LinkGraph, seed_key: str | int) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.extraction import extract_records
+
 #: Words under which a page counts as thin, and the bounds of good titles and descriptions.
 THIN, TITLE, DESCRIPTION = 150, (30, 60), (50, 160)
+ENTRY_FIELDS = ("url", "lastmod", "changefreq", "priority")
 PAGE_FIELDS = ("url", "status_code", "depth", "title", "h1", "description", "word_count", "article_word_count", "flags")
 
 
@@ -70,6 +73,20 @@ def search_pages(snapshot: DataFrame, limit: int = 20, offset: int = 0, fields:
     return page_of(found, limit, offset).select(*fields), found.agg(F.count("*").alias("total_matched"))
 
 
+def search_captures(pages: DataFrame, limit: int = 20, offset: int = 0, fields: tuple[str, ...] = PAGE_FIELDS, **conditions) -> tuple[DataFrame, DataFrame]:
+    """:func:`search_pages` of captured pages (with html): conditions on plain columns hold before any page is read."""
+    if conditions.get("url_pattern"):
+        pages = pages.where(F.col("url").contains(conditions["url_pattern"]))
+    if conditions.get("status_code") is not None:
+        pages = pages.where(F.col("status_code") == conditions["status_code"])
+    flag = conditions.get("has_flag", "")
+    if flag == "WARN_DUPLICATE":
+        pages = pages.where("is_duplicate")
+    elif flag in ("ERR_4XX", "ERR_5XX"):
+        pages = pages.where(F.col("status_code").between(400, 499) if flag == "ERR_4XX" else F.col("status_code") >= 500)
+    return search_pages(extract_records(pages, ("seo",)), limit, offset, fields, **conditions)
+
+
 def filter_sitemap(entries: DataFrame, url_pattern: str = "", modified_after: str = "") -> DataFrame:
     """An entry without a date passes the date test, one with an unreadable date fails it."""
     if url_pattern:

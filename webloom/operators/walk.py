@@ -1,22 +1,23 @@
-"""Offline breadth-first crawl over a page store, body duplicates, redirect chains."""
+"""Offline breadth-first walk over a page store, body duplicates, redirect chains."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.columns import in_scope_of, seen_key
 from webloom.functions.urls import hostname, parse, without_www
-from webloom.plans.tables import Stash
+from webloom.plans.tables import Stash, bounded, spare
 
 REASONS = ("DUPLICATE_URL", "ERROR", "MAX_DEPTH", "OUT_OF_SCOPE", "REDIRECT", "ROBOTS")
 
 
 @dataclass(frozen=True)
-class CrawlConfig:
-    """What to crawl; checked when made."""
+class WalkConfig:
+    """Where to walk; checked when made."""
 
     seed: str
     max_depth: int | None = None
@@ -40,7 +41,7 @@ class CrawlConfig:
 
 
 @dataclass
-class CrawlResult:
+class WalkResult:
     """pages(url, depth, status, is_duplicate, ...), ignored(url, depth, reason) and buried(url, depth)."""
 
     pages: DataFrame
@@ -55,24 +56,30 @@ class CrawlResult:
 def duplicate_bodies(rows: DataFrame, body: str, order: list[str | Column], out: str = "is_duplicate") -> DataFrame:
     """Marks all but the first row of each body; an empty or null body is never a duplicate.
 
-    Only hashes and order columns are shuffled for the ranking, and the first of each hash comes from a
-    map-side aggregation, so a body that a third of all rows share does not land in one task.
+    The first of each hash comes from a map-side aggregation of hashes and order columns. Only hashes of several
+    rows are joined back: broadcast if they are counted as few, so that rows stay where they are; else rows are
+    shuffled by their hash, those without a body by one of their own.
     """
-    hashed = rows.withColumn("__sha", F.when(F.octet_length(body) > 0, F.sha2(F.col(body), 256)))
+    sha, first, n = spare(rows, "sha", "first", "n")
     place = F.struct(*order)
-    firsts = hashed.where("__sha is not null").groupBy("__sha").agg(F.min(place).alias("__first"))
-    marked = hashed.join(firsts, "__sha", "left")
-    return marked.withColumn(out, F.coalesce(place != F.col("__first"), F.lit(False))).drop("__sha", "__first")
+    text = F.when(F.octet_length(body) > 0, F.sha2(F.col(body), 256))
+    firsts = rows.select(text.alias(sha), place.alias(first)).where(F.col(sha).isNotNull()).groupBy(sha).agg(F.min(first).alias(first), F.count("*").alias(n))
+    firsts = bounded(Stash(rows.sparkSession, "bodies").put(firsts.where(F.col(n) > 1).drop(n), "repeated"))
+    keyed = rows.withColumn(sha, F.coalesce(text, F.concat(F.lit("-"), F.xxhash64(*order).cast("string"))))
+    return keyed.join(firsts, sha, "left").withColumn(out, F.coalesce(place != F.col(first), F.lit(False))).drop(sha, first)
 
 
-def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, stash: Stash) -> DataFrame:
-    """(node, depth): the least number of edges (source, target) from a seed, up to ``max_depth``.
+def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int | None, stash: Stash) -> DataFrame:
+    """(node, depth): the least number of edges (source, target) from a seed, up to ``max_depth`` if one is given.
 
     One join per level; levels are written tables, so lineage does not grow. Ends when a level is empty.
     """
     level = stash.put(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "level")
     seen = level
-    for depth in range(1, max_depth + 1):
+    edges = stash.put(edges, "edges")
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         following = level.join(edges, level["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
         level = stash.put(following.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
@@ -81,31 +88,30 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, stash: Sta
     return seen
 
 
-def crawl(spark: SparkSession, store: DataFrame, config: CrawlConfig, robots: DataFrame | None = None, deepest: int = 100) -> CrawlResult:
-    """Crawls ``store``: (url, status, body, location, targets), targets being normal-form links.
+def walk(spark: SparkSession, store: DataFrame, config: WalkConfig, robots: DataFrame | None = None) -> WalkResult:
+    """Walks ``store``: (url, status, body, location, targets), targets being normal-form links.
 
     A URL that the store lacks answers 404. Redirects cost no depth and are not captured; status 0 is an
     error. ``robots`` has (url, allowed) and is asked by seen key. Depth is the least one; of equal bodies
     the least (depth, url) is the original, and duplicates' links are not followed.
     """
-    stash = Stash(spark, "crawl")
+    stash = Stash(spark, "walk")
     pages = store.withColumn("key", seen_key("url")).dropDuplicates(["key"])
     frontier = spark.createDataFrame([(config.seed,)], "url string").withColumn("key", seen_key("url"))
     seen = captured = ignored = buried = None
     bodies = None
-    limit = config.max_depth if config.max_depth is not None else deepest
     depth = 0
     add = lambda one, two: two if one is None else one.unionByName(two)
     while True:
         frontier = stash.put(frontier.select("url", "key").dropDuplicates(["key"]), "frontier")
         if frontier.isEmpty():
             break
-        if depth > limit:
+        if config.max_depth is not None and depth > config.max_depth:
             buried = frontier.select("url", F.lit(depth).alias("depth"))
             ignored = add(ignored, buried.withColumn("reason", F.lit("MAX_DEPTH")))
             break
         hop, seeking = frontier, []
-        for _ in range(11):  # redirects stay on the level of the URL that led to them
+        while True:  # redirects stay on the level of the URL that led to them
             seen = add(seen, hop.select("key"))
             got = hop.join(pages.drop("url"), "key", "left").withColumn("status", F.coalesce("status", F.lit(404)))
             if robots is not None and config.respect_robots:
@@ -127,11 +133,14 @@ def crawl(spark: SparkSession, store: DataFrame, config: CrawlConfig, robots: Da
         for more in seeking[1:]:
             level = level.unionByName(more)
         level = level.withColumn("depth", F.lit(depth)).withColumn("sha", F.when(F.octet_length("body") > 0, F.sha2(F.col("body"), 256)))
-        first = F.row_number().over(Window.partitionBy("sha").orderBy("url"))
-        level = level.withColumn("again", F.col("sha").isNotNull() & (first > 1))
+        # empty bodies are no duplicates: they get keys of their own, and meet no other row
+        level = stash.put(level.withColumn("body_key", F.coalesce("sha", F.concat(F.lit("-"), F.col("key")))), "level")
+        firsts = level.where("sha is not null").groupBy(F.col("sha").alias("body_key")).agg(F.min("url").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
+        marked = level.join(firsts, "body_key", "left").withColumn("is_duplicate", F.coalesce(F.col("url") != F.col("first_url"), F.lit(False))).drop("first_url")
         if bodies is not None:
-            level = level.join(bodies.withColumn("old", F.lit(True)), "sha", "left").withColumn("again", F.col("again") | F.coalesce("old", F.lit(False))).drop("old")
-        level = stash.put(level.withColumnRenamed("again", "is_duplicate"), "level")
+            marked = marked.join(bodies.select(F.col("sha").alias("body_key"), F.lit(True).alias("old")), "body_key", "left")
+            marked = marked.withColumn("is_duplicate", F.col("is_duplicate") | F.coalesce("old", F.lit(False))).drop("old")
+        level = stash.put(marked.drop("body_key"), "level")
         bodies = add(bodies, level.where("sha is not null and not is_duplicate").select("sha"))
         captured = add(captured, level.select("url", "depth", "status", "is_duplicate", "sha"))
         links = level.where("not is_duplicate").select(F.explode("targets").alias("url")).withColumn("key", seen_key("url")).dropDuplicates(["key"])
@@ -141,7 +150,7 @@ def crawl(spark: SparkSession, store: DataFrame, config: CrawlConfig, robots: Da
     pages_out = captured.drop("sha")
     if config.max_pages is not None:
         pages_out = pages_out.orderBy("depth", "url").limit(config.max_pages)
-    return CrawlResult(pages_out, none if ignored is None else ignored, none.select("url", "depth") if buried is None else buried)
+    return WalkResult(pages_out, none if ignored is None else ignored, none.select("url", "depth") if buried is None else buried)
 
 
 def stop_reason(timed_out: bool, natural: bool) -> str:

@@ -49,19 +49,59 @@ with links as (
   left join (select source, count(*) as n from edges group by source) o on o.source = p_partkey
 )
 """
-_GAPS = _PAGES + rf""", crawled as (
+_GAPS = _PAGES + rf""", captured as (
   select *, row_number() over (partition by key order by ord desc) as r from keyed where not is_duplicate
 ), listed as (
   select *, row_number() over (partition by key order by ord desc) as r from (
-    select page_id as ord, url, {_KEY.format(c="url")} as key from pages where page_id % 3 <> 0
-    union all select page_id, url || '-new', {_KEY.format(c="url || '-new'")} from pages where page_id % 3 <> 0 and page_id % 7 = 1)
+    select page_id as ord, u as url, {_KEY.format(c="u")} as key from (select page_id, unnest(case when page_id % 7 = 1 then [v, v || '-new'] else [v] end) as u
+      from (select page_id, url || case when page_id % 3 = 0 then '-old' else '' end as v from pages)))
 ), missing as (
-  select url from listed where r = 1 and key not in (select key from crawled)
+  select url from listed where r = 1 and key not in (select key from captured)
 ), extra as (
-  select url, status_code, depth, case when status_code >= 400 then 'error' else 'genuine' end as gap from crawled where r = 1 and key not in (select key from listed)
+  select url, status_code, depth, case when status_code >= 400 then 'error' else 'genuine' end as gap from captured where r = 1 and key not in (select key from listed)
 )
 """
 
+#: The made site: what its audits must find, as functions of the part's key.
+_SITE = """
+with part_pages as (
+  select p_partkey as k, p_partkey as ord, 'https://site.example/p/' || p_partkey as url, case when p_partkey % 40 = 39 then 404 else 200 end as status_code,
+    (p_partkey % 5)::int as depth, p_partkey % 50 = 0 as is_duplicate, trim(repeat(p_name || ' ', (1 + p_partkey % 7)::int)) as title,
+    case p_partkey % 4 when 0 then '' when 1 then 'Short ' || p_partkey when 2 then trim(repeat('about ', 12)) else trim(repeat('more about ', 16)) end as description,
+    case when p_partkey % 5 = 1 then '' else 'One' end as h1, case when p_partkey % 300 >= 6 then p_partkey % 300 else 0 end::int as article_word_count,
+    p_partkey % 11 in (0, 1) as noindex, p_partkey % 11 in (0, 1) as nofollow,
+    case p_partkey % 6 when 0 then 'missing' when 2 then 'cross_page' when 3 then 'cross_domain' else 'self' end as canonical_class,
+    case p_partkey % 6 when 0 then null when 2 then 'https://site.example/p/' || (p_partkey + 1) when 3 then 'https://other.example/p/' || p_partkey else 'https://site.example/p/' || p_partkey end as canonical,
+    [i for i in range(0, p_partkey % 4)] as nth,
+    case p_partkey % 3 when 0 then []::varchar[] when 1 then ['Product'] else ['Product', 'Thing', 'Offer'] end as types from part
+), site as (
+  select *, len(nth)::int as total, len([i for i in nth if (k + i) % 3 = 0])::int as missing, len([i for i in nth if (k + i) % 3 = 1])::int as decorative,
+    len([i for i in nth if (k + i) % 3 = 2])::int as present, len([i for i in nth if i = 1])::int as lazy_loaded, len([i for i in nth if (k + i) % 2 = 1])::int as missing_dims from part_pages
+), shown as (
+  select * from site where not is_duplicate
+), links as (
+  select k, ord, url, t, n, row_number() over (partition by k order by n) - 1 as pos from (
+    select k, ord, url, t, min(n) as n from (select k, ord, url, unnest([2 * k, 2 * k + 1, k // 2]) as t, unnest([0, 1, 2]) as n from shown) group by all)
+), edges as (
+  select * from links where t in (select k from shown)
+), checks as (
+  select unnest(['noindex', 'nofollow', 'missing_canonical', 'cross_page_canonical', 'cross_domain_canonical', 'missing_open_graph', 'missing_og_title', 'missing_og_description', 'missing_og_image',
+      'missing_twitter_card', 'missing_viewport', 'with_hreflang']) as check,
+    unnest([noindex, nofollow, canonical_class = 'missing', canonical_class = 'cross_page', canonical_class = 'cross_domain', k % 3 = 0, false, k % 3 = 2, k % 3 = 2, k % 4 <> 1, k % 2 = 1, k % 10 in (3, 4)]) as found, * from shown
+)
+"""
+_ENTRIES = """
+with entries as (
+  select p_partkey as ord, 'https://site.example/p/' || p_partkey as url,
+    case p_partkey % 5 when 0 then '' when 1 then null when 2 then 'soon' else '2024-0' || (p_partkey % 9 + 1) || '-15' end as lastmod,
+    case p_partkey % 4 when 0 then 'daily' when 1 then 'weekly' when 2 then '' end as changefreq, case when p_partkey % 3 > 0 then (p_partkey % 31) / 30 end as priority from part
+)
+"""
+_IMAGES = "sum(total)::bigint as total, sum(missing)::bigint as missing, sum(decorative)::bigint as decorative, sum(present)::bigint as present, sum(lazy_loaded)::bigint as lazy_loaded, sum(missing_dims)::bigint as missing_dims"
+_FOUND = ", ".join(f"count(*) filter (\"check\" = '{c}' and found) as {c}" for c in (
+    "noindex", "nofollow", "missing_canonical", "cross_page_canonical", "cross_domain_canonical", "missing_open_graph", "missing_og_title", "missing_og_description", "missing_og_image",
+    "missing_twitter_card", "missing_viewport", "with_hreflang"))
+
 SQL = {
     "page_flags": _PAGES + "select ord, url, status_code, depth, title, h1, description, word_count, article_word_count, flags from flagged",
     "search_pages": _PAGES + """select url, status_code, depth, title, h1, description, word_count, article_word_count, flags from flagged
@@ -75,12 +115,13 @@ SQL = {
         when article_word_count < 2000 then '1k-2k' when article_word_count < 5000 then '2k-5k' else '5k+' end as bucket from texts)
         select bucket, (select count(*) from b where b.bucket = k.bucket) as pages from (select unnest(['<150', '150-500', '500-1k', '1k-2k', '2k-5k', '5k+']) as bucket) k""",
     "top_linked": _PAGES + "select href, count(*) as links from links group by href order by links desc, min(ord * 100000 + pos) limit 15",
-    "external_hosts": "select ''::varchar as host, 0::bigint as links where false",
+    "external_hosts": _SITE + """, h as (select ord, 0 as pos, 'h' || (k % 7) || '.example.org' as host from site union all select ord, 1, 'www.h' || (k % 3) || '.example.net' from site where k % 2 = 0)
+        select host, count(*) as links from h group by host order by links desc, min(ord * 10 + pos) limit 10""",
     "page_links": _PAGES + "select ord, url, pos, href, anchor from links",
     "url_depths": r"select len(list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[?#].*$', ''), '/'), lambda x: x <> ''))::int as url_depth, count(*) as urls from pages group by 1",
     "url_keys": rf"""with a as (select page_id, url, {_KEY.format(c="url")} as graph_key, regexp_extract(url, '^https?://([^/?#]+)', 1) as host from pages),
         b as (select *, list_sort(list_filter(string_split(regexp_extract(graph_key, '\?(.*)$', 1), '&'), lambda p: p <> '' and not starts_with(p, 'utm_'))) as q from a)
-        select page_id, graph_key, regexp_replace(graph_key, '\?.*$', '') || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as crawl_url, regexp_replace(url, '#.*$', '') as seen_key, host from b""",
+        select page_id, graph_key, regexp_replace(graph_key, '\?.*$', '') || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as link_url, regexp_replace(url, '#.*$', '') as seen_key, host from b""",
     "vault_paths": r"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[?#].*$', ''), '(.)/$', '\1') as p from pages)
         select page_id, case when p in ('', '/') then 'index.md' else substr(p, 2) || '.md' end as vault_path from a""",
     "page_graph": _PAGES + """, nodes as (select *, row_number() over (partition by key order by ord desc) as r, min(ord) over (partition by key) as first_ord from keyed where not is_duplicate),
@@ -91,26 +132,59 @@ SQL = {
     "part_orphans": _GRAPH + "select key, 'orphan' as kind from nodes where in_links = 0 and key <> 1 union all select key, 'sink' from nodes where out_links = 0 union all select key, 'single_path' from nodes where in_links = 1",
     "part_totals": _GRAPH + "select (select count(*) from nodes) as page_count, (select count(*) from edges) as total_internal_links",
     "part_hubs": _GRAPH + "select key, in_links from nodes order by in_links desc, key limit 25",
-    "part_levels": _GRAPH.replace("with links", "with recursive links") + """, walk as (select 1::bigint as node, 0 as depth union select e.target, w.depth + 1 from walk w join edges e on e.source = w.node where w.depth < 3)
-        select node, min(depth)::int as depth from walk group by node""",
+    "part_levels": _GRAPH.replace("with links", "with recursive links") + """, steps as (select distinct source, target from edges), walk using key (node) as (
+        select 1::bigint as node, 0 as depth union select e.target, min(w.depth) + 1 from walk w join steps e on e.source = w.node left join recurring.walk r on r.node = e.target where r.node is null group by e.target)
+        select node, depth::int as depth from walk""",
     "sitemap_missing": _GAPS + "select url from missing",
     "sitemap_extra": _GAPS + "select url, status_code, depth, gap from extra",
-    "sitemap_gap_counts": _GAPS + "select count(*) as crawled_not_in_sitemap, 0::bigint as noindex, count(*) filter (gap = 'error') as error, count(*) filter (gap = 'genuine') as genuine, (select count(*) from missing) as in_sitemap_not_crawled from extra",
-    "undiscovered": _PAGES + "select ord, url from keyed where key not in (select key from keyed where ord % 2 = 0)",
+    "sitemap_gap_counts": _GAPS + "select count(*) as captured_not_in_sitemap, 0::bigint as noindex, count(*) filter (gap = 'error') as error, count(*) filter (gap = 'genuine') as genuine, (select count(*) from missing) as in_sitemap_not_captured from extra",
+    "undiscovered": _PAGES + f"""select ord, u as url from (select ord, url || case when ord % 2 = 1 then '-found' else '' end as u from keyed) where {_KEY.format(c="u")} not in (select key from keyed)""",
     "duplicate_documents": "select doc_id, coalesce(text, '') <> '' and row_number() over (partition by text order by doc_id) > 1 as is_duplicate from documents",
-    "heading_summary": _PAGES + "select count(*) as pages_analyzed, count(*) filter (not contains(html, '<h1>')) as missing_h1, 0::bigint as multiple_h1, 0::bigint as h1_not_first, 0::bigint as skipped_levels from snap where not is_duplicate",
-    "heading_distribution": _PAGES + "select len(regexp_extract_all(html, '<h1>'))::int as h1_count, count(*) as pages from snap where not is_duplicate group by 1",
-    "meta_summary": _PAGES + """select count(*) as pages_analyzed, 0::bigint as noindex, 0::bigint as nofollow, count(*) as missing_canonical, 0::bigint as cross_page_canonical, 0::bigint as cross_domain_canonical,
-        count(*) as missing_open_graph, 0::bigint as missing_og_title, 0::bigint as missing_og_description, 0::bigint as missing_og_image, count(*) as missing_twitter_card, count(*) as missing_viewport,
-        0::bigint as with_hreflang, '' as hreflang_languages from snap where not is_duplicate""",
-    "image_summary": """select 0::bigint as pages_with_images, 0::bigint as total, 0::bigint as missing, 0::bigint as decorative, 0::bigint as present, 0::bigint as lazy_loaded, 0::bigint as missing_dims,
-        0::bigint as pages_with_missing_alt, 0::bigint as pages_with_complete_failure, 0::bigint as pages_with_cls_risk, 100::bigint as alt_coverage_rate, 0::bigint as lazy_load_rate""",
-    "schema_summary": _PAGES + "select count(*) as pages_analyzed, 0::bigint as pages_with_schema, count(*) as pages_without_schema, 0::bigint as adoption_rate, 0::bigint as unique_types from snap where not is_duplicate",
+    "heading_summary": _SITE + """select count(*) as pages_analyzed, count(*) filter (k % 5 = 1) as missing_h1, count(*) filter (k % 5 = 2) as multiple_h1, count(*) filter (k % 5 = 3) as h1_not_first,
+        count(*) filter (k % 5 = 4) as skipped_levels from shown""",
+    "heading_distribution": _SITE + "select (case k % 5 when 1 then 0 when 2 then 2 else 1 end)::int as h1_count, count(*) as pages from shown group by 1",
+    "heading_pages": _SITE + """select case k % 5 when 1 then 'missing_h1' when 2 then 'multiple_h1' when 3 then 'h1_not_first' else 'skipped_levels' end as "check", url, title, depth,
+        (case k % 5 when 1 then 0 when 2 then 2 else 1 end)::int as h1_count, case k % 5 when 1 then '' when 2 then 'One|Uno' else 'One' end as h1_texts, case when k % 5 = 4 then 'H1 → H3' end as first_skip from shown where k % 5 > 0""",
+    "meta_summary": _SITE + f"select (select count(*) from shown) as pages_analyzed, {_FOUND}, 'de,en,fr' as hreflang_languages from checks",
+    "meta_pages": _SITE + 'select "check", ord, url, title, canonical from checks where found',
+    "image_summary": _SITE + f"""select count(*) as pages_with_images, {_IMAGES}, count(*) filter (missing > 0) as pages_with_missing_alt, count(*) filter (missing = total) as pages_with_complete_failure,
+        count(*) filter (missing_dims > 0) as pages_with_cls_risk, floor(100.0 * sum(present) / (sum(total) - sum(decorative)) + 0.5)::bigint as alt_coverage_rate,
+        floor(100.0 * sum(lazy_loaded) / sum(total) + 0.5)::bigint as lazy_load_rate from shown where total > 0""",
+    "worst_images": _SITE + """select * from (select 'missing' as by, ord, total, missing, decorative, present, lazy_loaded, missing_dims from shown where missing > 0 order by missing desc, total desc, ord limit 25)
+        union all select * from (select 'missing_dims' as by, ord, total, missing, decorative, present, lazy_loaded, missing_dims from shown where missing_dims > 0 order by missing_dims desc, ord limit 25)""",
+    "schema_summary": _SITE + """select count(*) as pages_analyzed, count(*) filter (k % 3 > 0) as pages_with_schema, count(*) filter (k % 3 = 0) as pages_without_schema,
+        floor(100.0 * count(*) filter (k % 3 > 0) / count(*) + 0.5)::bigint as adoption_rate, 3 as unique_types from shown""",
+    "schema_types": _SITE + "select unnest(types) as type, count(*) as pages from shown group by 1",
+    "schema_skus": _SITE + "select url, 'Product,Thing' as types, k as value from site where k % 3 = 2",
+    "site_flags": _SITE + """select ord, title, description, h1, article_word_count, array_to_string(list_filter([case when status_code >= 400 then 'ERR_4XX' end, case when is_duplicate then 'WARN_DUPLICATE' end,
+        case when h1 = '' then 'ERR_MISSING_H1' end, case when description = '' then 'ERR_MISSING_DESC' end, case when article_word_count < 150 then 'WARN_THIN_CONTENT' end,
+        case when length(title) > 60 then 'WARN_TITLE_TOO_LONG' when length(title) < 30 then 'WARN_TITLE_TOO_SHORT' end,
+        case when length(description) > 160 then 'WARN_DESC_TOO_LONG' when length(description) between 1 and 49 then 'WARN_DESC_TOO_SHORT' end], lambda f: f is not null), ',') as flags from site""",
+    "flagged_descriptions": _SITE + "select url, description from site where length(description) > 160 and article_word_count between 20 and 250 order by ord limit 30",
+    "single_paths": _SITE + """, one as (select t from edges group by t having count(*) = 1)
+        select s.url as key, s.url, s.title, s.depth, e.url as linked_from, 'to ' || e.t as anchor from one join shown s on s.k = one.t join edges e on e.t = one.t""",
+    "loose_pages": _SITE + """select url, 'orphan' as kind from shown where k <> 1 and k not in (select t from edges) union all select url, 'sink' from shown where k not in (select k from edges)
+        union all select 'https://site.example/p/' || t, 'broken' from links where t not in (select k from shown)""",
+    "site_gaps": _SITE + """select url, status_code, noindex, case when noindex then 'noindex' when status_code >= 400 then 'error' else 'genuine' end as gap,
+        case when noindex then 'noindex, rightly not listed' when status_code >= 400 then 'HTTP ' || status_code end as note from shown where k % 3 = 0""",
+    "sitemap_totals": _ENTRIES + """select count(*) as total_urls, count(*) filter (lastmod <> '') as with_lastmod, count(priority) as with_priority, min(lastmod) filter (lastmod <> '') as oldest_lastmod,
+        max(lastmod) filter (lastmod <> '') as newest_lastmod from entries""",
+    "sitemap_histograms": _ENTRIES + """select 'priority' as kind, printf('%.1f', priority) as value, count(*) as urls from entries where priority is not null group by all
+        union all select 'changefreq', changefreq, count(*) from entries where changefreq <> '' group by all union all select 'url_depth', '2', count(*) from entries""",
+    "sitemap_since": _ENTRIES + "select url, lastmod from entries where contains(url, '/p/1') and (coalesce(lastmod, '') = '' or (lastmod <> 'soon' and lastmod >= '2024-05-01'))",
+    "index_entries": """select (p_partkey % 20)::int as child, 'https://site.example/p/' || p_partkey as url, 'daily' as changefreq from part where p_partkey < 400 and p_partkey % 20 <> 7
+        order by p_partkey % 20, p_partkey limit 300""",
+    "robots_allowed": """with u as (select case when p_partkey % 4 = 0 then 'gone' else 'site' end as h, '/p/' || p_partkey || case when p_partkey % 3 = 0 then '?v=' || p_partkey else '' end as p from part)
+        select 'https://' || h || '.example' || p as url, case when h = 'gone' then true when starts_with(p, '/p/2?v=') then false when p like '/p/%5' then false when starts_with(p, '/p/11') then true
+          else not starts_with(p, '/p/1') end as allowed from u""",
+    "saved_pages": _SITE + """select ord, url, status_code, depth, is_duplicate, title, noindex, case when k % 3 = 1 then 'c' end as og_image, total as images,
+        (1 + (k % 2 = 0)::int)::int as external, array_to_string(types, ',') as types, case when k % 3 = 2 then k::varchar end as sku from site""",
+    "saved_results": "select conv_id as api, turn::bigint as turn, role from conversations",
     "articles": _PAGES + r"""select ord as page_id, title, length(c)::int as length, length(c) > 3000 as truncated from (select ord, title, replace(replace(replace(replace(replace(
         trim(regexp_replace(case when article_word_count > 0 then regexp_replace(regexp_replace(art, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g') else body end, '\s+', ' ', 'g')),
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') as c from texts)""",
     "client_pages": _PAGES + "select ord as page_id, title, h1, (select count(*) from links l where l.ord = t.ord)::int as internal, 0 as external, len(regexp_extract_all(html, '<h[1-6]>'))::int as headings from texts t",
-    "sitemap_files": "select page_id % 50 as file, (row_number() over (partition by page_id % 50 order by page_id) - 1)::int as pos, url, '2024-01-0' || (page_id % 9 + 1) as lastmod, null::varchar as changefreq, ('0.' || (page_id % 10))::double as priority from pages",
+    "sitemap_files": "select page_id // 50 as file, (row_number() over (partition by page_id // 50 order by page_id) - 1)::int as pos, url, '2024-01-0' || (page_id % 9 + 1) as lastmod, null::varchar as changefreq, ('0.' || (page_id % 10))::double as priority from pages",
     "api_items": """with n as (select conv_id as api, count(*) as n from conversations group by 1)
         select api, (case when n >= 5 then 3 else ceil(n / 2.0) end)::bigint as pages_fetched, (case when n >= 6 then 6 else n end)::bigint as items_collected, n % 2 = 1 and n <= 5 and n < 5 as natural_end from n""",
     "address_classes": """with a as (select o_orderkey, o_orderkey % 256 as a, o_orderkey * 7 % 256 as b, o_orderkey * 13 % 256 as c from orders)

@@ -1 +1 @@
-"""Readers and writers: crawl manifests, sitemaps, stored API responses, fetch rows, robots files."""
+"""Readers and writers: capture manifests, sitemaps, stored API responses, fetch rows, robots files."""

@@ -6,9 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.columns import hostname_of
-from webloom.functions.hints import robots_allow, robots_rules
-from webloom.functions.urls import parse
+from webloom.functions.columns import url_parts
+from webloom.functions.hints import robots_pattern, robots_rules
 
 
 def cap_body(fetches: DataFrame, limit: int = 5 * 1024 * 1024) -> DataFrame:
@@ -35,17 +34,20 @@ def classify(fetches: DataFrame) -> DataFrame:
 
 
 def robots_verdicts(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(url, allowed): each URL against its host's robots file (host, status, text); no usable file allows all."""
-
-    def decide(url: pd.Series, text: pd.Series) -> pd.Series:
-        rules = {t: robots_rules(t, agent) for t in text.dropna().unique()}
-
-        def one(u: str, t: str | None) -> bool:
-            found = parse(u) if u is not None else None
-            return not t or found is None or robots_allow(rules[t], found.path + (f"?{found.query}" if found.query is not None else ""))
-
-        return pd.Series([one(u, t) for u, t in zip(url, text, strict=True)])
-
-    good = robots.where("status between 200 and 299").select("host", "text").dropDuplicates(["host"])
-    hosted = urls.select("url").withColumn("host", hostname_of("url")).join(good, "host", "left")
-    return hosted.select("url", F.pandas_udf(decide, "boolean")("url", "text").alias("allowed"))
+    """(url, allowed): each URL against its host's robots file (host, status, text); no usable file allows all.
+
+    Files are parsed once a host; their rules, as patterns with their lengths, are matched by column functions. Of the
+    longest matching rules one that allows wins.
+    """
+    rule = "array<struct<pattern:string,length:int,allowed:boolean>>"
+
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"pattern": robots_pattern(p), "length": len(p), "allowed": ok} for ok, p in robots_rules(t, agent)] for t in texts])
+
+    good = robots.where("status between 200 and 299 and text is not null").groupBy("host").agg(F.min("text").alias("text"))
+    rules = good.select("host", F.pandas_udf(parsed, rule)("text").alias("rules"))
+    at = url_parts("url")
+    asked = urls.select("url", at.alias("at")).select("url", F.col("at.host").alias("host"), F.concat(F.col("at.path"), F.coalesce(F.concat(F.lit("?"), "at.query"), F.lit(""))).alias("path"))
+    matching = F.filter("rules", lambda r: F.regexp_like(F.col("path"), r["pattern"]))
+    best = F.array_max(F.transform(matching, lambda r: F.struct(r["length"], r["allowed"])))["allowed"]
+    return asked.join(rules, "host", "left").select("url", F.coalesce(best, F.lit(True)).alias("allowed"))

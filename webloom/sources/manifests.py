@@ -1,4 +1,4 @@
-"""Crawl, sitemap and discovery manifests: JSON files to typed tables and back, within allowed folders."""
+"""Capture, sitemap and discovery manifests: JSON files to typed tables and back, within allowed folders."""
 
 from __future__ import annotations
 
@@ -37,28 +37,34 @@ def file_type(kind: T.DataType) -> T.DataType:
 
 
 def read_source(spark: SparkSession, path: str) -> str:
-    """crawl, sitemap or discovery, as the file's meta says."""
-    schema = "meta struct<source:string>"
-    found = spark.read.schema(schema).option("multiLine", True).json(path).select("meta.source").first()
+    """sitemap or discovery, as the file's meta says, or capture if it has pages."""
+    schema = "meta struct<source:string>, pages array<struct<depth:int>>"
+    found = spark.read.schema(schema).option("multiLine", True).json(path).select("meta.source", F.col("pages").isNotNull()).first()
     if found is None or found[0] is None:
         raise ValueError("no meta.source in the manifest")
-    return found[0]
+    return "capture" if found[1] else found[0]
 
 
-def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """A crawl manifest's pages as a snapshot, in file order."""
-    records = {name: T._parse_datatype_string(ddl) for name, ddl in model.RECORDS.items()}
-    page = T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in (("url", "string"), ("statusCode", "int"), ("depth", "int"), ("isDuplicate", "boolean"))] + [T.StructField(f"mcp.{n}", file_type(k)) for n, k in records.items()])
-    read = spark.read.schema(T.StructType([T.StructField("pages", T.ArrayType(page))])).option("multiLine", True).json(path)
-    p = read.select(F.posexplode("pages").alias("ord", "p"))
-    columns = [F.col("ord").cast("long"), F.col("p.url"), F.col("p.statusCode").alias("status_code"), F.col("p.depth"), F.coalesce("p.isDuplicate", F.lit(False)).alias("is_duplicate")]
+def _records(records: dict[str, T.DataType], of) -> list:
+    """The record columns of file pages in our types; ``of`` gives a record's column by its name."""
+    columns = []
     for name, kind in records.items():
-        column = F.col(f"p.`mcp.{name}`")
+        column = of(name)
         if name == "schema":
             blocks = F.transform(column["blocks"], lambda b: F.struct(b["types"].alias("types"), F.to_json(b["raw"]).alias("raw")))
             column = F.when(column.isNotNull(), F.struct(blocks.alias("blocks"), column["types"].alias("types"), column["hasSchema"].alias("has_schema")))
         columns.append(column.cast(kind).alias(name))
-    return p.select(*columns)
+    return columns
+
+
+def read_capture(spark: SparkSession, path: str) -> DataFrame:
+    """A capture manifest's pages as a snapshot, in file order."""
+    records = {name: T._parse_datatype_string(ddl) for name, ddl in model.RECORDS.items()}
+    page = T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in (("url", "string"), ("statusCode", "int"), ("depth", "int"), ("isDuplicate", "boolean"))] + [T.StructField(f"mcp.{n}", file_type(k)) for n, k in records.items()])
+    read = spark.read.schema(T.StructType([T.StructField("pages", T.ArrayType(page))])).option("multiLine", True).json(path)
+    p = read.select(F.posexplode("pages").alias("ord", "p"))
+    columns = [F.col("ord").cast("long"), F.col("p.url"), F.col("p.statusCode").alias("status_code"), F.col("p.depth"), F.coalesce("p.isDuplicate", F.lit(False)).alias("is_duplicate")]
+    return p.select(*columns, *_records(records, lambda n: F.col(f"p.`mcp.{n}`")))
 
 
 def read_list(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -72,8 +78,8 @@ def load(spark: SparkSession, path: str, roots: list[str]) -> tuple[str, DataFra
     """(source, rows) of a manifest within the allowed folders."""
     found = str(inside(path, roots))
     kind = read_source(spark, found)
-    if kind == "crawl":
-        return kind, read_crawl(spark, found)
+    if kind == "capture":
+        return kind, read_capture(spark, found)
     if kind in ("sitemap", "discovery"):
         return kind, read_list(spark, found, kind)
     raise ValueError(f"unknown manifest source {kind}")
@@ -93,3 +99,58 @@ def save_sitemap(entries: DataFrame, path: str, sitemap_url: str, created_at: st
         for k, row in enumerate(entries.orderBy("ord").select(F.to_json(F.struct("url", "lastmod", "changefreq", "priority"))).toLocalIterator()):
             out.write(("," if k else "") + "\n" + row[0])
         out.write("\n]}\n")
+
+
+def _write(head: DataFrame, rows: DataFrame, path: str) -> None:
+    """A manifest as a folder of JSON lines: ``meta`` holds one row, ``rows`` the records, written where they are."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/rows")
+    head.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/meta")
+
+
+def save_capture(snapshot: DataFrame, path: str, seed_url: str, created_at: str) -> None:
+    """A snapshot's pages under the field names of manifest files, with ``ord``, in JSON lines."""
+    records = [n for n in model.RECORDS if n in snapshot.columns]
+    columns = ["ord", "url", F.col("status_code").alias("statusCode"), "depth", F.col("is_duplicate").alias("isDuplicate")]
+    for name in records:
+        column = F.col(name)
+        if name == "schema":
+            blocks = F.transform(column["blocks"], lambda b: F.struct(b["types"].alias("types"), F.try_parse_json(b["raw"]).alias("raw")))
+            column = F.when(column.isNotNull(), F.struct(blocks.alias("blocks"), column["types"].alias("types"), column["has_schema"].alias("hasSchema")))
+            columns.append(column.alias(f"mcp.{name}"))
+        else:
+            columns.append(column.cast(file_type(T._parse_datatype_string(model.RECORDS[name]))).alias(f"mcp.{name}"))
+    head = snapshot.agg(F.count("*").alias("pagesCaptured")).select(F.lit("capture").alias("source"), F.lit(seed_url).alias("seedUrl"), F.lit(created_at).alias("createdAt"), "pagesCaptured")
+    _write(head, snapshot.select(*columns), path)
+
+
+def save_entries(entries: DataFrame, path: str, sitemap_url: str, created_at: str) -> None:
+    """A sitemap's entries (ord, url, lastmod, changefreq, priority) in JSON lines."""
+    head = entries.agg(F.count("*").alias("urlCount")).select(F.lit("sitemap").alias("source"), F.lit(sitemap_url).alias("sitemapUrl"), F.lit(created_at).alias("createdAt"), "urlCount")
+    _write(head, entries.select("ord", "url", "lastmod", "changefreq", "priority"), path)
+
+
+def save_results(items: DataFrame, summary: DataFrame, path: str, created_at: str) -> None:
+    """Items of paginated responses (api, page_no, pos, item) in JSON lines, the items as objects, with each API's summary."""
+    head = summary.select(F.lit("api").alias("source"), F.lit(created_at).alias("createdAt"), *summary.columns)
+    _write(head, items.select("api", "page_no", "pos", F.try_parse_json("item").alias("item")), path)
+
+
+def save_articles(articles: DataFrame, path: str, created_at: str) -> None:
+    """Articles of :func:`webloom.operators.extraction.read_articles` in JSON lines, one a page."""
+    head = articles.agg(F.count("*").alias("articleCount")).select(F.lit("article").alias("source"), F.lit(created_at).alias("createdAt"), "articleCount")
+    _write(head, articles.select(*[c for c in articles.columns if c != "article"], "article.*"), path)
+
+
+def read_saved(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """(source, rows) of a folder that one of the writers left; captures come back as snapshots."""
+    head = spark.read.schema("source string").json(f"{path}/meta").first()
+    source = head["source"] if head is not None else "capture"
+    if source == "capture":
+        records = {name: T._parse_datatype_string(ddl) for name, ddl in model.RECORDS.items()}
+        plain = (("ord", "bigint"), ("url", "string"), ("statusCode", "int"), ("depth", "int"), ("isDuplicate", "boolean"))
+        schema = T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in plain] + [T.StructField(f"mcp.{n}", file_type(k)) for n, k in records.items()])
+        rows = spark.read.schema(schema).json(f"{path}/rows")
+        return source, rows.select("ord", "url", F.col("statusCode").alias("status_code"), "depth", F.coalesce("isDuplicate", F.lit(False)).alias("is_duplicate"), *_records(records, lambda n: F.col(f"`mcp.{n}`")))
+    entry = T.StructType([T.StructField("ord", T.LongType()), *T._parse_datatype_string(model.SITEMAP)])
+    kinds = {"sitemap": entry, "api": "api string, page_no bigint, pos int, item variant"}  # articles bring their own columns
+    return source, (spark.read.schema(kinds[source]) if source in kinds else spark.read).json(f"{path}/rows")

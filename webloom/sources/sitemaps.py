@@ -45,7 +45,7 @@ def expand_index(root: DataFrame, files: DataFrame, max_urls: int = 5000) -> Dat
 
 
 def seed_locations(files: DataFrame, xml: str = "xml") -> DataFrame:
-    """Locations that seed a crawl; here XML entities are decoded."""
+    """Locations that seed a capture; here XML entities are decoded."""
     text = F.col("url")
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
