@@ -7,7 +7,8 @@ whose id's hash lies below the share that leaves ``PER_LANGUAGE`` of them. Langu
 
 A text is rejected if its best cosine is too low for its length. Cosines grow with the length, so each language
 has a threshold for every doubling of the number of letters: ``MARGIN`` of the 0.1 % quantile of what sample texts,
-whole and cut to that length, reach with centroids of the other half of the sample. Texts of fewer than
+whole and cut to that length, reach with centroids of the other half of the sample, but at most ``CLOSE``: nearer
+texts, such as one word again and again, are strange but not of another language. Texts of fewer than
 ``LEAST_LETTERS`` letters are too short to be told apart and are not rejected, unless they have no letter.
 """
 
@@ -33,7 +34,7 @@ MOST_LANGUAGES = 1000
 #: Classes of length: letters are counted up to 2**11, by doublings.
 CLASSES = 12
 LEAST_LETTERS = 8
-MARGIN, QUANTILE = 0.95, 0.001
+MARGIN, QUANTILE, CLOSE = 0.9, 0.001, 0.25
 #: Held-out texts that a class must have for a threshold of its own; else that of shorter texts holds.
 LEAST_TEXTS = 20
 UNKNOWN = "und"
@@ -140,7 +141,7 @@ def learn(counts: np.ndarray, half: np.ndarray, whole: np.ndarray, letters: np.n
     threshold, kinds = np.zeros(CLASSES), length_class(letters)
     for c in range(LEAST_LETTERS.bit_length() - 1, CLASSES):
         reached = top[(kinds == c) & ~np.isnan(top)]
-        threshold[c] = MARGIN * np.quantile(reached, QUANTILE) if len(reached) >= LEAST_TEXTS else threshold[c - 1]
+        threshold[c] = min(CLOSE, MARGIN * np.quantile(reached, QUANTILE)) if len(reached) >= LEAST_TEXTS else threshold[c - 1]
     return cluster(rows[whole], CENTROIDS), threshold
 
 

@@ -4,7 +4,7 @@ Features are hashed counts of case-sensitive character 3-grams, of 4-grams of ch
 marks of repetition. TF-IDF rows of a labelled sample give a truncated SVD; labelled rows and documents
 are projected on it and set to unit length. The labelled vectors, at most ``LABELLED`` rows of ``RANK``
 numbers, are broadcast; every document's exact cosines with all of them are computed block by block, and
-its ``NEIGHBOURS`` nearest vote with weight max(cosine, 0) ** ``POWER``.
+its ``NEIGHBOURS`` nearest, and all that are as near as the last of them, vote with weight max(cosine, 0) ** ``POWER``.
 """
 
 from __future__ import annotations
@@ -71,7 +71,6 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_
     """Learns from labelled rows where ``train``, a column over ``labels``, holds."""
     stash = Stash(docs.sparkSession, "quality")
     usable = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    key = hash_long(F.concat(F.lit("label:"), F.col(id_col).cast("string")))
     each = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     chosen = stash.put(each.withColumn("h", hash_long(F.concat(F.lit("label:"), F.col("id").cast("string")))).orderBy("h", "id").limit(LABELLED).drop("h"), "sample")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -111,9 +110,9 @@ def votes(texts: list[str], model: Model) -> np.ndarray:
         return np.full(len(texts), model.prior)
     cosines = unit(unit(log_tf(feature_counts(texts)) * model.idf) @ model.basis) @ model.vectors.T
     k = min(NEIGHBOURS, cosines.shape[1])
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(float) ** POWER
-    return ((weight * model.labels[near]).sum(axis=1) + 1e-6 * model.prior) / (weight.sum(axis=1) + 1e-6)
+    least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+    weight = np.where(cosines >= least, np.maximum(cosines, 0), 0).astype(float) ** POWER
+    return (weight @ model.labels + 1e-6 * model.prior) / (weight.sum(axis=1) + 1e-6)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
