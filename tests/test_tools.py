@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from webloom import tools
+from webloom.operators import search
 from webloom.sources import cookies
 
 
@@ -17,6 +18,8 @@ def test_walk_then_audit(spark):
     assert (got["pages_captured"], got["pages_ignored"], got["stopped_reason"]) == (4, 2, "drained")
     assert {tuple(r) for r in got["ignored_breakdown"].collect()} == {("ROBOTS", 1), ("REDIRECT", 1)}
     snap = got["snapshot"].cache()
+    assert [(r["url"], r["title"]) for r in got["pages"].orderBy("ord").collect()] == [(e + "/", "Home"), (e + "/a", "A"), (e + "/new", "New"), (e + "/nowhere", "")]
+    assert search.json_rows(got["pages"].where("title = 'A'").select("url", "description")).first()[0] == '{"url":"https://example.com/a","description":""}'
     links = tools.analyse_links(snap, e + "/")
     assert links["totals"].first().asDict() == {"page_count": 4, "total_internal_links": 3}
     assert [r["url"] for r in links["orphans"].collect()] == [e + "/new"] and links["sink_count"] == 2

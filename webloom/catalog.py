@@ -114,6 +114,26 @@ def vault_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.vault_path_of("url").alias("vault_path"))
 
 
+def url_scopes(spark, sf_dir):
+    """Scope, domain and host tests on urls made of the orders' keys."""
+    k = F.col("o_orderkey")
+    forms = ("https://www.site.example/a/", "https://shop.site.example/a/", "http://other.example/a/", "ftp://site.example/a/", "https://www.google.com/search?q=", "no url ")
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.element_at(F.array(*map(F.lit, forms)), (k % 6 + 1).cast("int")), k.cast("string")).alias("url"))
+    scheme = C.url_parts("url")["scheme"]
+    return made.select(
+        "o_orderkey", C.in_scope_of("url", "www.site.example", ("/a/",), ("7",)).alias("in_scope"), C.in_scope_of("url", "site.example", subdomains=True).alias("in_domain"),
+        C.is_search_engine("url").alias("search_engine"), C.needs_scripts("url").alias("scripted"), F.coalesce(scheme.isin("http", "https"), F.lit(False)).alias("fetchable"),
+    )
+
+
+def followed_links(spark, sf_dir):
+    """Links with session and campaign parameters, as they are followed and as keys of the graph."""
+    k = F.col("o_orderkey").cast("string")
+    href = F.concat(F.lit("../x//"), k, F.lit("/?utm_source=a&b=2&PHPSESSID=1&a="), k, F.lit("#f"))
+    base = F.lit("https://Site.example/p/q/")
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.link_normal_of(base, href).alias("followed"), C.graph_key_of(F.concat(F.lit("https://site.example:443/p/./x/"), k, F.lit("/?b=2&sid=4&a=1#f"))).alias("key"))
+
+
 def page_graph(spark, sf_dir):
     return link_graph.link_graph(snapshot(spark, sf_dir, "seo", "links")).nodes.select("key", "ord", "url", "depth", "in_links", "out_links")
 
@@ -361,7 +381,7 @@ def event_windows(spark, sf_dir):
 
 QUERIES = (
     page_flags, search_pages, search_matches, status_distribution, depth_distribution, flag_totals, word_statistics, word_buckets, top_linked, external_hosts, page_links,
-    url_depths, url_keys, vault_paths, page_graph, broken_links, part_degrees, part_orphans, part_totals, part_hubs, part_levels, sitemap_missing, sitemap_extra,
+    url_depths, url_keys, vault_paths, url_scopes, followed_links, page_graph, broken_links, part_degrees, part_orphans, part_totals, part_hubs, part_levels, sitemap_missing, sitemap_extra,
     sitemap_gap_counts, undiscovered, duplicate_documents, heading_summary, heading_distribution, meta_summary, image_summary, schema_summary, articles, client_pages,
     site_flags, flagged_descriptions, meta_pages, heading_pages, worst_images, schema_types, schema_skus, single_paths, loose_pages, site_gaps, sitemap_totals,
     sitemap_histograms, sitemap_since, index_entries, robots_allowed, saved_pages, saved_results, sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,

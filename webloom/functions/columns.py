@@ -37,8 +37,6 @@ graph_key_of = mapped(urls.graph_key, "string")
 hostname_of = mapped(urls.hostname, "string")
 path_depth = mapped(_depth, "int")
 vault_path_of = mapped(urls.vault_path, "string")
-is_search_engine = mapped(hints.is_search_engine, "boolean")
-needs_scripts = mapped(hints.needs_scripts, "boolean")
 to_fixed_1 = mapped(lambda v: str(Decimal(float(v)).quantize(Decimal("0.1"), ROUND_HALF_UP)), "string")
 
 
@@ -62,8 +60,35 @@ def url_parts(column: Column | str) -> Column:
     return F.pandas_udf(run, "scheme string, host string, port int, path string, query string, fragment string, origin string")(column)
 
 
-def in_scope_of(column: Column | str, domain: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), subdomains: bool = False) -> Column:
-    return mapped(lambda u: urls.in_scope(u, domain, include, exclude, subdomains), "boolean")(column)
+def belongs_to(host: Column, domains: tuple[str, ...], subdomains: bool = True) -> Column:
+    """Whether a host, one www. aside, is one of the domains or, if asked, below one; false for none."""
+    bare = F.regexp_replace(host, r"^www\.", "")
+    found = F.lit(False)
+    for domain in domains:
+        found = found | (bare == domain) | (bare.endswith("." + domain) if subdomains else F.lit(False))
+    return F.coalesce(found, F.lit(False))
+
+
+def is_search_engine(url: Column | str) -> Column:
+    return belongs_to(hostname_of(url), hints.SEARCH_ENGINES)
+
+
+def needs_scripts(url: Column | str) -> Column:
+    return belongs_to(hostname_of(url), hints.SCRIPTED_SITES)
+
+
+def in_scope_of(url: Column | str, domain: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), subdomains: bool = False) -> Column:
+    """Substring patterns on the text, then the domain of its host, which is all that is parsed."""
+    text = F.col(url) if isinstance(url, str) else url
+    ok = belongs_to(hostname_of(text), (urls.without_www(domain),), subdomains)
+    for pattern in exclude:
+        ok = ok & ~text.contains(pattern)
+    if include:
+        any_of = F.lit(False)
+        for pattern in include:
+            any_of = any_of | text.contains(pattern)
+        ok = ok & any_of
+    return F.coalesce(ok, F.lit(False))
 
 
 def seen_key(column: Column | str) -> Column:

@@ -99,6 +99,11 @@ def filter_sitemap(entries: DataFrame, url_pattern: str = "", modified_after: st
     return entries
 
 
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON object, absent values included, under the name ``value``."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def pipe_table(rows: DataFrame, limit: int = 100) -> str:
     """A small result as text: a header and one line per row, cells parted by bars, arrays by commas."""
     found = rows.limit(limit).collect()

@@ -124,6 +124,9 @@ SQL = {
         select page_id, graph_key, regexp_replace(graph_key, '\?.*$', '') || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as link_url, regexp_replace(url, '#.*$', '') as seen_key, host from b""",
     "vault_paths": r"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[?#].*$', ''), '(.)/$', '\1') as p from pages)
         select page_id, case when p in ('', '/') then 'index.md' else substr(p, 2) || '.md' end as vault_path from a""",
+    "url_scopes": """select o_orderkey, o_orderkey % 6 in (0, 3) and not contains(o_orderkey::varchar, '7') as in_scope, o_orderkey % 6 in (0, 1, 3) as in_domain, o_orderkey % 6 = 4 as search_engine,
+        o_orderkey % 6 = 4 as scripted, o_orderkey % 6 in (0, 1, 2, 4) as fetchable from orders""",
+    "followed_links": """select o_orderkey, 'https://site.example/p/x/' || o_orderkey || '?a=' || o_orderkey || '&b=2' as followed, 'https://site.example/p/x/' || o_orderkey || '?b=2&a=1' as key from orders""",
     "page_graph": _PAGES + """, nodes as (select *, row_number() over (partition by key order by ord desc) as r, min(ord) over (partition by key) as first_ord from keyed where not is_duplicate),
         edges as (select k.key as source, l.href as target from links l join keyed k using (ord) where not k.is_duplicate and l.href in (select key from nodes))
         select key, first_ord as ord, url, depth, (select count(*) from edges where target = key) as in_links, (select count(*) from edges where source = key) as out_links from nodes where r = 1""",

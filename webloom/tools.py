@@ -44,9 +44,10 @@ def capture(
         "ord", "url", F.coalesce("html", F.lit("")).alias("html"), F.col("status").alias("status_code"), "depth", "is_duplicate"
     )
     captured, ignored = found.count(), result.ignored.count()
+    snapshot = extraction.extract_records(rows)
     return {
         "seed_url": url, "pages_captured": captured, "pages_ignored": ignored, "ignored_breakdown": result.summary(), "buried": result.buried,
-        "stopped_reason": stop_reason(False, captured < max_pages), "snapshot": extraction.extract_records(rows),
+        "stopped_reason": stop_reason(False, captured < max_pages), "snapshot": snapshot, "pages": search.project_pages(snapshot),
     }
 
 
