@@ -276,12 +276,11 @@ class Join:
         documents = scanned.where("n is not null").select("id", "th", "n", "s1", "s2")
         nodes = stash.put(documents.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node")), "nodes")
         self.counts = scanned.where("chunk is not null").select("chunk", "counts")
-        links = self.links(nodes)
-        found = connected_components(links, stash) if links is not None else None
+        found = self.components(nodes)
         if found is None:
             classes = nodes.withColumn("component", F.col("node"))
         else:
-            found = bounded(stash.put(found, "components"))
+            found = bounded(found)
             classes = nodes.join(found, nodes["node"] == found["id"], "left").select("n", "s1", "s2", "node", F.coalesce("component", "node").alias("component"))
         return documents, stash.put(classes.select("n", "s1", "s2", "node", "component"), "classes")
 
@@ -315,8 +314,14 @@ class Join:
         linked = classes.select("n", "s1", "s2", "component").join(counted, ["n", "s1", "s2"], "left")
         return linked.fillna(0, ["links", "component_links"])
 
-    def links(self, nodes: DataFrame) -> DataFrame | None:
-        """Verified links (a, b) that connect every component."""
+    def grown(self, components: DataFrame | None, links: DataFrame) -> DataFrame:
+        """The components after some more links, from those before."""
+        if components is not None:
+            links = links.unionByName(components.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+        return self.stash.put(connected_components(links, self.stash), "components")
+
+    def components(self, nodes: DataFrame) -> DataFrame | None:
+        """(id, component) of the nodes that have a link, by verified links that connect every component."""
         size, percent, stash = self.size, self.percent, self.stash
         parts = self.counts.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
         table = np.zeros(COUNTERS, np.uint8)
@@ -345,7 +350,6 @@ class Join:
         starred = stash.put(live.join(pivots, "token").where("id != p.id").where(self.may_match("n", "p.n", "place", "p.place")), "starred")
         self.keys, self.known = keyed.select("id", "s1"), known
 
-        links = None
         tested = None
         components = None
         for _ in range(STAR_ROUNDS):
@@ -354,17 +358,20 @@ class Join:
             if tested is not None:
                 pairs = pairs.join(bounded(tested), ["a", "b"], "left_anti")
             chosen = pairs.groupBy("id").agg(F.min(F.struct("cost", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-            links, tested, found = self.settle(stash.put(chosen, "star"), links, tested)
-            if not found:
+            chosen = stash.put(chosen, "star")
+            links = self.settle(chosen)
+            tested = chosen if tested is None else tested.unionByName(chosen)
+            if links.isEmpty():
                 break
-            components = bounded(stash.put(connected_components(links, stash), "components"))
+            components = self.grown(components, links)
         rest = self.remaining(live, components)
         if tested is not None:
             rest = rest.join(bounded(tested), ["a", "b"], "left_anti")
-        rest = stash.put(rest.distinct(), "rest")
-        links, _, _ = self.settle(rest, links, tested)
+        links = self.settle(stash.put(rest.distinct(), "rest"))
+        if not links.isEmpty():
+            components = self.grown(components, links)
         stash.drop(keyed, shared, live, starred)
-        return links
+        return components
 
     def may_match(self, nx: str, ny: str, px: str, py: str):
         """Lengths, and what can be common from a shared token at these places on, allow a link."""
@@ -376,6 +383,7 @@ class Join:
         """Keeps rows whose two nodes lie in different components."""
         if components is None:
             return rows
+        components = bounded(components)
         x = components.select(F.col("id").alias("x_id"), F.col("component").alias("x"))
         y = components.select(F.col("id").alias("y_id"), F.col("component").alias("y"))
         joined = rows.join(x, F.col(one) == F.col("x_id"), "left").join(y, F.col(two) == F.col("y_id"), "left")
@@ -387,7 +395,7 @@ class Join:
         if components is None:
             rows = rows.withColumn("component", F.col("id"))
         else:
-            rows = rows.join(components, "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
+            rows = rows.join(bounded(components), "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
         rows = self.stash.put(rows, "members")
         sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
         mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("kinds"), F.sum("size").alias("all")).where("kinds > 1")
@@ -423,8 +431,8 @@ class Join:
         texts = self.texts.join(wanted, "id").select("id", "s1", "text")
         return self.stash.put(texts.mapInArrow(sets, "id long, n long, tokens binary, o2 binary, o3 binary"), "sets")
 
-    def settle(self, pairs: DataFrame, links: DataFrame | None, tested: DataFrame | None):
-        """Filters and verifies pairs; gives all links and tested pairs so far, and how many links are new."""
+    def settle(self, pairs: DataFrame) -> DataFrame:
+        """Filters and verifies pairs; gives those that are links."""
         sets = self.whole_sets(pairs)
         asked = bounded(pairs)
         light = sets.select("id", "n", "o2", "o3")
@@ -435,7 +443,7 @@ class Join:
         y = sets.join(passed, F.col("id") == F.col("b")).select("a", "b", F.col("tokens").alias("sb"))
         new = self.stash.put(x.join(y, ["a", "b"]).mapInArrow(verify_pairs(self.percent), "a long, b long"), "links")
         self.stash.drop(sets)
-        return new if links is None else links.unionByName(new), pairs if tested is None else tested.unionByName(pairs), new.count()
+        return new
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
