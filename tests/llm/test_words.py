@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from webloom.llm.ngram_join import count_links, join_similar
+from webloom.llm.ngram_join import count_links, counters_for, join_similar
 from webloom.llm.substring_dedup import FingerprintIndex, remove_repeats
 from webloom.llm.wordhash import BLOCK_BYTES, Runs, pieces, word_blocks
 
@@ -116,3 +116,7 @@ def test_index_of_two_sessions(spark, tmp_path):
         raise AssertionError("an earlier id was added")
     except ValueError:
         pass
+
+
+def test_counters_grow_with_the_rows():
+    assert [counters_for(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 10**7, 10**12)] == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 24, 1 << 26]

@@ -40,8 +40,9 @@ from webloom.plans.tables import Stash, bounded, spare
 
 SHINGLE = 5
 PERCENT = 80
-#: The table of token counts: 2**20 counters, whatever the corpus; one byte each when broadcast.
-COUNTERS = 1 << 20
+#: The table of token counts: one counter for each row, by powers of two, so that rare tokens stay apart from frequent
+#: ones as the corpus grows; 2**20 at least, and 2**26 at most, which is 64 MB when broadcast.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 26
 CHUNK = 1 << 12
 #: Rounds in which documents meet one bucket member before all remaining pairs are formed.
 STAR_ROUNDS = 2
@@ -96,12 +97,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def scan_sets(size: int):
+def counters_for(rows: int) -> int:
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, rows - 1).bit_length()))
+
+
+def scan_sets(size: int, counters: int):
     """A row per document with its set's size and hashes; a task's token counts as compressed chunks."""
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
+    def add(counts: np.ndarray, held: list[np.ndarray]) -> None:
+        at, more = np.unique((np.concatenate(held) & U(counters - 1)).astype(np.int64), return_counts=True)
+        counts[at] += more.astype(np.int32)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(counters, np.int32)
         held: list[np.ndarray] = []
         for batch in batches:
             out = []
@@ -109,12 +118,12 @@ def scan_sets(size: int):
                 out.append({"id": name, "th": th, "n": len(tokens), "s1": set_digest(tokens), "s2": set_digest(others)})
                 held.append(tokens)
                 if len(held) >= 2048 or len(tokens) > 1 << 16:
-                    counts += np.bincount((np.concatenate(held) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                    add(counts, held)
                     held = []
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if held:
-            counts += np.bincount((np.concatenate(held) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        chunks = [(k, counts[k * CHUNK : (k + 1) * CHUNK]) for k in range(COUNTERS // CHUNK)]
+            add(counts, held)
+        chunks = [(k, counts[k * CHUNK : (k + 1) * CHUNK]) for k in range(counters // CHUNK)]
         yield pa.RecordBatch.from_pylist([{"chunk": k, "counts": zlib.compress(c.tobytes(), 1)} for k, c in chunks if c.any()], schema=schema)
 
     return scan
@@ -125,14 +134,14 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(c), np.int64)
+            part = np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64)
             sums[k] = sums[k] + part if k in sums else part
     classes = [np.floor(4 * np.log2(c + 1.0)).astype(np.uint8).tobytes() for c in sums.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], names=["chunk", "classes"])
 
 
 def rarity(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return table[(tokens & U(COUNTERS - 1)).astype(np.int64)].astype(U)
+    return table[(tokens & U(len(table) - 1)).astype(np.int64)].astype(U)
 
 
 def first_order(tokens: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
@@ -256,6 +265,7 @@ class Join:
         self.texts, self.size, self.percent = texts, size, percent
         self.spark = texts.sparkSession
         self.stash = Stash(self.spark, "ngrams")
+        self.counters = counters_for(texts.count())
 
     def run(self, count_links: bool = False) -> DataFrame:
         """(id, n_shingles, component) per row of the texts; if asked, also links and component_links."""
@@ -272,7 +282,7 @@ class Join:
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(id, th, n, s1, s2) per row of the texts, and (n, s1, s2, node, component) per different set."""
         size, stash = self.size, self.stash
-        scanned = stash.put(self.texts.withColumn("th", F.xxhash64("text")).mapInArrow(scan_sets(size), "id long, th long, n long, s1 long, s2 long, chunk int, counts binary"), "scan")
+        scanned = stash.put(self.texts.withColumn("th", F.xxhash64("text")).mapInArrow(scan_sets(size, self.counters), "id long, th long, n long, s1 long, s2 long, chunk int, counts binary"), "scan")
         documents = scanned.where("n is not null").select("id", "th", "n", "s1", "s2")
         nodes = stash.put(documents.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node")), "nodes")
         self.counts = scanned.where("chunk is not null").select("chunk", "counts")
@@ -324,7 +334,7 @@ class Join:
         """(id, component) of the nodes that have a link, by verified links that connect every component."""
         size, percent, stash = self.size, self.percent, self.stash
         parts = self.counts.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
-        table = np.zeros(COUNTERS, np.uint8)
+        table = np.zeros(self.counters, np.uint8)
         for row in parts.mapInArrow(add_counts, "chunk int, classes binary").toLocalIterator():  # one byte a counter
             table[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["classes"], np.uint8)
         known = self.spark.sparkContext.broadcast(table)
