@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from webloom.llm.ngram_join import count_links, counters_for, join_similar
+from webloom.llm.ngram_join import count_links, counters_for
 from webloom.llm.substring_dedup import FingerprintIndex, remove_repeats
 from webloom.llm.wordhash import BLOCK_BYTES, Runs, pieces, word_blocks
 
@@ -58,8 +58,8 @@ def test_similar_tells_words_apart(spark):
     want = {}
     for k, s in enumerate(sets):  # equal sets share a component; none of the others are alike
         want[k] = min(j for j, other in enumerate(sets) if 100 * len(s & other) >= 90 * len(s | other))
-    assert {r["doc_id"]: r["component_id"] for r in join_similar(docs, size=3, percent=90).collect()} == want
-    assert sum(r["n_links"] for r in count_links(docs, size=3, percent=90).collect()) == 0
+    got = count_links(docs, size=3, percent=90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and sum(r["n_links"] for r in got) == 0
 
 
 def brute(rows, window=50):
