@@ -156,7 +156,7 @@ SQL = {
     "worst_images": _SITE + """select * from (select 'missing' as by, ord, total, missing, decorative, present, lazy_loaded, missing_dims from shown where missing > 0 order by missing desc, total desc, ord limit 25)
         union all select * from (select 'missing_dims' as by, ord, total, missing, decorative, present, lazy_loaded, missing_dims from shown where missing_dims > 0 order by missing_dims desc, ord limit 25)""",
     "schema_summary": _SITE + """select count(*) as pages_analyzed, count(*) filter (k % 3 > 0) as pages_with_schema, count(*) filter (k % 3 = 0) as pages_without_schema,
-        floor(100.0 * count(*) filter (k % 3 > 0) / count(*) + 0.5)::bigint as adoption_rate, 3 as unique_types from shown""",
+        floor(100.0 * count(*) filter (k % 3 > 0) / count(*) + 0.5)::bigint as adoption_rate, 3::bigint as unique_types from shown""",
     "schema_types": _SITE + "select unnest(types) as type, count(*) as pages from shown group by 1",
     "schema_skus": _SITE + "select url, 'Product,Thing' as types, k as value from site where k % 3 = 2",
     "site_flags": _SITE + """select ord, title, description, h1, article_word_count, array_to_string(list_filter([case when status_code >= 400 then 'ERR_4XX' end, case when is_duplicate then 'WARN_DUPLICATE' end,

@@ -45,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Stash:
     """Intermediate tables of one run, written as Parquet under the shared folder.
 
-    A written table cuts lineage: a lost executor costs a re-read, not a recomputation.
+    A written table cuts lineage: a lost executor costs a re-read, not a recomputation. Results are read from these
+    tables, so they stay as long as the driver runs; its file system removes them when it ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
@@ -57,6 +58,9 @@ class Stash:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
+        if self.n == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._webloom_path = path  # type: ignore[attr-defined]
         return out
