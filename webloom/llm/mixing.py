@@ -31,7 +31,8 @@ GOLDEN = 0.6180339887498949
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Targets by water-filling: weight * level, but never above ``most`` times a source's size.
 
-    ``sizes`` has (source, source_size), one row per source. In order of cap / weight, the sources
+    ``sizes`` has (source, source_size), one row per source; windows over them, here and in the schedule, run in one
+    task, which some millions of sources would still fit. In order of cap / weight, the sources
     before some place are full; the level then follows from what is left, and the first place whose
     level is below its own cap / weight is the right one.
     """
