@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.columns import SPACES
-from webloom.plans.tables import Stash
+from webloom.plans.tables import Stash, bounded
 
 #: Rows of one chunk: what a sender holds at a time.
 CHUNK_ROWS = 1 << 17
@@ -136,14 +136,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows.groupBy("chunk").cogroup(bitmaps.groupBy("chunk")).applyInPandas(mark_suspects, "id string, fp long, sha string, suspect boolean"), "marked"
     )
     suspects = marked.where("suspect").select(F.col("id").alias("s_id"), F.col("fp").alias("s_fp")).distinct()
-    shuffled = stash.put(
-        texts.join(suspects, texts["id"].eqNullSafe(suspects["s_id"]) & (texts["fp"] == suspects["s_fp"]), "left_semi"), "suspects"
-    )
-    groups = stash.put(
-        shuffled.groupBy("fp", "norm").agg(F.min(F.col("id").cast(kind)).alias("keep_id"), F.count("*").alias("group_size")), "groups"
-    )
-    verified = shuffled.join(groups, ["fp", "norm"]).select(
-        F.col("id").cast(kind).alias(id_col), "keep_id", "group_size", F.col("id").cast(kind).eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("norm", 256).alias("text_sha256")
+    held = texts.join(suspects, texts["id"].eqNullSafe(suspects["s_id"]) & (texts["fp"] == suspects["s_fp"]), "left_semi")
+    # whole texts are grouped; what their rows then need to find their group is narrow
+    grouped = held.groupBy("fp", "norm").agg(F.min(F.col("id").cast(kind)).alias("keep_id"), F.count("*").alias("group_size"))
+    groups = bounded(stash.put(grouped.select("fp", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups"))
+    verified = marked.where("suspect").join(groups, ["fp", "sha"]).select(
+        F.col("id").cast(kind).alias(id_col), "keep_id", "group_size", F.col("id").cast(kind).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     single = marked.where("not suspect").select(
         F.col("id").cast(kind).alias(id_col), F.col("id").cast(kind).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
