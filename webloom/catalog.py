@@ -17,7 +17,7 @@ from webloom.operators.walk import breadth_first, duplicate_bodies, resolve_redi
 from webloom.plans.tables import Stash, table
 from webloom.site import HOME, site_pages
 from webloom.sources import api_pages, fetches, manifests, sitemaps
-from webloom.streaming.ingest import capture_counts
+from webloom.streaming.ingest import capture_counts, distinct_bodies
 
 
 def derived(pages: DataFrame) -> DataFrame:
@@ -379,12 +379,37 @@ def event_windows(spark, sf_dir):
     return spark.read.schema(counted.schema).parquet(target).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def stream_bodies(spark, sf_dir):
+    """The distinct bodies of a stream, kept by state, one for each user and type."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    body = F.concat_ws(" ", F.col("user_id").cast("string"), "event_type")
+    first = distinct_bodies(stream.select(F.lit("u").alias("url"), body.alias("html"), F.col("ts").cast("timestamp").alias("captured_at")), "10000 days")
+    stash = Stash(spark, "bodies")
+    target = f"{stash.root}/first"
+    query = first.select("html").writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{stash.root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("html string").parquet(target)
+
+
+def failing_extractor(spark, sf_dir):
+    """An extractor of one's own that raises on some pages: their other records stay, and the failure is named."""
+
+    def fragile(page):
+        if page.url.endswith("7"):
+            raise ValueError("seven")
+        return page.url.rsplit("/", 1)[1]
+
+    found = extraction.extract_records(site_pages(spark, sf_dir), ("headings",), {"last": ("string", fragile)})
+    return found.select("ord", "last", F.concat_ws(",", "errors").alias("errors"), F.size("headings.headings").alias("headings"))
+
+
 QUERIES = (
     page_flags, search_pages, search_matches, status_distribution, depth_distribution, flag_totals, word_statistics, word_buckets, top_linked, external_hosts, page_links,
     url_depths, url_keys, vault_paths, url_scopes, followed_links, page_graph, broken_links, part_degrees, part_orphans, part_totals, part_hubs, part_levels, sitemap_missing, sitemap_extra,
     sitemap_gap_counts, undiscovered, duplicate_documents, heading_summary, heading_distribution, meta_summary, image_summary, schema_summary, articles, client_pages,
     site_flags, flagged_descriptions, meta_pages, heading_pages, worst_images, schema_types, schema_skus, single_paths, loose_pages, site_gaps, sitemap_totals,
-    sitemap_histograms, sitemap_since, index_entries, robots_allowed, saved_pages, saved_results, sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,
+    stream_bodies, failing_extractor, sitemap_histograms, sitemap_since, index_entries, robots_allowed, saved_pages, saved_results, sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,
 )
 
 

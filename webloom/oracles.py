@@ -182,6 +182,8 @@ SQL = {
           else not starts_with(p, '/p/1') end as allowed from u""",
     "saved_pages": _SITE + """select ord, url, status_code, depth, is_duplicate, title, noindex, case when k % 3 = 1 then 'c' end as og_image, total as images,
         (1 + (k % 2 = 0)::int)::int as external, array_to_string(types, ',') as types, case when k % 3 = 2 then k::varchar end as sku from site""",
+    "stream_bodies": "select distinct user_id || ' ' || event_type as html from events",
+    "failing_extractor": _SITE + "select ord, case when k % 10 <> 7 then k::varchar end as last, case when k % 10 = 7 then 'last' else '' end as errors, 2 as headings from site",
     "saved_results": "select conv_id as api, turn::bigint as turn, role from conversations",
     "articles": _PAGES + r"""select ord as page_id, title, length(c)::int as length, length(c) > 3000 as truncated from (select ord, title, replace(replace(replace(replace(replace(
         trim(regexp_replace(case when article_word_count > 0 then regexp_replace(regexp_replace(art, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g') else body end, '\s+', ' ', 'g')),
