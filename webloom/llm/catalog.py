@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import language, oracles, quality
+from webloom.llm import language, merkle, oracles, quality
 from webloom.llm.columns import remainder
 from webloom.llm.decontaminate import find_contamination
 from webloom.llm.exact_dedup import exact_duplicates
+from webloom.llm.filter_audit import audit_filters
 from webloom.llm.main_text import extract_main_text
 from webloom.llm.mixing import mix_sources
 from webloom.llm.ngram_join import count_links
@@ -74,6 +75,22 @@ def op10_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op12_audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prove_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    first, last = ["doc_id", "source", "lang"], "text"
+    tampered = F.when(remainder(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    digest = lambda n_chars: merkle.leaf_digest(*map(F.col, first), n_chars, F.col(last))
+    rows = docs.select("doc_id", "lang", digest(F.col("n_chars")).alias("leaf"), digest(tampered).alias("changed"))
+    proved = merkle.build_manifest(rows, "lang", "doc_id", "leaf").proofs()
+    siblings = F.concat_ws("", F.transform("steps", lambda step: F.concat(step["left"], step["right"])))
+    folded = proved.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("steps")))
+    return folded.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

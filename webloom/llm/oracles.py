@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 OP9 = r"""
 with n as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
@@ -79,19 +81,24 @@ def _tree_sql(shards: int, out: str, source: str) -> str:
     return sql
 
 
-def _shard_sql(shards: int = 40) -> str:
+def _crc_sql(hx: str) -> str:
+    """CRC-32 of the bytes whose hexadecimal digits are the column ``hx``, four bits at a time."""
     table = list(range(16))
     for _ in range(4):
         table = [(v >> 1) ^ 0xEDB88320 if v & 1 else v >> 1 for v in table]
     half = lambda v: f"xor({v} >> 4, ({table}::bigint[])[1 + ({v} & 15)])"
     step = half(half("xor(c, x)"))
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length({hx}) // 2), lambda i: ('0x' || substr({hx}, 1 + 2 * i::int, 2))::bigint)),
+          lambda c, x: {step}), 4294967295::bigint)"""
+
+
+def _shard_sql(shards: int = 40) -> str:
     base = rf"""
       select doc_id, coalesce(doc_id::varchar, 'null') as id, coalesce(text, '') as t,
         hex(encode(coalesce(text, ''))) as hx from documents"""
     sized = rf"""
       select doc_id, id, (length(hx) // 2 + 16)::bigint as size,
-        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, 1 + 2 * i::int, 2))::bigint)),
-          lambda c, x: {step}), 4294967295::bigint) as text_crc32,
+        {_crc_sql("hx")} as text_crc32,
         {_HEX.format(text="'slot:' || id")} as h
       from ({base})"""
     placed = _tree_sql(shards + 1, "grown_shard", f"select * from ({_tree_sql(shards, 'shard', sized)})")
@@ -167,4 +174,81 @@ with recursive d as (
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, n_links::bigint as n_links, component_links::bigint as component_links from c join l using (component_id)
 """
 
-SQL = {"op1_join_similar": OP1, "op4_remove_repeats": OP4, "op5_find_contamination": OP5, "op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
+def _audit_sql(names: str = "ABCDE") -> str:
+    """Every order and step meets every cell of a part: (filters failed as bits) and its counts."""
+    steps = []
+    for order in permutations(range(len(names))):
+        label = "".join(names[k] for k in order)
+        steps += [f"('{label}', {step + 1}, {1 << k}, {sum(1 << j for j in order[:step])})" for step, k in enumerate(order)]
+    return rf"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), l as (
+  select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels where doc_id is not null group by doc_id
+), f as (
+  select doc_id, part,
+    (len(w) < 50)::int + 2 * (100 * list_unique(w) < 65 * len(w))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) over (partition by t), false)::int as bits
+  from d
+), c as (
+  select part, bits, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f left join l using (doc_id) group by all
+), s(filter_order, step, this, earlier) as (
+  values {", ".join(steps)}
+), r as (
+  select part, filter_order, step, this,
+    sum(case when bits & (earlier | this) = 0 then n else 0 end)::bigint as kept,
+    sum(case when bits & this > 0 and bits & earlier = 0 then n else 0 end)::bigint as removed,
+    sum(case when bits & this > 0 and bits & earlier > 0 then n else 0 end)::bigint as redundant,
+    sum(case when bits = this then n else 0 end)::bigint as unique_fails,
+    sum(case when bits & this > 0 and bits & earlier = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when bits & this > 0 and bits & earlier = 0 then toxic else 0 end)::bigint as toxic_lost
+  from c, s group by all
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) over (partition by part, this)::bigint as shapley
+from r
+"""
+
+
+def _merkle_sql() -> str:
+    """Levels of the runs by recursion, for langs and then over their roots; each row's proof climbs level by level."""
+    text = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+    digest = lambda n: "sha256(" + " || ".join(map(text, ("doc_id", "source", "lang", n, "text"))) + ")"
+    return f"""
+with recursive d as (
+  select doc_id, lang, {digest("n_chars")} as leaf,
+    case when {_crc_sql("hex(encode(coalesce(doc_id::varchar, '')))")} % 7 = 0 then {digest("(n_chars + 1)")} else {digest("n_chars")} end as changed
+  from documents
+), p as (
+  select *, row_number() over (partition by lang order by doc_id nulls last, leaf) - 1 as i, count(*) over (partition by lang) as n from d
+), t as (
+  select lang, 0 as level, i, n, leaf as h from p
+  union all
+  select lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from t where n > 1 group by lang, level, i // 2, (n + 1) // 2
+), s as (
+  select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as g, count(*) over () as n from t where n = 1
+), u as (
+  select 0 as level, g as i, n, subroot as h from s
+  union all
+  select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from u where n > 1 group by level, i // 2, (n + 1) // 2
+), x as (
+  select coalesce(lang, '-') || (lang is null) as k, level, i, n, h from t union all select 'over', level, i, n, h from u
+), c as (
+  select row_number() over () as r, doc_id, leaf, subroot, coalesce(p.lang, '-') || (p.lang is null) as k, g, 0 as level, p.i, p.n, changed as f, '' as path
+  from p join s on p.lang is not distinct from s.lang
+), w as (
+  select r, k, g, level, i, n, f, path from c
+  union all
+  select w.r, case when w.n = 1 then 'over' else w.k end, case when w.n = 1 then null else w.g end, case when w.n = 1 then 0 else w.level + 1 end,
+    case when w.n = 1 then w.g else w.i // 2 end, case when w.n = 1 then (select max(n) from s) else (w.n + 1) // 2 end,
+    case when w.n = 1 then w.f when x.h is null then sha256(w.f) when w.i % 2 = 0 then sha256(w.f || x.h) else sha256(x.h || w.f) end,
+    w.path || case when w.n = 1 then '' else coalesce(x.h, '') end
+  from w left join x on x.k = w.k and x.level = w.level and x.i = xor(w.i, 1)
+  where w.n > 1 or w.g is not null
+)
+select doc_id, leaf, subroot, root, sha256(w.path) as proof_sha256, w.f as folded_root, w.f = root as verified
+from c join (select r, f, path from w where k = 'over' and n = 1) w using (r), (select h as root from u where n = 1)
+"""
+
+
+SQL = {"op12_audit_filters": _audit_sql(), "op13_prove_documents": _merkle_sql(), "op1_join_similar": OP1, "op4_remove_repeats": OP4, "op5_find_contamination": OP5, "op3_mix_sources": _mix_sql(), "op6_shard_documents": _shard_sql(), "op9_exact_duplicates": OP9}
