@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import language, merkle, oracles, quality
+from webloom.llm import language, merkle, oracles, pieces, quality
 from webloom.llm.columns import remainder
 from webloom.llm.decontaminate import find_contamination
 from webloom.llm.exact_dedup import exact_duplicates
@@ -75,6 +76,14 @@ def op10_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_encode_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    vocabulary = pieces.read_vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+    decoded = pieces.decode(encoded, vocabulary)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
