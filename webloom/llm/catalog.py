@@ -78,10 +78,9 @@ def op10_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_encode_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     vocabulary = pieces.read_vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
-    decoded = pieces.decode(encoded, vocabulary)
+    both = pieces.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"], decoded="decoded")
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,8 @@ from webloom.plans.tables import spare
 MARK = "▁"
 #: Characters of a block of texts; a longer text is cut between its words.
 BLOCK_CHARS = 1 << 17
+#: Ids that are decoded at a time.
+BLOCK_IDS = 1 << 17
 NONE = np.iinfo(np.int32).max
 CODES = 0x110000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -282,32 +284,33 @@ def stretches(text: str, vocabulary: Vocabulary) -> Iterator[str]:
         yield text[at:]
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+def blocks(texts: Iterator[str]) -> Iterator[list[str]]:
     """Whole texts in blocks of bounded size; a longer text is a block of its own."""
-    at = size = 0
-    for k, text in enumerate(texts):
-        if k > at and size + len(text) > BLOCK_CHARS:
-            yield at, texts[at:k]
-            at, size = k, 0
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        if held and size + len(text) > BLOCK_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(text)
         size += len(text)
-    if at < len(texts):
-        yield at, texts[at:]
+    if held:
+        yield held
 
 
-def encode_texts(texts: list[str | None], vocabulary: Vocabulary, end: bool) -> Iterator[tuple[int, int, pa.ListArray]]:
-    """Ids of texts, in blocks: the first text's place, how many there are, and a list for each."""
-    marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-    for at, block in blocks(marked):
+def encode_texts(texts: Iterable[str | None], vocabulary: Vocabulary, end: bool) -> Iterator[pa.ListArray]:
+    """A list of ids for each text, in blocks, so that no more than a block or one long text is held besides the texts."""
+    marked = (MARK + t.replace(" ", MARK) if t else "" for t in texts)
+    for block in blocks(marked):
         if len(block) == 1 and len(block[0]) > BLOCK_CHARS:
             ids = np.concatenate([merge_texts([part], vocabulary)[0] for part in stretches(block[0], vocabulary)])
             counts = np.array([len(ids)])
         else:
             ids, counts = merge_texts(block, vocabulary)
-        ends = np.cumsum(counts)
         if end:
-            ids, counts = np.insert(ids, ends, vocabulary.end), counts + 1
+            ids, counts = np.insert(ids, np.cumsum(counts), vocabulary.end), counts + 1
         offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-        yield at, len(block), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))
 
 
 def surfaces(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,24 +338,24 @@ def one_by_one(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("webloom-bytes", one_by_one)
 
 
-def decode_lists(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[str]:
-    """The text of each list of ids."""
+def decode_lists(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, table: tuple[np.ndarray, np.ndarray, np.ndarray], start: bool = True) -> list[str]:
+    """The text of each list of ids; ``start``: a mark at its start is left out."""
     data, begins, sizes = table
     n = len(vocabulary.pieces)
     if len(ids) and (ids.min() < 0 or ids.max() >= n):
         raise ValueError("an id is not in the vocabulary")
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     shown = np.flatnonzero(~np.isin(ids, list(vocabulary.control)))
-    first = shown[np.append(True, owner[shown][1:] != owner[shown][:-1])] if len(shown) else shown
-    ids = ids.astype(np.int64)
-    ids[first] += n  # there, a mark at the start is left out
-    counts = sizes[ids]
+    used = ids.astype(np.int64)
+    if start and len(shown):
+        used[shown[np.append(True, owner[shown][1:] != owner[shown][:-1])]] += n
+    counts = sizes[used]
     upto = np.append(0, np.cumsum(counts))
-    raw = data[np.repeat(begins[ids] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+    raw = data[np.repeat(begins[used] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
     ends = upto[offsets].tolist()
     out = [raw[a:b].decode("utf-8", "webloom-bytes") for a, b in zip(ends, ends[1:], strict=False)]
     # bytes before and after a control id are no part of one character
-    byte = (ids % n >= vocabulary.first_byte) & (ids % n < vocabulary.first_byte + 256)
+    byte = (ids >= vocabulary.first_byte) & (ids < vocabulary.first_byte + 256)
     split = shown[1:][(np.diff(shown) > 1) & byte[shown[1:]] & byte[shown[:-1]] & (owner[shown[1:]] == owner[shown[:-1]])]
     for k in np.unique(owner[split]).tolist():
         cuts = [ends[k], *upto[split[owner[split] == k]].tolist(), ends[k + 1]]
@@ -360,8 +363,35 @@ def decode_lists(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, t
     return out
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: list[str] | None = None, end: bool = True, out: str = "ids") -> DataFrame:
-    """Adds the ids of every whole text, with an end id after them unless ``end`` is false.
+def decode_long(ids: np.ndarray, vocabulary: Vocabulary, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> str:
+    """The text of one long list, in stretches cut before pieces that are no bytes."""
+    whole = np.flatnonzero((ids >= vocabulary.first_byte + 256) | (ids < 0))
+    aims = np.searchsorted(whole, np.arange(BLOCK_IDS, len(ids), BLOCK_IDS))
+    cuts = np.unique(np.concatenate([[0], whole[aims[aims < len(whole)]], [len(ids)]]))
+    return "".join(decode_lists(ids[a:b], np.array([0, b - a]), vocabulary, table, start=a == 0)[0] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def decode_array(lists: pa.ListArray, vocabulary: Vocabulary, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.StringArray:
+    """The texts of lists, some of them at a time; null counts as an empty list."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    offsets = np.append(0, np.cumsum(sizes))
+    out: list[str] = []
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_IDS, side="right")) - 1)
+        part = ids[offsets[at] : offsets[stop]]
+        if len(part) > BLOCK_IDS:
+            out.append(decode_long(part, vocabulary, table))
+        else:
+            out += decode_lists(part, offsets[at : stop + 1] - offsets[at], vocabulary, table)
+        at = stop
+    return pa.array(out, pa.string())
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: list[str] | None = None, end: bool = True, out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the ids of every whole text, with an end id after them unless ``end`` is false, and under the name
+    ``decoded``, if given, the text that these ids stand for.
 
     A null text counts as empty and has the end id alone. ``keep`` names the columns that stay, all if not given;
     whatever they hold, repeated rows too, they pass through. An empty table gives no rows.
@@ -371,15 +401,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep
     (text,) = spare(docs, "whole_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = surfaces(shared.value)
         for batch in batches:
-            rows = batch.drop_columns([text])
-            for at, n, ids in encode_texts(batch[text].to_pylist(), shared.value, end):
-                part = rows.slice(at, n)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
+            rows, at = batch.drop_columns([text]), 0
+            for ids in encode_texts((t.as_py() for t in batch[text]), shared.value, end):
+                part = rows.slice(at, len(ids))
+                added = [ids] if decoded is None else [ids, decode_array(ids, shared.value, table)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *names])
+                at += len(ids)
 
-    kept = docs.select(*keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, f"{fields}, `{out}` array<int>")
+    names = [out] if decoded is None else [out, decoded]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    fields += [f"`{out}` array<int>", f"`{decoded}` string"][: len(names)]
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, ", ".join(fields))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -392,10 +426,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = surfaces(shared.value)
         for batch in batches:
-            lists = pc.fill_null(batch[ids_col], pa.scalar([], pa.list_(pa.int32()))) if batch[ids_col].null_count else batch[ids_col]
-            offsets = lists.offsets.to_numpy()
-            texts = decode_lists(lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0], shared.value, table)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_array(batch[ids_col], shared.value, table)], [*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, `{out}` string")
