@@ -7,17 +7,21 @@ of what the page table does not hold run on the made site of :mod:`webloom.site`
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom import model, oracles
+from webloom.functions import addresses, texts
 from webloom.functions import columns as C
-from webloom.operators import audits, comparison, extraction, link_graph, search, summaries
+from webloom.operators import audits, comparison, extraction, link_graph, search, summaries, variants
 from webloom.operators.walk import breadth_first, duplicate_bodies, resolve_redirects
+from webloom.plans.prefix import global_rank
 from webloom.plans.tables import Stash, table
-from webloom.site import HOME, site_pages
-from webloom.sources import api_pages, fetches, manifests, sitemaps
-from webloom.streaming.ingest import capture_counts, distinct_bodies
+from webloom.site import HOME, by, site_pages
+from webloom.sources import api_pages, fetches, manifests, sitemaps, stored
+from webloom.streaming.ingest import capture_counts, distinct_bodies, ingest_counted, page_stream
+from webloom.streaming.marks import mark_bodies, use_rocksdb
 
 
 def derived(pages: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ def sitemap_of(spark, sf_dir):
     """Every page's url, some of them renamed, and some in both forms."""
     url = F.concat("url", F.when(F.col("page_id") % 3 == 0, "-old").otherwise(""))
     both = F.when(F.col("page_id") % 7 == 1, F.array(url, F.concat(url, F.lit("-new")))).otherwise(F.array(url))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.explode(both).alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(both).alias("nth", "url")).select((2 * F.col("page_id") + F.col("nth")).alias("ord"), "url")
 
 
 def sitemap_missing(spark, sf_dir):
@@ -355,6 +359,32 @@ def address_classes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.is_private_address(ip).alias("is_private"))
 
 
+def address_kinds(spark, sf_dir):
+    """Addresses of both families, mapped and misspelt ones, as private or not."""
+    k = F.col("p_partkey")
+    hexed = lambda n, digits: F.lpad(F.lower(F.hex(n)), digits, "0")
+    v4 = F.concat_ws(".", *((k * m % 256).cast("string") for m in (3, 11, 17, 23)))
+    groups = F.concat_ws(":", hexed(k * 3 % 256 * 256 + k * 11 % 256, 4), hexed(k * 17 % 256 * 256 + k * 23 % 256, 4))
+    starts = F.array(*map(F.lit, ("fc", "fd", "fe80", "2001:db8", "2606:4700", "2002", "ff02", "::1", "::")))
+    start = F.element_at(starts, (F.expr("p_partkey div 6") % 9 + 1).cast("int"))
+    v6 = F.when(start.startswith("::"), start).when(F.length(start) == 2, F.concat(start, hexed(k % 256, 2), F.lit("::1"))).otherwise(F.concat(start, F.lit("::"), hexed(k % 65536, 4)))
+    forms = {0: v4, 1: v6, 2: F.concat(F.lit("::FFFF:"), v4), 3: F.concat(F.lit("::ffff:"), groups), 4: F.concat(v4, F.lit(".1")), 5: F.concat(F.lit("300."), v4)}
+    return table(spark, sf_dir, "part").select("p_partkey", addresses.is_private_address(by(k % 6, forms)).alias("is_private"))
+
+
+def address_networks(spark, sf_dir):
+    """Addresses of orders with each network of a table that holds them; a network for each part, of any width."""
+    k, c = F.col("p_partkey"), F.col("o_orderkey")
+    nets = table(spark, sf_dir, "part").where("p_partkey % 4 < 2").select(
+        F.when(k % 4 == 0, F.concat_ws(".", (k % 223 + 1).cast("string"), (k * 7 % 256).cast("string"), F.lit("0"), F.concat(F.lit("0/"), (8 + k % 17).cast("string"))))
+        .otherwise(F.concat(F.lit("2a"), F.lpad(F.lower(F.hex(k % 256)), 2, "0"), F.lit("::/"), (16 + k % 20).cast("string"))).alias("network")
+    ).distinct()
+    v4 = F.concat_ws(".", (c % 223 + 1).cast("string"), (c * 5 % 256).cast("string"), (c % 2).cast("string"), (c % 7).cast("string"))
+    v6 = F.concat(F.lit("2A"), F.lpad(F.lower(F.hex(c % 256)), 2, "0"), F.lit(":"), F.lower(F.hex(c % 3)), F.lit("::"), F.lower(F.hex(c % 5)))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.when(c % 2 == 0, v4).otherwise(v6).alias("ip"))
+    return addresses.match_networks(asked, nets).select("o_orderkey", "network")
+
+
 def redirect_ends(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("https://e.com/"), "p_partkey").alias("url"), "p_partkey")
     hops = parts.where("p_partkey % 3 = 0").select("url", F.concat(F.lit("https://e.com/"), F.expr("p_partkey div 3")).alias("location"))
@@ -404,12 +434,136 @@ def failing_extractor(spark, sf_dir):
     return found.select("ord", "last", F.concat_ws(",", "errors").alias("errors"), F.size("headings.headings").alias("headings"))
 
 
+def stored_fetches(spark, sf_dir):
+    """Fetches written as JSON lines, some of them broken, and read through the data source with pushed filters."""
+    k = F.col("page_id")
+    path = f"{Stash(spark, 'fetches').root}/captures"
+    status = F.when(k % 50 == 49, 503).when(k % 20 == 19, 404).otherwise(200)
+    fetched = table(spark, sf_dir, "pages").select(k.alias("page_id"), "url", status.cast("int").alias("status"), F.create_map(F.lit("X-Part"), k.cast("string")).alias("headers"), F.encode("html", "UTF-8").alias("body"))
+    line = F.to_json(F.struct("url", "status", "headers", F.base64("body").alias("body")))
+    # cut off, not JSON, and a body that is not base64
+    line = F.when(k % 23 == 5, F.substring(line, F.lit(1), F.length(line) - 9)).when(k % 23 == 6, "<html>").when(k % 23 == 7, F.regexp_replace(line, '"body":"', '"body":"*')).otherwise(line)
+    fetched.select(line.alias("value")).write.text(path)
+    read = stored.read_fetches(spark, path, range_bytes=100_000).where("status in (0, 404)")
+    return read.select("url", "status", F.octet_length("body").alias("bytes"), F.element_at("headers", "x-part").alias("part"), "error")
+
+
+def page_files(spark, sf_dir):
+    """Pages as files of raw bytes in five charsets, read again as text."""
+    k = F.col("page_id")
+    folder = f"{Stash(spark, 'files').root}/pages"
+    kind, tag = k % 5, F.lit("<meta charset='GB18030'>")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(kind == 3, F.concat(tag, "html")).otherwise(F.col("html")).alias("html"))
+    odd = F.arrow_udf(lambda texts: pa.array([t and t.encode("gb18030") for t in texts.to_pylist()], pa.binary()), "binary")
+    body = (
+        F.when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE"))).when(kind.isin(2, 3), odd(F.when(kind.isin(2, 3), F.col("html"))))
+        .when(kind == 4, F.encode("html", "UTF-16BE")).otherwise(F.encode("html", "UTF-8"))
+    )
+    named = pages.select(F.concat(k.cast("string"), F.lit(".html")).alias("name"), body.alias("body"))
+    stored.save_page_files(named, folder).write.format("noop").mode("overwrite").save()
+    header = F.when(kind == 2, "text/html; charset=gb2312").when(kind == 4, 'text/html; charset="UTF-16BE"')
+    typed = pages.select(F.concat(k.cast("string"), F.lit(".html")).alias("name"), header.alias("content_type"))
+    read = stored.read_page_files(spark, folder, typed)
+    return read.select("name", "charset", F.sha2("html", 256).alias("html_sha256"))
+
+
+def stream_marks(spark, sf_dir):
+    """Every row of a stream, marked where its body came before, kept by state."""
+    use_rocksdb(spark)
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    user = F.col("user_id").cast("string")
+    body = F.when(F.col("event_id") % 10 == 0, "").otherwise(F.concat_ws(" ", user, "event_type"))
+    rows = stream.select("event_id", body.alias("html"), F.col("ts").cast("timestamp").alias("captured_at"))
+    stash = Stash(spark, "marks")
+    marked = mark_bodies(rows, ["event_id"], ["event_id"])
+    query = marked.writeStream.format("parquet").option("path", f"{stash.root}/marked").option("checkpointLocation", f"{stash.root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(marked.schema).parquet(f"{stash.root}/marked")
+
+
+def observed_search(spark, sf_dir):
+    """A page of results, the number of all matches, and of pages read, from one execution."""
+    found = search.search_once(derived(table(spark, sf_dir, "pages")), Stash(spark, "search"), keyword="AN", words=(40, None), url_pattern="example", limit=50, offset=5)
+    return found.withColumn("flags", F.concat_ws(",", "flags"))
+
+
+def stream_metrics(spark, sf_dir):
+    """Pages extracted on a stream: how many there were, and on how many each extractor failed, by a listener."""
+
+    def fragile(page):
+        if "7" in page.url.rsplit("/", 1)[1]:
+            raise ValueError("seven")
+        return "ok"
+
+    stash = Stash(spark, "metrics")
+    site_pages(spark, sf_dir).select("url", "html", F.current_timestamp().alias("captured_at")).repartition(3).write.parquet(f"{stash.root}/in")
+    counts = ingest_counted(page_stream(spark, f"{stash.root}/in", 1), f"{stash.root}/out", f"{stash.root}/state", ("headings",), {"last": ("string", fragile)})
+    return spark.createDataFrame([tuple(counts[c] for c in ("rows", "failed", "failed_headings", "failed_last"))], "rows long, failed long, failed_headings long, failed_last long")
+
+
+def ranked_pages(spark, sf_dir):
+    """The place of every page by depth and url, in the order of readers: a before A before an accented a before b."""
+    k = F.col("p_partkey")
+    letter = F.element_at(F.array(*map(F.lit, "aAáÁbBéÉ")), (k % 8 + 1).cast("int"))
+    pages = table(spark, sf_dir, "part").select(k.alias("ord"), (k % 3).cast("int").alias("depth"), F.concat(F.lit(HOME), letter, F.lpad((F.expr("p_partkey div 16")).cast("string"), 7, "0")).alias("url"))
+    return link_graph.ranked(pages, Stash(spark, "ranks")).select("ord", "rank")
+
+
+def ranked_lists(spark, sf_dir):
+    """Sinks by depth and url, single paths by url, hubs by links: each with the place of its rows."""
+    stash = Stash(spark, "lists")
+    graph = link_graph.link_graph(site(spark, sf_dir, "seo", "links"))
+    lists = {
+        "sink": link_graph.ranked(link_graph.sinks(graph).select("url", "depth"), stash), "single_path": link_graph.ranked(link_graph.single_path(graph).select("url"), stash, ("url",)),
+        "broken": global_rank(stash.put(graph.broken.select("url", "href", "ord", "pos"), "broken"), stash, [F.asc("url"), F.asc("ord"), F.asc("pos")], "rank"),
+    }
+    return union_of({name: rows.select("url", "rank") for name, rows in lists.items()}, "list")
+
+
+def json_values(spark, sf_dir):
+    """Every value in the structured data of the site, with its path."""
+    blocks = site(spark, sf_dir, "schema").select("ord", F.posexplode("schema.blocks").alias("nth", "b")).select("ord", "nth", "b.raw")
+    return variants.flatten_json(blocks, ["ord", "nth"], "raw")
+
+
+def nested_items(spark, sf_dir):
+    """Items three segments down, one of them a place in an array, with a value inside each."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("api"), F.lit(0).alias("page_no"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: F.struct(F.struct(F.array(F.struct(t["role"].alias("name"))).alias("who")).alias("by"), t["turn"].alias("turn")))
+    body = F.concat(F.lit('{"data": {"pages": [{"x": 1}, {"hits": '), F.to_json(items), F.lit('}]}, "meta": {"count": {"n": '), F.count("*").cast("string"), F.lit("}}}"))
+    found, summary = api_pages.collect_items(turns.agg(body.alias("body")).withColumn("status", F.lit(200)), page_size=1, results_path="data.pages.1.hits", total_path="meta.count.n")
+    item = F.parse_json("item")
+    each = found.select("api", variants.at_path(item, "turn", "bigint").alias("turn"), variants.at_path(item, "by.who.0.name", "string").alias("role"), variants.at_path(item, "by.who.1.name", "string").alias("none"))
+    return each.join(summary.select("api", "natural_end"), "api")
+
+
+def seeded_locations(spark, sf_dir):
+    """Seeds of a sitemap, with references of every kind decoded once."""
+    k = F.col("p_partkey").cast("string")
+    forms = ("&#38;", "&#x26;", "&#X2F;", "&amp;lt;", "&lt;&gt;&quot;&apos;", "&nosuch;", "&amp", "&#xD800;", "&#0;", "&#128512;", "&#1114112;", "&")
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("p_partkey") % len(forms) + 1).cast("int"))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<urlset><url><loc>"), F.lit(HOME), k, F.lit("?a"), form, F.lit("b;&#233;</loc></url></urlset>")).alias("xml"))
+    return sitemaps.seed_locations(files).select("p_partkey", "url")
+
+
+def text_functions(spark, sf_dir):
+    """White space, words and tags of texts, and maps without known keys, by functions of the JVM."""
+    text = F.concat(F.lit("\u00a0\ufeff \t"), F.regexp_replace("text", " ", "\u3000 "), F.lit("\u2028\u00a0"))
+    made = F.map_from_arrays(F.array(F.lit("og:title"), F.lit("og:x"), "role"), F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.sha2(texts.collapsed(text), 256).alias("collapsed"), F.sha2(texts.trimmed(text), 256).alias("trimmed"), texts.word_count(text).cast("long").alias("words"),
+        texts.without_tags(F.concat(F.lit("<p class='x'>"), F.substring("text", 1, 20), F.lit("</p>a < b"))).alias("bare"), F.array_join(F.map_keys(texts.other_keys(made, ("og:title",))), ",").alias("others"),
+    )
+
+
 QUERIES = (
     page_flags, search_pages, search_matches, status_distribution, depth_distribution, flag_totals, word_statistics, word_buckets, top_linked, external_hosts, page_links,
     url_depths, url_keys, vault_paths, url_scopes, followed_links, page_graph, broken_links, part_degrees, part_orphans, part_totals, part_hubs, part_levels, sitemap_missing, sitemap_extra,
     sitemap_gap_counts, undiscovered, duplicate_documents, heading_summary, heading_distribution, meta_summary, image_summary, schema_summary, articles, client_pages,
     site_flags, flagged_descriptions, meta_pages, heading_pages, worst_images, schema_types, schema_skus, single_paths, loose_pages, site_gaps, sitemap_totals,
     stream_bodies, failing_extractor, sitemap_histograms, sitemap_since, index_entries, robots_allowed, saved_pages, saved_results, sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,
+    stored_fetches, page_files, stream_marks, observed_search, stream_metrics, ranked_pages, ranked_lists, json_values, nested_items, address_kinds, address_networks, seeded_locations, text_functions,
 )
 
 

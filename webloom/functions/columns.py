@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webloom.functions import hints, urls
+from webloom.functions.addresses import is_private_address  # noqa: F401
 
 
 def mapped(function: Callable, kind: str) -> Callable[[Column | str], Column]:
@@ -93,36 +94,3 @@ def in_scope_of(url: Column | str, domain: str, include: tuple[str, ...] = (), e
 
 def seen_key(column: Column | str) -> Column:
     return F.substring_index(column, "#", 1)
-
-
-def _in_private_network(octets: Column, valid: Column) -> Column:
-    """Whether four numbers are an address of a private network; what is no address counts as private."""
-    value = F.aggregate(octets, F.lit(0).cast("long"), lambda sum_, x: sum_ * 256 + x)
-    found = F.lit(False)
-    for network in hints.PRIVATE_NETWORKS:
-        start, bits = network.split("/")
-        first = 0
-        for part in start.split("."):
-            first = first * 256 + int(part)
-        found = found | (F.shiftright(value, 32 - int(bits)) == first >> (32 - int(bits)))
-    return F.when(valid, found).otherwise(True)
-
-
-def _is_private_v4(ip: Column) -> Column:
-    valid = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    octets = F.transform(F.split(F.when(valid, ip).otherwise("0.0.0.0"), r"\."), lambda x: x.cast("long"))
-    return _in_private_network(octets, valid & ~F.exists(octets, lambda x: x > 255))
-
-
-def is_private_address(column: Column | str) -> Column:
-    """Private, loopback, link-local or reserved; what is no address counts as private, null is null."""
-    low = F.lower(F.col(column) if isinstance(column, str) else column)
-    rest = F.regexp_replace(low, "^::ffff:", "")
-    is_pair = rest.rlike("^[0-9a-f]{1,4}:[0-9a-f]{1,4}$")
-    halves = F.transform(F.split(F.when(is_pair, rest).otherwise("0:0"), ":"), lambda x: F.conv(x, 16, 10).cast("long"))
-    octets = F.flatten(F.transform(halves, lambda x: F.array(F.shiftright(x, 8), x % 256)))
-    v6 = low.isin("::", "::1")
-    for start in hints.PRIVATE_STARTS:
-        v6 = v6 | low.startswith(start)
-    mapped_v6 = F.when(rest.contains("."), _is_private_v4(rest)).when(is_pair, _in_private_network(octets, F.lit(True))).otherwise(v6)
-    return F.when(~low.contains(":"), _is_private_v4(low)).when(low.startswith("::ffff:"), mapped_v6).otherwise(v6)

@@ -11,10 +11,10 @@ from webloom.plans.tables import Stash
 
 
 def last_by_key(rows: DataFrame, *columns: Column | str) -> DataFrame:
-    """(key, columns): the last row, by ``ord``, of each key."""
-    keyed = rows.select("ord", graph_key_of("url").alias("key"), *columns)
-    kept = [c for c in keyed.columns if c not in ("ord", "key")]
-    return keyed.groupBy("key").agg(F.max_by(F.struct(*kept), "ord").alias("last")).select("key", "last.*")
+    """(key, columns): the last row of each key, by ``ord`` and, where that is the same, by the url's code points."""
+    keyed = rows.select("ord", graph_key_of("url").alias("key"), F.col("url").alias("tie"), *columns)
+    kept = [c for c in keyed.columns if c not in ("ord", "key", "tie")]
+    return keyed.groupBy("key").agg(F.max_by(F.struct(*kept), F.struct("ord", "tie")).alias("last")).select("key", "last.*")
 
 
 def sitemap_gaps(snapshot: DataFrame, sitemap: DataFrame) -> tuple[DataFrame, DataFrame]:

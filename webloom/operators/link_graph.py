@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.columns import graph_key_of
+from webloom.plans.prefix import global_rank
 from webloom.plans.tables import Stash
 
 
@@ -74,6 +75,12 @@ def by_depth_and_url(rows: DataFrame) -> DataFrame:
     return rows.orderBy("depth", F.collate("url", "UNICODE"))
 
 
+def ranked(rows: DataFrame, stash: Stash, by: tuple[str, ...] = ("depth", "url")) -> DataFrame:
+    """Adds ``rank``, the place of each row from 0 in the order of ``by``; urls stand as readers sort them."""
+    order = [F.asc(F.collate(c, "UNICODE") if c == "url" else c) for c in by]
+    return global_rank(stash.put(rows, "rows"), stash, order, "rank")
+
+
 def top_pages(graph: LinkGraph, by: str = "in_links", limit: int = 25, tie: Column | str = "ord") -> DataFrame:
     return graph.nodes.orderBy(F.desc(by), tie).limit(limit)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators.extraction import extract_records
+from webloom.plans.metrics import observed
+from webloom.plans.tables import Stash
 
 #: Words under which a page counts as thin, and the bounds of good titles and descriptions.
 THIN, TITLE, DESCRIPTION = 150, (30, 60), (50, 160)
@@ -75,6 +77,11 @@ def search_pages(snapshot: DataFrame, limit: int = 20, offset: int = 0, fields:
 
 def search_captures(pages: DataFrame, limit: int = 20, offset: int = 0, fields: tuple[str, ...] = PAGE_FIELDS, **conditions) -> tuple[DataFrame, DataFrame]:
     """:func:`search_pages` of captured pages (with html): conditions on plain columns hold before any page is read."""
+    return search_pages(extract_records(prefiltered(pages, conditions), ("seo",)), limit, offset, fields, **conditions)
+
+
+def prefiltered(pages: DataFrame, conditions: dict) -> DataFrame:
+    """The pages that conditions on plain columns leave."""
     if conditions.get("url_pattern"):
         pages = pages.where(F.col("url").contains(conditions["url_pattern"]))
     if conditions.get("status_code") is not None:
@@ -84,7 +91,19 @@ def search_captures(pages: DataFrame, limit: int = 20, offset: int = 0, fields:
         pages = pages.where("is_duplicate")
     elif flag in ("ERR_4XX", "ERR_5XX"):
         pages = pages.where(F.col("status_code").between(400, 499) if flag == "ERR_4XX" else F.col("status_code") >= 500)
-    return search_pages(extract_records(pages, ("seo",)), limit, offset, fields, **conditions)
+    return pages
+
+
+def search_once(pages: DataFrame, stash: Stash, limit: int = 20, offset: int = 0, fields: tuple[str, ...] = PAGE_FIELDS, **conditions) -> DataFrame:
+    """:func:`search_captures` in one execution: the page of results, on each row with ``total_matched``, ``pages_read`` and
+    ``pages_failed`` as they were observed on the way.
+
+    Captured pages are read, extracted and counted once. No match gives no rows.
+    """
+    snapshot, read = observed(extract_records(prefiltered(pages, conditions), ("seo",)), F.count(F.lit(1)).alias("pages_read"), F.count_if(F.size("errors") > 0).alias("pages_failed"))
+    found, matched = observed(filter_pages(project_pages(snapshot), **conditions), F.count(F.lit(1)).alias("total_matched"))
+    page = stash.put(page_of(found, limit, offset).select(*fields), "page")
+    return page.select("*", *(F.lit(v).cast("long").alias(name) for name, v in (matched.get | read.get).items()))
 
 
 def filter_sitemap(entries: DataFrame, url_pattern: str = "", modified_after: str = "") -> DataFrame:

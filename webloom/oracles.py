@@ -53,8 +53,8 @@ _GAPS = _PAGES + rf""", captured as (
   select *, row_number() over (partition by key order by ord desc) as r from keyed where not is_duplicate
 ), listed as (
   select *, row_number() over (partition by key order by ord desc) as r from (
-    select page_id as ord, u as url, {_KEY.format(c="u")} as key from (select page_id, unnest(case when page_id % 7 = 1 then [v, v || '-new'] else [v] end) as u
-      from (select page_id, url || case when page_id % 3 = 0 then '-old' else '' end as v from pages)))
+    select ord, u as url, {_KEY.format(c="u")} as key from (select unnest([2 * page_id, 2 * page_id + 1]) as ord, unnest(case when page_id % 7 = 1 then [v, v || '-new'] else [v, null] end) as u
+      from (select page_id, url || case when page_id % 3 = 0 then '-old' else '' end as v from pages)) where u is not null)
 ), missing as (
   select url from listed where r = 1 and key not in (select key from captured)
 ), extra as (
@@ -200,4 +200,40 @@ SQL = {
     "fetch_classes": _PAGES + """select ord, status_code = 200 as is_ok, status_code >= 400 as is_broken, true as is_html, status_code = 503 as is_blocked, octet_length(encode(html)) > 2000 as truncated,
         least(2000, octet_length(encode(html)))::int as kept_bytes from snap""",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as captures from events group by all",
+    "stored_fetches": """with p as (select *, case when page_id % 50 = 49 then 503 when page_id % 20 = 19 then 404 else 200 end as s from pages)
+        select case when page_id % 23 not in (5, 6) then url end as url, case when page_id % 23 in (5, 6, 7) then 0 else s end::int as status,
+          case when page_id % 23 not in (5, 6, 7) then octet_length(encode(html)) end::int as bytes, case when page_id % 23 not in (5, 6, 7) then page_id::varchar end as part,
+          case when page_id % 23 in (5, 6) then 'unreadable record: JSONDecodeError' when page_id % 23 = 7 then 'unreadable body' end as error
+        from p where page_id % 23 in (5, 6, 7) or s = 404""",
+    "page_files": """select page_id || '.html' as name, case page_id % 5 when 1 then 'utf-16le' when 2 then 'gb2312' when 3 then 'gb18030' when 4 then 'utf-16be' else 'utf-8' end as charset,
+        sha256(case when page_id % 5 = 3 then '<meta charset=''GB18030''>' else '' end || html) as html_sha256 from pages""",
+    "stream_marks": """select event_id, event_id % 10 <> 0 and row_number() over (partition by user_id, event_type, event_id % 10 = 0 order by event_id) > 1 as is_duplicate from events""",
+    "observed_search": _PAGES + """, m as (select * from flagged where contains(lower(title || ' ' || h1 || ' '), 'an') and word_count >= 40 and contains(url, 'example'))
+        select url, status_code, depth, title, h1, description, word_count, article_word_count, flags, (select count(*) from m) as total_matched,
+          (select count(*) from snap where contains(url, 'example')) as pages_read, 0::bigint as pages_failed from m order by ord limit 50 offset 5""",
+    "stream_metrics": _SITE + "select count(*) as rows, count(*) filter (contains(k::varchar, '7')) as failed, 0::bigint as failed_headings, count(*) filter (contains(k::varchar, '7')) as failed_last from site",
+    "ranked_pages": """select p_partkey as ord, row_number() over (order by (p_partkey % 3), (case p_partkey % 8 when 4 then 1 when 5 then 1 when 6 then 2 when 7 then 2 else 0 end), p_partkey // 16,
+        p_partkey % 8) - 1 as rank from part""",
+    "ranked_lists": _SITE + """, loose as (select url, depth from shown where k not in (select k from edges)), one as (select s.url from shown s where k in (select t from edges group by t having count(*) = 1)),
+        gone as (select ord, pos, url, t from links where t not in (select k from shown))
+        select 'sink' as list, url, row_number() over (order by depth, url) - 1 as rank from loose union all select 'single_path', url, row_number() over (order by url) - 1 from one
+        union all select 'broken', url, row_number() over (order by url, ord, pos) - 1 from gone""",
+    "json_values": _SITE + """, v as (select ord, 0 as nth, unnest(case when k % 3 = 1 then [('@type', 'STRING', 'Product')] else [('@type.0', 'STRING', 'Product'), ('@type.1', 'STRING', 'Thing'), ('sku', 'BIGINT', k::varchar)] end) as x
+          from site where k % 3 > 0 union all select ord, 1, ('@type', 'STRING', 'Offer') from site where k % 3 = 2)
+        select ord, nth, x[1] as path, x[2] as type, x[3] as value from v""",
+    "nested_items": "select conv_id as api, turn::bigint as turn, role, null::varchar as none, true as natural_end from conversations",
+    "address_kinds": """with a as (select p_partkey as k, p_partkey % 6 as f, p_partkey * 3 % 256 as a, p_partkey * 11 % 256 as b, p_partkey * 17 % 256 as c, (p_partkey // 6) % 9 as s from part)
+        select k as p_partkey, case when f = 1 then s not in (3, 4) when f in (4, 5) then true else
+          a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and (b = 168 or (b = 0 and c = 2)))
+          or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113) end as is_private from a""",
+    "address_networks": """with n as (select distinct p_partkey % 4 = 0 as v4, case when p_partkey % 4 = 0 then (p_partkey % 223 + 1) * 16777216 + (p_partkey * 7 % 256) * 65536 else p_partkey % 256 end as ip,
+          case when p_partkey % 4 = 0 then 8 + p_partkey % 17 else 16 + p_partkey % 20 end as bits,
+          case when p_partkey % 4 = 0 then concat_ws('.', p_partkey % 223 + 1, p_partkey * 7 % 256, 0, 0) else '2a' || printf('%02x', p_partkey % 256) || '::' end as name from part where p_partkey % 4 < 2),
+        o as (select o_orderkey, o_orderkey % 2 = 0 as v4, (o_orderkey % 223 + 1) * 16777216 + (o_orderkey * 5 % 256) * 65536 + (o_orderkey % 2) * 256 + o_orderkey % 7 as ip, o_orderkey % 256 as low, o_orderkey % 3 as mid from orders)
+        select o_orderkey, name || '/' || bits as network from o join n on o.v4 = n.v4
+          and case when o.v4 then o.ip >> (32 - bits) = n.ip >> (32 - bits) else o.low = n.ip and o.mid >> greatest(0, 32 - bits) = 0 end""",
+    "seeded_locations": """select p_partkey, 'https://site.example/p/' || p_partkey || '?a' || case p_partkey % 12 when 0 then '&' when 1 then '&' when 2 then '/' when 3 then '&lt;' when 4 then '<>"''' when 5 then '&nosuch;'
+        when 6 then '&amp' when 7 then '&#xD800;' when 8 then '&#0;' when 9 then '😀' when 10 then '&#1114112;' else '&' end || 'b;é' as url from part""",
+    "text_functions": r"""select conv_id, turn, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) as collapsed,
+        sha256(replace(trim(text, ' '), ' ', chr(12288) || ' ')) as trimmed, len(regexp_extract_all(text, '\S+')) as words, ' ' || substr(text, 1, 20) || ' a < b' as bare, 'og:x,' || role as others from conversations""",
 }

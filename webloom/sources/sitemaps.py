@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.texts import decoded
+
 
 def tag_text(xml: Column, name: str) -> Column:
     """The trimmed text of the first such tag, null if there is none or it is empty."""
@@ -45,8 +47,5 @@ def expand_index(root: DataFrame, files: DataFrame, max_urls: int = 5000) -> Dat
 
 
 def seed_locations(files: DataFrame, xml: str = "xml") -> DataFrame:
-    """Locations that seed a capture; here XML entities are decoded."""
-    text = F.col("url")
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return parse_urlset(files, xml).withColumn("url", text)
+    """Locations that seed a capture; here the XML character references are decoded, once."""
+    return parse_urlset(files, xml).withColumn("url", decoded(F.col("url")))

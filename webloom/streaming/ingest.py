@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators.extraction import extract_records
+from webloom.plans.metrics import RunMetrics, page_metrics
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
@@ -32,3 +33,21 @@ def ingest(pages: DataFrame, target: str, checkpoint: str, records: tuple[str, .
     """Starts a query that appends extracted pages to a Parquet table and ends when the input is read."""
     extracted = extract_records(pages, records)
     return extracted.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_counted(pages: DataFrame, target: str, checkpoint: str, records: tuple[str, ...] = ("seo",), more: dict | None = None) -> dict[str, int]:
+    """:func:`ingest` to the end of the input, and what its batches counted: rows, failed rows, failures by extractor.
+
+    The counts are taken as the rows pass, so no batch is read twice; those of a restarted query are of what it read since.
+    """
+    spark = pages.sparkSession
+    metrics = RunMetrics("pages")
+    spark.streams.addListener(metrics)
+    try:
+        extracted = extract_records(pages, records, more)
+        counted = extracted.observe("pages", *page_metrics(extracted.columns, (*records, *(more or ()))))
+        query = counted.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return metrics.totals(str(query.id))
+    finally:
+        spark.streams.removeListener(metrics)
