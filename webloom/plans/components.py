@@ -14,14 +14,15 @@ def _toward_least(stash: Stash, links: DataFrame) -> DataFrame:
     return links.join(bounded(least), "u")
 
 
-def connected_components(edges: DataFrame, stash: Stash, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, stash: Stash) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b); the component is its least node.
 
     Only aggregations and joins are used: a hub's edges are never gathered in one place. Each round's edges
-    are written to shared storage, so the plan stays short and a lost executor costs little.
+    are written to shared storage, so the plan stays short and a lost executor costs little. Rounds go on until
+    nothing changes, which takes about as many as the longest path has binary digits.
     """
     now = stash.put(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_least(stash, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stash.put(large.where("u != v").distinct(), "large")
@@ -33,6 +34,4 @@ def connected_components(edges: DataFrame, stash: Stash, rounds: int = 40) -> Da
         loose = parents.join(now.select(F.col("v").alias("u"), F.lit(True).alias("above")).distinct(), "u", "left").where("parents > 1 or above")
         if loose.isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

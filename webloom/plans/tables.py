@@ -100,10 +100,25 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(path(s.getPath(), "_SUCCESS"))]
 
 
-#: Rows of a few numbers each that may be broadcast: some 16 to 50 MB in memory.
-BROADCAST_ROWS = 1_000_000
+#: Bytes in memory of a table that may be broadcast, and what a row and a cell take there besides their text.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES, CELL_BYTES = 32, 8
 
 
-def bounded(written: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table of narrow rows for broadcast if its counted rows are few; else joins shuffle it."""
-    return F.broadcast(written) if written.count() <= most else written
+def bounded(written: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a written table for broadcast if it is small as counted: its rows, cells, texts and numbers in arrays.
+
+    Else, and if it has cells of other shapes, joins shuffle it.
+    """
+    sizes = []
+    for f in written.schema:
+        kind, name = f.dataType.typeName(), f"`{f.name}`"
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(name))
+        elif kind == "array" and f.dataType.elementType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
+            sizes.append(F.greatest(F.size(name), F.lit(0)) * CELL_BYTES)
+        elif kind in ("array", "map", "struct", "variant"):
+            return written
+    rows, *sums = written.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(s), F.lit(0)) for s in sizes)).first()
+    size = rows * (ROW_BYTES + CELL_BYTES * len(written.columns)) + sum(sums)
+    return F.broadcast(written) if size <= most else written
