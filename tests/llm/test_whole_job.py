@@ -1,6 +1,7 @@
 """Links, deep and wrapped pages: what an operator must not leave out."""
 
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -71,3 +72,38 @@ def test_wrapped_pages():
     assert main_text(f"<body><div id=content>{article}</div><form><p>Your mail, please, for our news.</p></form>{comments}</body>") == want
     # nothing else is there
     assert main_text("<body><div class=comments><p>Nice, very nice, truly nice post.</p></div></body>") == "Nice, very nice, truly nice post."
+
+
+def marked(k, n=30):
+    return "<p>" + " ".join(f"w{k}x{j}" for j in range(n)) + ".</p>"
+
+
+SPLIT_PAGES = {
+    "rows": "".join(f"<div class=row><div class=col>{marked(k)}</div></div>" for k in range(4)),
+    "short row": "".join(f"<div class=row><div class=col>{marked(k, n)}</div></div>" for k, n in ((0, 80), (1, 5), (2, 60))),
+    "no names": "".join(f"<div><div>{marked(k)}</div></div>" for k in range(5)),
+    "layout table": "<table>" + "".join(f"<tr><td>{marked(k)}</td></tr>" for k in range(2)) + "</table>",
+    "articles": "<main>" + "".join(f"<article>{marked(k)}</article>" for k in range(3)) + "</main>",
+    "sections": "<div>" + "".join(f"<section><h2>w{k}head</h2>{marked(k, 30 + 10 * k)}{marked(k + 10, 40)}</section>" for k in range(3)) + "</div>",
+    "tabs": "<div class=tabs>" + "".join(f"<div class=tab-pane><div>{marked(k)}</div></div>" for k in range(3)) + "</div>",
+    "deep": "<div><div>" + "".join(f"<div><div><div>{marked(k)}{marked(k + 5, 20)}</div></div></div>" for k in range(3)) + "</div></div>",
+    "formula": "<div><p>w0x0 <math><mi>w0x1</mi></math> w0x2 <code>w0x3</code> " + " ".join(f"w0x{k}" for k in range(4, 30)) + "</p></div>",
+}
+
+
+@pytest.mark.parametrize("name", SPLIT_PAGES)
+@pytest.mark.parametrize("around", ["<body>{}</body>", "<body><div>{}</div></body>", "<body><div id=wrap><div>{}</div></div></body>"])
+def test_split_articles(name, around):
+    beside = "<nav><a href=/>Home</a> <a href=/b>About us</a></nav>{}<div class=sidebar><p>Beside the text, some words, of course.</p></div><div class=comments><p>Nice, very nice, truly nice post.</p></div><footer><p>All rights</p></footer>"
+    html = around.format(beside.format(SPLIT_PAGES[name]))
+    text = main_text(html)
+    assert set(re.findall(r"w\d+(?:x\d+|head)", text)) == set(re.findall(r"w\d+(?:x\d+|head)", html))
+    places = [int(m) for m in re.findall(r"w(\d+)x0\b", text)]
+    assert places == [int(m) for m in re.findall(r"w(\d+)x0\b", html)]
+    assert not re.search("Home|About|Beside|Nice|rights", text)
+
+
+def test_unlike_neighbours():
+    """A short closing line, and teasers of other texts, are no part of it."""
+    text = main_text(f"<body><div><div>{marked(0, 80)}{marked(1, 80)}</div></div><div><p>Copyright all of us here.</p></div><div><article><a href=/x>Another story of the day</a></article></div></body>")
+    assert "w1x79" in text and "Copyright" not in text and "Another" not in text

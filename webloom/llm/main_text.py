@@ -5,7 +5,8 @@ they are (navigation, scripts, hidden parts) are struck out. Every paragraph pas
 commas to its ancestors, the full sum to the parent, half to the grandparent, and ever less above; a container's
 points are discounted by the share of its text that stands in links. Names of classes and ids only weigh: below a
 name like that of boilerplate, paragraphs pass on a part of their points. The container with the most points,
-together with those siblings that score or read like text, or the article element around it, is the main text.
+together with those siblings that score or read like text, or the article element around it, is the main text; and so is,
+on every level above, what holds paragraphs of like points: other rows, columns, sections or articles of the same text.
 Only then do elements with such names go, and none that holds the best container.
 """
 
@@ -22,7 +23,7 @@ from webloom.functions.page_tree import EDGE, PageTree
 
 # Elements, roles and words of class names, in natural order.
 STRUCK_TAGS = frozenset((
-    "head", "script", "style", "noscript", "template", "svg", "math", "nav", "aside", "footer", "button", "input", "select", "textarea", "title", "iframe", "object",
+    "head", "script", "style", "noscript", "template", "svg", "nav", "aside", "footer", "button", "input", "select", "textarea", "title", "iframe", "object",
     "embed", "canvas", "audio", "video", "map", "dialog", "menu", "noembed", "noframes", "datalist", "search",
 ))
 STRUCK_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"))
@@ -53,6 +54,8 @@ GOOD_WORDS = frozenset(("article", "body", "content", "entry", "main", "page", "
 HEADED_WORDS = frozenset(("article", "content", "entry", "post", "story"))
 #: What part of their points paragraphs pass on below an element with such a name, or in a form.
 BESIDE_WEIGHT, FRAME_WEIGHT = 0.02, 0.25
+#: The part of the text's points that makes a neighbour on a level above part of the text.
+LIKE = 0.25
 KEPT_TAGS = frozenset(("html", "body", "main"))
 BASE_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "address": -3}
 INLINE = frozenset(("p", "span", "b", "i", "em", "strong", "a"))
@@ -139,11 +142,13 @@ def choose(page: PageTree, out: list[bool], weight: list[float]) -> tuple[list[i
             total[page.parent[i]] += total[i]
         titled[page.parent[i]] |= titled[i]
     points: dict[int, float] = {}
+    raw = [0.0] * n  # points of the paragraphs inside
     for i in range(1, n):
         tag = page.tag[i]
         if out[i] or not size[i] or not (tag in PARAGRAPHS or (tag in ("div", "section", "article", "main") and direct[i] > 0)):
             continue
         own = ((1 + commas[i] if size[i] >= 25 else 0.0) + min(size[i] / 100, 3) * (1 - linked[i] / size[i])) * passed[i]
+        raw[i] += own
         up, level = holder[i if tag not in PARAGRAPHS else page.parent[i]], 0
         while up > 0 and level < 6:
             if up not in points:
@@ -152,6 +157,8 @@ def choose(page: PageTree, out: list[bool], weight: list[float]) -> tuple[list[i
             points[up] += own / (1 if level == 0 else 2 if level == 1 else 3 * level)
             level += 1
             up = holder[page.parent[up]]
+    for i in range(n - 1, 0, -1):
+        raw[page.parent[i]] += raw[i]
     scores = {i: p * (1 - linked[i] / max(1, size[i])) for i, p in points.items() if page.tag[i] not in ("html",) and not out[i]}
     if not scores:
         return [0], 0
@@ -159,7 +166,7 @@ def choose(page: PageTree, out: list[bool], weight: list[float]) -> tuple[list[i
     up = best
     while up > 0:  # the article around the best container is the unit that authors mark
         if page.tag[up] == "article" or page.attrs[up].get("itemprop") == "articleBody" or page.attrs[up].get("role") == "article":
-            return [up], best
+            return [up, *like_above(page, out, weight, up, size, linked, raw)], best
         up = page.parent[up]
     if page.tag[best] in ("main", "body"):
         return [best], best
@@ -173,7 +180,34 @@ def choose(page: PageTree, out: list[bool], weight: list[float]) -> tuple[list[i
         if i == best or (not out[i] and weight[i] >= weight[best] and like):
             chosen.append(i)
         i = page.end[i]
-    return chosen, best
+    return [*chosen, *like_above(page, out, weight, page.parent[best], size, linked, raw)], best
+
+
+def like_above(page: PageTree, out: list[bool], weight: list[float], path: int, size: list[int], linked: list[int], raw: list[float]) -> list[int]:
+    """On each level above a node that holds the text, the neighbours that hold like text, and what reads like it beside them.
+
+    A neighbour is like the text if its paragraphs have a good part of the text's points, or if it is an element of the
+    same kind with the same names.
+    """
+    found: list[int] = []
+    base, own = raw[path], weight[path]
+    while path > 0 and page.tag[path] not in KEPT_TAGS:
+        up = page.parent[path]
+        like, reads = [], []
+        i = up + 1
+        while i < page.end[up]:
+            if i != path and not out[i] and weight[i] >= own and size[i] and linked[i] / size[i] < 0.25:
+                same = page.tag[i] == page.tag[path] and page.attrs[path].get("class") and page.attrs[i].get("class") == page.attrs[path]["class"]
+                if raw[i] >= LIKE * base or (same and raw[i] > 0):
+                    like.append(i)
+                elif page.tag[i] in ("h1", "h2", "h3", "p", "pre", "blockquote"):
+                    reads.append(i)
+            i = page.end[i]
+        if like:
+            found += like + reads
+            base = max(base, *(raw[i] for i in like))
+        path, own = up, min(own, weight[up])
+    return found
 
 
 def without_named(page: PageTree, out: list[bool], weight: list[float], held: set[int], limit: float) -> list[bool]:
@@ -202,7 +236,7 @@ def main_text(source: str | None) -> str:
     def text_within(limit: float) -> str:
         gone = without_named(page, out, weight, held, limit)
         texts = []
-        for i in chosen:
+        for i in sorted(chosen):
             span = range(page.first[i], page.last[i])
             texts.append("".join(" " if page.pieces[k] is EDGE else page.pieces[k] for k in span if page.pieces[k] is EDGE or not gone[page.owner[k]]))
         return clean(" ".join(texts))
