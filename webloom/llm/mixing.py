@@ -4,11 +4,13 @@ The mix is a sequence of slots of ``block`` words. Slot i lies at the golden-rat
 frac(i / phi); the source whose stretch of cumulative target weight covers the point owns the slot.
 Slots are ranked per source. Each source's documents, shuffled by a hash, form one stream of words,
 read twice over, and cut into blocks of equal length: the k-th slot of a source takes its k-th block.
+A source takes its target, rounded: its last block is cut off there, slots beyond are left empty, and a source
+that the points gave too few slots, as one smaller than a slot may be, gets the rest after the schedule's end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.columns import WORDS, hash_long
@@ -19,7 +21,7 @@ from webloom.plans.tables import Stash
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Slots of the whole mix: a source's error is a few of these.
+#: Slots of the whole mix, which set the length of a block.
 SLOTS = 1 << 17
 #: Pieces into which a source's stream, and the schedule, are cut for running sums.
 PIECES = 1024
@@ -55,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def schedule(spark, targets: DataFrame, slots: int) -> DataFrame:
-    """(place, k): the k-th slot of each source, from golden-ratio points through cumulative weights."""
+    """(place, k, slot): the k-th slot of each source, from golden-ratio points through cumulative weights."""
     whole = Window.partitionBy()
     upto = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     share = F.sum("target").over(upto) / F.sum("target").over(whole)
@@ -71,11 +73,26 @@ def schedule(spark, targets: DataFrame, slots: int) -> DataFrame:
     points = spark.range(slots).withColumn("__u", point - F.floor(point)).withColumn("__bin", F.floor(F.col("__u") * BINS))
     owned = points.join(in_bins, "__bin").where("__u >= __lo and __u < __hi")
     piece = F.floor(F.col("id") / max(1, slots // PIECES))
-    return running_total(owned.select("place", "id", piece.alias("__piece")), ["place"], "__piece", ["id"], F.lit(1).cast("long"), "k").select("place", "k")
+    return running_total(owned.select("place", "id", piece.alias("__piece")), ["place"], "__piece", ["id"], F.lit(1).cast("long"), "k").select("place", "k", F.col("id").alias("slot"))
+
+
+def with_rest(scheduled: DataFrame, targets: DataFrame, block: int, slots: int) -> DataFrame:
+    """The slots, and after them, for each source that has too few for its words, those that it lacks."""
+    had = scheduled.groupBy("place").agg(F.count("*").alias("had"))
+    need = F.ceil(F.col("words") / block)
+    lacking = targets.select("place", words_of(F.col("target")).alias("words")).join(had, "place", "left").withColumn("had", F.coalesce("had", F.lit(0).cast("long"))).where(F.col("had") < need)
+    rest = lacking.select("place", "had", F.explode(F.sequence("had", need - 1)).alias("k")).select("place", "k", (F.lit(slots) + F.col("k") - F.col("had")).alias("slot"))
+    return scheduled.unionByName(rest)
+
+
+def words_of(target: Column) -> Column:
+    """The words that a source takes: its target, rounded."""
+    return F.floor(target + 0.5).cast("long")
 
 
 def mix_sources(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words the mix takes.
+    """One row per document: its size, its source's size and target, the words the mix takes, and the first slot that
+    takes some (null if none does).
 
     A null source is a source of its own, placed last; null and empty texts have size 0 and are taken 0
     times. Repeated rows and ids count one by one. An empty table gives no rows. Other columns are left out.
@@ -96,18 +113,20 @@ def mix_sources(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id", "size", "__h", "source_size", "target", "place", F.shiftright("__h", 52 - 10).alias("__piece")
     )
     placed = stash.put(running_total(known, ["place"], "__piece", ["__h", "doc_id", "size"], F.col("size"), "start"), "stream")
-    read = placed.where("size > 0").select("place", "start", "size", "source_size", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"))
+    words = words_of(F.col("target"))
+    read = placed.where("size > 0").select("place", "start", "size", "source_size", words.alias("words"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"))
     at = F.col("start") + F.col("pass") * F.col("source_size")
-    pieces = read.select("place", "start", at.alias("lo"), (at + F.col("size")).alias("hi")).select(
-        "*", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("k")
-    )
+    inside = read.select("place", "start", at.alias("lo"), F.least(at + F.col("size"), "words").alias("hi")).where("lo < hi")
+    pieces = inside.select("*", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("k"))
+    scheduled = stash.put(schedule(spark, targets, n_slots), "slots")
     taken = (
-        pieces.join(schedule(spark, targets, n_slots), ["place", "k"])
+        pieces.join(with_rest(scheduled, targets, block, n_slots), ["place", "k"])
         .withColumn("part", F.least("hi", (F.col("k") + 1) * block) - F.greatest("lo", F.col("k") * block))
-        .groupBy("place", "start").agg(F.sum("part").alias("taken"))
+        .groupBy("place", "start").agg(F.sum("part").alias("taken"), F.min("slot").alias("first_slot"))
     )
     used = placed.where("size > 0").join(taken, ["place", "start"], "left")
-    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    cols = ["doc_id", "size", "source_size", "target", "taken", "first_slot"]
+    none = F.lit(None).cast("long").alias("first_slot")
     return used.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).select(cols).unionByName(
-        placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(cols)
+        placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), none)
     )

@@ -24,10 +24,10 @@ def _mix_sql(slots: int = 131072) -> str:
     return rf"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, {h} as h from documents
-), s as (
+), src as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source
 ), c as (
-  select *, [3.0, 1.0, 2.0][1 + (place % 3)::int]::double as w, source_size * 2.0::double as cap from s
+  select *, [3.0, 1.0, 2.0][1 + (place % 3)::int]::double as w, source_size * 2.0::double as cap from src
 ), l as (
   select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / w, place rows between unbounded preceding and 1 preceding), 0))
     / sum(w) over (order by cap / w, place rows between current row and unbounded following) as level from c
@@ -43,18 +43,26 @@ with d as (
 ), u as (
   select i, i * 0.6180339887498949::double - floor(i * 0.6180339887498949::double) as u from (select unnest(range(n.slots)) as i from n)
 ), z as (
-  select place, row_number() over (partition by place order by i) - 1 as k from u join b on u >= lo and u < hi
+  select place, row_number() over (partition by place order by i) - 1 as k, i from u join b on u >= lo and u < hi
+), e as (
+  select place, floor(target + 0.5)::bigint as words from t
+), have as (
+  select e.place, words, count(z.k) as have from e left join z using (place) group by all
+), s as (
+  select z.place, k, i from z join have using (place), n where k * block < words
+  union all
+  select place, k, n.slots + k - have from (select place, have, unnest(range(have, (words + block - 1) // block)) as k from have, n), n
 ), p as (
   select d.doc_id, d.size, d.h, t.place, t.source_size, t.target,
     coalesce(sum(d.size) over (partition by t.place order by d.h, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from d join t on d.source is not distinct from t.source
 ), r as (
-  select place, start, lo, lo + size as hi, unnest(range(lo // block, (lo + size - 1) // block + 1)) as k, block
-  from (select *, start + pass * source_size as lo from p, (values (0), (1)) v(pass) where size > 0), n
+  select place, start, lo, least(lo + size, words) as hi, unnest(range(lo // block, (lo + size - 1) // block + 1)) as k, block
+  from (select p.*, start + pass * source_size as lo from p, (values (0), (1)) v(pass) where size > 0) join e using (place), n where lo < words
 ), g as (
-  select place, start, sum(least(hi, (k + 1) * block) - greatest(lo, k * block))::bigint as taken from r join z using (place, k) group by all
+  select place, start, sum(greatest(0, least(hi, (k + 1) * block) - greatest(lo, k * block)))::bigint as taken, min(i) as first_slot from r join s using (place, k) where k * block < hi group by all
 )
-select doc_id, size, source_size, target, case when size > 0 then coalesce(taken, 0) else 0 end::bigint as taken
+select doc_id, size, source_size, target, case when size > 0 then coalesce(taken, 0) else 0 end::bigint as taken, case when size > 0 then first_slot end as first_slot
 from p left join g using (place, start)
 """
 
@@ -65,11 +73,11 @@ def _draws(names: list[tuple[str, float, int]]) -> str:
     )
 
 
-def _tree_sql(shards: int, out: str, source: str) -> str:
+def _tree_sql(shards: int, laid_out: int, out: str, source: str) -> str:
     from webloom.llm.sharding import levels, tree
 
     sql, at = source, "0"
-    for depth, families in enumerate(levels(tree([1.0] * shards))):
+    for depth, families in enumerate(levels(tree([1.0] * shards, laid_out=laid_out))):
         place, cases = 0, []
         for parent, children in enumerate(families):
             names = [(c.name, c.weight, place + i) for i, c in enumerate(children)]
@@ -101,7 +109,7 @@ def _shard_sql(shards: int = 40) -> str:
         {_crc_sql("hx")} as text_crc32,
         {_HEX.format(text="'slot:' || id")} as h
       from ({base})"""
-    placed = _tree_sql(shards + 1, "grown_shard", f"select * from ({_tree_sql(shards, 'shard', sized)})")
+    placed = _tree_sql(shards + 1, shards, "grown_shard", f"select * from ({_tree_sql(shards, shards, 'shard', sized)})")
     return f"""
 select doc_id, size, text_crc32, 'key' as law, shard::int as shard,
   row_number() over (partition by shard order by h, doc_id) - 1 as slot, grown_shard::int as grown_shard
