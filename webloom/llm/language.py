@@ -29,7 +29,7 @@ from webloom.plans.tables import Stash, bounded
 DIMS = 4096
 PER_LANGUAGE = 800
 CENTROIDS = 4
-#: The model, of some 64 KB a language, is broadcast: more languages than this are an error.
+#: The model, of some 64 KB a language, is broadcast: it learns the languages with most texts, as many as this.
 MOST_LANGUAGES = 1000
 #: Classes of length: letters are counted up to 2**11, by doublings.
 CLASSES = 12
@@ -80,14 +80,16 @@ def cut_pieces(texts: list[str]) -> list[tuple[int, str]]:
 
 
 def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from rows where ``train`` holds and neither id, language nor text is null; rows that share an id are drawn together."""
+    """Learns from rows where ``train`` holds and neither id, language nor text is null; rows that share an id are drawn together.
+
+    Of more than ``MOST_LANGUAGES`` values of language, those with most texts are learned, of equally many the first by
+    code points; texts of the others are predicted as what they are most like, or rejected.
+    """
     stash = Stash(docs.sparkSession, "language")
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), hash_long(F.concat(F.lit("fit:"), F.col(id_col).cast("string"))).alias("h"))
-    sizes = stash.put(rows.groupBy("lang").agg((PER_LANGUAGE / F.count("*") * float(1 << 52)).alias("below")), "sizes")
-    languages = sizes.count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"{languages} languages are more than {MOST_LANGUAGES}")
+    counted = rows.groupBy("lang").agg(F.count("*").alias("texts")).orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES)
+    sizes = stash.put(counted.select("lang", (PER_LANGUAGE / F.col("texts") * float(1 << 52)).alias("below")), "sizes")
     sample = rows.join(bounded(sizes), "lang").where(F.col("h") < F.col("below")).select("lang", "text", (F.col("h") % 2).cast("int").alias("half"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

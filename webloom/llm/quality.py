@@ -68,13 +68,18 @@ def feature_counts(texts: list[str]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learns from labelled rows where ``train``, a column over ``labels``, holds."""
+    """Learns from labelled rows where ``train``, a column over ``labels``, holds.
+
+    At most ``LABELLED`` ids are drawn, by a hash of the id alone. An id counts once: of several labels the largest, of
+    several documents the text that is first by its code points.
+    """
     stash = Stash(docs.sparkSession, "quality")
     usable = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     each = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     chosen = stash.put(each.withColumn("h", hash_long(F.concat(F.lit("label:"), F.col("id").cast("string")))).orderBy("h", "id").limit(LABELLED).drop("h"), "sample")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = rows.join(chosen, "id").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    drawn = rows.join(chosen, "id").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").cast("int").alias("label"))
+    sample = stash.put(drawn, "texts")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -82,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_
                 pairs = [sparse(row) for row in feature_counts(texts)]
                 yield pd.DataFrame({"label": batch["label"].iloc[at : at + len(texts)], "at": [p[0] for p in pairs], "n": [p[1] for p in pairs]})
 
-    got = sample.mapInPandas(vectors, "label int, at binary, n binary").orderBy("label", "at", "n").limit(2 * LABELLED).toPandas()
+    got = sample.mapInPandas(vectors, "label int, at binary, n binary").orderBy("label", "at", "n").toPandas()  # as many rows as ids were drawn
     return learn(got["label"].to_numpy(), dense(list(zip(got["at"], got["n"], strict=True)), DIMS))
 
 

@@ -3,8 +3,9 @@
 A row descends region, rack and shard. On each level every child c of the node reached draws
 u_c in (0, 1) from a hash of (row key, level, c); the child with the smallest -ln(u_c) / weight_c
 wins, so a child gets rows in proportion to its weight. When a weight changes, only draws of that
-child change: rows move into or out of the subtree below it and nowhere else. A new region moves
-rows into itself alone.
+child change: rows move into or out of the subtree below it and nowhere else. A tree is laid out for a
+number of shards; each shard added later opens a region of its own, so that no other weight changes and
+rows move into the new shard alone, whatever the numbers are.
 """
 
 from __future__ import annotations
@@ -33,16 +34,21 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def tree(weights: list[float], shards_per_rack: int = 5, racks_per_region: int = 4) -> Node:
-    """Lays shards 0, 1, ... into racks and racks into regions; a full rack or region opens the next."""
+def tree(weights: list[float], shards_per_rack: int = 5, racks_per_region: int = 4, laid_out: int | None = None) -> Node:
+    """Lays shards 0, 1, ... into racks and racks into regions; a full rack or region opens the next.
+
+    Only the first ``laid_out`` shards, all if not given, share racks and regions; each later one has its own.
+    """
     root = Node("root")
+    first = len(weights) if laid_out is None else laid_out
+    last_rack = max(0, first - 1) // shards_per_rack
     for shard, weight in enumerate(weights):
-        rack = shard // shards_per_rack
-        region = rack // racks_per_region
+        rack = shard // shards_per_rack if shard < first else last_rack + 1 + shard - first
+        region = rack // racks_per_region if shard < first else last_rack // racks_per_region + 1 + shard - first
         if region == len(root.children):
             root.children.append(Node(f"g{region}"))
         at = root.children[region]
-        if rack - region * racks_per_region == len(at.children):
+        if not at.children or at.children[-1].name != f"r{rack}":
             at.children.append(Node(f"r{rack}"))
         at.children[-1].children.append(Node(f"s{shard}", weight, shard))
         for node in (root, at, at.children[-1]):
@@ -77,13 +83,13 @@ def choose(key: Column, families: list[list[Node]], parent: Column) -> Column:
     return F.array_min(F.transform(F.filter(F.get(F.array(*known), parent), lambda c: c["weight"] > 0), draw))["place"]
 
 
-def assign_shards(df: DataFrame, weights: list[float], id_col: str = "doc_id", out: str = "shard") -> DataFrame:
-    """Adds the shard of each row. A null id is the key "null"; repeated ids share a shard.
+def assign_shards(df: DataFrame, weights: list[float], id_col: str = "doc_id", out: str = "shard", laid_out: int | None = None) -> DataFrame:
+    """Adds the shard of each row. A null id is the key "null"; repeated ids share a shard. ``laid_out`` is as in :func:`tree`.
 
     Every other column, whatever its name or content, passes through.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    root = tree(weights)
+    root = tree(weights, laid_out=laid_out)
     at = F.lit(0)
     for families in levels(root):
         at = choose(key, families, at)
@@ -111,5 +117,5 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         F.lit("key").alias("law"),
     )
     placed = assign_shards(rows, [1.0] * shards)
-    grown = assign_shards(placed, [1.0] * (shards + 1), out="grown_shard")
+    grown = assign_shards(placed, [1.0] * (shards + 1), out="grown_shard", laid_out=shards)
     return number_slots(grown).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
