@@ -58,3 +58,47 @@ def test_cookies(spark):
     asked = spark.createDataFrame([("https://e.com/p/x", 1_700_000_003_000), ("https://e.com/q", 1_700_000_009_000)], "url string, at_ms long")
     assert {r["url"]: r["cookie"] for r in cookies.cookies_for(asked, jar).collect()} == {"https://e.com/p/x": "a=1; c=3; d=new", "https://e.com/q": "d=new"}
     assert [r[0] for r in spark.range(1, 9).select(cookies.retry_delay_ms(F.col("id"))).collect()][::7] == [1000, 60_000]
+
+
+def test_parameters_are_checked(spark):
+    import pytest
+
+    snap = spark.createDataFrame([(0, "u", 200)], "ord long, url string, status_code int")
+    found = spark.createDataFrame([("u", "t", "s")], "url string, title string, snippet string")
+    for wrong in ({"limit": 0}, {"limit": 101}, {"offset": -1}, {"words": (-1, None)}, {"limit": 5.5}, {"limit": True}, {"limit": "9"}):
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            tools.search_manifest(snap, **wrong)
+    with pytest.raises(ValueError, match="max_depth must be between 0 and 10, not 11"):
+        tools.capture(spark, snap, "https://e.com", max_depth=11)
+    with pytest.raises(ValueError, match="neither a capture nor a sitemap"):
+        tools.search_manifest(found)
+    with pytest.raises(TypeError):
+        tools.find_orphans(snap, found, most=1)
+    for call in (lambda: tools.read_api(snap, max_items=50_001), lambda: tools.read_sitemap(snap, snap, max_urls=0), lambda: tools.find_orphans(snap, found, limit=501), lambda: tools.analyse_images(snap, top=0)):
+        with pytest.raises(ValueError, match="must be between"):
+            call()
+
+
+def test_search_in_sql(spark):
+    import pytest
+
+    from webloom import table_functions
+
+    rows = [(k, f"https://e.com/{k}", f"<title>{'t' * (k % 50)} Price{k % 3}</title><h1>h</h1><p>{'word ' * (k % 7)}</p>", 200 if k % 5 else 404, 0, False) for k in range(200)]
+    pages = spark.createDataFrame(rows, "ord long, url string, html string, status_code int, depth int, is_duplicate boolean").repartition(5)
+    snap = tools.extraction.extract_records(pages, ("seo",))
+    search.project_pages(snap).createOrReplaceTempView("pages_of_sql")
+    table_functions.register(spark)
+    cases = [
+        ("keyword => 'PRICE1'", {"keyword": "PRICE1"}, 10, 3), ("has_flag => 'ERR_4XX', least_words => 2", {"has_flag": "ERR_4XX", "words": (2, None)}, 100, 0),
+        ("url_pattern => '/1', status_code => 200, most_words => 5", {"url_pattern": "/1", "status_code": 200, "words": (None, 5)}, 7, 30), ("keyword => 'nothing'", {"keyword": "nothing"}, 5, 0),
+    ]
+    for condition, same, limit, offset in cases:
+        got = spark.sql(f"select * from search_page(table(select * from search_rows(table(pages_of_sql), {condition}, keep => {limit + offset})), limit => {limit}, offset => {offset})").collect()
+        want, total = search.search_pages(snap, limit, offset, fields=("ord", *search.PAGE_FIELDS), **same)
+        assert sorted(r["ord"] for r in got) == [r["ord"] for r in want.collect()]
+        assert spark.sql(f"select count(*) from search_rows(table(pages_of_sql), {condition})").first()[0] == total.first()[0]
+    for wrong in ("search_page(table(pages_of_sql), limit => 101)", "search_page(table(pages_of_sql), offset => -1)", "search_rows(table(pages_of_sql), least_words => -1)", "search_rows(table(pages_of_sql), keyword => 5)", "search_rows(table(pages_of_sql), sort => 'x')", "search_rows(table(select 1 as ord))"):
+        with pytest.raises(Exception, match="limit must be|offset must be|words must be|keyword must be a text|no condition sort|the table lacks url"):
+            spark.sql(f"select * from {wrong}").collect()
+    spark.catalog.dropTempView("pages_of_sql")

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom import model, oracles
+from webloom import model, oracles, table_functions, tools
 from webloom.functions import addresses, texts
 from webloom.functions import columns as C
 from webloom.operators import audits, comparison, extraction, link_graph, search, summaries, variants
 from webloom.operators.walk import breadth_first, duplicate_bodies, resolve_redirects
 from webloom.plans.prefix import global_rank
-from webloom.plans.tables import Stash, table
+from webloom.plans.tables import Stash, spread, table
 from webloom.site import HOME, by, site_pages
 from webloom.sources import api_pages, fetches, manifests, sitemaps, stored
 from webloom.streaming.ingest import capture_counts, distinct_bodies, ingest_counted, page_stream
@@ -32,7 +32,7 @@ def derived(pages: DataFrame) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str, *records: str) -> DataFrame:
-    return extraction.extract_records(derived(table(spark, sf_dir, "pages")), records)
+    return extraction.extract_records(derived(spread(table(spark, sf_dir, "pages"))), records)
 
 
 def site(spark: SparkSession, sf_dir: str, *records: str) -> DataFrame:
@@ -123,10 +123,9 @@ def url_scopes(spark, sf_dir):
     k = F.col("o_orderkey")
     forms = ("https://www.site.example/a/", "https://shop.site.example/a/", "http://other.example/a/", "ftp://site.example/a/", "https://www.google.com/search?q=", "no url ")
     made = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.element_at(F.array(*map(F.lit, forms)), (k % 6 + 1).cast("int")), k.cast("string")).alias("url"))
-    scheme = C.url_parts("url")["scheme"]
     return made.select(
         "o_orderkey", C.in_scope_of("url", "www.site.example", ("/a/",), ("7",)).alias("in_scope"), C.in_scope_of("url", "site.example", subdomains=True).alias("in_domain"),
-        C.is_search_engine("url").alias("search_engine"), C.needs_scripts("url").alias("scripted"), F.coalesce(scheme.isin("http", "https"), F.lit(False)).alias("fetchable"),
+        C.is_search_engine("url").alias("search_engine"), C.needs_scripts("url").alias("scripted"), C.is_fetchable("url").alias("fetchable"),
     )
 
 
@@ -212,7 +211,7 @@ def meta_summary(spark, sf_dir):
 
 
 def image_summary(spark, sf_dir):
-    return audits.image_summary(site(spark, sf_dir, "images", "seo"))
+    return audits.image_summary(site(spark, sf_dir, "images"))
 
 
 def schema_summary(spark, sf_dir):
@@ -230,18 +229,15 @@ def flagged_descriptions(spark, sf_dir):
 
 def meta_pages(spark, sf_dir):
     """Every check's pages."""
-    snap = Stash(spark, "meta").put(site(spark, sf_dir, "meta", "seo"), "site")
-    return union_of({check: audits.meta_pages(snap, check) for check in audits.META_CHECKS}, "check")
+    return audits.all_meta_pages(site(spark, sf_dir, "meta", "seo"))
 
 
 def heading_pages(spark, sf_dir):
-    snap = Stash(spark, "headings").put(site(spark, sf_dir, "headings", "seo"), "site")
-    found = union_of({check: audits.heading_pages(snap, check) for check in audits.HEADING_CHECKS}, "check")
-    return found.withColumn("h1_texts", F.concat_ws("|", "h1_texts"))
+    return audits.all_heading_pages(site(spark, sf_dir, "headings", "seo")).withColumn("h1_texts", F.concat_ws("|", "h1_texts"))
 
 
 def worst_images(spark, sf_dir):
-    snap = Stash(spark, "images").put(site(spark, sf_dir, "images", "seo"), "site")
+    snap = Stash(spark, "images").put(site(spark, sf_dir, "images"), "site")
     return union_of({by: audits.worst_images(snap, by) for by in ("missing", "missing_dims")}, "by").select("by", "ord", "total", "missing", "decorative", "present", "lazy_loaded", "missing_dims")
 
 
@@ -295,10 +291,10 @@ def index_entries(spark, sf_dir):
     """An index of one child a brand, each child listing its parts; one child was not fetched."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://site.example/s/"), (F.col("p_partkey") % 20).cast("string")).alias("child"))
     entry = F.concat(F.lit("<url><loc><![CDATA["), F.lit(HOME), F.col("p_partkey").cast("string"), F.lit("]]></loc><changefreq>daily</changefreq></url>"))
-    files = parts.where("p_partkey < 400").groupBy(F.col("child").alias("url")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"])).alias("xml"))
+    files = parts.groupBy(F.col("child").alias("url")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"])).alias("xml"))
     child = F.concat(F.lit("<sitemap><loc>https://site.example/s/"), F.col("id").cast("string"), F.lit("</loc></sitemap>"))
     root = spark.range(20).agg(F.concat(F.lit("<sitemapindex>"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("id", child.alias("e")))), lambda x: x["e"])), F.lit("</sitemapindex>")).alias("xml"))
-    return sitemaps.expand_index(root, files.where("url not like '%/7'"), 300).select("child", "url", "changefreq")
+    return sitemaps.expand_index(root, files.where("url not like '%/7'"), 50_000).select("child", "url", "changefreq")
 
 
 def robots_allowed(spark, sf_dir):
@@ -538,6 +534,95 @@ def nested_items(spark, sf_dir):
     return each.join(summary.select("api", "natural_end"), "api")
 
 
+def page_notes(spark, sf_dir):
+    """Notes on pages that look blocked or need scripts, capitals and size aside, and pages too large for reading."""
+    k = F.col("p_partkey")
+    signs = {0: "/sorry/index", 1: "Unusual traffic", 2: "unusual traffic", 3: "captcha", 4: "CAPTCHA", 5: "<NoScript>x</NoScript>", 6: "Please Enable JavaScript"}
+    html = F.concat(F.lit("<title>T</title><p>"), by(k % 8, {n: F.lit(t) for n, t in signs.items()}), F.when(k % 97 == 0, F.repeat(F.lit("<b>big </b>"), F.lit(320_000))).otherwise(""))
+    pages = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.concat(F.lit(HOME), k).alias("url"), html.alias("html"))
+    return extraction.read_articles(pages).select("p_partkey", F.concat_ws(",", "article.notes").alias("notes"), "article.truncated")
+
+
+def link_kinds(spark, sf_dir):
+    """Links of every kind: those that are no pages, repeated ones, marked ones, with anchors cut at a hundred."""
+    k = F.col("p_partkey").cast("string")
+    hrefs = ("#top", "MAILTO:a@b", "tel:1", "JavaScript:x()", " ", "/a?x=1#f", "/a?x=1#g", "https://Other.example/b", "sub/c", "data:text/plain,x", "http://[bad")
+    rels = ("", "", "", "", "", " rel=ugc", "", " rel='nofollow sponsored'", "", "", "")
+    links = F.concat(*(x for h, r in zip(hrefs, rels, strict=True) for x in (F.lit(f"<a href='{h}'{r}>"), F.repeat(F.lit("long "), F.lit(30)), F.lit("</a>"))))
+    pages = spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").alias("ord"), F.concat(F.lit("https://site.example/p/"), k).alias("url"), F.concat(links, F.lit("<a href='/p/"), k, F.lit("'>self</a>")).alias("html"))
+    found = Stash(spark, "kinds").put(extraction.extract_records(pages, ("links",)), "links")
+    return union_of({side: extraction.explode_links(found, side).select("ord", "pos", "href", "rel", F.length("anchor").alias("anchor_length")) for side in ("internal", "external")}, "side")
+
+
+def saved_entries(spark, sf_dir):
+    """A sitemap written as a manifest and read again."""
+    path = f"{Stash(spark, 'saved').root}/sitemap"
+    manifests.save_entries(entries_of(spark, sf_dir), path, HOME + "sitemap.xml", "2024-01-01T00:00:00Z")
+    source, rows = manifests.read_saved(spark, path)
+    return rows.select(F.lit(source).alias("source"), "ord", "url", "lastmod", "changefreq", F.round("priority", 6).alias("priority"))
+
+
+def saved_articles(spark, sf_dir):
+    """Articles written as a manifest and read again."""
+    path = f"{Stash(spark, 'saved').root}/articles"
+    manifests.save_articles(extraction.read_articles(spread(table(spark, sf_dir, "pages"))), path, "2024-01-01T00:00:00Z")
+    source, rows = manifests.read_saved(spark, path)
+    return rows.select(F.lit(source).alias("source"), "page_id", "title", F.col("length").cast("int").alias("length"), "truncated")
+
+
+def json_rows(spark, sf_dir):
+    """Each entry as a JSON object, with nulls for what it lacks."""
+    return search.json_rows(entries_of(spark, sf_dir).select("url", "lastmod", F.col("ord").alias("n")))
+
+
+def pipe_rows(spark, sf_dir):
+    """A page of results as a table of text."""
+    found, _ = search.search_captures(site_pages(spark, sf_dir), limit=30, fields=("url", "status_code", "h1", "flags"), status_code=404)
+    return spark.createDataFrame([(search.pipe_table(found, 30),)], "value string")
+
+
+def fetch_sites(spark, sf_dir):
+    """How the site of a request and that of its referrer are related."""
+    k = F.col("o_orderkey")
+    referrers = ("https://www.site.example/a", "https://site.example:8443/", "http://www.site.example/", "https://other.example/", "", "nonsense")
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("https://www.site.example/p/"), k.cast("string")).alias("url"), F.element_at(F.array(*map(F.lit, referrers)), (k % 6 + 1).cast("int")).alias("referrer"))
+    return made.select("o_orderkey", C.fetch_site_of("url", "referrer").alias("relation"))
+
+
+def ranked_audits(spark, sf_dir):
+    """Types by pages and name, headings' pages by depth and url, pages beside the sitemap by depth and url: with their places."""
+    stash = Stash(spark, "audits")
+    snap = stash.put(site(spark, sf_dir, "seo", "headings", "meta", "schema"), "site")
+    types = stash.put(audits.schema_types(snap), "types")
+    listed = snap.select("ord", F.concat("url", F.when(F.col("ord") % 3 == 0, "?v=2").otherwise("")).alias("url"))
+    missing, extra = comparison.sitemap_gaps(snap, listed)
+    lists = {
+        "type": global_rank(types, stash, [F.desc("pages"), F.asc("type")], "rank").select(F.col("type").alias("name"), "rank"),
+        "heading": link_graph.ranked(audits.heading_pages(snap, "skipped_levels").select("depth", "url"), stash).select(F.col("url").alias("name"), "rank"),
+        "no_schema": link_graph.ranked(audits.pages_without_schema(snap).select("depth", "url"), stash).select(F.col("url").alias("name"), "rank"),
+        "genuine": link_graph.ranked(extra.where("gap = 'genuine'").select("depth", "url"), stash).select(F.col("url").alias("name"), "rank"),
+        "missing": link_graph.ranked(missing, stash, ("url",)).select(F.col("url").alias("name"), "rank"),
+    }
+    return union_of(lists, "list")
+
+
+def sink_list(spark, sf_dir):
+    """The first sinks by depth and url, and the note on how many more there are."""
+    snap = Stash(spark, "sinks").put(site(spark, sf_dir, "seo", "links"), "site")
+    got = tools.analyse_links(snap, HOME + "1")
+    return got["sinks"].select("url", "depth", F.lit(got["sink_count"]).cast("long").alias("sinks"), F.lit(got["sinks_note"]).cast("string").alias("note"))
+
+
+def sql_search(spark, sf_dir):
+    """The page of :func:`search_pages`, by table functions of SQL."""
+    table_functions.register(spark)
+    search.project_pages(snapshot(spark, sf_dir, "seo")).createOrReplaceTempView("projected_pages")
+    rows = "search_rows(table(projected_pages), keyword => 'AN', least_words => 40, status_code => 200, url_pattern => 'example', keep => 55)"
+    found = spark.sql(f"select * from search_page(table(select * from {rows}), limit => 50, offset => 5)").drop("ord")
+    spark.catalog.dropTempView("projected_pages")
+    return found.withColumn("flags", F.concat_ws(",", "flags"))
+
+
 def seeded_locations(spark, sf_dir):
     """Seeds of a sitemap, with references of every kind decoded once."""
     k = F.col("p_partkey").cast("string")
@@ -563,7 +648,8 @@ QUERIES = (
     sitemap_gap_counts, undiscovered, duplicate_documents, heading_summary, heading_distribution, meta_summary, image_summary, schema_summary, articles, client_pages,
     site_flags, flagged_descriptions, meta_pages, heading_pages, worst_images, schema_types, schema_skus, single_paths, loose_pages, site_gaps, sitemap_totals,
     stream_bodies, failing_extractor, sitemap_histograms, sitemap_since, index_entries, robots_allowed, saved_pages, saved_results, sitemap_files, api_items, address_classes, redirect_ends, fetch_classes, event_windows,
-    stored_fetches, page_files, stream_marks, observed_search, stream_metrics, ranked_pages, ranked_lists, json_values, nested_items, address_kinds, address_networks, seeded_locations, text_functions,
+    stored_fetches, page_files, stream_marks, observed_search, stream_metrics, ranked_pages, ranked_lists, json_values, nested_items, address_kinds, address_networks, seeded_locations, text_functions, sql_search,
+    page_notes, link_kinds, saved_entries, saved_articles, json_rows, pipe_rows, fetch_sites, ranked_audits, sink_list,
 )
 
 

@@ -50,6 +50,26 @@ def link_normal_of(base: Column | str, href: Column | str) -> Column:
     return F.pandas_udf(run, "string")(base, href)
 
 
+def fetch_site_of(request: Column | str, referrer: Column | str) -> Column:
+    """none, same-origin, same-site or cross-site, of each request and its referrer; an empty referrer counts as none."""
+
+    def run(requests: pd.Series, referrers: pd.Series) -> pd.Series:
+        known: dict[tuple, str] = {}
+        for pair in zip(requests, referrers, strict=True):
+            if pair not in known:
+                known[pair] = urls.fetch_site(*pair) if pair[0] is not None else None
+        return pd.Series([known[pair] for pair in zip(requests, referrers, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(request, referrer)
+
+
+def is_fetchable(column: Column | str) -> Column:
+    """Whether a url's scheme is http or https; plain ones are told by their beginning, and only others are parsed."""
+    text = F.col(column) if isinstance(column, str) else column
+    plain = text.rlike(r"\A(?i:https?)://[a-z]+(\.[a-z]+)*([/?#][!-~]*)?\z")
+    return F.when(plain, True).otherwise(F.coalesce(url_parts(F.when(~plain, text))["scheme"].isin("http", "https"), F.lit(False)))
+
+
 def url_parts(column: Column | str) -> Column:
     """struct<scheme, host, port, path, query, fragment, origin>, parsed once for each row."""
 

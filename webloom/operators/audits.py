@@ -53,6 +53,17 @@ def meta_summary(snapshot: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("pages_analyzed"), *(count_if(f"coalesce({c}, false)", n) for n, c in META_CHECKS.items()), every("meta.hreflang.hreflang").alias("hreflang_languages"))
 
 
+def holding(checks: dict[str, Column]) -> Column:
+    """The names of the checks that hold, as an array."""
+    return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in checks.items())), lambda x: x.isNotNull())
+
+
+def all_meta_pages(snapshot: DataFrame) -> DataFrame:
+    """The pages of every check, each with the check's name; the snapshot is read once."""
+    found = canonical_class(analysed(snapshot)).withColumn("check", F.explode(holding({name: F.expr(c) for name, c in META_CHECKS.items()})))
+    return found.select("check", "ord", "url", F.coalesce("seo.title", F.lit("")).alias("title"), "meta.canonical")
+
+
 def meta_pages(snapshot: DataFrame, check: str) -> DataFrame:
     """The pages that a check of ``META_CHECKS`` finds, in input order."""
     found = canonical_class(analysed(snapshot)).where(META_CHECKS[check])
@@ -71,22 +82,32 @@ def heading_distribution(snapshot: DataFrame, level: str = "h1") -> DataFrame:
     return analysed(snapshot).where("headings is not null").groupBy(F.col(f"headings.counts.{level}").alias(f"{level}_count")).agg(F.count("*").alias("pages"))
 
 
-def heading_pages(snapshot: DataFrame, check: str) -> DataFrame:
-    """Pages with an issue, by depth and url, with the detail that shows it."""
+def heading_details() -> list:
+    """Title, depth, first headings and the first skipped level of a page."""
     h1 = F.transform(F.filter("headings.headings", lambda h: h["level"] == 1), lambda h: h["text"])
     levels = F.col("headings.headings.level")
     rest = F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0)))
     steps = F.zip_with(levels, rest, lambda a, b: F.when(b > a + 1, F.concat(F.lit("H"), a.cast("string"), F.lit(" → H"), b.cast("string"))))
     skip = F.get(F.filter(steps, lambda s: s.isNotNull()), F.lit(0))
-    found = analysed(snapshot).where(f"headings.issues.{check}")
-    return found.select("url", F.coalesce("seo.title", F.lit("")).alias("title"), "depth", F.size(h1).alias("h1_count"), h1.alias("h1_texts"), skip.alias("first_skip")).orderBy("depth", F.collate("url", "UNICODE"))
+    return [F.coalesce("seo.title", F.lit("")).alias("title"), "depth", F.size(h1).alias("h1_count"), h1.alias("h1_texts"), skip.alias("first_skip")]
+
+
+def heading_pages(snapshot: DataFrame, check: str) -> DataFrame:
+    """Pages with an issue, by depth and url, with the detail that shows it."""
+    return analysed(snapshot).where(f"headings.issues.{check}").select("url", *heading_details()).orderBy("depth", F.collate("url", "UNICODE"))
+
+
+def all_heading_pages(snapshot: DataFrame) -> DataFrame:
+    """The pages of every issue, each with the issue's name; the snapshot is read once."""
+    return analysed(snapshot).withColumn("check", F.explode(holding({c: F.col(f"headings.issues.{c}") for c in HEADING_CHECKS}))).select("check", "url", *heading_details())
 
 
 def image_pages(snapshot: DataFrame) -> DataFrame:
     """Pages with images of their own, with counts; those of source sets count where sizes are missing."""
     found = analysed(snapshot).where("images.counts.total > 0")
     bare = F.size(F.filter("images.images", lambda i: i["width"].isNull() & i["height"].isNull()))
-    return found.select("ord", "url", F.coalesce("seo.title", F.lit("")).alias("title"), "images.counts.*", bare.alias("missing_dims"))
+    title = F.coalesce("seo.title", F.lit("")) if "seo" in snapshot.columns else F.lit("")
+    return found.select("ord", "url", title.alias("title"), "images.counts.*", bare.alias("missing_dims"))
 
 
 def rate(part: Column, whole: Column, empty: int) -> Column:

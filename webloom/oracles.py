@@ -106,6 +106,8 @@ SQL = {
     "page_flags": _PAGES + "select ord, url, status_code, depth, title, h1, description, word_count, article_word_count, flags from flagged",
     "search_pages": _PAGES + """select url, status_code, depth, title, h1, description, word_count, article_word_count, flags from flagged
         where contains(lower(title || ' ' || h1 || ' '), 'an') and word_count >= 40 and status_code = 200 and contains(url, 'example') order by ord limit 50 offset 5""",
+    "sql_search": _PAGES + """select url, status_code, depth, title, h1, description, word_count, article_word_count, flags from flagged
+        where contains(lower(title || ' ' || h1 || ' '), 'an') and word_count >= 40 and status_code = 200 and contains(url, 'example') order by ord limit 50 offset 5""",
     "search_matches": _PAGES + "select count(*) as total_matched from flagged where contains(flags, 'WARN_THIN_CONTENT')",
     "status_distribution": _PAGES + "select status_code, count(*) as pages from snap group by status_code",
     "depth_distribution": _PAGES + "select depth, count(*) as pages from snap group by depth",
@@ -175,8 +177,8 @@ SQL = {
     "sitemap_histograms": _ENTRIES + """select 'priority' as kind, printf('%.1f', priority) as value, count(*) as urls from entries where priority is not null group by all
         union all select 'changefreq', changefreq, count(*) from entries where changefreq <> '' group by all union all select 'url_depth', '2', count(*) from entries""",
     "sitemap_since": _ENTRIES + "select url, lastmod from entries where contains(url, '/p/1') and (coalesce(lastmod, '') = '' or (lastmod <> 'soon' and lastmod >= '2024-05-01'))",
-    "index_entries": """select (p_partkey % 20)::int as child, 'https://site.example/p/' || p_partkey as url, 'daily' as changefreq from part where p_partkey < 400 and p_partkey % 20 <> 7
-        order by p_partkey % 20, p_partkey limit 300""",
+    "index_entries": """select (p_partkey % 20)::int as child, 'https://site.example/p/' || p_partkey as url, 'daily' as changefreq from part where p_partkey % 20 <> 7
+        order by p_partkey % 20, p_partkey limit 50000""",
     "robots_allowed": """with u as (select case when p_partkey % 4 = 0 then 'gone' else 'site' end as h, '/p/' || p_partkey || case when p_partkey % 3 = 0 then '?v=' || p_partkey else '' end as p from part)
         select 'https://' || h || '.example' || p as url, case when h = 'gone' then true when starts_with(p, '/p/2?v=') then false when p like '/p/%5' then false when starts_with(p, '/p/11') then true
           else not starts_with(p, '/p/1') end as allowed from u""",
@@ -236,4 +238,30 @@ SQL = {
         when 6 then '&amp' when 7 then '&#xD800;' when 8 then '&#0;' when 9 then '😀' when 10 then '&#1114112;' else '&' end || 'b;é' as url from part""",
     "text_functions": r"""select conv_id, turn, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) as collapsed,
         sha256(replace(trim(text, ' '), ' ', chr(12288) || ' ')) as trimmed, len(regexp_extract_all(text, '\S+')) as words, ' ' || substr(text, 1, 20) || ' a < b' as bare, 'og:x,' || role as others from conversations""",
+    "page_notes": """select p_partkey, case p_partkey % 8 when 0 then 'captcha' when 2 then 'captcha' when 3 then 'captcha' when 5 then 'needs scripts' when 6 then 'needs scripts' else '' end as notes,
+        p_partkey % 97 = 0 as truncated from part""",
+    "link_kinds": """with l as (select p_partkey as ord, 'internal' as side, unnest([0, 1, 2]) as pos,
+          unnest(['https://site.example/a?x=1', 'https://site.example/p/sub/c', 'https://site.example/p/' || p_partkey]) as href, unnest(['ugc', null, null]) as rel, unnest([100, 100, 4]) as n from part
+        union all select p_partkey, 'external', unnest([0, 1]), unnest(['https://other.example/b', 'data:text/plain,x']), unnest(['sponsored', null]), 100 from part)
+        select ord, pos::int as pos, href, rel, n::int as anchor_length, side from l""",
+    "saved_entries": _ENTRIES + "select 'sitemap' as source, ord, url, lastmod, changefreq, round(priority, 6) as priority from entries",
+    "saved_articles": _PAGES + r"""select 'article' as source, ord as page_id, title, length(c)::int as length, length(c) > 3000 as truncated from (select ord, title, replace(replace(replace(replace(replace(
+        trim(regexp_replace(case when article_word_count > 0 then regexp_replace(regexp_replace(art, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g') else body end, '\s+', ' ', 'g')),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') as c from texts)""",
+    "json_rows": _ENTRIES + """select '{"url":"' || url || '","lastmod":' || case when lastmod is null then 'null' else '"' || lastmod || '"' end || ',"n":' || ord || '}' as value from entries""",
+    "pipe_rows": _SITE + """, f as (select ord, url || ' | 404 | ' || h1 || ' | ' || array_to_string(list_filter(['ERR_4XX', case when is_duplicate then 'WARN_DUPLICATE' end, case when h1 = '' then 'ERR_MISSING_H1' end,
+          case when description = '' then 'ERR_MISSING_DESC' end, case when article_word_count < 150 then 'WARN_THIN_CONTENT' end,
+          case when length(title) > 60 then 'WARN_TITLE_TOO_LONG' when length(title) < 30 then 'WARN_TITLE_TOO_SHORT' end,
+          case when length(description) > 160 then 'WARN_DESC_TOO_LONG' when length(description) between 1 and 49 then 'WARN_DESC_TOO_SHORT' end], lambda x: x is not null), ',') as line
+          from site where status_code = 404 order by ord limit 30)
+        select 'url | status_code | h1 | flags' || chr(10) || string_agg(line, chr(10) order by ord) as value from f""",
+    "fetch_sites": "select o_orderkey, case o_orderkey % 6 when 0 then 'same-origin' when 1 then 'same-site' when 2 then 'same-site' when 3 then 'cross-site' when 4 then 'none' else 'cross-site' end as relation from orders",
+    "ranked_audits": _SITE + """, kinds as (select unnest(types) as type, count(*) as pages from shown group by 1)
+        select 'type' as list, type as name, row_number() over (order by pages desc, type) - 1 as rank from kinds
+        union all select 'heading', url, row_number() over (order by depth, url) - 1 from shown where k % 5 = 4
+        union all select 'no_schema', url, row_number() over (order by depth, url) - 1 from shown where k % 3 = 0
+        union all select 'genuine', url, row_number() over (order by depth, url) - 1 from shown where k % 3 = 0 and not noindex and status_code < 400
+        union all select 'missing', url, row_number() over (order by replace(url, '?', ' ')) - 1 from (select case when k % 3 = 0 then url || '?v=2' else url end as url from site where k % 3 = 0 or is_duplicate)""",
+    "sink_list": _SITE + """, sinks as (select url, depth from shown where k not in (select k from edges)), n as (select count(*) as n from sinks)
+        select url, depth, n as sinks, case when n > 25 then (n - 25) || ' more' end as note from sinks, n order by depth, url limit 25""",
 }

@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from fewer files than there are cores, dealt out to all; costly steps on its rows then run everywhere.
+
+    Meant for rows as they are read, before they grow. A table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """These names, lengthened as long as ``df`` has columns of that name (case does not count)."""
     taken, out = {c.lower() for c in df.columns}, []

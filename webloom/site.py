@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.plans.tables import table
+from webloom.plans.tables import spread, table
 
 HOME = "https://site.example/p/"
 
@@ -49,4 +49,4 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = text("<article><p>", F.expr("repeat('word ', cast(p_partkey % 300 as int))"), "</p></article>")
     html = text("<html><head><title>", title, "</title>", meta, "</head><body>", headings, images, "<div>", links, away, "</div>", body, "</body></html>")
     status = F.when(k % 40 == 39, 404).otherwise(200)
-    return table(spark, sf_dir, "part").select(k.alias("ord"), text(HOME, k).alias("url"), html.alias("html"), status.alias("status_code"), (k % 5).cast("int").alias("depth"), (k % 50 == 0).alias("is_duplicate"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select(k.alias("ord"), text(HOME, k).alias("url"), html.alias("html"), status.alias("status_code"), (k % 5).cast("int").alias("depth"), (k % 50 == 0).alias("is_duplicate"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from webloom.functions import hints
 from webloom.operators import audits, comparison, extraction, link_graph, search, summaries
 from webloom.operators.walk import WalkConfig, duplicate_bodies, stop_reason, walk
+from webloom.parameters import checked
 from webloom.plans.tables import Stash
 from webloom.sources import api_pages, fetches, sitemaps
 
@@ -24,6 +25,7 @@ def observed(rows: DataFrame, name: str = "rows") -> tuple[DataFrame, object]:
     return rows.observe(seen, F.count("*").alias("rows"), failed.alias("failed")), seen
 
 
+@checked
 def capture(
     spark: SparkSession, store: DataFrame, url: str, max_depth: int = 2, max_pages: int = 50, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (),
     subdomains: bool = False, robots: DataFrame | None = None,
@@ -71,18 +73,23 @@ def read_page(pages: DataFrame, max_chars: int = 3000, raw_html: bool = False) -
     return read.withColumn("gated", needs_scripts("url")).select("*", "article.*").drop("article")
 
 
+@checked
 def read_api(responses: DataFrame, page_size: int = 20, max_pages: int = 10, max_items: int | None = None, results_path: str = "", total_path: str = "") -> dict:
     items, summary = api_pages.collect_items(responses, page_size, results_path, total_path, max_items, max_pages)
     return {"summary": summary, "results": items}
 
 
+@checked
 def read_sitemap(root: DataFrame, files: DataFrame, max_urls: int = 5000) -> dict:
     entries = sitemaps.expand_index(root, files, max_urls)
     return {"url_count": entries.count(), "entries": entries}
 
 
+@checked
 def search_manifest(rows: DataFrame, limit: int = 20, offset: int = 0, fields: tuple[str, ...] = search.PAGE_FIELDS, table: bool = False, **conditions) -> dict:
-    """A page of matching snapshot pages or, for tables without a status, of sitemap entries."""
+    """A page of matching snapshot pages or of sitemap entries; tables of other kinds are refused."""
+    if "status_code" not in rows.columns and "lastmod" not in rows.columns:
+        raise ValueError("neither a capture nor a sitemap")
     if "status_code" in rows.columns:
         found, total = search.search_pages(rows, limit, offset, fields, **conditions)
     else:
@@ -132,6 +139,7 @@ def analyse_headings(snapshot: DataFrame) -> dict:
     return {"summary": audits.heading_summary(snapshot)} | found | {check: audits.heading_pages(snapshot, check) for check in audits.HEADING_CHECKS}
 
 
+@checked
 def analyse_images(snapshot: DataFrame, top: int = 25) -> dict:
     failures = audits.image_pages(need(snapshot, "images")).where("missing = total").orderBy(F.desc("total"), "ord")
     return {"summary": audits.image_summary(snapshot), "worst_missing_alt": audits.worst_images(snapshot, "missing", top), "complete_alt_failures": failures, "worst_cls_risk": audits.worst_images(snapshot, "missing_dims", top)}
@@ -142,12 +150,14 @@ def analyse_schema(snapshot: DataFrame, only: tuple[str, ...] = ()) -> dict:
     return {"summary": audits.schema_summary(snapshot), "types": audits.schema_types(snapshot, only), "no_schema": audits.pages_without_schema(snapshot)}
 
 
+@checked
 def compare_manifests(snapshot: DataFrame, sitemap: DataFrame, seed_url: str, sitemap_url: str, limit: int = 100) -> dict:
     missing, extra = comparison.sitemap_gaps(snapshot, sitemap)
     lists = {g: extra.where(F.col("gap") == g).orderBy("depth", F.collate("url", "UNICODE")).limit(n) for g, n in (("genuine", limit), ("noindex", 50), ("error", 50))}
     return {"warning": comparison.host_warning(seed_url, sitemap_url), "counts": comparison.gap_counts(missing, extra), "in_sitemap_not_captured": missing.orderBy(F.collate("url", "UNICODE")).limit(limit)} | lists
 
 
+@checked
 def find_orphans(snapshot: DataFrame, discovery: DataFrame, limit: int = 100) -> dict:
     found = comparison.undiscovered(snapshot, discovery)
     return {"orphans_found": found.count(), "orphans": found.orderBy("ord").limit(limit)}
