@@ -180,3 +180,26 @@ def test_client_snapshot_and_article():
 
 def test_discovered_links_keep_nofollow():
     assert extract.discovered_links(page('<base href="/z/"><a rel=nofollow href="a?utm_x=1">x</a><a href="data:x">d</a><a href="a">y</a>')) == ["https://e.com/a"]
+
+
+def test_plain_urls_by_pattern(spark):
+    """Urls that Spark's functions take, and odd ones beside them, come out as the parser has them."""
+    import random
+    from itertools import product
+
+    from webloom.functions import columns, urls
+
+    made = ["".join(x) for x in product(("http://", "https://", "HTTP://", "ftp://"), ("a.example", "b.c.d", "1.2.3.4", "a-b.example", "A.example", "a.example:80", "u@a.example", "xn--a.b", "a..b"), ("", "/", "/p", "/p/", "/p//q", "/./p", "/p/../q", "/%41", "/p.html", "/.p"), ("", "?", "?a=1&sid=2", "?b=2"), ("", "#", "#f"))]
+    odd = ["", " ", "x", "/p", "https:/a.example/p", "https://a.example/p q", "https://a.example\\p", "https://é.example/", " https://a.example/ ", "https://a.example/p\n", None]
+    rnd = random.Random(1)
+    cases = [*rnd.sample(made, 600), *odd]
+    rows = spark.createDataFrame([(k, u, cases[-k]) for k, u in enumerate(cases)], "k int, u string, b string")
+    parts = columns.url_parts("u")
+    got = rows.select("u", "b", columns.graph_key_of("u").alias("key"), columns.hostname_of("u").alias("host"), columns.link_normal_of("b", "u").alias("link"), parts.alias("parts"), columns.is_fetchable("u").alias("ok")).collect()
+    for r in got:
+        url = urls.parse(r["u"]) if r["u"] is not None else None
+        assert r["key"] == urls.graph_key(r["u"]) and r["host"] == urls.hostname(r["u"]), r["u"]
+        assert r["link"] == (None if r["u"] is None or r["b"] is None else urls.link_normal(r["b"], r["u"])), (r["b"], r["u"])
+        want = {} if url is None else {n: getattr(url, n) for n in ("scheme", "host", "port", "path", "query", "fragment", "origin")}
+        assert {k: v for k, v in (r["parts"].asDict() if r["parts"] else {}).items() if v is not None} == {k: v for k, v in want.items() if v is not None}, r["u"]
+        assert r["ok"] == (url is not None and url.scheme in ("http", "https")), r["u"]

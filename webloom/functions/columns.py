@@ -34,8 +34,38 @@ def _depth(text: str) -> int | None:
     return len([s for s in url.path.split("/") if s]) if url else None
 
 
-graph_key_of = mapped(urls.graph_key, "string")
-hostname_of = mapped(urls.hostname, "string")
+#: A url that is in its normal form as it stands: a host of plain names, no port, no user, no dots or escapes in the path.
+PLAIN_HOST = r"[a-z][a-z0-9]*(?:\.[a-z][a-z0-9]*)*"
+PLAIN_PATH = r"/(?:[A-Za-z0-9_~][A-Za-z0-9_.~-]*(?:/[A-Za-z0-9_~][A-Za-z0-9_.~-]*)*/?)?"
+PLAIN_PAGE = rf"\A(https?)://({PLAIN_HOST})({PLAIN_PATH})(?:#[A-Za-z0-9_-]*)?\z"
+PLAIN_URL = rf"\A(https?)://({PLAIN_HOST})({PLAIN_PATH})(?:\?([A-Za-z0-9_=&.~-]*))?(?:#([A-Za-z0-9_-]*))?\z"
+
+
+def column_of(column: Column | str) -> Column:
+    return F.col(column) if isinstance(column, str) else column
+
+
+def without_end(url: Column) -> Column:
+    """A plain page's url without fragment and without one slash at the end of its path."""
+    return F.regexp_replace(F.substring_index(url, "#", 1), r"\A(https?://[^/]+/.+)/\z", "$1")
+
+
+def graph_key_of(column: Column | str) -> Column:
+    """:func:`webloom.functions.urls.graph_key`; plain pages take Spark's own functions, only others are parsed."""
+    url = column_of(column)
+    plain = url.rlike(PLAIN_PAGE)
+    return F.when(plain, without_end(url)).otherwise(_graph_key(F.when(~plain, url)))
+
+
+def hostname_of(column: Column | str) -> Column:
+    """:func:`webloom.functions.urls.hostname`, plain urls by pattern."""
+    url = column_of(column)
+    plain = url.rlike(PLAIN_URL)
+    return F.when(plain, F.regexp_extract(url, PLAIN_URL, 2)).otherwise(_hostname(F.when(~plain, url)))
+
+
+_graph_key = mapped(urls.graph_key, "string")
+_hostname = mapped(urls.hostname, "string")
 path_depth = mapped(_depth, "int")
 vault_path_of = mapped(urls.vault_path, "string")
 to_fixed_1 = mapped(lambda v: str(Decimal(float(v)).quantize(Decimal("0.1"), ROUND_HALF_UP)), "string")
@@ -45,9 +75,15 @@ def link_normal_of(base: Column | str, href: Column | str) -> Column:
     """The normal form for following links of each href, seen from its base."""
 
     def run(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None or b is None else urls.link_normal(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
+        known: dict[tuple, str | None] = {}
+        for pair in zip(bases, hrefs, strict=True):
+            if pair not in known:
+                known[pair] = None if pair[0] is None or pair[1] is None else urls.link_normal(*pair)
+        return pd.Series([known[pair] for pair in zip(bases, hrefs, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "string")(base, href)
+    base, href = column_of(base), column_of(href)
+    plain = F.coalesce(href.rlike(PLAIN_PAGE) & base.rlike(PLAIN_URL), F.lit(False))
+    return F.when(plain, without_end(href)).otherwise(F.pandas_udf(run, "string")(F.when(~plain, base), F.when(~plain, href)))
 
 
 def fetch_site_of(request: Column | str, referrer: Column | str) -> Column:
@@ -71,14 +107,22 @@ def is_fetchable(column: Column | str) -> Column:
 
 
 def url_parts(column: Column | str) -> Column:
-    """struct<scheme, host, port, path, query, fragment, origin>, parsed once for each row."""
+    """struct<scheme, host, port, path, query, fragment, origin>; plain urls by pattern, others parsed, once for each row."""
 
     def run(values: pd.Series) -> pd.DataFrame:
         rows = [_parts(v) if v is not None else None for v in values]
         names = ("scheme", "host", "port", "path", "query", "fragment", "origin")
         return pd.DataFrame({n: pd.Series([r and r[n] for r in rows], dtype="Int32" if n == "port" else object) for n in names})
 
-    return F.pandas_udf(run, "scheme string, host string, port int, path string, query string, fragment string, origin string")(column)
+    url = column_of(column)
+    plain = url.rlike(PLAIN_URL)
+    part = lambda k: F.regexp_extract(url, PLAIN_URL, k)
+    after = lambda mark, k: F.when(url.contains(mark), part(k))
+    found = F.struct(
+        part(1).alias("scheme"), part(2).alias("host"), F.lit(None).cast("int").alias("port"), part(3).alias("path"), F.when(F.substring_index(url, "#", 1).contains("?"), part(4)).alias("query"),
+        after("#", 5).alias("fragment"), F.concat(part(1), F.lit("://"), part(2)).alias("origin"),
+    )
+    return F.when(plain, found).otherwise(F.pandas_udf(run, "scheme string, host string, port int, path string, query string, fragment string, origin string")(F.when(~plain, url)))
 
 
 def belongs_to(host: Column, domains: tuple[str, ...], subdomains: bool = True) -> Column:
