@@ -119,3 +119,22 @@ def test_distance_rejects_other_languages(spark):
     # too short to tell
     short = language.predict(spark.createDataFrame([(1, "ok"), (2, "Всё")], "doc_id long, text string"), model).collect()
     assert not any(r["rejected"] for r in short)
+
+
+def test_repeated_ids_keep_both_labels(spark, monkeypatch):
+    """More rows than ids are drawn: each id counts once, and no label is cut off."""
+    monkeypatch.setattr(quality, "LABELLED", 40)
+    rows = [(k, ("Plain prose, with words. And more of them here." if k % 2 else "BUY!! NOW!! BUY!! NOW!!") + f" {j}") for k in range(60) for j in range(9)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] * 2, "doc_id long, quality int")
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True))
+    assert len(model.labels) == 40 and 10 < model.labels.sum() < 30
+
+
+def test_more_languages_than_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    words = {"en": "the and of house green", "de": "der und das haus grünes", "xx": "zork blip"}
+    rows = [(k, " ".join(words[lang].split()[k % 3 :] * 3), lang) for k in range(60) for lang in words if lang != "xx" or k < 20]
+    table = spark.createDataFrame([(n, t, lang) for n, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(table, F.lit(True))
+    assert model.languages == ["de", "en"]
+    assert {r["lang_pred"] for r in language.predict(table.select("doc_id", "text"), model).select("lang_pred").distinct().collect()} <= {"de", "en", "und"}

@@ -6,7 +6,8 @@
    other chunks have too. A chunk sends a fingerprint once, so a very common text weighs no more than
    one entry per chunk.
 3. Rows whose fingerprint is marked, or repeats within its chunk, are suspects. Only their texts are
-   shuffled, and grouped by the whole normalised text, which settles equality byte by byte.
+   shuffled, and grouped by the whole normalised text, which settles equality byte by byte. Tasks tell suspects by the
+   broadcast fingerprints of all suspects; if these take more than ``BROADCAST_BYTES``, the rows meet them by a join.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from webloom.plans.tables import Stash, bounded
 
 #: Rows of one chunk: what a sender holds at a time.
 CHUNK_ROWS = 1 << 17
-#: Fingerprints that an owner gets, on average.
-OWNER_ROWS = 1 << 16
+#: Fingerprints that an owner gets, on average: at least, while there are fewer owners than tasks of a shuffle, and at most.
+#: The more there are, the longer a chunk's list for an owner, and the fewer bits its gaps take.
+OWNER_LEAST, OWNER_MOST = 1 << 16, 1 << 21
 
 SENT = "chunk long, id string, fp long, sha string, twice boolean, owner int, n int, shift int, unary binary, low binary"
 
@@ -125,7 +127,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     texts = docs.select(F.col(id_col).cast("string").alias("id"), norm.alias("norm")).withColumn("fp", F.xxhash64("norm"))
     n_rows = docs.select(id_col).count()
-    owner_bits = max(0, int(np.ceil(np.log2(max(1, n_rows / OWNER_ROWS)))))
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(1.0, n_rows / OWNER_MOST, min(n_rows / OWNER_LEAST, tasks))
+    owner_bits = int(np.ceil(np.log2(owners)))
     hashed = texts.select("id", "fp", F.sha2("norm", 256).alias("sha"))
     sent = stash.put(hashed.mapInArrow(sender(owner_bits), SENT), "sent")
 
@@ -135,8 +139,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = stash.put(
         rows.groupBy("chunk").cogroup(bitmaps.groupBy("chunk")).applyInPandas(mark_suspects, "id string, fp long, sha string, suspect boolean"), "marked"
     )
-    suspects = marked.where("suspect").select(F.col("id").alias("s_id"), F.col("fp").alias("s_fp")).distinct()
-    held = texts.join(suspects, texts["id"].eqNullSafe(suspects["s_id"]) & (texts["fp"] == suspects["s_fp"]), "left_semi")
+    # a fingerprint is suspect for all rows that have it; while these numbers are few, no text is moved to find it
+    suspects = bounded(stash.put(marked.where("suspect").select("fp").distinct(), "suspects"))
+    held = texts.join(suspects, "fp", "left_semi")
     # whole texts are grouped; what their rows then need to find their group is narrow
     grouped = held.groupBy("fp", "norm").agg(F.min(F.col("id").cast(kind)).alias("keep_id"), F.count("*").alias("group_size"))
     groups = bounded(stash.put(grouped.select("fp", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups"))
