@@ -130,6 +130,9 @@ def test_merkle_of_many(spark, tmp_path):
     got = catalog.op13_prove_documents(spark, str(tmp_path))
     assert rows_of(got, *got.columns) == proofs_of(rows)
     manifest = merkle.build_manifest(spark.createDataFrame([(k, "x", f"d{k}") for k in range(1025)], "i long, lang string, leaf string"), "lang", "i", "leaf")
+    odd = spark.createDataFrame([(3, "x", "d", "a", 7, "b"), (1, None, "e", "c", 8, "d")], "n int, rank string, digest string, root string, part int, `key with space` string")
+    proved = merkle.build_manifest(odd.withColumn("leaf", F.col("digest")), "part", "n", "leaf").proofs()
+    assert sorted(map(tuple, proved.select("n", "rank", "part", "`key with space`", "digest", "subroot", "root").collect())) == [(1, None, 8, "d", "e", "e", h("d", "e")), (3, "x", 7, "b", "d", "d", h("d", "e"))]
     nodes = manifest.nodes().collect()
     assert len(nodes) == 513 + 257 + 129 + 65 + 33 + 17 + 9 + 5 + 3 + 2 + 1
     assert all(r["lo"] % (1 << r["level"]) == 0 and r["hi"] == min(r["lo"] + (1 << r["level"]), 1025) for r in nodes)
@@ -192,6 +195,8 @@ def test_pieces_of_table(spark, docs, vocabulary, library, tmp_path):
     assert both.columns == [*docs.columns, "ids", "decoded"]
     assert rows_of(both, "doc_id", "decoded") == rows_of(docs, "doc_id", F.coalesce("text", F.lit("")).alias("decoded"))
     assert pieces.decode(pieces.encode(docs.where("false"), vocabulary), vocabulary).count() == 0
+    clash = pieces.decode(pieces.encode(docs.select("doc_id", "text", F.lit(1).alias("IDS"), F.lit(2).alias("Decoded")), vocabulary), vocabulary)
+    assert clash.columns == ["doc_id", "text", "ids", "decoded"] and clash.count() == len(rows_with_marks())
     nothing = spark.createDataFrame([(1, None), (2, [])], "id int, ids array<int>")
     assert rows_of(pieces.decode(nothing, vocabulary), "id", "decoded") == Counter([(1, ""), (2, "")])
 

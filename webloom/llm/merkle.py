@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.plans.prefix import global_rank
 from webloom.plans.tables import Stash
@@ -27,6 +28,8 @@ BAND = 9
 #: One level of a proof: the digests left and right of a node in its run, '' where there is none.
 STEP = pa.struct([("left", pa.string()), ("right", pa.string())])
 STEPS = "array<struct<left:string,right:string>>"
+#: Columns of a proof beside those of its row.
+ADDED = ("digest", "steps", "subroot", "root")
 NODES = "part long, n long, level int, lo long, hi long, digest string"
 
 
@@ -158,7 +161,7 @@ def attach_steps(tree: Tree, heads: DataFrame, stash: Stash) -> DataFrame:
         nodes = tree.nodes[band].select("part", F.shiftright("lo", (band + 1) * BAND).alias("bucket"), "level", "lo", "hi", "digest")
         right = nodes.unionByName(start, allowMissingColumns=True)
         members = tree.members[band]
-        kinds = ", ".join(f"`{c}` {k}" for c, k in members.dtypes) + f", steps {STEPS}, subroot string, root string"
+        kinds = T.StructType([*members.schema, *T._parse_datatype_string(f"steps {STEPS}, subroot string, root string")])
         left = members.withColumn("bucket", F.shiftright("rank", BAND))
         out = left.groupBy("part", "bucket").cogroup(right.groupBy("part", "bucket")).applyInArrow(attacher(band), kinds)
         if band:
@@ -183,24 +186,25 @@ class Manifest:
         return found.join(self.parts.select("part", "key"), "part").select("key", "level", "lo", "hi", "digest")
 
     def proofs(self) -> DataFrame:
-        """Every row with the steps of its proof (from the leaf up), the root of its part and of all: columns of the
-        table, ``digest``, ``steps``, ``subroot``, ``root``."""
+        """Every row with its leaf, the steps of its proof (from the leaf up), the root of its part and of all: the columns
+        of the table, ``digest``, ``steps``, ``subroot``, ``root``."""
         root = self.over.tops().select("part", "n", F.array().cast(STEPS).alias("steps"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
         of_parts = attach_steps(self.over, root, self.stash).select(F.col("rank").alias("part"), "steps", F.col("digest").alias("subroot"), "root")
         heads = self.stash.put(of_parts.join(self.parts.select("part", "n"), "part"), "heads")
-        return attach_steps(self.rows, heads, self.stash).drop("part", "n", "rank")
+        return attach_steps(self.rows, heads, self.stash).select("row.*", *ADDED)
 
 
 def build_manifest(rows: DataFrame, part: str, order: str, leaf: str) -> Manifest:
     """The manifest of ``rows``: in each part, leaves ascend by ``order`` (null last; equal ones by their digests), and
     parts by bytes (null first).
 
-    ``rows`` may have further columns, which proofs carry, but none of the names part, n, rank, digest, steps, subroot
-    and root. Repeated rows are leaves of their own. An empty table has no parts, no root and no proofs.
+    Proofs carry all columns of ``rows``, but for those with the name of a proof's own. Repeated rows are leaves of their
+    own. An empty table has no parts, no root and no proofs.
     """
     stash = Stash(rows.sparkSession, "merkle")
-    known = stash.put(rows.withColumnsRenamed({part: "key", leaf: "digest"}), "leaves")
-    placed = stash.put(global_rank(known, stash, [F.asc_nulls_first("key"), F.asc_nulls_last(order), F.asc("digest")], "place"), "places")
+    carried = F.struct(*(c for c in rows.columns if c.lower() not in ADDED)).alias("row")
+    known = stash.put(rows.select(F.col(part).alias("key"), F.col(order).alias("sort"), F.col(leaf).alias("digest"), carried), "leaves")
+    placed = stash.put(global_rank(known, stash, [F.asc_nulls_first("key"), F.asc_nulls_last("sort"), F.asc("digest")], "place").drop("sort"), "places")
     counted = stash.put(placed.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "counted")
     parts = stash.put(global_rank(counted, stash, [F.asc_nulls_first("key")], "part"), "parts")
     sizes = parts.agg(F.count("*"), F.max("n")).first()

@@ -394,10 +394,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep
     ``decoded``, if given, the text that these ids stand for.
 
     A null text counts as empty and has the end id alone. ``keep`` names the columns that stay, all if not given;
-    whatever they hold, repeated rows too, they pass through. An empty table gives no rows.
+    whatever they hold, repeated rows too, they pass through, but for those that have the name of an added one. An empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (out.lower(), (decoded or out).lower())]
     (text,) = spare(docs, "whole_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,8 +420,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text that each list of ids stands for; null counts as an empty list, an id beyond the vocabulary raises.
 
-    All columns stay. Bytes that make no character become U+FFFD one by one.
+    All columns stay, but for one that has the name of the added one. Bytes that make no character become U+FFFD one by one.
     """
+    rows = rows.select(*(f"`{c}`" for c in rows.columns if c.lower() != out.lower()))
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
