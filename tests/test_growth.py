@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pytest
+
+from webloom.functions import extract
 from webloom.functions.addresses import match_networks
+from webloom.functions.page_tree import PageTree
 
 
 def test_networks_under_many_starts_are_not_broadcast(spark):
@@ -11,3 +17,18 @@ def test_networks_under_many_starts_are_not_broadcast(spark):
     found = match_networks(asked, nets).select("id", "network")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, "0.0.0.0/0"), (1, "10.1.0.0/16"), (2, "2a00::/12")]
+
+
+def test_long_pages_are_read_without_their_whole_tree(monkeypatch):
+    """Title and tags of a page beyond the limit are those of the whole tree, which is not built for them."""
+    body = "<p title='<meta name=author content=no>'>word, <b>big </b> ﻿<br/></p>" * 6
+    html = "<!-- <title>no</title> --><META property='og:site_name' content='S &amp; T'><Title>Long&amp;</Title><script>'<title>x'</script>" + body + "<meta name=author content=me>"
+    page = extract.Page("https://site.example/", html)
+    tree, flat = PageTree(html), PageTree(html, flat=True)
+    for tag in ("meta", "title", "script"):
+        assert [(tree.attrs[i], tree.text(i)) for i in tree.named(tag)] == [(flat.attrs[i], flat.text(i)) for i in flat.named(tag)]
+    expected = extract.collapse(re.sub(r"<[^>]+>", " ", html))
+    monkeypatch.setattr(extract, "ARTICLE_LIMIT", 100)
+    monkeypatch.setattr(extract.Page, "tree", property(lambda self: pytest.fail("the whole tree of a long page")))
+    found = extract.article(page, 50)
+    assert (found["title"], found["byline"], found["site_name"], found["length"], found["content"]) == ("Long&", "me", "S & T", len(expected), expected[:50])
