@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from webloom.functions import extract
 from webloom.functions.addresses import match_networks
 from webloom.functions.page_tree import PageTree
+from webloom.operators import extraction
 
 
 def test_networks_under_many_starts_are_not_broadcast(spark):
@@ -32,3 +35,40 @@ def test_long_pages_are_read_without_their_whole_tree(monkeypatch):
     monkeypatch.setattr(extract.Page, "tree", property(lambda self: pytest.fail("the whole tree of a long page")))
     found = extract.article(page, 50)
     assert (found["title"], found["byline"], found["site_name"], found["length"], found["content"]) == ("Long&", "me", "S & T", len(expected), expected[:50])
+
+
+class Record(dict):
+    """A record that can be counted while it lives."""
+
+    live = 0
+
+    def __init__(self):
+        Record.live += 1
+
+    def __del__(self):
+        Record.live -= 1
+
+
+def test_records_of_a_batch_are_made_piece_by_piece(spark):
+    """Of 1000 rows in one batch no more than two pieces are held as Python objects."""
+    seen = []
+
+    def compute(url, html):
+        made = Record()
+        made["n"] = html
+        seen.append(Record.live)
+        return made
+
+    class Pages:
+        columns, schema = ["url", "html"], {"url": T.StructField("url", T.StringType())}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    run = extraction.per_page(Pages(), {"n": "string"}, compute)
+    batch = pa.RecordBatch.from_pydict({"url": ["u"] * 1000, "html": [str(k) for k in range(1000)]})
+    assert [n for b in run(iter([batch])) for n in b["n"].to_pylist()] == [str(k) for k in range(1000)]
+    assert max(seen) <= 2 * extraction.PIECE
