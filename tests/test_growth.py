@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
@@ -12,6 +13,8 @@ from webloom.functions import extract
 from webloom.functions.addresses import match_networks
 from webloom.functions.page_tree import PageTree
 from webloom.operators import extraction
+from webloom.sources import manifests
+from webloom.streaming import marks
 
 
 def test_networks_under_many_starts_are_not_broadcast(spark):
@@ -72,3 +75,27 @@ def test_records_of_a_batch_are_made_piece_by_piece(spark):
     batch = pa.RecordBatch.from_pydict({"url": ["u"] * 1000, "html": [str(k) for k in range(1000)]})
     assert [n for b in run(iter([batch])) for n in b["n"].to_pylist()] == [str(k) for k in range(1000)]
     assert max(seen) <= 2 * extraction.PIECE
+
+
+def test_manifests_make_their_rows_once(spark, tmp_path):
+    """The count in a manifest's head is taken as the rows are written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    articles = spark.range(0, 20, 1, 2).selectExpr("id as page_id", "named_struct('title', 'T') as article").mapInArrow(counting, "page_id long, article struct<title:string>")
+    manifests.save_articles(articles, str(tmp_path / "articles"), "2024-01-01T00:00:00Z")
+    assert made.value == 20
+    assert spark.read.json(str(tmp_path / "articles" / "meta")).first().asDict() == {"articleCount": 20, "createdAt": "2024-01-01T00:00:00Z", "source": "article"}
+    source, rows = manifests.read_saved(spark, str(tmp_path / "articles"))
+    assert source == "article" and rows.count() == 20
+
+
+def test_empty_bodies_share_few_keys():
+    """A row with an empty body is no group of its own; the earliest row of several orders is found as by sorting."""
+    assert marks.EMPTY_KEYS <= 1024
+    rows = pd.DataFrame({"a": [3, 1, 1], "b": ["x", None, "y"]})
+    assert (marks.earliest(rows, ["a"]), marks.earliest(rows, ["a", "b"]), marks.earliest(rows, ["b", "a"])) == (1, 2, 0)

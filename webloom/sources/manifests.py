@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom import model
+from webloom.plans.metrics import observed
 
 # Names in manifest files that differ from ours.
 RENAMED = {
@@ -107,6 +108,14 @@ def _write(head: DataFrame, rows: DataFrame, path: str) -> None:
     head.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/meta")
 
 
+def _write_counted(head: dict[str, str], counted: str, rows: DataFrame, path: str) -> None:
+    """:func:`_write` with a head that tells how many rows there are, counted as they are written: rows are made once."""
+    passing, seen = observed(rows, F.count(F.lit(1)).alias(counted))
+    passing.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/rows")
+    told = rows.sparkSession.range(1).select(*(F.lit(v).alias(k) for k, v in head.items()), F.lit(seen.get[counted]).cast("long").alias(counted))
+    told.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/meta")
+
+
 def save_capture(snapshot: DataFrame, path: str, seed_url: str, created_at: str) -> None:
     """A snapshot's pages under the field names of manifest files, with ``ord``, in JSON lines."""
     records = [n for n in model.RECORDS if n in snapshot.columns]
@@ -119,14 +128,12 @@ def save_capture(snapshot: DataFrame, path: str, seed_url: str, created_at: str)
             columns.append(column.alias(f"mcp.{name}"))
         else:
             columns.append(column.cast(file_type(T._parse_datatype_string(model.RECORDS[name]))).alias(f"mcp.{name}"))
-    head = snapshot.agg(F.count("*").alias("pagesCaptured")).select(F.lit("capture").alias("source"), F.lit(seed_url).alias("seedUrl"), F.lit(created_at).alias("createdAt"), "pagesCaptured")
-    _write(head, snapshot.select(*columns), path)
+    _write_counted({"source": "capture", "seedUrl": seed_url, "createdAt": created_at}, "pagesCaptured", snapshot.select(*columns), path)
 
 
 def save_entries(entries: DataFrame, path: str, sitemap_url: str, created_at: str) -> None:
     """A sitemap's entries (ord, url, lastmod, changefreq, priority) in JSON lines."""
-    head = entries.agg(F.count("*").alias("urlCount")).select(F.lit("sitemap").alias("source"), F.lit(sitemap_url).alias("sitemapUrl"), F.lit(created_at).alias("createdAt"), "urlCount")
-    _write(head, entries.select("ord", "url", "lastmod", "changefreq", "priority"), path)
+    _write_counted({"source": "sitemap", "sitemapUrl": sitemap_url, "createdAt": created_at}, "urlCount", entries.select("ord", "url", "lastmod", "changefreq", "priority"), path)
 
 
 def save_results(items: DataFrame, summary: DataFrame, path: str, created_at: str) -> None:
@@ -137,8 +144,7 @@ def save_results(items: DataFrame, summary: DataFrame, path: str, created_at: st
 
 def save_articles(articles: DataFrame, path: str, created_at: str) -> None:
     """Articles of :func:`webloom.operators.extraction.read_articles` in JSON lines, one a page."""
-    head = articles.agg(F.count("*").alias("articleCount")).select(F.lit("article").alias("source"), F.lit(created_at).alias("createdAt"), "articleCount")
-    _write(head, articles.select(*[c for c in articles.columns if c != "article"], "article.*"), path)
+    _write_counted({"source": "article", "createdAt": created_at}, "articleCount", articles.select(*[c for c in articles.columns if c != "article"], "article.*"), path)
 
 
 def read_saved(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
