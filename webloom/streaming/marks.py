@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: The columns of the body's hash and of the time in milliseconds; what the hash begins with for empty bodies, which are
 #: never duplicates.
 KEY, TIME, EMPTY = "body_key", "body_ms", "-"
+#: Keys that empty bodies are dealt to.
+EMPTY_KEYS = 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,8 +28,8 @@ def mark_bodies(pages: DataFrame, order: list[str], keep: list[str], body: str =
     (:func:`use_rocksdb`). Bodies themselves do not reach the operator unless they are kept.
     """
     text = F.coalesce(F.col(body), F.lit(""))
-    # empty bodies spread over all tasks
-    key = F.when(F.octet_length(text) > 0, F.sha2(text, 256)).otherwise(F.concat(F.lit(EMPTY), F.sha2(F.to_json(F.struct(*keep)), 256)))
+    # empty bodies spread over all tasks, many to a key
+    key = F.when(F.octet_length(text) > 0, F.sha2(text, 256)).otherwise(F.concat(F.lit(EMPTY), F.pmod(F.xxhash64(F.to_json(F.struct(*keep))), F.lit(EMPTY_KEYS)).cast("string")))
     keyed = pages.withWatermark(time, late).select(*keep, *([] if time in keep else [time]), key.alias(KEY), F.unix_millis(time).alias(TIME))
     schema = T.StructType([*(keyed.schema[c] for c in keyed.columns if c not in (KEY, TIME)), T.StructField("is_duplicate", T.BooleanType())])
     marked = keyed.groupBy(KEY).transformWithStateInPandas(FirstSeen(order, keep_ms), schema, "Append", "EventTime" if keep_ms else "None")
@@ -38,6 +41,16 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def earliest(rows: pd.DataFrame, order: list[str]) -> int:
+    """The place of the first row in an order; nulls stand last, and of equal rows the first counts."""
+    if len(rows) == 1:
+        return 0
+    values = rows[order[0]].to_numpy()
+    if len(order) == 1 and values.dtype.kind in "iu":
+        return int(values.argmin())
+    return int(rows[order].reset_index(drop=True).sort_values(order, kind="stable").index[0])
+
+
 class FirstSeen(StatefulProcessor):
     """State of one body: that it was seen, and a timer that forgets it.
 
@@ -56,13 +69,19 @@ class FirstSeen(StatefulProcessor):
         known = empty or self.seen.exists()
         first = None
         for piece in rows:
-            piece = piece.assign(is_duplicate=not empty)
-            if not known:
-                whole = (piece if first is None else pd.concat([first, piece])).sort_values(self.order, kind="stable")
-                first, piece = whole.iloc[:1], whole.iloc[1:]
-            yield piece.drop(columns=[KEY, TIME])
+            kept = {c: piece[c] for c in piece.columns if c not in (KEY, TIME)}
+            if known:
+                yield pd.DataFrame(kept | {"is_duplicate": not empty})
+                continue
+            if first is not None:
+                piece = pd.concat([first, piece])
+            place = earliest(piece, self.order)
+            first = piece.iloc[place : place + 1]
+            if len(piece) > 1:
+                others = np.arange(len(piece)) != place
+                yield pd.DataFrame({c: piece[c][others] for c in kept} | {"is_duplicate": True})
         if first is not None:
-            yield first.assign(is_duplicate=False).drop(columns=[KEY, TIME])
+            yield pd.DataFrame({c: first[c] for c in first.columns if c not in (KEY, TIME)} | {"is_duplicate": False})
             at = int(first[TIME].iloc[0])
             self.seen.update((at,))
             if self.keep_ms:
