@@ -99,3 +99,13 @@ def test_empty_bodies_share_few_keys():
     assert marks.EMPTY_KEYS <= 1024
     rows = pd.DataFrame({"a": [3, 1, 1], "b": ["x", None, "y"]})
     assert (marks.earliest(rows, ["a"]), marks.earliest(rows, ["a", "b"]), marks.earliest(rows, ["b", "a"])) == (1, 2, 0)
+
+
+def test_references_that_are_cut_off_stay_if_asked(spark):
+    """A title cut off inside a reference: as written with ``ended``, else as browsers read it."""
+    pages = spark.createDataFrame([(1, "https://site.example/", "<title>a&amp;&lt;b &notin;&ampx; c&#38;&amp</title><h1>d&amp</h1><a href='/x?a&amp=1'>y</a>")], "page_id long, url string, html string")
+    for ended, title, h1 in ((True, "a&<b ∉&ampx; c&&amp", "d&amp"), (False, "a&<b ∉&x; c&&", "d&")):
+        seo = extraction.extract_records(pages, ("seo",), ended=ended).select("seo.*").first()
+        assert (seo["title"], seo["h1"]) == (title, h1)
+        assert extraction.read_articles(pages, ended=ended).select("article.title").first()[0] == title
+        assert extraction.extract_client_pages(pages, ended=ended).select("seo.title").first()[0] == title
