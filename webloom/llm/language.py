@@ -38,6 +38,8 @@ MARGIN, QUANTILE, CLOSE = 0.9, 0.001, 0.25
 #: Held-out texts that a class must have for a threshold of its own; else that of shorter texts holds.
 LEAST_TEXTS = 20
 UNKNOWN = "und"
+#: Rows that are turned into vectors at a time.
+BLOCK = 256
 
 
 @dataclass
@@ -133,8 +135,13 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
 
 
 def learn(counts: np.ndarray, half: np.ndarray, whole: np.ndarray, letters: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One language's centroids, and its thresholds by class of length, from texts (``whole``) and pieces of them."""
-    rows = unit(log_tf(counts) * idf)
+    """One language's centroids, and its thresholds by class of length, from texts (``whole``) and pieces of them.
+
+    ``counts`` are overwritten by the vectors, a block at a time: a second matrix of that size would not fit beside others.
+    """
+    rows = counts
+    for at in range(0, len(rows), BLOCK):
+        rows[at : at + BLOCK] = unit(log_tf(rows[at : at + BLOCK]) * idf)
     top = np.full(len(rows), np.nan)
     for k in (0, 1):
         other = rows[whole & (half != k)]
