@@ -30,9 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no letter. Every row is judged by its own text, repeats too; an empty table stays so.
     """
     model = language.fit(docs, remainder(F.col("doc_id"), 4) != 2)
-    (text,) = spare(docs, "whole_text")
-    found = language.predict(docs.withColumn(text, F.col("text")).select("text", text, *(c for c in columns_of(docs) if c != "text")), model).where("not rejected")
-    return found.withColumn("lang", F.col("lang_pred")).withColumnRenamed(text, "text").select(columns_of(docs))
+    found = language.predict(docs.select(columns_of(docs)), model, keep_text=True).where("not rejected")
+    return found.withColumn("lang", F.col("lang_pred")).select(columns_of(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +112,10 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     held = stash.put(sample.mapInPandas(vectors, "lang string, half int, whole boolean, letters long, at binary, n binary"), "vectors")
 
     def documents_with(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [len(group)], "df": [(dense(list(zip(group["at"], group["n"], strict=True)), DIMS) > 0).sum(axis=0).astype(np.int64).tobytes()]})
+        df = np.zeros(DIMS, np.int64)
+        for at in group["at"]:  # no place is there twice
+            df[np.frombuffer(at, np.uint16)] += 1
+        return pd.DataFrame({"n": [len(group)], "df": [df.tobytes()]})
 
     n, df = 0, np.zeros(DIMS, np.int64)
     for row in held.where("whole").groupBy("lang").applyInPandas(documents_with, "n long, df binary").toLocalIterator():  # a row a language
@@ -120,7 +124,7 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
 
     def learned(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["letters", "at", "n"], kind="stable")
-        centroids, threshold = learn(dense(list(zip(group["at"], group["n"], strict=True)), DIMS), group["half"].to_numpy(), group["whole"].to_numpy(), group["letters"].to_numpy(), idf)
+        centroids, threshold = learn(list(zip(group["at"], group["n"], strict=True)), group["half"].to_numpy(), group["whole"].to_numpy(), group["letters"].to_numpy(), idf)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [centroids.tobytes()], "threshold": [threshold.tobytes()]})
 
     found = sorted(held.groupBy("lang").applyInPandas(learned, "lang string, centroids binary, threshold binary").collect())  # a row a language
@@ -134,24 +138,34 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def learn(counts: np.ndarray, half: np.ndarray, whole: np.ndarray, letters: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def learn(counts: np.ndarray | list[tuple[bytes, bytes]], half: np.ndarray, whole: np.ndarray, letters: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One language's centroids, and its thresholds by class of length, from texts (``whole``) and pieces of them.
 
-    ``counts`` are overwritten by the vectors, a block at a time: a second matrix of that size would not fit beside others.
+    Of sparse ``counts`` only the texts are held as vectors, the pieces, of which there are many more, a block at a time.
+    A matrix is overwritten by its vectors.
     """
-    rows = counts
-    for at in range(0, len(rows), BLOCK):
-        rows[at : at + BLOCK] = unit(log_tf(rows[at : at + BLOCK]) * idf)
-    top = np.full(len(rows), np.nan)
-    for k in (0, 1):
-        other = rows[whole & (half != k)]
-        if len(other):
-            top[half == k] = (rows[half == k] @ cluster(other, CENTROIDS).T).max(axis=1)
+
+    def vectors(places: np.ndarray) -> np.ndarray:
+        return counts[places] if isinstance(counts, np.ndarray) else unit(log_tf(dense([counts[k] for k in places], DIMS)) * idf)
+
+    if isinstance(counts, np.ndarray):
+        for at in range(0, len(counts), BLOCK):
+            counts[at : at + BLOCK] = unit(log_tf(counts[at : at + BLOCK]) * idf)
+    texts = np.flatnonzero(whole)
+    rows = np.empty((len(texts), DIMS), np.float32)
+    for at in range(0, len(texts), BLOCK):
+        rows[at : at + BLOCK] = vectors(texts[at : at + BLOCK])
+    others = {k: cluster(rows[half[texts] != k], CENTROIDS) for k in (0, 1) if (half[texts] != k).any()}
+    top = np.full(len(half), np.nan)
+    for k, centroids in others.items():
+        mine = np.flatnonzero(half == k)
+        for at in range(0, len(mine), BLOCK):
+            top[mine[at : at + BLOCK]] = (vectors(mine[at : at + BLOCK]) @ centroids.T).max(axis=1)
     threshold, kinds = np.zeros(CLASSES), length_class(letters)
     for c in range(LEAST_LETTERS.bit_length() - 1, CLASSES):
         reached = top[(kinds == c) & ~np.isnan(top)]
         threshold[c] = min(CLOSE, MARGIN * np.quantile(reached, QUANTILE)) if len(reached) >= LEAST_TEXTS else threshold[c - 1]
-    return cluster(rows[whole], CENTROIDS), threshold
+    return cluster(rows, CENTROIDS), threshold
 
 
 def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -166,19 +180,23 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score (the best cosine) and rejected; only id, text and what else ``docs`` selects pass.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Adds lang_pred, score (the best cosine) and rejected; only id, text and what else ``docs`` selects pass, the text
+    itself, in its place, with ``keep_text``.
 
     Null, empty and letterless texts are ``und`` with score 0, and rejected. With no training rows all are. Of centroids
-    that are equally near, the first language's in the order of code points wins.
+    that are equally near, the first language's in the order of code points wins. ``BLOCK`` rows of a batch are read at a time.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    passed = [f"c{k}" for k in range(len(kept))]
+    read = passed[kept.index(text_col)] if keep_text else "text"
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
             langs, scores, rejected = [], [], []
-            for _, texts in blocks([t if isinstance(t, str) else "" for t in batch["__text"]]):
+            for _, texts in blocks([t if isinstance(t, str) else "" for t in batch[read].to_pylist()]):
                 counts, n_letters = gram_counts(texts)
                 letters = n_letters > 0
                 if not len(model.languages):
@@ -191,11 +209,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     best, top = model.owner[near], np.clip(cosines[np.arange(len(texts)), near].astype(float), 0, 1)
                 langs += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
                 scores += [float(s) if ok else 0.0 for s, ok in zip(top, letters, strict=True)]
-                rejected += [not ok or s < model.threshold[b][c] for b, s, c, ok in zip(best, top, length_class(n_letters), letters, strict=True)]
-            yield batch.drop(columns="__text").assign(__lang=langs, __score=scores, __rejected=[bool(r) for r in rejected])
-
-    others = [c for c in docs.columns if c != text_col]
-    passed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)], F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others))
-    out = passed.mapInPandas(classify, f"{kinds}, __lang string, __score double, __rejected boolean")
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(others)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+                rejected += [bool(not ok or s < model.threshold[b][c]) for b, s, c, ok in zip(best, top, length_class(n_letters), letters, strict=True)]
+            added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), *added], [*passed, "lang_pred", "score", "rejected"])
+
+    rows = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(kept, passed, strict=True)), *([] if keep_text else [F.col(text_col).alias(read)]))
+    kinds = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(kept, passed, strict=True))
+    out = rows.mapInArrow(classify, f"{kinds}{', ' if kept else ''}lang_pred string, score double, rejected boolean")
+    return out.select(*(F.col(p).alias(c) for c, p in zip(kept, passed, strict=True)), "lang_pred", "score", "rejected")
