@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from webloom.functions import extract
 from webloom.functions.addresses import match_networks
 from webloom.functions.page_tree import PageTree
-from webloom.operators import extraction
+from webloom.operators import audits, comparison, extraction
 from webloom.sources import manifests
 from webloom.streaming import marks
 
@@ -109,3 +109,15 @@ def test_references_that_are_cut_off_stay_if_asked(spark):
         assert (seo["title"], seo["h1"]) == (title, h1)
         assert extraction.read_articles(pages, ended=ended).select("article.title").first()[0] == title
         assert extraction.extract_client_pages(pages, ended=ended).select("seo.title").first()[0] == title
+
+
+def test_rows_for_ranks_are_not_sorted_and_need_no_seo(spark):
+    """Lists that are ranked afterwards come unsorted, from a snapshot without the record that only gives titles."""
+    rows = [(1, "https://e.com/1", "<h1>a</h1><h3>b</h3>", 200, 0, False), (2, "https://e.com/2", "<h1>a</h1>", 200, 1, False)]
+    pages = spark.createDataFrame(rows, "ord long, url string, html string, status_code int, depth int, is_duplicate boolean")
+    snap = extraction.extract_records(pages, ("headings", "meta", "schema"))
+    for made, urls_found in ((audits.heading_rows(snap, "skipped_levels"), ["https://e.com/1"]), (audits.rows_without_schema(snap), ["https://e.com/1", "https://e.com/2"])):
+        assert "Sort" not in made._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["url"] for r in made.collect()) == urls_found and {r["title"] for r in made.collect()} == {""}
+    missing, extra = comparison.sitemap_gaps(snap, snap.where("ord = 1").select("ord", "url"))
+    assert missing.count() == 0 and [(r["url"], r["title"]) for r in extra.collect()] == [("https://e.com/2", None)]

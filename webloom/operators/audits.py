@@ -16,6 +16,15 @@ def count_if(condition: Column | str, name: str) -> Column:
     return F.count_if(F.expr(condition) if isinstance(condition, str) else condition).alias(name)
 
 
+def title_of(snapshot: DataFrame) -> Column:
+    """The page's title, empty without one; also in a snapshot without that record."""
+    return (F.coalesce("seo.title", F.lit("")) if "seo" in snapshot.columns else F.lit("")).alias("title")
+
+
+def by_depth_and_url(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("depth", F.collate("url", "UNICODE"))
+
+
 def canonical_class(snapshot: DataFrame) -> DataFrame:
     """Adds ``canonical_class``: missing, cross_domain, cross_page or self; unreadable ones are cross_page."""
     own, other = hostname_of("url"), hostname_of("meta.canonical")
@@ -82,32 +91,36 @@ def heading_distribution(snapshot: DataFrame, level: str = "h1") -> DataFrame:
     return analysed(snapshot).where("headings is not null").groupBy(F.col(f"headings.counts.{level}").alias(f"{level}_count")).agg(F.count("*").alias("pages"))
 
 
-def heading_details() -> list:
+def heading_details(snapshot: DataFrame) -> list:
     """Title, depth, first headings and the first skipped level of a page."""
     h1 = F.transform(F.filter("headings.headings", lambda h: h["level"] == 1), lambda h: h["text"])
     levels = F.col("headings.headings.level")
     rest = F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0)))
     steps = F.zip_with(levels, rest, lambda a, b: F.when(b > a + 1, F.concat(F.lit("H"), a.cast("string"), F.lit(" → H"), b.cast("string"))))
     skip = F.get(F.filter(steps, lambda s: s.isNotNull()), F.lit(0))
-    return [F.coalesce("seo.title", F.lit("")).alias("title"), "depth", F.size(h1).alias("h1_count"), h1.alias("h1_texts"), skip.alias("first_skip")]
+    return [title_of(snapshot), "depth", F.size(h1).alias("h1_count"), h1.alias("h1_texts"), skip.alias("first_skip")]
+
+
+def heading_rows(snapshot: DataFrame, check: str) -> DataFrame:
+    """Pages with an issue, in any order, with the detail that shows it."""
+    return analysed(snapshot).where(f"headings.issues.{check}").select("url", *heading_details(snapshot))
 
 
 def heading_pages(snapshot: DataFrame, check: str) -> DataFrame:
     """Pages with an issue, by depth and url, with the detail that shows it."""
-    return analysed(snapshot).where(f"headings.issues.{check}").select("url", *heading_details()).orderBy("depth", F.collate("url", "UNICODE"))
+    return by_depth_and_url(heading_rows(snapshot, check))
 
 
 def all_heading_pages(snapshot: DataFrame) -> DataFrame:
     """The pages of every issue, each with the issue's name; the snapshot is read once."""
-    return analysed(snapshot).withColumn("check", F.explode(holding({c: F.col(f"headings.issues.{c}") for c in HEADING_CHECKS}))).select("check", "url", *heading_details())
+    return analysed(snapshot).withColumn("check", F.explode(holding({c: F.col(f"headings.issues.{c}") for c in HEADING_CHECKS}))).select("check", "url", *heading_details(snapshot))
 
 
 def image_pages(snapshot: DataFrame) -> DataFrame:
     """Pages with images of their own, with counts; those of source sets count where sizes are missing."""
     found = analysed(snapshot).where("images.counts.total > 0")
     bare = F.size(F.filter("images.images", lambda i: i["width"].isNull() & i["height"].isNull()))
-    title = F.coalesce("seo.title", F.lit("")) if "seo" in snapshot.columns else F.lit("")
-    return found.select("ord", "url", title.alias("title"), "images.counts.*", bare.alias("missing_dims"))
+    return found.select("ord", "url", title_of(snapshot), "images.counts.*", bare.alias("missing_dims"))
 
 
 def rate(part: Column, whole: Column, empty: int) -> Column:
@@ -148,8 +161,12 @@ def schema_summary(snapshot: DataFrame) -> DataFrame:
     return counts.withColumn("adoption_rate", rate(F.col("pages_with_schema"), F.col("pages_analyzed"), 0))
 
 
+def rows_without_schema(snapshot: DataFrame) -> DataFrame:
+    return analysed(snapshot).where("not coalesce(schema.has_schema, false)").select("url", title_of(snapshot), "depth")
+
+
 def pages_without_schema(snapshot: DataFrame) -> DataFrame:
-    return analysed(snapshot).where("not coalesce(schema.has_schema, false)").select("url", F.coalesce("seo.title", F.lit("")).alias("title"), "depth").orderBy("depth", F.collate("url", "UNICODE"))
+    return by_depth_and_url(rows_without_schema(snapshot))
 
 
 def schema_properties(snapshot: DataFrame, path: str, kind: str = "string") -> DataFrame:

@@ -25,7 +25,8 @@ def sitemap_gaps(snapshot: DataFrame, sitemap: DataFrame) -> tuple[DataFrame, Da
     """
     stash = Stash(snapshot.sparkSession, "gaps")
     noindex = F.coalesce("meta.robots.noindex", F.lit(False)).alias("noindex")
-    captured = stash.put(last_by_key(snapshot.where("not is_duplicate"), "url", "seo.title", "status_code", "depth", noindex), "captured")
+    title = F.col("seo.title") if "seo" in snapshot.columns else F.lit(None).cast("string").alias("title")
+    captured = stash.put(last_by_key(snapshot.where("not is_duplicate"), "url", title, "status_code", "depth", noindex), "captured")
     listed = stash.put(last_by_key(sitemap, "url"), "listed")
     missing = listed.join(captured.select("key"), "key", "left_anti").select("url")
     error = F.col("status_code") >= 400
