@@ -9,10 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from webloom.functions import extract
+from webloom.functions import extract, urls
 from webloom.functions.addresses import match_networks
 from webloom.functions.page_tree import PageTree
-from webloom.operators import audits, comparison, extraction
+from webloom.operators import audits, comparison, extraction, link_graph
 from webloom.sources import manifests
 from webloom.streaming import marks
 
@@ -121,3 +121,25 @@ def test_rows_for_ranks_are_not_sorted_and_need_no_seo(spark):
         assert sorted(r["url"] for r in made.collect()) == urls_found and {r["title"] for r in made.collect()} == {""}
     missing, extra = comparison.sitemap_gaps(snap, snap.where("ord = 1").select("ord", "url"))
     assert missing.count() == 0 and [(r["url"], r["title"]) for r in extra.collect()] == [("https://e.com/2", None)]
+
+
+def test_plain_links_are_not_parsed(spark, monkeypatch):
+    """Plain links of a page are told by pattern, as the parser finds them; the graph needs no title."""
+    hrefs = ("/p/2", "/a.b/c-d/", "/", "https://e.com/p/3", "http://h7.example.org/x/1", "/p/2")
+    html = "".join(f"<a href='{h}'> x﻿　y </a>" for h in hrefs)
+    page = extract.Page("https://e.com/p/1", html)
+    expected = [urls.parse(h, page.base) for h in dict.fromkeys(hrefs)]
+    monkeypatch.setattr(extract, "parse", lambda *a: pytest.fail("a plain link is parsed"))
+    found = extract.links(page)
+    assert [x["href"] for x in found["internal"]] == [u.text() for u in expected if u.host == "e.com"] and found["internal"][0]["anchor"] == "x y"
+    assert [x["href"] for x in found["external"]] == [u.text() for u in expected if u.host != "e.com"]
+    monkeypatch.undo()
+    for base in ("https://u@e.com/1", "https://e.com:8443/1", "mailto:x"):
+        for h in ("/a/../b", "/a%20b", "//x.y/z", "https://e.com:443/q", "/p/2?a#b", "/p/2", "https://e.com"):
+            root = urls.parse(base)
+            plain, target = urls.plain_link(h, root), urls.parse(h, root)
+            assert plain is None or plain == (target.text(), target.origin), (base, h)
+    rows = [(1, "https://e.com/p/1", html, 0, False)]
+    pages = spark.createDataFrame(rows, "ord long, url string, html string, depth int, is_duplicate boolean")
+    node = link_graph.link_graph(extraction.extract_records(pages, ("links",))).nodes.first()
+    assert (node["url"], node["title"], node["out_links"]) == ("https://e.com/p/1", "", 0)

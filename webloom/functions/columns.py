@@ -35,8 +35,7 @@ def _depth(text: str) -> int | None:
 
 
 #: A url that is in its normal form as it stands: a host of plain names, no port, no user, no dots or escapes in the path.
-PLAIN_HOST = r"[a-z][a-z0-9]*(?:\.[a-z][a-z0-9]*)*"
-PLAIN_PATH = r"/(?:[A-Za-z0-9_~][A-Za-z0-9_.~-]*(?:/[A-Za-z0-9_~][A-Za-z0-9_.~-]*)*/?)?"
+PLAIN_HOST, PLAIN_PATH = urls.PLAIN_HOST, urls.PLAIN_PATH
 PLAIN_PAGE = rf"\A(https?)://({PLAIN_HOST})({PLAIN_PATH})(?:#[A-Za-z0-9_-]*)?\z"
 PLAIN_URL = rf"\A(https?)://({PLAIN_HOST})({PLAIN_PATH})(?:\?([A-Za-z0-9_=&.~-]*))?(?:#([A-Za-z0-9_-]*))?\z"
 

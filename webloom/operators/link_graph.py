@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.columns import graph_key_of
+from webloom.operators.audits import by_depth_and_url, title_of  # noqa: F401
 from webloom.plans.prefix import global_rank
 from webloom.plans.tables import Stash
 
@@ -45,9 +46,10 @@ def link_graph(snapshot: DataFrame) -> LinkGraph:
     """The graph of a snapshot's pages that are no duplicates.
 
     Of pages with the same key the last record counts, in the place of the first; all their links attach. Pages and
-    links are read once, with their keys, into a written table of links (a page without links has one empty row).
+    links are read once, with their keys, into a written table of links (a page without links has one empty row). A
+    snapshot without the ``seo`` record has empty titles.
     """
-    pages = snapshot.where("not is_duplicate").select("ord", "url", "depth", F.coalesce("seo.title", F.lit("")).alias("title"), F.posexplode_outer("links.internal").alias("pos", "link"))
+    pages = snapshot.where("not is_duplicate").select("ord", "url", "depth", title_of(snapshot), F.posexplode_outer("links.internal").alias("pos", "link"))
     keyed = pages.select("ord", "url", "depth", "title", "pos", "link.href", "link.anchor", graph_key_of("url").alias("source"), graph_key_of("link.href").alias("target"))
     rows = Stash(snapshot.sparkSession, "link-graph").put(keyed, "links")
     page = F.struct("ord", "url", "depth", "title")
@@ -71,10 +73,6 @@ def single_path(graph: LinkGraph) -> DataFrame:
     return lone.join(first, "target").select(F.col("target").alias("key"), "url", "title", "depth", "f.linked_from", "f.anchor")
 
 
-def by_depth_and_url(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("depth", F.collate("url", "UNICODE"))
-
-
 def ranked(rows: DataFrame, stash: Stash, by: tuple[str, ...] = ("depth", "url")) -> DataFrame:
     """Adds ``rank``, the place of each row from 0 in the order of ``by``; urls stand as readers sort them."""
     order = [F.asc(F.collate(c, "UNICODE") if c == "url" else c) for c in by]
