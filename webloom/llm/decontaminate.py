@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.plans.tables import small_batches
+
 WINDOW = 13
 #: Benchmark words of one automaton: some 13 nodes for each.
 BLOCK_WORDS = 200_000
@@ -148,6 +150,7 @@ def find_contamination(
     null item id is named "null"; items with equal ids count once. A document is contaminated if at least 5 in 100 of
     its words are hit. Repeated rows give repeated rows; an empty table gives none; other columns are left out.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.columns import hash_long
 from webloom.llm.features import blocks, char_classes, code_points, count_into, dense, gram_hashes, log_tf, sparse, unit
-from webloom.plans.tables import Stash, bounded
+from webloom.plans.tables import Stash, bounded, small_batches
 
 DIMS = 4096
 PER_LANGUAGE = 800
@@ -88,6 +88,7 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     Of more than ``MOST_LANGUAGES`` values of language, those with most texts are learned, of equally many the first by
     code points; texts of the others are predicted as what they are most like, or rejected.
     """
+    small_batches(docs.sparkSession)
     stash = Stash(docs.sparkSession, "language")
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), hash_long(F.concat(F.lit("fit:"), F.col(id_col).cast("string"))).alias("h"))
@@ -187,6 +188,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Null, empty and letterless texts are ``und`` with score 0, and rejected. With no training rows all are. Of centroids
     that are equally near, the first language's in the order of code points wins. ``BLOCK`` rows of a batch are read at a time.
     """
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if keep_text or c != text_col]
     passed = [f"c{k}" for k in range(len(kept))]

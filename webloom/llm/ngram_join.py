@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.wordhash import GOLDEN, U, mix, word_blocks
 from webloom.plans.components import connected_components
-from webloom.plans.tables import Stash, bounded, spare
+from webloom.plans.tables import Stash, bounded, small_batches, spare
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,6 +44,8 @@ PERCENT = 80
 #: ones as the corpus grows; 2**20 at least, and 2**26 at most, which is 64 MB when broadcast.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 26
 CHUNK = 1 << 12
+#: Tokens that a task holds before it counts them.
+HELD_TOKENS = 1 << 16
 #: Rounds in which documents meet one bucket member before all remaining pairs are formed.
 STAR_ROUNDS = 2
 #: A component of more sets, or of more tokens in all, than these is cut into blocks when its links are counted.
@@ -112,14 +114,16 @@ def scan_sets(size: int, counters: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(counters, np.int32)
         held: list[np.ndarray] = []
+        size_held = 0
         for batch in batches:
             out = []
             for name, th, (tokens, others) in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), shingle_sets(batch["text"], size, (0, 1)), strict=True):
                 out.append({"id": name, "th": th, "n": len(tokens), "s1": set_digest(tokens), "s2": set_digest(others)})
                 held.append(tokens)
-                if len(held) >= 2048 or len(tokens) > 1 << 16:
+                size_held += len(tokens)
+                if size_held > HELD_TOKENS:
                     add(counts, held)
-                    held = []
+                    held, size_held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if held:
             add(counts, held)
@@ -264,6 +268,7 @@ class Join:
     def __init__(self, texts: DataFrame, size: int, percent: int) -> None:
         self.texts, self.size, self.percent = texts, size, percent
         self.spark = texts.sparkSession
+        small_batches(self.spark)
         self.stash = Stash(self.spark, "ngrams")
         self.counters = counters_for(texts.count())
 
