@@ -111,6 +111,16 @@ def test_references_that_are_cut_off_stay_if_asked(spark):
         assert extraction.extract_client_pages(pages, ended=ended).select("seo.title").first()[0] == title
 
 
+def test_paragraphs_are_measured_as_written_if_asked(spark):
+    """A paragraph of 24 characters, 36 with its references as written, is an article with ``ended`` only; white space at its ends never counts."""
+    for text, words in (("Von.*** Keitkeitkeit.&amp;&amp;&amp;", (2, 0)), ("Keitkeit kei.&amp; &amp;", (0, 0)), (" \n" * 9 + "Keit&amp;", (0, 0)), ("Von den Keitkeitkeiten, <b>a</b>", (4, 4))):
+        pages = spark.createDataFrame([(1, "https://site.example/", f"<body><nav>n</nav><p>b</p><article><p>{text}<br></article></body>")], "page_id long, url string, html string")
+        for ended, found in zip((True, False), words, strict=True):
+            assert extraction.extract_records(pages, ("seo",), ended=ended).select("seo.article_word_count").first()[0] == found
+            content = extract.collapse(("" if found else "b") + text.replace("&amp;", "&").replace("<b>", "").replace("</b>", ""))
+            assert extraction.read_articles(pages, ended=ended).select("article.content").first()[0] == content
+
+
 def test_rows_for_ranks_are_not_sorted_and_need_no_seo(spark):
     """Lists that are ranked afterwards come unsorted, from a snapshot without the record that only gives titles."""
     rows = [(1, "https://e.com/1", "<h1>a</h1><h3>b</h3>", 200, 0, False), (2, "https://e.com/2", "<h1>a</h1>", 200, 1, False)]
