@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pandas as pd
@@ -40,6 +41,33 @@ def test_long_pages_are_read_without_their_whole_tree(monkeypatch):
     assert (found["title"], found["byline"], found["site_name"], found["length"], found["content"]) == ("Long&", "me", "S & T", len(expected), expected[:50])
 
 
+def test_long_pages_are_read_whole():
+    """A page beyond 3 MiB has the records of a short one: its article, without what stands around it."""
+    for n in (7, 700_000):
+        html = "<title>T</title><body><nav>menu</nav><article><p>" + "word, " * n + "</p></article><footer>foot</footer></body>"
+        page = extract.Page("https://site.example/", html)
+        text = ("word, " * n).strip()
+        found, seo = extract.article(page, 20), extract.seo(page)
+        assert (found["title"], found["length"], found["content"], found["excerpt"]) == ("T", len(text), text[:20], text[:300])
+        assert (seo["article_word_count"], seo["word_count"], seo["excerpt"]) == (n, n, text[:300])
+
+
+def test_paragraphs_within_paragraphs_are_measured_in_one_pass(monkeypatch):
+    """No text is joined for each of the elements that it stands in; lengths are those of the joined texts."""
+    rnd = random.Random(4)
+    for _ in range(200):
+        pieces = [rnd.choice(("", " ", "\n ", "a", " b c ", "\xa0", "\t,")) for _ in range(rnd.randrange(8))]
+        for blank in (None, " \n\t"):
+            spans = extract.Spans(pieces, blank)
+            for first in range(len(pieces) + 1):
+                for last in range(first, len(pieces) + 1):
+                    joined = "".join(pieces[first:last])
+                    assert (spans.at[last] - spans.at[first], spans.stripped(first, last)) == (len(joined), len(joined.strip(blank)))
+    tree = PageTree("<body>" + "<blockquote>\n" * 2000 + "a text that is long enough, <a>link</a>" + "</blockquote>" * 2000)
+    monkeypatch.setattr(PageTree, "text", lambda *a: pytest.fail("a text is joined"))
+    assert extract.article_nodes(tree) == (1, set())
+
+
 class Record(dict):
     """A record that can be counted while it lives."""
 
